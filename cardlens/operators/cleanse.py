@@ -20,7 +20,7 @@ def parse_dates(df: DataFrame, cols=("Week_Start_Date",), fmt: str = DATE_FORMAT
     out = df
     for c in cols:
         if c in df.columns and isinstance(df.schema[c].dataType, T.StringType):
-            out = out.withColumn(c, F.try_to_date(F.col(c), F.lit(fmt)))
+            out = out.withColumn(c, F.try_to_date(F.col(c), fmt))
     return out
 
 

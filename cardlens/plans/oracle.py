@@ -11,6 +11,94 @@ def sql(name: str, body: str) -> None:
     SQL[name] = with_prelude(body)
 
 
+def mix32(k: str, mult: int) -> str:
+    a = f"({k} % 4294967296)"
+    return (f"(((({a} >> 16) * {mult}) % 65536) * 65536 + ({a} & 65535) * {mult}) % 4294967296")
+
+
+# ---- A ----------------------------------------------------------------------
+sql("append_batches", """
+SELECT Txn_Id, Client_Num, Week_Start_Date, Total_Trans_Amt, Interest_Earned, 'base' AS batch
+FROM cc_detail WHERE current_year < 1999
+UNION ALL
+SELECT Txn_Id, Client_Num, Week_Start_Date, Total_Trans_Amt, CAST(NULL AS DOUBLE), 'additional'
+FROM cc_detail WHERE current_year >= 1999
+""")
+
+sql("normalize_values", "SELECT Txn_Id, Card_Category, Use_Chip, Exp_Type FROM cc_detail")
+
+# ---- B ----------------------------------------------------------------------
+sql("parse_dates", """
+SELECT Txn_Id, CAST(TRY_STRPTIME(CASE WHEN Txn_Id % 89 = 0 THEN 'n/a'
+                                      ELSE strftime(Week_Start_Date, '%d-%m-%Y') END,
+                                 '%d-%m-%Y') AS DATE) AS Week_Start_Date
+FROM cc_detail
+""")
+
+sql("fill_numeric", """
+SELECT Txn_Id, COALESCE(Total_Revolving_Bal, 0) AS Total_Revolving_Bal, Credit_Limit, Total_Trans_Ct
+FROM joined
+""")
+
+sql("fill_mode", "SELECT Txn_Id, Education_Level, Marital_Status, Card_Category FROM clean")
+
+sql("fill_default", """
+SELECT COALESCE(Personal_loan, 'no') AS Personal_loan, COUNT(*) AS n_rows FROM joined GROUP BY 1
+""")
+
+# ---- C ----------------------------------------------------------------------
+sql("credit_score", "SELECT Txn_Id, credit_score FROM portfolio")
+sql("credit_score_band", "SELECT Txn_Id, credit_score, credit_score_band FROM portfolio")
+sql("fraud_flag", "SELECT Txn_Id, fraud_flag FROM portfolio")
+sql("ratio_features", """
+SELECT Txn_Id, ROUND(Trans_Avg, 6) AS Trans_Avg, ROUND(Income_to_Credit_Ratio, 6) AS Income_to_Credit_Ratio,
+       ROUND(Revolving_to_Credit_Ratio, 6) AS Revolving_to_Credit_Ratio
+FROM portfolio
+""")
+sql("train_test_split", f"""
+SELECT Txn_Id, CASE WHEN {mix32('Txn_Id', 2654435761)} < 3435973837 THEN 'train' ELSE 'test' END AS split
+FROM portfolio
+""")
+
+# ---- D ----------------------------------------------------------------------
+sql("account_profile_join", "SELECT Txn_Id, Client_Num, Customer_Age, Income, Total_Trans_Amt FROM joined")
+
+sql("customer_profile", """
+, firsts AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY Client_Num ORDER BY Txn_Id) AS rn FROM portfolio)
+  WHERE rn = 1)
+SELECT c.Client_Num, f.Txn_Id, f.Customer_Age, f.Income, f.Credit_Limit, f.Total_Revolving_Bal,
+       f.Total_Trans_Amt, f.Total_Trans_Ct, f.Avg_Utilization_Ratio, f.credit_score,
+       f.credit_score_band, f.fraud_flag,
+       CAST(CASE WHEN f.Txn_Id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS found
+FROM cust_detail c LEFT JOIN firsts f ON c.Client_Num = f.Client_Num
+""")
+
+sql("customers_missing", """
+SELECT Client_Num, CASE WHEN EXISTS (SELECT 1 FROM portfolio p WHERE p.Client_Num = c.Client_Num
+                                      AND p.fraud_flag = 1) THEN 'found' ELSE 'missing' END AS status
+FROM cust_detail c
+""")
+
+sql("recent_transactions", """
+SELECT * FROM (
+  SELECT Client_Num, Txn_Id, Week_Start_Date, Total_Trans_Amt, Total_Trans_Ct, Exp_Type,
+         ROW_NUMBER() OVER (PARTITION BY Client_Num ORDER BY Week_Start_Date DESC NULLS LAST, Txn_Id ASC)
+           AS recent_rank
+  FROM portfolio)
+WHERE recent_rank <= 10
+""")
+
+sql("aggregate_stats", """
+SELECT COUNT(DISTINCT Client_Num) AS total_customers,
+       CAST(SUM(Total_Trans_Ct) AS BIGINT) AS total_transactions,
+       CAST(SUM(Total_Trans_Amt) AS BIGINT) AS total_transaction_amount,
+       ROUND(AVG(Credit_Limit), 6) AS avg_credit_limit,
+       ROUND(AVG(Avg_Utilization_Ratio), 6) AS avg_utilization,
+       ROUND(AVG(fraud_flag) * 100, 6) AS fraud_rate
+FROM portfolio
+""")
+
 sql("band_distribution", """
 , dom(credit_score_band, band_order) AS (
   VALUES ('Poor', 1), ('Fair', 2), ('Good', 3), ('Excellent', 4))
@@ -19,3 +107,73 @@ SELECT d.credit_score_band, CAST(d.band_order AS BIGINT) AS band_order,
 FROM dom d LEFT JOIN portfolio p ON p.credit_score_band = d.credit_score_band
 GROUP BY d.credit_score_band, d.band_order
 """)
+
+sql("fraud_distribution", """
+SELECT fraud_flag, CASE fraud_flag WHEN 0 THEN 'Legitimate' WHEN 1 THEN 'Fraudulent' END AS fraud_label,
+       COUNT(*) AS n_rows
+FROM portfolio GROUP BY fraud_flag
+""")
+
+sql("overview_metrics", """
+SELECT COUNT(*) AS n_records, COUNT(DISTINCT Client_Num) AS n_customers,
+       ROUND(AVG(Credit_Limit), 6) AS avg_credit_limit,
+       ROUND(AVG(Total_Revolving_Bal), 6) AS avg_revolving_bal,
+       ROUND(AVG(Total_Trans_Amt), 6) AS avg_trans_amt,
+       ROUND(AVG(Total_Trans_Ct), 6) AS avg_trans_ct,
+       ROUND(AVG(Avg_Utilization_Ratio), 6) AS avg_utilization,
+       ROUND(AVG(fraud_flag), 6) AS fraud_rate
+FROM portfolio
+""")
+
+sql("preview", """
+SELECT Txn_Id, Client_Num, Card_Category, Week_Start_Date, Credit_Limit, Total_Trans_Amt,
+       credit_score, credit_score_band, fraud_flag
+FROM portfolio ORDER BY Txn_Id LIMIT 5
+""")
+
+SEARCH_AGG = """
+SELECT COUNT(*) AS n_records, ROUND(AVG(Customer_Age), 6) AS avg_age, ROUND(AVG(Income), 6) AS avg_income,
+       ROUND(AVG(Credit_Limit), 6) AS avg_credit_limit, ROUND(AVG(Total_Revolving_Bal), 6) AS avg_revolving_bal,
+       ROUND(AVG(fraud_flag), 6) AS fraud_rate, ROUND(AVG(Cust_Satisfaction_Score), 6) AS avg_satisfaction
+FROM portfolio
+"""
+
+sql("customer_search", """
+SELECT Txn_Id, Client_Num, Customer_Age, Gender, Income, Credit_Limit, credit_score_band, fraud_flag
+FROM portfolio WHERE Customer_Age BETWEEN 30 AND 60 AND Income BETWEEN 20000 AND 100000
+""")
+sql("search_aggregates", SEARCH_AGG + " WHERE Customer_Age BETWEEN 30 AND 60 AND Income BETWEEN 20000 AND 100000")
+sql("customer_search_filtered", SEARCH_AGG + """ WHERE Customer_Age BETWEEN 25 AND 50
+  AND Income BETWEEN 30000 AND 120000 AND Gender = 'F' AND credit_score_band = 'Good'""")
+
+sql("weekly_trends", """
+SELECT Week_Start_Date, ROUND(AVG(Total_Trans_Amt), 6) AS avg_trans_amt,
+       ROUND(AVG(Total_Trans_Ct), 6) AS avg_trans_ct, ROUND(AVG(fraud_flag) * 100, 6) AS fraud_percentage
+FROM portfolio WHERE Week_Start_Date IS NOT NULL GROUP BY Week_Start_Date
+""")
+
+AGE_GROUP = """CASE WHEN Customer_Age > 0 AND Customer_Age <= 30 THEN '<30'
+     WHEN Customer_Age > 30 AND Customer_Age <= 40 THEN '30-40'
+     WHEN Customer_Age > 40 AND Customer_Age <= 50 THEN '40-50'
+     WHEN Customer_Age > 50 AND Customer_Age <= 60 THEN '50-60'
+     WHEN Customer_Age > 60 AND Customer_Age <= 100 THEN '60+' END"""
+
+sql("age_groups", f"SELECT Txn_Id, Customer_Age, {AGE_GROUP} AS Age_Group FROM portfolio")
+
+sql("age_band_counts", f"""
+, ages(Age_Group, age_order) AS (VALUES ('<30', 1), ('30-40', 2), ('40-50', 3), ('50-60', 4), ('60+', 5)),
+bands(credit_score_band, band_order) AS (VALUES ('Poor', 1), ('Fair', 2), ('Good', 3), ('Excellent', 4)),
+counts AS (SELECT {AGE_GROUP} AS Age_Group, credit_score_band, COUNT(*) AS n FROM portfolio GROUP BY 1, 2)
+SELECT a.Age_Group, CAST(a.age_order AS BIGINT) AS age_order, b.credit_score_band,
+       CAST(b.band_order AS BIGINT) AS band_order, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_rows
+FROM ages a CROSS JOIN bands b
+LEFT JOIN counts c ON c.Age_Group = a.Age_Group AND c.credit_score_band = b.credit_score_band
+""")
+
+SAMPLE = f"""
+, sampled AS (
+  SELECT *, {mix32('Txn_Id', 2246822519)} AS sample_hash FROM portfolio
+  ORDER BY sample_hash, Txn_Id LIMIT 1000)
+"""
+sql("bounded_sample", SAMPLE + "SELECT Txn_Id, Client_Num, sample_hash FROM sampled")
+sql("income_limit_points", SAMPLE + "SELECT Txn_Id, Income, Credit_Limit, credit_score_band FROM sampled")

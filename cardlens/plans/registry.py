@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import explore
-from .portfolio import portfolio
+from ..functions import hashing
+from ..operators import cleanse, explore
+from ..sources import adapter, csv, tables
+from .portfolio import customers, joined, portfolio
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +27,166 @@ def query(name: str):
     return deco
 
 
+# ---- A: sources ------------------------------------------------------------
+
+@query("append_batches")
+def q_append_batches(spark, d):
+    """A3: base batch (weeks before 1999) + additional batch that lacks Interest_Earned."""
+    cc = adapter.cc_detail(spark, d)
+    base = cc.where(F.col("current_year") < 1999).withColumn("batch", F.lit("base"))
+    extra = (cc.where(F.col("current_year") >= 1999).drop("Interest_Earned")
+             .withColumn("batch", F.lit("additional")))
+    return tables.append_batches(base, extra).select(
+        "Txn_Id", "Client_Num", "Week_Start_Date", "Total_Trans_Amt", "Interest_Earned", "batch")
+
+
+@query("normalize_values")
+def q_normalize_values(spark, d):
+    """CSV-shaped headers and padded values back to canonical form."""
+    raw = adapter.raw_cc_detail(spark, d)
+    return csv.normalize_values(raw).select("Txn_Id", "Card_Category", "Use_Chip", "Exp_Type")
+
+
+# ---- B: cleansing ----------------------------------------------------------
+
+@query("parse_dates")
+def q_parse_dates(spark, d):
+    raw = adapter.raw_cc_detail(spark, d)
+    return cleanse.parse_dates(raw).select("Txn_Id", "Week_Start_Date")
+
+
+@query("fill_numeric")
+def q_fill_numeric(spark, d):
+    return cleanse.fill_numeric(joined(spark, d)).select(
+        "Txn_Id", "Total_Revolving_Bal", "Credit_Limit", "Total_Trans_Ct")
+
+
+@query("fill_mode")
+def q_fill_mode(spark, d):
+    return cleanse.fill_mode(cleanse.fill_numeric(joined(spark, d))).select(
+        "Txn_Id", "Education_Level", "Marital_Status", "Card_Category")
+
+
+@query("fill_default")
+def q_fill_default(spark, d):
+    df = cleanse.fill_default(joined(spark, d), "Personal_loan", "no")
+    return df.groupBy("Personal_loan").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- C: derived columns ----------------------------------------------------
+
+@query("credit_score")
+def q_credit_score(spark, d):
+    return portfolio(spark, d).select("Txn_Id", "credit_score")
+
+
+@query("credit_score_band")
+def q_credit_score_band(spark, d):
+    return portfolio(spark, d).select("Txn_Id", "credit_score", "credit_score_band")
+
+
+@query("fraud_flag")
+def q_fraud_flag(spark, d):
+    return portfolio(spark, d).select("Txn_Id", "fraud_flag")
+
+
+@query("ratio_features")
+def q_ratio_features(spark, d):
+    return portfolio(spark, d).select(
+        "Txn_Id", *[F.round(c, 6).alias(c) for c in
+                    ["Trans_Avg", "Income_to_Credit_Ratio", "Revolving_to_Credit_Ratio"]])
+
+
+@query("train_test_split")
+def q_train_test_split(spark, d):
+    return portfolio(spark, d).select("Txn_Id", hashing.split_label(F.col("Txn_Id")).alias("split"))
+
+
+# ---- D: relational and exploration -----------------------------------------
+
+@query("account_profile_join")
+def q_account_profile_join(spark, d):
+    return joined(spark, d).select("Txn_Id", "Client_Num", "Customer_Age", "Income", "Total_Trans_Amt")
+
+
+@query("customer_profile")
+def q_customer_profile(spark, d):
+    return explore.customer_profile(customers(spark, d), portfolio(spark, d))
+
+
+@query("customers_missing")
+def q_customers_missing(spark, d):
+    """D3 over the fraud-flagged accounts: which customers have none."""
+    flagged = portfolio(spark, d).where(F.col("fraud_flag") == 1)
+    return explore.key_status(customers(spark, d), flagged)
+
+
+@query("recent_transactions")
+def q_recent_transactions(spark, d):
+    return explore.recent_transactions(portfolio(spark, d), n=10)
+
+
+@query("aggregate_stats")
+def q_aggregate_stats(spark, d):
+    return explore.aggregate_stats(portfolio(spark, d))
+
+
 @query("band_distribution")
 def q_band_distribution(spark, d):
     return explore.band_distribution(portfolio(spark, d))
+
+
+@query("fraud_distribution")
+def q_fraud_distribution(spark, d):
+    return explore.fraud_distribution(portfolio(spark, d))
+
+
+@query("overview_metrics")
+def q_overview_metrics(spark, d):
+    return explore.overview_metrics(portfolio(spark, d))
+
+
+@query("preview")
+def q_preview(spark, d):
+    return explore.preview(portfolio(spark, d))
+
+
+@query("customer_search")
+def q_customer_search(spark, d):
+    return explore.search_results(portfolio(spark, d))
+
+
+@query("search_aggregates")
+def q_search_aggregates(spark, d):
+    return explore.search_aggregates(portfolio(spark, d))
+
+
+@query("customer_search_filtered")
+def q_customer_search_filtered(spark, d):
+    return explore.search_aggregates(portfolio(spark, d), age=(25, 50), income=(30000, 120000),
+                                     gender="F", band="Good")
+
+
+@query("weekly_trends")
+def q_weekly_trends(spark, d):
+    return explore.weekly_trends(portfolio(spark, d))
+
+
+@query("age_groups")
+def q_age_groups(spark, d):
+    return explore.with_age_group(portfolio(spark, d)).select("Txn_Id", "Customer_Age", "Age_Group")
+
+
+@query("age_band_counts")
+def q_age_band_counts(spark, d):
+    return explore.age_band_counts(portfolio(spark, d))
+
+
+@query("bounded_sample")
+def q_bounded_sample(spark, d):
+    return explore.bounded_sample(portfolio(spark, d)).select("Txn_Id", "Client_Num", "sample_hash")
+
+
+@query("income_limit_points")
+def q_income_limit_points(spark, d):
+    return explore.income_limit_points(portfolio(spark, d))
