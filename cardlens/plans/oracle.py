@@ -177,3 +177,92 @@ SAMPLE = f"""
 """
 sql("bounded_sample", SAMPLE + "SELECT Txn_Id, Client_Num, sample_hash FROM sampled")
 sql("income_limit_points", SAMPLE + "SELECT Txn_Id, Income, Credit_Limit, credit_score_band FROM sampled")
+
+# ---- F ----------------------------------------------------------------------
+CATALOG = """
+, catalog(catalog_pos, card_name, annual_fee, rewards_rate, points_multiplier, min_credit_score, min_income) AS (
+  VALUES (1, 'Premium Rewards Card', 95, CAST(0.02 AS DOUBLE), 3, 720, 60000),
+         (2, 'Cash Back Plus', 0, CAST(0.015 AS DOUBLE), 2, 680, 40000),
+         (3, 'Secured Builder Card', 0, CAST(0.01 AS DOUBLE), 1, 580, 25000),
+         (4, 'Balance Transfer Elite', 0, CAST(0.01 AS DOUBLE), 1, 690, 45000),
+         (5, 'Business Rewards Card', 125, CAST(0.018 AS DOUBLE), 3, 700, 75000)),
+firsts AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY Client_Num ORDER BY Txn_Id) AS rn FROM portfolio)
+  WHERE rn = 1)
+"""
+
+
+def match_expr(inc="inc", sc="sc", util="util", ct="ct", amt="amt") -> str:
+    return f"""LEAST(CAST(100 AS DOUBLE), GREATEST(CAST(0 AS DOUBLE),
+    CASE WHEN {sc} < min_credit_score OR {inc} < min_income THEN CAST(-50 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+    + CAST(20 AS DOUBLE) * LEAST({inc} / CAST(min_income AS DOUBLE), CAST(2 AS DOUBLE))
+    + CAST(20 AS DOUBLE) * GREATEST(CAST(0 AS DOUBLE),
+        LEAST(({sc} - CAST(min_credit_score AS DOUBLE)) / CAST(150 AS DOUBLE), CAST(1 AS DOUBLE)))
+    + CASE WHEN {util} > 0.5 AND card_name LIKE '%Balance Transfer%' THEN CAST(30 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+    + CASE WHEN {ct} > 50 AND rewards_rate > CAST(0.015 AS DOUBLE) THEN CAST(25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+    + CASE WHEN {amt} > 5000 AND points_multiplier > 1 THEN CAST(20 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+    - CASE WHEN annual_fee > 0 THEN LEAST(CAST(20 AS DOUBLE), CAST(annual_fee AS DOUBLE) / CAST(10 AS DOUBLE))
+           ELSE CAST(0 AS DOUBLE) END))"""
+
+
+PROFILE_SCORES = CATALOG + f""",
+prof AS (
+  SELECT Client_Num, CAST(Income AS DOUBLE) AS inc, CAST(credit_score AS DOUBLE) AS sc,
+         Avg_Utilization_Ratio AS util, CAST(Total_Trans_Ct AS DOUBLE) AS ct,
+         CAST(Total_Trans_Amt AS DOUBLE) AS amt FROM firsts),
+scores AS (
+  SELECT Client_Num, CAST(catalog_pos AS BIGINT) AS catalog_pos, card_name, annual_fee,
+         CAST(CASE WHEN sc >= min_credit_score AND inc >= min_income THEN 1 ELSE 0 END AS BIGINT) AS eligible,
+         {match_expr()} AS match_score
+  FROM prof CROSS JOIN catalog),
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY Client_Num ORDER BY ROUND(match_score, 9) DESC, catalog_pos)
+    AS rec_rank FROM scores)
+"""
+
+SEGMENT = """CASE WHEN {inc} >= 75000 AND {sc} >= 720 THEN 'premium'
+     WHEN {inc} >= 45000 AND {sc} >= 680 THEN 'standard' ELSE 'starter' END"""
+
+TIER = """CASE WHEN match_score >= 80 THEN 'Excellent match' WHEN match_score >= 60 THEN 'Good match'
+     ELSE 'Fair match' END"""
+
+sql("user_segment", CATALOG + f"""
+SELECT Client_Num, Income, credit_score, {SEGMENT.format(inc='Income', sc='credit_score')} AS segment FROM firsts
+""")
+sql("card_eligibility", PROFILE_SCORES + "SELECT Client_Num, catalog_pos, card_name, eligible FROM scores")
+sql("card_match_scores", PROFILE_SCORES +
+    "SELECT Client_Num, catalog_pos, card_name, ROUND(match_score, 6) AS match_score FROM scores")
+sql("recommend_cards", PROFILE_SCORES + """
+SELECT Client_Num, CAST(rec_rank AS BIGINT) AS rec_rank, card_name, ROUND(match_score, 6) AS match_score,
+       CAST(annual_fee AS BIGINT) AS annual_fee
+FROM ranked WHERE rec_rank <= 3
+""")
+sql("match_tiers", PROFILE_SCORES + f"""
+SELECT Client_Num, CAST(rec_rank AS BIGINT) AS rec_rank, {TIER} AS match_tier FROM ranked WHERE rec_rank <= 3
+""")
+
+APPLICANTS = """
+, app0 AS (
+  SELECT Txn_Id AS Profile_Id, CAST(Income AS DOUBLE) AS inc,
+         CAST(300 AS DOUBLE) + CAST(credit_score AS DOUBLE) * CAST(550 AS DOUBLE) / CAST(70 AS DOUBLE) AS sc,
+         Total_Revolving_Bal, CAST(Total_Trans_Amt AS DOUBLE) AS amt, CAST(Total_Trans_Ct AS DOUBLE) AS ct,
+         LEAST(CAST(Income AS DOUBLE) * CAST(0.3 AS DOUBLE), CAST(30000 AS DOUBLE)) AS lim
+  FROM portfolio),
+app AS (
+  SELECT *, CASE WHEN lim > 0 THEN CAST(Total_Revolving_Bal AS DOUBLE) / lim ELSE CAST(0 AS DOUBLE) END AS util
+  FROM app0)
+"""
+sql("custom_profiles", APPLICANTS + """
+SELECT Profile_Id, ROUND(lim, 6) AS Credit_Limit, ROUND(util, 6) AS Avg_Utilization_Ratio FROM app
+""")
+sql("custom_recommendations", APPLICANTS + CATALOG + f""",
+sc2 AS (
+  SELECT Profile_Id, {SEGMENT.format(inc='inc', sc='sc')} AS segment, catalog_pos, card_name,
+         {match_expr()} AS match_score
+  FROM app CROSS JOIN catalog),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY Profile_Id ORDER BY ROUND(match_score, 9) DESC, catalog_pos)
+         AS rec_rank FROM sc2)
+SELECT Profile_Id, segment, CAST(rec_rank AS BIGINT) AS rec_rank, card_name,
+       ROUND(match_score, 6) AS match_score, {TIER} AS match_tier
+FROM rk WHERE rec_rank <= 3
+""")

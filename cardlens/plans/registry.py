@@ -190,3 +190,68 @@ def q_bounded_sample(spark, d):
 @query("income_limit_points")
 def q_income_limit_points(spark, d):
     return explore.income_limit_points(portfolio(spark, d))
+
+
+# ---- F: recommendation -----------------------------------------------------
+
+from ..operators import recommend  # noqa: E402
+
+
+def client_profiles(spark, d):
+    """One profile per client: its first account row (the reference's lookup)."""
+    return explore.first_rows(portfolio(spark, d), cols=explore.PROFILE_COLS)
+
+
+def applicant_profiles(spark, d):
+    """Custom-profile inputs taken from every account row, with the score
+    expressed on the 300..850 scale the form uses."""
+    p = recommend.with_bureau_score(portfolio(spark, d), out="bureau_score")
+    return recommend.custom_profiles(p.select(
+        F.col("Txn_Id").alias("Profile_Id"), "Customer_Age", "Income",
+        F.col("bureau_score").alias("credit_score"), "Total_Revolving_Bal", "Total_Trans_Amt",
+        "Total_Trans_Ct"))
+
+
+@query("user_segment")
+def q_user_segment(spark, d):
+    return recommend.with_segment(client_profiles(spark, d)).select("Client_Num", "Income", "credit_score", "segment")
+
+
+@query("card_eligibility")
+def q_card_eligibility(spark, d):
+    return recommend.card_match_scores(client_profiles(spark, d)).select(
+        "Client_Num", "catalog_pos", "card_name", "eligible")
+
+
+@query("card_match_scores")
+def q_card_match_scores(spark, d):
+    return recommend.card_match_scores(client_profiles(spark, d)).select(
+        "Client_Num", "catalog_pos", "card_name", F.round("match_score", 6).alias("match_score"))
+
+
+@query("recommend_cards")
+def q_recommend_cards(spark, d):
+    return recommend.recommend_cards(client_profiles(spark, d), top_n=3).select(
+        "Client_Num", "rec_rank", "card_name", F.round("match_score", 6).alias("match_score"), "annual_fee")
+
+
+@query("custom_profiles")
+def q_custom_profiles(spark, d):
+    return applicant_profiles(spark, d).select(
+        "Profile_Id", F.round("Credit_Limit", 6).alias("Credit_Limit"),
+        F.round("Avg_Utilization_Ratio", 6).alias("Avg_Utilization_Ratio"))
+
+
+@query("custom_recommendations")
+def q_custom_recommendations(spark, d):
+    prof = recommend.with_segment(applicant_profiles(spark, d))
+    recs = recommend.recommend_cards(prof, top_n=3, key="Profile_Id", keep=("segment",))
+    return (recommend.with_match_tier(recs)
+            .select("Profile_Id", "segment", "rec_rank", "card_name",
+                    F.round("match_score", 6).alias("match_score"), "match_tier"))
+
+
+@query("match_tiers")
+def q_match_tiers(spark, d):
+    recs = recommend.recommend_cards(client_profiles(spark, d), top_n=3)
+    return recommend.with_match_tier(recs).select("Client_Num", "rec_rank", "match_tier")
