@@ -266,3 +266,158 @@ SELECT Profile_Id, segment, CAST(rec_rank AS BIGINT) AS rec_rank, card_name,
        ROUND(match_score, 6) AS match_score, {TIER} AS match_tier
 FROM rk WHERE rec_rank <= 3
 """)
+
+# ---- C7/C10/E: features and metrics ------------------------------------------
+# Category levels of the adapter's columns (sorted; the first is dropped).
+LEVELS = {
+    "Card_Category": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "Use_Chip": ["F", "O", "P"],
+    "Exp_Type": ["Bills", "Entertainment", "Food", "Fuel", "Grocery", "Travel"],
+    "Gender": ["F", "M"],
+    "Education_Level": ["Doctorate", "Graduate", "High School"],
+    "Marital_Status": ["Married", "Single", "Unknown"],
+    "Customer_Job": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+}
+sql("one_hot", "SELECT Txn_Id, " + ", ".join(
+    f"CAST(CASE WHEN {c} = '{lev}' THEN 1 ELSE 0 END AS BIGINT) AS \"{c}_{lev}\""
+    for c, levs in LEVELS.items() for lev in levs[1:]) + " FROM portfolio")
+
+NUMF = ["Customer_Age", "Dependent_Count", "Income", "Credit_Limit", "Total_Revolving_Bal",
+        "Total_Trans_Amt", "Total_Trans_Ct", "Avg_Utilization_Ratio", "Trans_Avg",
+        "Income_to_Credit_Ratio", "Revolving_to_Credit_Ratio"]
+sql("standardize", ", st AS (SELECT " + ", ".join(
+    f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in NUMF) + " FROM portfolio)\nSELECT Txn_Id, " + ", ".join(
+    f"ROUND((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS {c}" for c in NUMF)
+    + " FROM portfolio CROSS JOIN st")
+
+SPLIT = f"CASE WHEN {mix32('Txn_Id', 2654435761)} < 3435973837 THEN 'train' ELSE 'test' END"
+
+sql("class_weights", f"""
+, tr AS (SELECT * FROM portfolio WHERE {SPLIT} = 'train'),
+c AS (SELECT fraud_flag AS label, COUNT(*) AS n_rows FROM tr GROUP BY 1),
+t AS (SELECT SUM(n_rows) AS tot, COUNT(*) AS k,
+             SUM(CASE WHEN label = 0 THEN n_rows ELSE 0 END) AS n0,
+             SUM(CASE WHEN label = 1 THEN n_rows ELSE 0 END) AS n1 FROM c)
+SELECT label, n_rows, ROUND(CAST(tot AS DOUBLE) / (CAST(k AS DOUBLE) * CAST(n_rows AS DOUBLE)), 6) AS class_weight,
+       ROUND(CAST(n0 AS DOUBLE) / CAST(n1 AS DOUBLE), 6) AS scale_pos_weight
+FROM c CROSS JOIN t
+""")
+
+BAND_PRED = f"""
+, te AS (SELECT * FROM portfolio WHERE {SPLIT} = 'test'),
+bw AS (SELECT *, credit_score + (Txn_Id * 7) % 11 - 5 AS s2 FROM te),
+bw2 AS (SELECT *, 100 - ABS(s2 - 10) AS w1, 100 - ABS(s2 - 30) AS w2, 100 - ABS(s2 - 50) AS w3,
+               100 - ABS(s2 - 65) AS w4 FROM bw),
+bp AS (SELECT *, CAST(w1 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p1,
+                 CAST(w2 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p2,
+                 CAST(w3 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p3,
+                 CAST(w4 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p4 FROM bw2),
+bpred AS (SELECT *, GREATEST(p1, p2, p3, p4) AS probability,
+       CASE WHEN p1 = GREATEST(p1, p2, p3, p4) THEN 'Poor' WHEN p2 = GREATEST(p1, p2, p3, p4) THEN 'Fair'
+            WHEN p3 = GREATEST(p1, p2, p3, p4) THEN 'Good' ELSE 'Excellent' END AS credit_score_band_pred
+  FROM bp),
+fs AS (SELECT *, (Avg_Utilization_Ratio + CAST((Txn_Id * 13) % 100 AS DOUBLE) / CAST(100 AS DOUBLE))
+                 / CAST(2 AS DOUBLE) AS fraud_probability FROM te),
+fpred AS (SELECT *, CAST(CASE WHEN fraud_probability > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS fraud_prediction,
+       CASE WHEN fraud_probability > 0.7 THEN 'High' WHEN fraud_probability > 0.3 THEN 'Medium' ELSE 'Low' END
+         AS risk_level FROM fs),
+preds AS (
+  SELECT 'credit' AS task, credit_score_band AS actual, credit_score_band_pred AS predicted FROM bpred
+  UNION ALL
+  SELECT 'fraud', CAST(fraud_flag AS VARCHAR), CAST(fraud_prediction AS VARCHAR) FROM fpred),
+pc AS (SELECT task, actual, predicted, COUNT(*) AS n FROM preds GROUP BY ALL),
+labels AS (SELECT DISTINCT task, actual AS class FROM pc UNION SELECT DISTINCT task, predicted FROM pc),
+cls AS (
+  SELECT l.task, l.class,
+    COALESCE((SELECT SUM(n) FROM pc WHERE pc.task = l.task AND pc.actual = l.class), 0) AS support,
+    COALESCE((SELECT SUM(n) FROM pc WHERE pc.task = l.task AND pc.actual = l.class AND pc.predicted = l.class), 0) AS tp,
+    COALESCE((SELECT SUM(n) FROM pc WHERE pc.task = l.task AND pc.predicted = l.class), 0) AS n_pred
+  FROM labels l),
+per AS (
+  SELECT task, class,
+    CASE WHEN n_pred = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / CAST(n_pred AS DOUBLE) END AS precision,
+    CASE WHEN support = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / CAST(support AS DOUBLE) END AS recall,
+    CAST(support AS BIGINT) AS support
+  FROM cls),
+per2 AS (SELECT *, CASE WHEN precision + recall = 0 THEN CAST(0 AS DOUBLE)
+                        ELSE precision * recall * 2 / (precision + recall) END AS f1 FROM per),
+report AS (
+  SELECT task, class, precision, recall, f1, support FROM per2
+  UNION ALL
+  SELECT task, 'macro avg', AVG(precision), AVG(recall), AVG(f1), CAST(SUM(support) AS BIGINT) FROM per2 GROUP BY task
+  UNION ALL
+  SELECT task, 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+         SUM(f1 * support) / SUM(support), CAST(SUM(support) AS BIGINT) FROM per2 GROUP BY task),
+sc AS (SELECT fraud_probability AS score, CAST(SUM(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+              CAST(SUM(CASE WHEN fraud_flag = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+       FROM fs GROUP BY 1),
+cum AS (SELECT *, SUM(pos) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum_pos,
+                  SUM(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum_neg,
+                  ROW_NUMBER() OVER (ORDER BY score) AS point,
+                  SUM(pos) OVER () AS P, SUM(neg) OVER () AS N, COUNT(*) OVER () AS M FROM sc)
+"""
+
+sql("band_argmax", BAND_PRED + "SELECT Txn_Id, credit_score_band_pred, ROUND(probability, 6) AS probability FROM bpred")
+sql("probability_rows", BAND_PRED + """
+SELECT Txn_Id, class, ROUND(probability, 6) AS probability FROM (
+  SELECT Txn_Id, 'Poor' AS class, p1 AS probability FROM bp UNION ALL
+  SELECT Txn_Id, 'Fair', p2 FROM bp UNION ALL SELECT Txn_Id, 'Good', p3 FROM bp UNION ALL
+  SELECT Txn_Id, 'Excellent', p4 FROM bp)
+""")
+sql("risk_levels", BAND_PRED + """
+SELECT Txn_Id, ROUND(fraud_probability, 6) AS fraud_probability, fraud_prediction, risk_level FROM fpred
+""")
+sql("accuracy", BAND_PRED + """
+SELECT task, ROUND(AVG(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds GROUP BY task
+""")
+sql("classification_report", BAND_PRED + """
+SELECT task, class, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1, support
+FROM report
+""")
+sql("confusion_matrix", BAND_PRED + """
+, lab AS (SELECT task, class, CAST(ROW_NUMBER() OVER (PARTITION BY task ORDER BY class) - 1 AS BIGINT) AS idx
+          FROM labels)
+SELECT a.task, a.class AS actual, b.class AS predicted, a.idx AS actual_idx, b.idx AS predicted_idx,
+       CAST(COALESCE(pc.n, 0) AS BIGINT) AS n
+FROM lab a JOIN lab b ON a.task = b.task
+LEFT JOIN pc ON pc.task = a.task AND pc.actual = a.class AND pc.predicted = b.class
+""")
+sql("avg_f1", BAND_PRED + "SELECT task, ROUND(AVG(f1), 6) AS avg_f1 FROM report GROUP BY task")
+sql("report_long", BAND_PRED + """
+SELECT task, class, metric, ROUND(value, 6) AS value FROM (
+  SELECT task, class, 'precision' AS metric, precision AS value FROM report UNION ALL
+  SELECT task, class, 'recall', recall FROM report UNION ALL
+  SELECT task, class, 'f1', f1 FROM report UNION ALL
+  SELECT task, class, 'support', CAST(support AS DOUBLE) FROM report)
+""")
+sql("fraud_precision", BAND_PRED + "SELECT ROUND(precision, 6) AS precision FROM report WHERE task = 'fraud' AND class = '1'")
+sql("roc_auc", BAND_PRED + """
+SELECT ROUND(SUM(pos * (cum_neg - neg + neg * 0.5)) / (CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)), 6)
+  AS roc_auc FROM cum
+""")
+sql("pr_curve", BAND_PRED + """
+SELECT CAST(point AS BIGINT) AS point, ROUND(score, 6) AS threshold,
+       ROUND(CAST(P - cum_pos + pos AS DOUBLE) / CAST(P - cum_pos + pos + N - cum_neg + neg AS DOUBLE), 6) AS precision,
+       ROUND(CAST(P - cum_pos + pos AS DOUBLE) / CAST(P AS DOUBLE), 6) AS recall
+FROM cum
+UNION ALL
+SELECT CAST(MAX(M) + 1 AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM cum
+""")
+sql("score_requests", CATALOG + """
+, bw AS (SELECT *, credit_score + (Txn_Id * 7) % 11 - 5 AS s2 FROM firsts),
+bw2 AS (SELECT *, 100 - ABS(s2 - 10) AS w1, 100 - ABS(s2 - 30) AS w2, 100 - ABS(s2 - 50) AS w3,
+               100 - ABS(s2 - 65) AS w4 FROM bw),
+bp AS (SELECT *, CAST(w1 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p1,
+                 CAST(w2 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p2,
+                 CAST(w3 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p3,
+                 CAST(w4 AS DOUBLE) / CAST(w1 + w2 + w3 + w4 AS DOUBLE) AS p4 FROM bw2),
+bpred AS (SELECT *, GREATEST(p1, p2, p3, p4) AS probability,
+       CASE WHEN p1 = GREATEST(p1, p2, p3, p4) THEN 'Poor' WHEN p2 = GREATEST(p1, p2, p3, p4) THEN 'Fair'
+            WHEN p3 = GREATEST(p1, p2, p3, p4) THEN 'Good' ELSE 'Excellent' END AS credit_score_band_pred
+  FROM bp)
+SELECT c.Client_Num, CASE WHEN b.Client_Num IS NULL THEN 'Customer not found' END AS error,
+       COALESCE(b.credit_score_band_pred, 'Unknown') AS credit_score_band,
+       ROUND(COALESCE(b.probability, 0), 6) AS probability,
+       CAST(CASE WHEN b.Client_Num IS NULL THEN 0 ELSE 4 END AS BIGINT) AS n_classes
+FROM cust_detail c LEFT JOIN bpred b ON c.Client_Num = b.Client_Num
+""")

@@ -255,3 +255,112 @@ def q_custom_recommendations(spark, d):
 def q_match_tiers(spark, d):
     recs = recommend.recommend_cards(client_profiles(spark, d), top_n=3)
     return recommend.with_match_tier(recs).select("Client_Num", "rec_rank", "match_tier")
+
+
+# ---- E: features, scoring outputs and metrics ------------------------------
+
+from functools import reduce  # noqa: E402
+
+from ..operators import features, metrics, predictions  # noqa: E402
+from . import evaluation  # noqa: E402
+
+
+def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _per_task(spark, d, fn) -> DataFrame:
+    parts = [fn(t).select(F.lit(name).alias("task"), "*")
+             for name, t in evaluation.labelled_tasks(portfolio(spark, d)).items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("one_hot")
+def q_one_hot(spark, d):
+    df, dummies = features.one_hot(portfolio(spark, d))
+    return df.select("Txn_Id", *dummies)
+
+
+@query("standardize")
+def q_standardize(spark, d):
+    p = portfolio(spark, d)
+    z = features.standardize(p, features.NUMERIC_FEATURES)
+    return _r6(z.select("Txn_Id", *features.NUMERIC_FEATURES), features.NUMERIC_FEATURES)
+
+
+@query("class_weights")
+def q_class_weights(spark, d):
+    return _r6(features.class_weights(evaluation.train_rows(portfolio(spark, d)), "fraud_flag"),
+               ["class_weight", "scale_pos_weight"])
+
+
+@query("band_argmax")
+def q_band_argmax(spark, d):
+    t = evaluation.band_predictions(evaluation.test_rows(portfolio(spark, d)))
+    return _r6(t.select("Txn_Id", "credit_score_band_pred", "probability"), ["probability"])
+
+
+@query("probability_rows")
+def q_probability_rows(spark, d):
+    t = evaluation.band_predictions(evaluation.test_rows(portfolio(spark, d)))
+    return _r6(predictions.probability_rows(t, "Txn_Id"), ["probability"])
+
+
+@query("risk_levels")
+def q_risk_levels(spark, d):
+    t = predictions.fraud_output(evaluation.fraud_scores(evaluation.test_rows(portfolio(spark, d))))
+    return _r6(t.select("Txn_Id", "fraud_probability", "fraud_prediction", "risk_level"), ["fraud_probability"])
+
+
+@query("score_requests")
+def q_score_requests(spark, d):
+    scored = evaluation.band_predictions(client_profiles(spark, d))
+    out = predictions.score_requests(customers(spark, d), scored)
+    return _r6(out.select("Client_Num", "error", "credit_score_band", "probability",
+                          F.size("all_probabilities").cast("long").alias("n_classes")), ["probability"])
+
+
+@query("accuracy")
+def q_accuracy(spark, d):
+    return _r6(_per_task(spark, d, lambda t: metrics.accuracy(t)), ["accuracy"])
+
+
+@query("classification_report")
+def q_classification_report(spark, d):
+    return _r6(_per_task(spark, d, metrics.classification_report), ["precision", "recall", "f1"])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, d):
+    return _per_task(spark, d, metrics.confusion_matrix)
+
+
+@query("avg_f1")
+def q_avg_f1(spark, d):
+    return _r6(_per_task(spark, d, lambda t: metrics.avg_f1(metrics.classification_report(t))), ["avg_f1"])
+
+
+@query("report_long")
+def q_report_long(spark, d):
+    return _r6(_per_task(spark, d, lambda t: metrics.report_long(metrics.classification_report(t))), ["value"])
+
+
+@query("fraud_precision")
+def q_fraud_precision(spark, d):
+    t = evaluation.labelled_tasks(portfolio(spark, d))["fraud"]
+    return _r6(metrics.class_precision(metrics.classification_report(t), "1"), ["precision"])
+
+
+def _fraud_scored(spark, d):
+    t = evaluation.fraud_scores(evaluation.test_rows(portfolio(spark, d)))
+    return t.select(F.col("fraud_flag").alias("label"), F.col("fraud_probability").alias("score"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, d):
+    return _r6(metrics.roc_auc(_fraud_scored(spark, d)), ["roc_auc"])
+
+
+@query("pr_curve")
+def q_pr_curve(spark, d):
+    return _r6(metrics.pr_curve(_fraud_scored(spark, d)), ["threshold", "precision", "recall"])
