@@ -421,3 +421,54 @@ SELECT c.Client_Num, CASE WHEN b.Client_Num IS NULL THEN 'Customer not found' EN
        CAST(CASE WHEN b.Client_Num IS NULL THEN 0 ELSE 4 END AS BIGINT) AS n_classes
 FROM cust_detail c LEFT JOIN bpred b ON c.Client_Num = b.Client_Num
 """)
+
+# ---- F6-F9: similarity ---------------------------------------------------------
+RECF = ["Customer_Age", "Income", "Credit_Limit", "Total_Revolving_Bal", "Total_Trans_Amt", "Total_Trans_Ct",
+        "Avg_Utilization_Ratio"]
+_Z = ", ".join(f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS z_{c}" for c in RECF)
+_DOT = " + ".join(f"p.z_{c} * c.z_{c}" for c in RECF)
+_NRM = "sqrt(" + " + ".join(f"z_{c} * z_{c}" for c in RECF) + ")"
+SIMILAR = f"""
+, rst AS (SELECT {", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in RECF)} FROM portfolio),
+z AS (SELECT Txn_Id, Client_Num, {_Z} FROM portfolio CROSS JOIN rst),
+zn AS (SELECT *, {_NRM} AS nrm FROM z),
+pz AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY Client_Num ORDER BY Txn_Id) AS rn FROM zn)
+       WHERE rn = 1),
+pairs AS (SELECT p.Client_Num AS probe, c.Txn_Id AS neighbor_txn, c.Client_Num AS neighbor_client,
+                 CASE WHEN p.nrm = 0 OR c.nrm = 0 THEN CAST(0 AS DOUBLE) ELSE ({_DOT}) / (p.nrm * c.nrm) END AS sim
+          FROM pz p CROSS JOIN zn c),
+simrk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY probe ORDER BY ROUND(sim, 9) DESC, neighbor_txn DESC) AS sim_rank
+          FROM pairs)
+"""
+sql("recommender_scaler", ", rst AS (SELECT " + ", ".join(
+    f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in RECF) + " FROM portfolio)\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, ROUND(m_{c}, 6) AS mean, ROUND(s_{c}, 6) AS std FROM rst" for c in RECF))
+sql("probe_imputation", ", rst AS (SELECT " + ", ".join(f"AVG({c}) AS m_{c}" for c in RECF) +
+    " FROM portfolio)\nSELECT Client_Num, ROUND(CAST(Customer_Age AS DOUBLE), 6) AS Customer_Age, "
+    "ROUND(CAST(Income AS DOUBLE), 6) AS Income, " +
+    ", ".join(f"ROUND(m_{c}, 6) AS {c}" for c in RECF[2:]) + " FROM cust_detail CROSS JOIN rst")
+sql("similar_customers", SIMILAR + """
+SELECT probe AS Client_Num, CAST(sim_rank AS BIGINT) AS sim_rank, neighbor_txn, neighbor_client,
+       ROUND(sim, 6) AS similarity FROM simrk WHERE sim_rank <= 5
+""")
+SQL["similar_vectors"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+en AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS nrm FROM e),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
+                 CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN CAST(0 AS DOUBLE)
+                      ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END AS sim
+          FROM en a CROSS JOIN en b),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY ROUND(sim, 9) DESC, neighbor_id DESC) AS sim_rank
+       FROM pairs)
+SELECT vec_id, CAST(sim_rank AS BIGINT) AS sim_rank, neighbor_id, ROUND(sim, 6) AS similarity
+FROM rk WHERE sim_rank <= 5
+"""
+sql("recommendation_bundle", PROFILE_SCORES.rstrip() + SIMILAR.replace("\n, rst AS", ",\nrst AS", 1) + f"""
+, cards AS (SELECT Client_Num, string_agg(card_name, '|' ORDER BY rec_rank) AS cards FROM ranked
+            WHERE rec_rank <= 3 GROUP BY Client_Num),
+sims AS (SELECT probe AS Client_Num, string_agg(CAST(neighbor_client AS VARCHAR), ',' ORDER BY sim_rank)
+           AS similar_clients FROM simrk WHERE sim_rank <= 5 GROUP BY probe)
+SELECT f.Client_Num, {SEGMENT.format(inc='f.Income', sc='f.credit_score')} AS segment, cards.cards,
+       sims.similar_clients
+FROM firsts f JOIN cards ON cards.Client_Num = f.Client_Num LEFT JOIN sims ON sims.Client_Num = f.Client_Num
+""")

@@ -364,3 +364,38 @@ def q_roc_auc(spark, d):
 @query("pr_curve")
 def q_pr_curve(spark, d):
     return _r6(metrics.pr_curve(_fraud_scored(spark, d)), ["threshold", "precision", "recall"])
+
+
+# ---- F6-F9: similarity -----------------------------------------------------
+
+from ..operators import similar  # noqa: E402
+
+
+@query("recommender_scaler")
+def q_recommender_scaler(spark, d):
+    stats = similar.fit_recommender(portfolio(spark, d))
+    return _r6(similar.scaler_frame(spark, stats), ["mean", "std"])
+
+
+@query("probe_imputation")
+def q_probe_imputation(spark, d):
+    """New-applicant probes from the customer dimension: only age and income
+    are known, the account features take the portfolio means."""
+    stats = similar.fit_recommender(portfolio(spark, d))
+    probes = similar.impute_probes(customers(spark, d).select("Client_Num", "Customer_Age", "Income"), stats)
+    return _r6(probes.select("Client_Num", *[F.col(c).cast("double").alias(c) for c in stats]), list(stats))
+
+
+@query("similar_customers")
+def q_similar_customers(spark, d):
+    return _r6(similar.similar_customers(portfolio(spark, d), client_profiles(spark, d), top_n=5), ["similarity"])
+
+
+@query("similar_vectors")
+def q_similar_vectors(spark, d):
+    return _r6(similar.similar_vectors(adapter.table(spark, d, "embeddings"), top_n=5), ["similarity"])
+
+
+@query("recommendation_bundle")
+def q_recommendation_bundle(spark, d):
+    return similar.recommendation_bundle(client_profiles(spark, d), portfolio(spark, d))
