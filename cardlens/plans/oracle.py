@@ -472,3 +472,38 @@ SELECT f.Client_Num, {SEGMENT.format(inc='f.Income', sc='f.credit_score')} AS se
        sims.similar_clients
 FROM firsts f JOIN cards ON cards.Client_Num = f.Client_Num LEFT JOIN sims ON sims.Client_Num = f.Client_Num
 """)
+
+# ---- C11: SMOTE ------------------------------------------------------------------
+DUMMIES = [(c, lev) for c, levs in LEVELS.items() for lev in levs[1:]]
+SMF = NUMF + [f"{c}_{lev}" for c, lev in DUMMIES]
+_dummy_exprs = ", ".join(f"CAST(CASE WHEN {c} = '{lev}' THEN 1 ELSE 0 END AS BIGINT) AS \"{c}_{lev}\""
+                         for c, lev in DUMMIES)
+SMOTE_BASE = f"""
+, oh AS (SELECT Txn_Id, fraud_flag, {", ".join(NUMF)}, {_dummy_exprs} FROM portfolio),
+sst AS (SELECT {", ".join(f'AVG("{c}") AS "m_{c}", STDDEV_POP("{c}") AS "s_{c}"' for c in SMF)} FROM oh),
+feats AS (SELECT Txn_Id, fraud_flag, {", ".join(
+    f'(CAST("{c}" AS DOUBLE) - "m_{c}") / CASE WHEN "s_{c}" = 0 THEN 1 ELSE "s_{c}" END AS "{c}"' for c in SMF)}
+  FROM oh CROSS JOIN sst),
+mino AS (SELECT *, ROW_NUMBER() OVER (ORDER BY Txn_Id) - 1 AS j FROM feats WHERE fraud_flag = 1),
+cnt AS (SELECT (SELECT COUNT(*) FROM feats WHERE fraud_flag = 0) AS n0, (SELECT COUNT(*) FROM mino) AS m),
+mpairs AS (SELECT a.Txn_Id AS pk, b.Txn_Id AS ck,
+                  {" + ".join(f'(a."{c}" - b."{c}") * (a."{c}" - b."{c}")' for c in SMF)} AS d
+           FROM mino a JOIN mino b ON a.Txn_Id <> b.Txn_Id),
+nn AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pk ORDER BY ROUND(d, 9), ck) AS r FROM mpairs)
+       WHERE r <= 5)
+"""
+sql("smote_neighbors", SMOTE_BASE + "SELECT pk AS Txn_Id, CAST(r AS BIGINT) AS nn_rank, ck AS neighbor_txn FROM nn")
+sql("smote_counts", SMOTE_BASE + """
+SELECT fraud_flag, CAST(COUNT(*) AS BIGINT) + CASE WHEN fraud_flag = 1 THEN (SELECT n0 - m FROM cnt) ELSE 0 END
+  AS n_rows FROM feats GROUP BY fraud_flag
+""")
+sql("smote_rows", SMOTE_BASE + f"""
+, syn AS (SELECT i, CAST(((i * 7919 + 13) % 1000) AS DOUBLE) / CAST(1000 AS DOUBLE) AS lam
+          FROM cnt, range(0, n0 - m) t(i))
+SELECT CAST(syn.i AS BIGINT) AS synth_index, CAST(1 AS BIGINT) AS fraud_flag,
+       {", ".join(f'ROUND(x."{c}" + lam * (b."{c}" - x."{c}"), 6) + CAST(0 AS DOUBLE) AS "{c}"' for c in SMF)}
+FROM syn CROSS JOIN cnt
+JOIN mino x ON x.j = syn.i % cnt.m
+JOIN nn ON nn.pk = x.Txn_Id AND nn.r = 1 + (syn.i // cnt.m) % 5
+JOIN mino b ON b.Txn_Id = nn.ck
+""")

@@ -399,3 +399,37 @@ def q_similar_vectors(spark, d):
 @query("recommendation_bundle")
 def q_recommendation_bundle(spark, d):
     return similar.recommendation_bundle(client_profiles(spark, d), portfolio(spark, d))
+
+
+# ---- C11: SMOTE --------------------------------------------------------------
+
+from ..operators import smote  # noqa: E402
+
+
+def fraud_training_frame(spark, d):
+    """Standardised model features (11 numerics + dummies) with the fraud label."""
+    df, _ = features.one_hot(portfolio(spark, d))
+    cols = features.feature_columns(df)
+    z = features.standardize(df.select("Txn_Id", "fraud_flag", *cols), cols)
+    return z, cols
+
+
+@query("smote_counts")
+def q_smote_counts(spark, d):
+    z, cols = fraud_training_frame(spark, d)
+    return smote.oversample(z, cols, "fraud_flag", "Txn_Id").groupBy("fraud_flag").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("smote_neighbors")
+def q_smote_neighbors(spark, d):
+    z, cols = fraud_training_frame(spark, d)
+    nn = smote.minority_neighbours(z, cols, "fraud_flag", "Txn_Id", 1)
+    return nn.select(F.col("probe_key").alias("Txn_Id"), "nn_rank", F.col("cand_key").alias("neighbor_txn"))
+
+
+@query("smote_rows")
+def q_smote_rows(spark, d):
+    z, cols = fraud_training_frame(spark, d)
+    s = smote.synthetic_rows(z, cols, "fraud_flag", "Txn_Id")
+    return _r6(s, cols)
