@@ -433,3 +433,59 @@ def q_smote_rows(spark, d):
     z, cols = fraud_training_frame(spark, d)
     s = smote.synthetic_rows(z, cols, "fraud_flag", "Txn_Id")
     return _r6(s, cols)
+
+
+# ---- E1-E5, E16, E17: trained models (rows-only checks) ----------------------
+# Boosted models use 20 rounds in the registered queries (the operators
+# default to the reference's 100 / 200) to keep the driver's run short.
+
+from ..operators import models as mdl  # noqa: E402
+from . import training  # noqa: E402
+
+REGISTERED_ROUNDS = 20
+
+
+def _credit_preds(spark, d, kind):
+    m, te = training.fit_credit(spark, d, kind, rounds=REGISTERED_ROUNDS)
+    out = m.predict(te)
+    return _r6(out.select("Txn_Id", "credit_score_band", "credit_score_band_pred", "probability", "model_type"),
+               ["probability"])
+
+
+def _fraud_preds(spark, d, kind):
+    m, te = training.fit_fraud(spark, d, kind, rounds=REGISTERED_ROUNDS)
+    out = m.predict(te)
+    return _r6(out.select("row_key", "fraud_flag", "fraud_prediction", "fraud_probability", "risk_level",
+                          "model_type"), ["fraud_probability"])
+
+
+@query("credit_rf_predictions")
+def q_credit_rf_predictions(spark, d):
+    return _credit_preds(spark, d, "rf")
+
+
+@query("credit_gbt_predictions")
+def q_credit_gbt_predictions(spark, d):
+    return _credit_preds(spark, d, "gbt")
+
+
+@query("fraud_rf_predictions")
+def q_fraud_rf_predictions(spark, d):
+    return _fraud_preds(spark, d, "rf")
+
+
+@query("fraud_gbt_predictions")
+def q_fraud_gbt_predictions(spark, d):
+    return _fraud_preds(spark, d, "gbt")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    m, _ = training.fit_credit(spark, d, "rf")
+    return m.feature_importance(spark)
+
+
+@query("top_features")
+def q_top_features(spark, d):
+    m, _ = training.fit_credit(spark, d, "rf")
+    return mdl.top_features(m.feature_importance(spark), 10)
