@@ -32,7 +32,7 @@ OUT_SCHEMA = T.StructType([
     T.StructField("probe_key", T.LongType()), T.StructField("cand_key", T.LongType()),
     T.StructField("score", T.DoubleType()), T.StructField("rank_score", T.DoubleType()),
 ])
-CELL_BUDGET = 2_000_000  # probe x candidate cells scored at once per task
+CELL_BUDGET = 4_000_000  # probe x candidate cells scored at once per task
 
 
 def _matrix(pdf: pd.DataFrame, features: list[str] | str) -> np.ndarray:
@@ -52,13 +52,34 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _exact_sq(pb: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Squared distances summed left to right over dimensions (as SQL adds)."""
+    acc = (pb[..., 0] - cb[..., 0]) ** 2
+    for j in range(1, pb.shape[-1]):
+        acc = acc + (pb[..., j] - cb[..., j]) ** 2
+    return acc
+
+
 def _scores(metric: str, pb: np.ndarray, cb: np.ndarray) -> np.ndarray:
     if metric == "cosine":
         return pb @ cb.T  # rows already unit length (zero vectors stay zero)
-    acc = (pb[:, None, 0] - cb[None, :, 0]) ** 2  # left-to-right sum, as SQL adds
-    for j in range(1, pb.shape[1]):
-        acc = acc + (pb[:, None, j] - cb[None, :, j]) ** 2
-    return acc
+    return _exact_sq(pb[:, None, :], cb[None, :, :])
+
+
+def _sq_shortlist(pb, cb, kk):
+    """BLAS screen for squared distances: |p|^2 + |c|^2 - 2 p.c, then a
+    shortlist holding every candidate that could be within the k best
+    after exact recomputation (the margin covers 9-digit rounding and the
+    screen's floating-point error, bounded per probe row)."""
+    pn = np.einsum("ij,ij->i", pb, pb)
+    cn = np.einsum("ij,ij->i", cb, cb)
+    approx = pb @ cb.T
+    approx *= -2.0
+    approx += cn[None, :]
+    approx += pn[:, None]
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+    margin = 4e-9 + 1e-11 * (pn + cn.max() + 1.0)
+    return approx <= (kth + margin)[:, None]
 
 
 def _local_top_k(metric, probes, pkeys, cands, ckeys, k, largest, key_desc, exclude_self, digits):
@@ -69,28 +90,34 @@ def _local_top_k(metric, probes, pkeys, cands, ckeys, k, largest, key_desc, excl
     step = max(1, CELL_BUDGET // max(m, 1))
     for s in range(0, len(pkeys), step):
         pb, pk = probes[s:s + step], pkeys[s:s + step]
-        sc = _scores(metric, pb, cands)
-        rs = np.round(sc, digits)
-        if exclude_self:
-            rs = rs.astype(np.float64)
-            self_mask = pk[:, None] == ckeys[None, :]
-            rs[self_mask] = -np.inf if largest else np.inf
-        kk = min(k, m)
-        key_rank = -rs if largest else rs          # smaller is better
-        kth = np.partition(key_rank, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero(key_rank <= kth[:, None])  # top-k plus any ties at the cut
+        kk = min(k + (1 if exclude_self else 0), m)
+        if metric == "cosine":
+            sc = pb @ cands.T
+            if exclude_self:
+                sc[pk[:, None] == ckeys[None, :]] = -np.inf
+            # the kk-th largest raw score; anything that can round to it or above stays
+            kth = np.partition(sc, m - kk, axis=1)[:, m - kk]
+            rows, cols = np.nonzero(sc >= (kth - 2.0 * 10.0 ** -digits)[:, None])
+            score = sc[rows, cols]
+            rank_val = np.round(score, digits)
+            rank_key = -rank_val
+        else:
+            rows, cols = np.nonzero(_sq_shortlist(pb, cands, kk))
+            score = _exact_sq(pb[rows], cands[cols])
+            rank_val = np.round(score, digits)
+            if exclude_self:
+                rank_val = np.where(pk[rows] == ckeys[cols], np.inf, rank_val)
+            rank_key = rank_val
         ck = ckeys[cols]
-        order = np.lexsort((-ck if key_desc else ck, key_rank[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
+        order = np.lexsort((-ck if key_desc else ck, rank_key, rows))
+        rows, cols, score, rank_val, rank_key = rows[order], cols[order], score[order], rank_val[order], rank_key[order]
         first = np.r_[True, rows[1:] != rows[:-1]]
         grp_start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-        keep = (np.arange(len(rows)) - grp_start) < kk
-        if exclude_self:
-            keep &= np.isfinite(key_rank[rows, cols])
+        keep = ((np.arange(len(rows)) - grp_start) < k) & np.isfinite(rank_key)
         rows, cols = rows[keep], cols[keep]
         out.append(pd.DataFrame({"probe_key": pk[rows].astype(np.int64), "cand_key": ckeys[cols].astype(np.int64),
-                                 "score": sc[rows, cols].astype(np.float64),
-                                 "rank_score": rs[rows, cols].astype(np.float64)}))
+                                 "score": score[keep].astype(np.float64),
+                                 "rank_score": rank_val[keep].astype(np.float64)}))
     return out
 
 
@@ -111,7 +138,10 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
     pr = probes.select(F.col(probe_key).cast("long").alias("_pk"), *fcols)
     n_probes = pr.count()
     n_chunks = max(1, math.ceil(n_probes / max_probe_rows))
-    cand = candidates.select(F.col(cand_key).cast("long").alias("_ck"), *fcols)
+    # Spread the scoring over every core: an explicit partition count is
+    # kept by AQE (a small table would otherwise coalesce into one task).
+    n_tasks = max(spark.sparkContext.defaultParallelism * 2, 1)
+    cand = candidates.select(F.col(cand_key).cast("long").alias("_ck"), *fcols).repartition(n_tasks)
     parts = []
     for chunk in range(n_chunks):
         part = pr if n_chunks == 1 else pr.where(F.pmod(F.xxhash64("_pk"), F.lit(n_chunks)) == chunk)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleanse, scoring
-from ..sources import adapter
+from ..sources import adapter, tables
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,3 +25,12 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per account-week (key ``Txn_Id``) with customer attributes,
     cleansed, scored, banded and flagged."""
     return scoring.add_scores(cleanse.clean(joined(spark, sf_dir)))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Parquet checkpoint under the shared checkpoint folder (see tables.materialize)."""
+    return tables.materialize(df)
+
+
+def portfolio_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(portfolio(spark, sf_dir))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import cleanse, explore
 from ..sources import adapter, csv, tables
-from .portfolio import customers, joined, portfolio
+from .portfolio import customers, joined, materialized, portfolio, portfolio_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,9 +197,9 @@ def q_income_limit_points(spark, d):
 from ..operators import recommend  # noqa: E402
 
 
-def client_profiles(spark, d):
+def client_profiles(spark, d, p: DataFrame | None = None):
     """One profile per client: its first account row (the reference's lookup)."""
-    return explore.first_rows(portfolio(spark, d), cols=explore.PROFILE_COLS)
+    return explore.first_rows(p if p is not None else portfolio(spark, d), cols=explore.PROFILE_COLS)
 
 
 def applicant_profiles(spark, d):
@@ -388,7 +388,8 @@ def q_probe_imputation(spark, d):
 
 @query("similar_customers")
 def q_similar_customers(spark, d):
-    return _r6(similar.similar_customers(portfolio(spark, d), client_profiles(spark, d), top_n=5), ["similarity"])
+    p = portfolio_table(spark, d)
+    return _r6(similar.similar_customers(p, client_profiles(spark, d, p), top_n=5), ["similarity"])
 
 
 @query("similar_vectors")
@@ -398,7 +399,8 @@ def q_similar_vectors(spark, d):
 
 @query("recommendation_bundle")
 def q_recommendation_bundle(spark, d):
-    return similar.recommendation_bundle(client_profiles(spark, d), portfolio(spark, d))
+    p = portfolio_table(spark, d)
+    return similar.recommendation_bundle(client_profiles(spark, d, p), p)
 
 
 # ---- C11: SMOTE --------------------------------------------------------------
@@ -408,10 +410,10 @@ from ..operators import smote  # noqa: E402
 
 def fraud_training_frame(spark, d):
     """Standardised model features (11 numerics + dummies) with the fraud label."""
-    df, _ = features.one_hot(portfolio(spark, d))
+    df, _ = features.one_hot(portfolio_table(spark, d))
     cols = features.feature_columns(df)
     z = features.standardize(df.select("Txn_Id", "fraud_flag", *cols), cols)
-    return z, cols
+    return materialized(z), cols
 
 
 @query("smote_counts")

@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import features, models, smote
-from ..session import ensure_checkpoint_dir
-from .portfolio import portfolio
+from .portfolio import materialized, portfolio_table
 
 
 def model_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict]:
-    df, _ = features.one_hot(portfolio(spark, sf_dir))
+    df, _ = features.one_hot(portfolio_table(spark, sf_dir))
     cols = features.feature_columns(df)
     df = features.fill_features(df.select("Txn_Id", "credit_score_band", "fraud_flag", *cols), cols,
                                 "credit_score_band", "Fair")
     stats = features.fit_scaler(df, cols)
     z = features.apply_scaler(df, stats)
-    ensure_checkpoint_dir(spark)
-    return z.checkpoint(), cols, stats
+    return materialized(z), cols, stats
 
 
 def split(df: DataFrame, key_col: str = "row_key") -> tuple[DataFrame, DataFrame]:
@@ -45,8 +43,7 @@ def fraud_sets(spark, sf_dir):
     z, cols, stats = model_frame(spark, sf_dir)
     res = smote.oversample(z.select("Txn_Id", "fraud_flag", *cols), cols, "fraud_flag", "Txn_Id")
     res = res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1)))
-    ensure_checkpoint_dir(spark)
-    res = res.checkpoint()
+    res = materialized(res)
     tr, te = split(res)
     return tr, te, cols, stats
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,3 +53,15 @@ def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     if df.isEmpty():
         raise EmptyInputError(f"{what} is empty")
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint
+    folder (``spark.checkpoint.dir``; a local folder is made only when the
+    session has none, as in tests) and read it back.  Later passes read the
+    written table, and a lost executor does not replay the upstream plan."""
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
