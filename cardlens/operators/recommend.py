@@ -93,8 +93,7 @@ def match_score(p: dict[str, Column], card) -> Column:
     return F.least(_d(100), F.greatest(_d(0), s))
 
 
-def _card_struct(p, pos: int, card) -> Column:
-    score = match_score(p, card)
+def _card_struct(p, pos: int, card, score: Column) -> Column:
     return F.struct(
         (-F.round(score, 9)).alias("neg_score"),
         F.lit(pos).alias("catalog_pos"),
@@ -108,13 +107,25 @@ def _card_struct(p, pos: int, card) -> Column:
     )
 
 
+SCORE_COLS = [f"_card_score_{i + 1}" for i in range(len(CATALOG))]
+
+
+def with_card_scores(df: DataFrame, score_col: str = "credit_score") -> DataFrame:
+    """The five match scores as columns (each evaluated once per row)."""
+    p = profile_inputs(df, score_col)
+    return df.withColumns({c: match_score(p, card) for c, card in zip(SCORE_COLS, CATALOG)})
+
+
 def card_array(df: DataFrame, score_col: str = "credit_score") -> Column:
+    """Per-row array of card structs; ``df`` must come from ``with_card_scores``."""
     p = profile_inputs(df, score_col)
-    return F.array(*[_card_struct(p, i + 1, card) for i, card in enumerate(CATALOG)])
+    return F.array(*[_card_struct(p, i + 1, card, F.col(c))
+                     for i, (c, card) in enumerate(zip(SCORE_COLS, CATALOG))])
 
 
 def card_match_scores(df: DataFrame, key: str = "Client_Num", score_col: str = "credit_score") -> DataFrame:
     """one row per customer x card with eligibility and score."""
+    df = with_card_scores(df, score_col)
     return (df.select(key, F.inline(card_array(df, score_col)))
             .select(key, F.col("catalog_pos").cast("long").alias("catalog_pos"), "card_name",
                     "eligible", "match_score"))
@@ -124,6 +135,7 @@ def recommend_cards(df: DataFrame, top_n: int = 3, key: str = "Client_Num",
                     score_col: str = "credit_score", keep: tuple = ()) -> DataFrame:
     """top-n cards per customer, score descending, ties in catalogue order.
     ``keep`` columns are carried through unchanged."""
+    df = with_card_scores(df, score_col)
     ranked = F.slice(F.sort_array(card_array(df, score_col)), 1, top_n)
     return (df.select(key, *keep, F.posexplode(ranked).alias("pos0", "c"))
             .select(key, *keep, (F.col("pos0") + 1).cast("long").alias("rec_rank"),
