@@ -37,15 +37,24 @@ def credit_sets(spark, sf_dir):
     return tr, te, cols, stats
 
 
-def fraud_sets(spark, sf_dir):
-    """SMOTE before the split, as the reference does; synthetic rows get the
-    negative keys -(synth_index + 1) for the split hash."""
+def fraud_sets(spark, sf_dir, oversample: str = "all"):
+    """``oversample='all'`` (the reference's order): SMOTE before the split,
+    so synthetic rows also reach the test set; they get the negative keys
+    -(synth_index + 1) for the split hash.  ``'train_only'``: split the real
+    rows first and oversample only the training part."""
     z, cols, stats = model_frame(spark, sf_dir)
-    res = smote.oversample(z.select("Txn_Id", "fraud_flag", *cols), cols, "fraud_flag", "Txn_Id")
-    res = res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1)))
-    res = materialized(res)
-    tr, te = split(res)
-    return tr, te, cols, stats
+    base = z.select("Txn_Id", "fraud_flag", *cols)
+    if oversample == "all":
+        res = smote.oversample(base, cols, "fraud_flag", "Txn_Id")
+        res = res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1)))
+        tr, te = split(materialized(res))
+        return tr, te, cols, stats
+    if oversample == "train_only":
+        tr, te = split(base.withColumn("row_key", F.col("Txn_Id")))
+        res = smote.oversample(tr.drop("row_key"), cols, "fraud_flag", "Txn_Id")
+        res = res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1)))
+        return materialized(res), te, cols, stats
+    raise ValueError(oversample)
 
 
 def fit_credit(spark, sf_dir, kind="rf", rounds=100):
@@ -53,6 +62,6 @@ def fit_credit(spark, sf_dir, kind="rf", rounds=100):
     return models.train_credit(tr, cols, kind, rounds=rounds, scaler=stats), te
 
 
-def fit_fraud(spark, sf_dir, kind="rf", rounds=200):
-    tr, te, cols, stats = fraud_sets(spark, sf_dir)
+def fit_fraud(spark, sf_dir, kind="rf", rounds=200, oversample="all"):
+    tr, te, cols, stats = fraud_sets(spark, sf_dir, oversample)
     return models.train_fraud(tr, cols, kind, rounds=rounds, scaler=stats), te

@@ -153,3 +153,30 @@ def test_results_do_not_depend_on_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_customer_csv_and_feature_list(spark):
+    from cardlens.operators import features
+    d = tempfile.mkdtemp(prefix="cardlens-csv-")
+    header = ",".join({"state_cd": "State_cd", "contact": "Contact", "Personal_loan": "Personal_Loan"}.get(f.name, f.name)
+                      for f in schema.CUST_SCHEMA.fields)
+    row = "708082083,24,M,2,Graduate,Single,FL,91750,no,yes,no,cellular,Businessman,202326,3"
+    with open(os.path.join(d, "cust.csv"), "wb") as fh:
+        fh.write(("﻿" + header + "\r\n" + row + "\r\n").encode("utf-8"))
+    df = csv.read_cust_csv(spark, os.path.join(d, "cust.csv"))
+    assert df.columns == [f.name for f in schema.CUST_SCHEMA.fields] and df.first().Income == 202326
+    oh, dummies = features.one_hot(spark.createDataFrame(
+        [("Blue", "F", 1.0), ("Gold", "M", 2.0), ("Silver", "M", 3.0)], "Card_Category string, Gender string, Income double"))
+    assert dummies == ["Card_Category_Gold", "Card_Category_Silver", "Gender_M"]
+    cols = features.feature_columns(oh, numeric=["Income"])
+    assert cols == ["Income", "Card_Category_Gold", "Card_Category_Silver", "Gender_M"]
+
+
+def test_label_order_and_catalog(spark):
+    from cardlens.operators import models, recommend
+    idx = models.label_indexer("band", ["Poor", "Fair", "Good", "Excellent"])
+    df = spark.createDataFrame([("Excellent",), ("Poor",), ("Good",)], "band string")
+    assert [r.label for r in idx.transform(df).collect()] == [3.0, 0.0, 2.0]
+    cat = recommend.card_catalog(spark).orderBy("catalog_pos").collect()
+    assert [c.name for c in cat][:2] == ["Premium Rewards Card", "Cash Back Plus"] and len(cat) == 5
+    assert cat[4].min_income == 75000 and len(cat[0].benefits) == 4
