@@ -65,6 +65,19 @@ def one_hot(df: DataFrame, cols: list[str] = CATEGORICALS, drop_first: bool = Tr
     return df.select("*", *exprs), new_cols
 
 
+def one_hot_vector_stages(cols: list[str] = CATEGORICALS, out_suffix: str = "_vec") -> list:
+    """C7, vector form for ML pipelines: indices in descending alphabetical
+    order and the last index dropped, i.e. the alphabetically first level is
+    the all-zero reference, as in the named form.  Unseen levels raise (a
+    "keep" slot would be the one dropped instead)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    idx = StringIndexer(inputCols=cols, outputCols=[c + "_idx" for c in cols],
+                        stringOrderType="alphabetDesc", handleInvalid="error")
+    enc = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + out_suffix for c in cols],
+                        dropLast=True, handleInvalid="error")
+    return [idx, enc]
+
+
 def feature_columns(df: DataFrame, numeric: list[str] = NUMERIC_FEATURES,
                     categoricals: list[str] = CATEGORICALS) -> list[str]:
     """Numerics, then every derived column whose name contains a

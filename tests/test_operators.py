@@ -180,3 +180,17 @@ def test_label_order_and_catalog(spark):
     cat = recommend.card_catalog(spark).orderBy("catalog_pos").collect()
     assert [c.name for c in cat][:2] == ["Premium Rewards Card", "Cash Back Plus"] and len(cat) == 5
     assert cat[4].min_income == 75000 and len(cat[0].benefits) == 4
+
+
+def test_vector_one_hot_matches_named_form(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from cardlens.operators import features
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "Gender string")
+    named, dummies = features.one_hot(df, ["Gender"])
+    m = Pipeline(stages=features.one_hot_vector_stages(["Gender"])).fit(df)
+    vec = m.transform(df).select(vector_to_array("Gender_vec").alias("v")).collect()
+    # alphabetDesc indices: c=0, b=1, a=2; dropLast removes a
+    got = [sorted(i for i, x in enumerate(r.v) if x == 1.0) for r in vec]
+    want = [[j for j, d in enumerate(["Gender_c", "Gender_b"]) if r[d] == 1] for r in named.collect()]
+    assert got == want and sorted(dummies) == ["Gender_b", "Gender_c"]
