@@ -21,13 +21,19 @@ candidate key (descending or ascending).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The scoring functions below run inside Python workers.  Ship them by
+# value so executors need only numpy and pandas, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUT_SCHEMA = T.StructType([
     T.StructField("probe_key", T.LongType()), T.StructField("cand_key", T.LongType()),
     T.StructField("score", T.DoubleType()), T.StructField("rank_score", T.DoubleType()),
