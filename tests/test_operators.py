@@ -194,3 +194,34 @@ def test_vector_one_hot_matches_named_form(spark):
     got = [sorted(i for i, x in enumerate(r.v) if x == 1.0) for r in vec]
     want = [[j for j, d in enumerate(["Gender_c", "Gender_b"]) if r[d] == 1] for r in named.collect()]
     assert got == want and sorted(dummies) == ["Gender_b", "Gender_c"]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from cardlens.operators import scoring
+    from cardlens.sources import adapter
+    from conftest import SF0001
+    d = tempfile.mkdtemp(prefix="cardlens-bucket-")
+    tables.write_bucketed(adapter.cc_detail(spark, SF0001), "cc_bucketed", "Client_Num", 8, os.path.join(d, "cc"))
+    tables.write_bucketed(adapter.cust_detail(spark, SF0001), "cust_bucketed", "Client_Num", 8, os.path.join(d, "cu"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge plan
+    try:
+        j = scoring.join_profile(spark.table("cc_bucketed"), spark.table("cust_bucketed"))
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 1500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_auc_agrees_with_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 3000)
+    s = rng.random(3000) + 0.5 * y  # continuous: no ties
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label long, score double")
+    ours = metrics.roc_auc(df).first()[0]
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
+    theirs = ev.evaluate(df.withColumn("label", F.col("label").cast("double")))
+    assert abs(ours - theirs) < 1e-9
