@@ -491,3 +491,19 @@ def q_feature_importance(spark, d):
 def q_top_features(spark, d):
     m, _ = training.fit_credit(spark, d, "rf")
     return mdl.top_features(m.feature_importance(spark), 10)
+
+
+@query("fraud_rf_evaluation")
+def q_fraud_rf_evaluation(spark, d):
+    """The reference's evaluate step on a trained model: accuracy, ROC AUC and
+    positive-class precision of the fraud forest on its held-out rows."""
+    m, te = training.fit_fraud(spark, d, "rf")
+    pred = materialized(m.predict(te).select(F.col("fraud_flag").cast("string").alias("label"),
+                                             F.col("fraud_prediction").cast("string").alias("prediction"),
+                                             F.col("fraud_flag").alias("y"), F.col("fraud_probability").alias("score")))
+    acc = metrics.accuracy(pred).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    auc = metrics.roc_auc(pred.select(F.col("y").alias("label"), "score")).select(
+        F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+    prec = metrics.class_precision(metrics.classification_report(pred), "1").select(
+        F.lit("precision_1").alias("metric"), F.col("precision").alias("value"))
+    return _r6(acc.unionByName(auc).unionByName(prec), ["value"])
