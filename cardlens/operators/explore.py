@@ -87,7 +87,8 @@ def band_distribution(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     counts = df.groupBy("credit_score_band").agg(F.count(F.lit(1)).alias("n_rows"))
     dom = _domain(spark, "credit_score_band", rules.BANDS)
-    return (F.broadcast(dom).join(counts, "credit_score_band", "left")
+    # counts has at most one row per band (a fixed domain): broadcast it
+    return (dom.join(F.broadcast(counts), "credit_score_band", "left")
             .select("credit_score_band", F.col("credit_score_band_order").cast("long").alias("band_order"),
                     F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows")))
 
@@ -176,7 +177,7 @@ def age_band_counts(df: DataFrame) -> DataFrame:
         "Age_Group string, age_order int, credit_score_band string, band_order int")
     counts = (with_age_group(df).where(F.col("Age_Group").isNotNull())
               .groupBy("Age_Group", "credit_score_band").agg(F.count(F.lit(1)).alias("n_rows")))
-    return (F.broadcast(grid).join(counts, ["Age_Group", "credit_score_band"], "left")
+    return (grid.join(F.broadcast(counts), ["Age_Group", "credit_score_band"], "left")
             .select("Age_Group", F.col("age_order").cast("long").alias("age_order"),
                     "credit_score_band", F.col("band_order").cast("long").alias("band_order"),
                     F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows")))

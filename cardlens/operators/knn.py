@@ -88,7 +88,7 @@ def _sq_shortlist(pb, cb, kk):
     return approx <= (kth + margin)[:, None]
 
 
-def _local_top_k(metric, probes, pkeys, cands, ckeys, k, largest, key_desc, exclude_self, digits):
+def _local_top_k(metric, probes, pkeys, cands, ckeys, k, largest, key_desc, exclude_self, digits, payload=None):
     out = []
     m = len(ckeys)
     if m == 0:
@@ -121,16 +121,22 @@ def _local_top_k(metric, probes, pkeys, cands, ckeys, k, largest, key_desc, excl
         grp_start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
         keep = ((np.arange(len(rows)) - grp_start) < k) & np.isfinite(rank_key)
         rows, cols = rows[keep], cols[keep]
-        out.append(pd.DataFrame({"probe_key": pk[rows].astype(np.int64), "cand_key": ckeys[cols].astype(np.int64),
-                                 "score": score[keep].astype(np.float64),
-                                 "rank_score": rank_val[keep].astype(np.float64)}))
+        frame = pd.DataFrame({"probe_key": pk[rows].astype(np.int64), "cand_key": ckeys[cols].astype(np.int64),
+                              "score": score[keep].astype(np.float64),
+                              "rank_score": rank_val[keep].astype(np.float64)})
+        if payload is not None:
+            frame["cand_payload"] = payload[cols].astype(np.int64)
+        out.append(frame)
     return out
 
 
 def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_key: str,
                 features: list[str] | str, k: int, metric: str = "cosine", key_desc: bool = True,
-                exclude_self: bool = False, round_digits: int = 9, max_probe_rows: int = 20000) -> DataFrame:
-    """(probe_key, nn_rank, cand_key, score) for the k best candidates per probe.
+                exclude_self: bool = False, round_digits: int = 9, max_probe_rows: int = 20000,
+                cand_payload: str | None = None) -> DataFrame:
+    """(probe_key, nn_rank, cand_key, score[, cand_payload]) for the k best
+    candidates per probe.  ``cand_payload`` names an integer candidate column
+    carried into the output (saves a join back to the candidate table).
 
     ``metric='cosine'``: largest similarity first; ``'sqeuclidean'``:
     smallest squared distance first.  ``features`` is a list of numeric
@@ -147,7 +153,10 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
     # Spread the scoring over every core: an explicit partition count is
     # kept by AQE (a small table would otherwise coalesce into one task).
     n_tasks = max(spark.sparkContext.defaultParallelism * 2, 1)
-    cand = candidates.select(F.col(cand_key).cast("long").alias("_ck"), *fcols).repartition(n_tasks)
+    extra = [F.col(cand_payload).cast("long").alias("_payload")] if cand_payload else []
+    cand = candidates.select(F.col(cand_key).cast("long").alias("_ck"), *extra, *fcols).repartition(n_tasks)
+    schema = (T.StructType(OUT_SCHEMA.fields + [T.StructField("cand_payload", T.LongType())])
+              if cand_payload else OUT_SCHEMA)
     parts = []
     for chunk in range(n_chunks):
         part = pr if n_chunks == 1 else pr.where(F.pmod(F.xxhash64("_pk"), F.lit(n_chunks)) == chunk)
@@ -166,11 +175,12 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
                     continue
                 if metric == "cosine":
                     cm = _unit(cm)
+                pay = pdf["_payload"].to_numpy(dtype=np.int64) if "_payload" in pdf else None
                 for frame in _local_top_k(metric, pmat, pkeys, cm, pdf["_ck"].to_numpy(dtype=np.int64), k,
-                                          largest, key_desc, exclude_self, round_digits):
+                                          largest, key_desc, exclude_self, round_digits, pay):
                     yield frame
 
-        parts.append(cand.mapInPandas(run, OUT_SCHEMA))
+        parts.append(cand.mapInPandas(run, schema))
     partial = parts[0]
     for p in parts[1:]:
         partial = partial.unionByName(p)

@@ -69,3 +69,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def size_shuffle_partitions(spark: SparkSession, shuffle_bytes: int, target_bytes: int = 256 << 20,
+                            minimum: int | None = None) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so that each reducer gets about
+    ``target_bytes`` of the largest expected shuffle (so it fits in executor
+    memory without spilling); never fewer than the cluster's cores.  AQE then
+    merges partitions that turn out small."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(minimum or cores, -(-int(shuffle_bytes) // int(target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
