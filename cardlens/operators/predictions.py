@@ -57,3 +57,22 @@ def score_requests(requests: DataFrame, scored: DataFrame, key: str = "Client_Nu
 def probability_rows(df: DataFrame, key: str, map_col: str = "all_probabilities") -> DataFrame:
     """One row per class with its probability."""
     return df.select(key, F.explode(F.col(map_col)).alias("class", "probability"))
+
+
+def score_fraud_requests(requests: DataFrame, scored: DataFrame, key: str = "Client_Num",
+                         model_ready: bool = True) -> DataFrame:
+    """E9 for the fraud model: unknown customers (or no model) get error
+    text, flag 0, probability 0 and risk level 'Unknown'."""
+    if not model_ready:
+        return requests.select(key, F.lit("Model not ready").alias("error"), F.lit(0).cast("long").alias("fraud_flag"),
+                               F.lit(0.0).alias("fraud_probability"), F.lit("Unknown").alias("risk_level"))
+    s = scored.select(key, F.col("fraud_prediction").alias("_flag"), F.col("fraud_probability").alias("_p"),
+                      F.col("risk_level").alias("_risk"))
+    j = requests.select(key).join(s, key, "left")
+    miss = F.col("_p").isNull()
+    return j.select(
+        key,
+        F.when(miss, F.lit("Customer not found")).alias("error"),
+        F.when(miss, F.lit(0)).otherwise(F.col("_flag")).cast("long").alias("fraud_flag"),
+        F.when(miss, F.lit(0.0)).otherwise(F.col("_p")).alias("fraud_probability"),
+        F.when(miss, F.lit("Unknown")).otherwise(F.col("_risk")).alias("risk_level"))

@@ -507,3 +507,14 @@ JOIN mino x ON x.j = syn.i % cnt.m
 JOIN nn ON nn.pk = x.Txn_Id AND nn.r = 1 + (syn.i // cnt.m) % 5
 JOIN mino b ON b.Txn_Id = nn.ck
 """)
+
+sql("fraud_requests", CATALOG + """
+, fs AS (SELECT *, (Avg_Utilization_Ratio + CAST((Txn_Id * 13) % 100 AS DOUBLE) / CAST(100 AS DOUBLE))
+                   / CAST(2 AS DOUBLE) AS p FROM firsts)
+SELECT c.Client_Num, CASE WHEN f.p IS NULL THEN 'Customer not found' END AS error,
+       CAST(CASE WHEN f.p IS NULL THEN 0 WHEN f.p > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS fraud_flag,
+       ROUND(COALESCE(f.p, 0), 6) AS fraud_probability,
+       CASE WHEN f.p IS NULL THEN 'Unknown' WHEN f.p > 0.7 THEN 'High' WHEN f.p > 0.3 THEN 'Medium' ELSE 'Low' END
+         AS risk_level
+FROM cust_detail c LEFT JOIN fs f ON c.Client_Num = f.Client_Num
+""")

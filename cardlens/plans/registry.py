@@ -320,6 +320,13 @@ def q_score_requests(spark, d):
                           F.size("all_probabilities").cast("long").alias("n_classes")), ["probability"])
 
 
+@query("fraud_requests")
+def q_fraud_requests(spark, d):
+    scored = predictions.fraud_output(evaluation.fraud_scores(client_profiles(spark, d)))
+    out = predictions.score_fraud_requests(customers(spark, d), scored)
+    return _r6(out, ["fraud_probability"])
+
+
 @query("accuracy")
 def q_accuracy(spark, d):
     return _r6(_per_task(spark, d, lambda t: metrics.accuracy(t)), ["accuracy"])

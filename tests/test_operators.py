@@ -225,3 +225,15 @@ def test_auc_agrees_with_mllib_evaluator(spark):
                                        numBins=0)
     theirs = ev.evaluate(df.withColumn("label", F.col("label").cast("double")))
     assert abs(ours - theirs) < 1e-9
+
+
+def test_fraud_request_defaults(spark):
+    req = spark.createDataFrame([(1,), (2,)], "Client_Num long")
+    scored = spark.createDataFrame([(1, 1, 0.8, "High")],
+                                   "Client_Num long, fraud_prediction long, fraud_probability double, risk_level string")
+    out = {r.Client_Num: r for r in predictions.score_fraud_requests(req, scored).collect()}
+    assert (out[1].error, out[1].fraud_flag, out[1].risk_level) == (None, 1, "High")
+    assert (out[2].error, out[2].fraud_flag, out[2].fraud_probability, out[2].risk_level) == \
+        ("Customer not found", 0, 0.0, "Unknown")
+    nm = predictions.score_fraud_requests(req, scored, model_ready=False).collect()
+    assert {r.error for r in nm} == {"Model not ready"}
