@@ -37,23 +37,26 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
+CREDIT_RULES = [
+    ("Income > 50000", 10),
+    ("Total_Revolving_Bal < 1000", 10),
+    ("Avg_Utilization_Ratio < 0.3D", 10),
+    ("Delinquent_Acc = 0", 20),
+    ("House_Owner = 'yes'", 5),
+    ("Personal_loan = 'no'", 5),
+    ("Customer_Age > 40", 5),
+    ("Cust_Satisfaction_Score >= 4", 5),
+]
+
+
+def credit_score_sql() -> str:
+    # a null comparison adds nothing, as a boolean mask would
+    return "CAST(" + " + ".join(f"(CASE WHEN {p} THEN {k} ELSE 0 END)" for p, k in CREDIT_RULES) + " AS BIGINT)"
+
+
 def credit_score() -> Column:
-    """Additive score, 0..70."""
-    pts = [
-        (c("Income") > 50000, 10),
-        (c("Total_Revolving_Bal") < 1000, 10),
-        (c("Avg_Utilization_Ratio") < 0.3, 10),
-        (c("Delinquent_Acc") == 0, 20),
-        (c("House_Owner") == "yes", 5),
-        (c("Personal_loan") == "no", 5),
-        (c("Customer_Age") > 40, 5),
-        (c("Cust_Satisfaction_Score") >= 4, 5),
-    ]
-    total = F.lit(0)
-    for pred, k in pts:
-        # a null comparison adds nothing, as a boolean mask would
-        total = total + F.when(pred, F.lit(k)).otherwise(F.lit(0))
-    return total.cast("long")
+    """Additive score, 0..70 (one SQL expression)."""
+    return F.expr(credit_score_sql())
 
 
 def right_closed_bins(x: Column, edges: list, labels: list[str], default: str | None) -> Column:
@@ -65,19 +68,30 @@ def right_closed_bins(x: Column, edges: list, labels: list[str], default: str |
     return expr.otherwise(F.lit(default) if default is not None else F.lit(None).cast("string"))
 
 
-def score_band(score: Column) -> Column:
-    """Right-closed bands; a score in no bin (0) is Fair."""
+def bins_sql(x: str, edges: list, labels: list[str], default: str | None) -> str:
+    arms = " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN '{lab}'"
+                    for lo, hi, lab in zip(edges[:-1], edges[1:], labels))
+    return f"CASE {arms} ELSE " + (f"'{default}'" if default is not None else "CAST(NULL AS STRING)") + " END"
+
+
+def score_band(score: Column | None = None) -> Column:
+    """Right-closed bands; a score in no bin (0) is Fair.  Without an
+    argument the band is computed from the score rules directly."""
+    if score is None:
+        return F.expr(bins_sql("(" + credit_score_sql() + ")", BAND_EDGES, BANDS, BAND_DEFAULT))
     return right_closed_bins(score, BAND_EDGES, BANDS, BAND_DEFAULT)
 
 
+FRAUD_RULES = [
+    "(Total_Trans_Amt > 10000 AND Total_Trans_Ct < 20)",
+    "Avg_Utilization_Ratio > 0.9D",
+    "Total_Trans_Amt > Income * 3",
+]
+
+
 def fraud_flag() -> Column:
     """OR of the three suspicious-pattern rules."""
-    hit = (
-        ((c("Total_Trans_Amt") > 10000) & (c("Total_Trans_Ct") < 20))
-        | (c("Avg_Utilization_Ratio") > 0.9)
-        | (c("Total_Trans_Amt") > c("Income") * 3)
-    )
-    return F.when(hit, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return F.expr("CAST(CASE WHEN " + " OR ".join(FRAUD_RULES) + " THEN 1 ELSE 0 END AS BIGINT)")
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

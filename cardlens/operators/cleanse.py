@@ -63,11 +63,9 @@ def fill_mode(df: DataFrame, default: str = "Unknown", skip=("Week_Start_Date",)
     """Null -> column mode; a column with no values -> 'Unknown'."""
     cols = mode_columns(df, skip)
     modes = column_modes(df, cols)
-    return df.select(*[
-        F.coalesce(F.col(c), F.lit(modes[c] if modes[c] is not None else default)).alias(c)
-        if c in modes else F.col(c)
-        for c in df.columns
-    ])
+    fills = {c: (m if m is not None else default) for c, m in modes.items()
+             if isinstance(df.schema[c].dataType, T.StringType)}
+    return df.fillna(fills) if fills else df
 
 
 def fill_default(df: DataFrame, col: str = "Personal_loan", value: str = "no") -> DataFrame:

@@ -18,12 +18,13 @@ def join_profile(cc: DataFrame, cust: DataFrame) -> DataFrame:
 
 
 def add_scores(df: DataFrame) -> DataFrame:
-    """C1 score, C2 band, C3 fraud flag, C4-C6 ratios, in one projection."""
-    return (df
-            .withColumn("credit_score", rules.credit_score())
-            .withColumn("credit_score_band", rules.score_band(F.col("credit_score")))
-            .withColumn("fraud_flag", rules.fraud_flag())
-            .withColumn("Trans_Avg", rules.safe_ratio(F.col("Total_Trans_Amt"), F.col("Total_Trans_Ct")))
-            .withColumn("Income_to_Credit_Ratio", rules.safe_ratio(F.col("Income"), F.col("Credit_Limit")))
-            .withColumn("Revolving_to_Credit_Ratio",
-                        rules.safe_ratio(F.col("Total_Revolving_Bal"), F.col("Credit_Limit"))))
+    """C1 score, C2 band, C3 fraud flag, C4-C6 ratios, in one projection
+    (the band repeats the score expression; codegen evaluates it once)."""
+    return df.withColumns({
+        "credit_score": rules.credit_score(),
+        "credit_score_band": rules.score_band(),
+        "fraud_flag": rules.fraud_flag(),
+        "Trans_Avg": rules.safe_ratio(F.col("Total_Trans_Amt"), F.col("Total_Trans_Ct")),
+        "Income_to_Credit_Ratio": rules.safe_ratio(F.col("Income"), F.col("Credit_Limit")),
+        "Revolving_to_Credit_Ratio": rules.safe_ratio(F.col("Total_Revolving_Bal"), F.col("Credit_Limit")),
+    })

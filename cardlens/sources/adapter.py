@@ -13,6 +13,8 @@ size-checked broadcast picks it up from statistics.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,48 +23,59 @@ from pyspark.sql import functions as F
 EXPENSE_TYPES = ["Bills", "Entertainment", "Grocery", "Fuel", "Food", "Travel"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_HANDLES: dict = {}
 
 
-def _pick(k: Column, mod: int, labels: list[str]) -> Column:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table handle.  The handle (file listing and footer schema, no
+    data) is reused within a session while the path's modification time is
+    unchanged; every query still scans the files itself."""
+    path = f"{sf_dir}/{name}.parquet"
+    try:
+        stamp = os.stat(path).st_mtime_ns
+    except OSError:  # not a local path (object store): no reuse
+        return spark.read.parquet(path)
+    key = (id(spark), path)
+    hit = _HANDLES.get(key)
+    if hit is None or hit[0] != stamp:
+        hit = (stamp, spark.read.parquet(path))
+        _HANDLES[key] = hit
+    return hit[1]
+
+
+# The derived columns are written as Spark SQL expressions: one parsed
+# expression per column keeps plan construction cheap on the driver.
+def _case(k: str, mod: int, labels: list[str]) -> str:
     """labels[k mod len] as a CASE expression."""
-    r = k % mod
-    expr = F.when(r == 0, F.lit(labels[0]))
-    for i, lab in enumerate(labels[1:], start=1):
-        expr = expr.when(r == i, F.lit(lab))
-    return expr
-
-
-def yes_no(cond: Column) -> Column:
-    return F.when(cond, F.lit("yes")).otherwise(F.lit("no"))
+    arms = " ".join(f"WHEN {k} % {mod} = {i} THEN '{lab}'" for i, lab in enumerate(labels))
+    return f"CASE {arms} END"
+
+
+CUST_EXPRS = [
+    "c_custkey AS Client_Num",
+    "18 + (c_custkey * 7) % 60 AS Customer_Age",
+    "CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS Gender",
+    "c_custkey % 6 AS Dependent_Count",
+    "CASE WHEN c_custkey % 11 = 0 THEN CAST(NULL AS STRING) ELSE "
+    + _case("c_custkey", 3, ["Graduate", "High School", "Doctorate"]) + " END AS Education_Level",
+    "CASE WHEN c_custkey % 4 = 0 THEN 'Unknown' WHEN c_custkey % 4 = 1 THEN 'Single' ELSE 'Married' END"
+    " AS Marital_Status",
+    "n_name AS state_cd",
+    "CAST(n_nationkey AS STRING) AS Zipcode",
+    "CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS Car_Owner",
+    "CASE WHEN c_custkey % 3 = 0 THEN 'yes' ELSE 'no' END AS House_Owner",
+    "CASE WHEN c_custkey % 5 = 0 THEN 'yes' ELSE 'no' END AS Personal_loan",
+    _case("c_custkey", 3, ["cellular", "telephone", "unknown"]) + " AS contact",
+    "c_mktsegment AS Customer_Job",
+    "CAST(FLOOR((c_acctbal + 1000) * 15) AS BIGINT) AS Income",
+    "CAST(1 + c_custkey % 5 AS BIGINT) AS Cust_Satisfaction_Score",
+]
 
 
 def cust_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    k = F.col("c_custkey")
-    return (
-        c.join(n, c.c_nationkey == n.n_nationkey, "inner")
-        .select(
-            k.alias("Client_Num"),
-            (F.lit(18) + (k * 7) % 60).alias("Customer_Age"),
-            F.when(k % 2 == 0, "F").otherwise("M").alias("Gender"),
-            (k % 6).alias("Dependent_Count"),
-            F.when(k % 11 == 0, F.lit(None).cast("string"))
-            .otherwise(_pick(k, 3, ["Graduate", "High School", "Doctorate"])).alias("Education_Level"),
-            F.when(k % 4 == 0, "Unknown").when(k % 4 == 1, "Single").otherwise("Married").alias("Marital_Status"),
-            F.col("n_name").alias("state_cd"),
-            F.col("n_nationkey").cast("string").alias("Zipcode"),
-            yes_no(k % 2 == 0).alias("Car_Owner"),
-            yes_no(k % 3 == 0).alias("House_Owner"),
-            yes_no(k % 5 == 0).alias("Personal_loan"),
-            _pick(k, 3, ["cellular", "telephone", "unknown"]).alias("contact"),
-            F.col("c_mktsegment").alias("Customer_Job"),
-            F.floor((F.col("c_acctbal") + 1000) * 15).cast("long").alias("Income"),
-            (F.lit(1) + k % 5).cast("long").alias("Cust_Satisfaction_Score"),
-        )
-    )
+    return c.join(n, c.c_nationkey == n.n_nationkey, "inner").selectExpr(*CUST_EXPRS)
 
 
 def week_start(ts: Column) -> Column:
@@ -71,39 +84,39 @@ def week_start(ts: Column) -> Column:
     return F.date_sub(d, (F.dayofweek(d) + 5) % 7)
 
 
+CC_EXPRS = [
+    "o_orderkey AS Txn_Id",
+    "o_custkey AS Client_Num",
+    "o_orderpriority AS Card_Category",
+    "95 + (o_orderkey % 5) * 100 AS Annual_Fees",
+    "CAST(CASE WHEN o_orderkey % 7 < 4 THEN 1 ELSE 0 END AS BIGINT) AS Activation_30_Days",
+    "41 + (o_orderkey * 11) % 132 AS Customer_Acq_Cost",
+    "_ws AS Week_Start_Date",
+    "concat('Week-', CAST(weekofyear(_ws) AS STRING)) AS Week_Num",
+    "concat('Q', CAST(quarter(_ws) AS STRING)) AS Qtr",
+    "CAST(year(_ws) AS BIGINT) AS current_year",
+    "CASE WHEN o_orderkey % 97 = 0 THEN 0.0D ELSE CAST(1000 + (o_orderkey * 37) % 34000 AS DOUBLE) END"
+    " AS Credit_Limit",
+    "CASE WHEN o_orderkey % 53 = 0 THEN CAST(NULL AS BIGINT) ELSE (o_orderkey * 13) % 2518 END"
+    " AS Total_Revolving_Bal",
+    "CAST(FLOOR(o_totalprice / 10) AS BIGINT) AS Total_Trans_Amt",
+    "CAST(coalesce(_qty, 0.0D) AS BIGINT) AS Total_Trans_Ct",
+    "CAST((o_orderkey * 29) % 1000 AS DOUBLE) / 1000.0D AS Avg_Utilization_Ratio",
+    "o_orderstatus AS Use_Chip",
+    _case("o_orderkey", 6, EXPENSE_TYPES) + " AS Exp_Type",
+    "CAST((o_orderkey * 17) % 5000 AS DOUBLE) / 10.0D AS Interest_Earned",
+    "CAST(CASE WHEN o_orderkey % 18 = 0 THEN 1 ELSE 0 END AS BIGINT) AS Delinquent_Acc",
+]
+
+
 def cc_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     qty = (table(spark, sf_dir, "lineitem")
            .groupBy("l_orderkey").agg(F.sum("l_quantity").alias("_qty")))
-    k = F.col("o_orderkey")
-    ws = F.col("_ws")
-    return (
-        o.join(qty, o.o_orderkey == qty.l_orderkey, "left")
-        .withColumn("_ws", week_start(F.col("o_orderdate")))
-        .select(
-            k.alias("Txn_Id"),
-            F.col("o_custkey").alias("Client_Num"),
-            F.col("o_orderpriority").alias("Card_Category"),
-            (F.lit(95) + (k % 5) * 100).alias("Annual_Fees"),
-            F.when(k % 7 < 4, 1).otherwise(0).cast("long").alias("Activation_30_Days"),
-            (F.lit(41) + (k * 11) % 132).alias("Customer_Acq_Cost"),
-            ws.alias("Week_Start_Date"),
-            F.concat(F.lit("Week-"), F.weekofyear(ws).cast("string")).alias("Week_Num"),
-            F.concat(F.lit("Q"), F.quarter(ws).cast("string")).alias("Qtr"),
-            F.year(ws).cast("long").alias("current_year"),
-            F.when(k % 97 == 0, F.lit(0.0))
-            .otherwise((F.lit(1000) + (k * 37) % 34000).cast("double")).alias("Credit_Limit"),
-            F.when(k % 53 == 0, F.lit(None).cast("long")).otherwise((k * 13) % 2518).alias("Total_Revolving_Bal"),
-            F.floor(F.col("o_totalprice") / 10).cast("long").alias("Total_Trans_Amt"),
-            F.coalesce(F.col("_qty"), F.lit(0.0)).cast("long").alias("Total_Trans_Ct"),
-            (((k * 29) % 1000).cast("double") / F.lit(1000.0)).alias("Avg_Utilization_Ratio"),
-            F.col("o_orderstatus").alias("Use_Chip"),
-            _pick(k, 6, EXPENSE_TYPES).alias("Exp_Type"),
-            (((k * 17) % 5000).cast("double") / F.lit(10.0)).alias("Interest_Earned"),
-            F.when(k % 18 == 0, 1).otherwise(0).cast("long").alias("Delinquent_Acc"),
-        )
-    )
+    return (o.join(qty, o.o_orderkey == qty.l_orderkey, "left")
+            .withColumn("_ws", week_start(F.col("o_orderdate")))
+            .selectExpr(*CC_EXPRS))
 
 
 def raw_cc_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
