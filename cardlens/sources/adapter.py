@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         stamp = os.stat(path).st_mtime_ns
     except OSError:  # not a local path (object store): no reuse
         return spark.read.parquet(path)
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, id(spark), path)
     hit = _HANDLES.get(key)
     if hit is None or hit[0] != stamp:
         hit = (stamp, spark.read.parquet(path))
