@@ -33,10 +33,6 @@ TIER_EXCELLENT, TIER_GOOD = 80, 60
 SEGMENT_DEFAULT_INCOME, SEGMENT_DEFAULT_SCORE = 0, 650
 
 
-def c(name: str) -> Column:
-    return F.col(name)
-
-
 CREDIT_RULES = [
     ("Income > 50000", 10),
     ("Total_Revolving_Bal < 1000", 10),
