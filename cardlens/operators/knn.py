@@ -66,49 +66,58 @@ def _exact_sq(pb: np.ndarray, cb: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _scores(metric: str, pb: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    if metric == "cosine":
-        return pb @ cb.T  # rows already unit length (zero vectors stay zero)
-    return _exact_sq(pb[:, None, :], cb[None, :, :])
-
-
-def _sq_shortlist(pb, cb, kk):
-    """BLAS screen for squared distances: |p|^2 + |c|^2 - 2 p.c, then a
-    shortlist holding every candidate that could be within the k best
-    after exact recomputation (the margin covers 9-digit rounding and the
-    screen's floating-point error, bounded per probe row)."""
-    pn = np.einsum("ij,ij->i", pb, pb)
-    cn = np.einsum("ij,ij->i", cb, cb)
-    approx = pb @ cb.T
-    approx *= -2.0
-    approx += cn[None, :]
-    approx += pn[:, None]
-    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-    margin = 4e-9 + 1e-11 * (pn + cn.max() + 1.0)
-    return approx <= (kth + margin)[:, None]
-
-
-def _local_top_k(metric, probes, pkeys, cands, ckeys, k, largest, key_desc, exclude_self, digits, payload=None):
+F32_EPS = float(np.finfo(np.float32).eps)
+
+
+def _f32_bound(dims: int) -> float:
+    """Bound on |float32 dot - exact dot| per unit of |p||c| (inputs rounded
+    to float32, then a d-term sum), with a factor-2 safety margin."""
+    return 2.0 * (dims + 2) * F32_EPS
+
+
+def _sq_shortlist(pb32, cb32, pn, cn, kk):
+    """float32 screen for squared distances: |p|^2 + |c|^2 - 2 p.c, then a
+    shortlist holding every candidate that could be within the k best after
+    exact float64 recomputation.  The margin covers 9-digit rounding plus the
+    screen's error, bounded per probe row by gamma * (|p| + max|c|)^2."""
+    approx = pb32 @ cb32.T
+    approx *= np.float32(-2.0)
+    approx += cn.astype(np.float32)[None, :]
+    approx += pn.astype(np.float32)[:, None]
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
+    g = _f32_bound(pb32.shape[1])
+    margin = 4e-9 + 2.0 * g * (np.sqrt(pn) + np.sqrt(cn.max())) ** 2 + 1e-30
+    return approx <= (kth + margin).astype(np.float32)[:, None]
+
+
+def _local_top_k(metric, probes, probes32, pkeys, cands, ckeys, k, largest, key_desc, exclude_self, digits,
+                 payload=None):
     out = []
     m = len(ckeys)
     if m == 0:
         return out
+    cands32 = cands.astype(np.float32)
+    pn_all = np.einsum("ij,ij->i", probes, probes)
+    cn = np.einsum("ij,ij->i", cands, cands)
     step = max(1, CELL_BUDGET // max(m, 1))
     for s in range(0, len(pkeys), step):
-        pb, pk = probes[s:s + step], pkeys[s:s + step]
+        pb, pb32, pk = probes[s:s + step], probes32[s:s + step], pkeys[s:s + step]
         kk = min(k + (1 if exclude_self else 0), m)
         if metric == "cosine":
-            sc = pb @ cands.T
+            # float32 screen on unit vectors, exact float64 score on the shortlist
+            sc = pb32 @ cands32.T
             if exclude_self:
                 sc[pk[:, None] == ckeys[None, :]] = -np.inf
-            # the kk-th largest raw score; anything that can round to it or above stays
-            kth = np.partition(sc, m - kk, axis=1)[:, m - kk]
-            rows, cols = np.nonzero(sc >= (kth - 2.0 * 10.0 ** -digits)[:, None])
-            score = sc[rows, cols]
+            kth = np.partition(sc, m - kk, axis=1)[:, m - kk].astype(np.float64)
+            tol = 2.0 * _f32_bound(pb.shape[1]) + 2.0 * 10.0 ** -digits
+            rows, cols = np.nonzero(sc >= (kth - tol).astype(np.float32)[:, None])
+            score = np.einsum("ij,ij->i", pb[rows], cands[cols])
+            if exclude_self:
+                score = np.where(pk[rows] == ckeys[cols], -np.inf, score)
             rank_val = np.round(score, digits)
             rank_key = -rank_val
         else:
-            rows, cols = np.nonzero(_sq_shortlist(pb, cands, kk))
+            rows, cols = np.nonzero(_sq_shortlist(pb32, cands32, pn_all[s:s + step], cn, kk))
             score = _exact_sq(pb[rows], cands[cols])
             rank_val = np.round(score, digits)
             if exclude_self:
@@ -169,6 +178,7 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
 
         def run(batches, bc=bc, feats=feats):
             pmat, pkeys = bc.value
+            pmat32 = pmat.astype(np.float32)
             for pdf in batches:
                 cm = _matrix(pdf, feats)
                 if len(cm) == 0 or len(pkeys) == 0:
@@ -176,7 +186,7 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
                 if metric == "cosine":
                     cm = _unit(cm)
                 pay = pdf["_payload"].to_numpy(dtype=np.int64) if "_payload" in pdf else None
-                for frame in _local_top_k(metric, pmat, pkeys, cm, pdf["_ck"].to_numpy(dtype=np.int64), k,
+                for frame in _local_top_k(metric, pmat, pmat32, pkeys, cm, pdf["_ck"].to_numpy(dtype=np.int64), k,
                                           largest, key_desc, exclude_self, round_digits, pay):
                     yield frame
 

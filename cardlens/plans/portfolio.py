@@ -32,5 +32,10 @@ def materialized(df: DataFrame) -> DataFrame:
     return tables.materialize(df)
 
 
-def portfolio_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(portfolio(spark, sf_dir))
+def portfolio_table(spark: SparkSession, sf_dir: str, cols: list[str] | None = None) -> DataFrame:
+    """The portfolio written once for multi-pass queries; ``cols`` limits the
+    written table to the columns the query reads."""
+    p = portfolio(spark, sf_dir)
+    if cols:
+        p = p.select(*dict.fromkeys(cols))
+    return materialized(p)

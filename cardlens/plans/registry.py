@@ -393,9 +393,12 @@ def q_probe_imputation(spark, d):
     return _r6(probes.select("Client_Num", *[F.col(c).cast("double").alias(c) for c in stats]), list(stats))
 
 
+SIMILARITY_COLS = ["Client_Num", *explore.PROFILE_COLS]
+
+
 @query("similar_customers")
 def q_similar_customers(spark, d):
-    p = portfolio_table(spark, d)
+    p = portfolio_table(spark, d, SIMILARITY_COLS)
     return _r6(similar.similar_customers(p, client_profiles(spark, d, p), top_n=5), ["similarity"])
 
 
@@ -406,7 +409,7 @@ def q_similar_vectors(spark, d):
 
 @query("recommendation_bundle")
 def q_recommendation_bundle(spark, d):
-    p = portfolio_table(spark, d)
+    p = portfolio_table(spark, d, SIMILARITY_COLS)
     return similar.recommendation_bundle(client_profiles(spark, d, p), p)
 
 
@@ -417,7 +420,7 @@ from ..operators import smote  # noqa: E402
 
 def fraud_training_frame(spark, d):
     """Standardised model features (11 numerics + dummies) with the fraud label."""
-    df, _ = features.one_hot(portfolio_table(spark, d))
+    df, _ = features.one_hot(portfolio_table(spark, d, training.MODEL_INPUT_COLS))
     cols = features.feature_columns(df)
     z = features.standardize(df.select("Txn_Id", "fraud_flag", *cols), cols)
     return materialized(z), cols

@@ -15,8 +15,12 @@ from ..operators import features, models, smote
 from .portfolio import materialized, portfolio_table
 
 
+MODEL_INPUT_COLS = ["Txn_Id", "credit_score_band", "fraud_flag", *features.NUMERIC_FEATURES,
+                    *features.CATEGORICALS]
+
+
 def model_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict]:
-    df, _ = features.one_hot(portfolio_table(spark, sf_dir))
+    df, _ = features.one_hot(portfolio_table(spark, sf_dir, MODEL_INPUT_COLS))
     cols = features.feature_columns(df)
     df = features.fill_features(df.select("Txn_Id", "credit_score_band", "fraud_flag", *cols), cols,
                                 "credit_score_band", "Fair")
