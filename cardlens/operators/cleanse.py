@@ -34,9 +34,11 @@ def fill_numeric(df: DataFrame, value=0) -> DataFrame:
 
 
 def mode_columns(df: DataFrame, skip=("Week_Start_Date",)) -> list[str]:
-    """Non-numeric columns that B3 fills (dates/timestamps excluded)."""
+    """Non-numeric columns that B3 fills (dates/timestamps excluded).  A
+    column the schema marks non-nullable cannot hold a null, so filling it is
+    a no-op and its mode is not computed."""
     return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.StringType, T.BooleanType)) and f.name not in skip]
+            if isinstance(f.dataType, (T.StringType, T.BooleanType)) and f.name not in skip and f.nullable]
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict:
