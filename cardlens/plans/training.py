@@ -19,12 +19,17 @@ MODEL_INPUT_COLS = ["Txn_Id", "credit_score_band", "fraud_flag", *features.NUMER
                     *features.CATEGORICALS]
 
 
-def model_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict]:
+def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[DataFrame, list[str], dict]:
+    """``fit_on='all'`` fits the scaler on every row before the split (the
+    reference's order); ``'train'`` fits it on the training rows only."""
     df, _ = features.one_hot(portfolio_table(spark, sf_dir, MODEL_INPUT_COLS))
     cols = features.feature_columns(df)
     df = features.fill_features(df.select("Txn_Id", "credit_score_band", "fraud_flag", *cols), cols,
                                 "credit_score_band", "Fair")
-    stats = features.fit_scaler(df, cols)
+    if fit_on not in ("all", "train"):
+        raise ValueError(fit_on)
+    fit_rows = df if fit_on == "all" else df.where(hashing.split_label(F.col("Txn_Id")) == "train")
+    stats = features.fit_scaler(fit_rows, cols)
     z = features.apply_scaler(df, stats)
     return materialized(z), cols, stats
 
@@ -34,8 +39,8 @@ def split(df: DataFrame, key_col: str = "row_key") -> tuple[DataFrame, DataFrame
     return df.where(lab == "train"), df.where(lab == "test")
 
 
-def credit_sets(spark, sf_dir):
-    z, cols, stats = model_frame(spark, sf_dir)
+def credit_sets(spark, sf_dir, fit_on: str = "all"):
+    z, cols, stats = model_frame(spark, sf_dir, fit_on)
     z = z.withColumn("row_key", F.col("Txn_Id"))
     tr, te = split(z)
     return tr, te, cols, stats
@@ -61,8 +66,8 @@ def fraud_sets(spark, sf_dir, oversample: str = "all"):
     raise ValueError(oversample)
 
 
-def fit_credit(spark, sf_dir, kind="rf", rounds=100):
-    tr, te, cols, stats = credit_sets(spark, sf_dir)
+def fit_credit(spark, sf_dir, kind="rf", rounds=100, fit_on="all"):
+    tr, te, cols, stats = credit_sets(spark, sf_dir, fit_on)
     return models.train_credit(tr, cols, kind, rounds=rounds, scaler=stats), te
 
 

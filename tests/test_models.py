@@ -35,3 +35,12 @@ def test_fraud_gbt_small_and_missing_features(spark):
         raise AssertionError("expected MissingFeatures")
     except models.MissingFeatures as e:
         assert m.features[0] in str(e)
+
+
+def test_scaler_fit_on_train_only(spark):
+    tr_all, _, cols, stats_all = training.credit_sets(spark, SF0001, "all")
+    tr, te, cols2, stats_tr = training.credit_sets(spark, SF0001, "train")
+    assert cols == cols2 and stats_all["Income"] != stats_tr["Income"]
+    # fitted on the training rows: their standardised Income has mean ~0
+    m = tr.agg(F.avg("Income")).first()[0]
+    assert abs(m) < 1e-9
