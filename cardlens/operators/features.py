@@ -121,8 +121,10 @@ def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
 
 
 def class_weights(df: DataFrame, label: str = "fraud_flag") -> DataFrame:
-    """Balanced weight n / (k * n_c) per class and scale_pos_weight n0 / n1."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Balanced weight n / (k * n_c) per class and scale_pos_weight n0 / n1.
+    The per-class counts are written once; the totals and the result read them."""
+    from ..sources.tables import materialize
+    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows")))
     rows = counts.collect()  # one row per class
     total, k = sum(r["n_rows"] for r in rows), len(rows)
     by = {r[label]: r["n_rows"] for r in rows}
