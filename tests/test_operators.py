@@ -237,3 +237,15 @@ def test_fraud_request_defaults(spark):
         ("Customer not found", 0, 0.0, "Unknown")
     nm = predictions.score_fraud_requests(req, scored, model_ready=False).collect()
     assert {r.error for r in nm} == {"Model not ready"}
+
+
+def test_shuffle_partition_sizing(spark):
+    from cardlens.session import size_shuffle_partitions
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert size_shuffle_partitions(spark, 10 << 20) == cores            # small: one per core
+        assert size_shuffle_partitions(spark, 100 << 40) == 409600          # 100 TiB / 256 MiB
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "409600"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
