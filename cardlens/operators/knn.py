@@ -149,7 +149,9 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
 
     ``metric='cosine'``: largest similarity first; ``'sqeuclidean'``:
     smallest squared distance first.  ``features`` is a list of numeric
-    columns or the name of one array column (same in both inputs).
+    columns or the name of one array column (same in both inputs).  Probe
+    keys must be unique: probes are chunked by key hash, and the chunk size is
+    what bounds each broadcast.
     """
     if metric not in ("cosine", "sqeuclidean"):
         raise ValueError(metric)
@@ -157,7 +159,10 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
     spark = candidates.sparkSession
     fcols = [features] if isinstance(features, str) else list(features)
     pr = probes.select(F.col(probe_key).cast("long").alias("_pk"), *fcols)
-    n_probes = pr.count()
+    counts = pr.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_pk").alias("d")).first()
+    n_probes = counts["n"]
+    if counts["d"] != n_probes:
+        raise ValueError(f"probe key {probe_key!r} is not unique ({n_probes} rows, {counts['d']} keys)")
     n_chunks = max(1, math.ceil(n_probes / max_probe_rows))
     # Spread the scoring over every core: an explicit partition count is
     # kept by AQE (a small table would otherwise coalesce into one task).
