@@ -7,14 +7,17 @@ tables; parameters are the reference's defaults unless stated.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import cleanse, explore
+from ..operators import cleanse, explore, features, metrics, predictions, recommend, similar, smote
+from ..operators import models as mdl
 from ..sources import adapter, csv, tables
 from .portfolio import customers, joined, materialized, portfolio, portfolio_table
+from . import evaluation, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,8 +197,6 @@ def q_income_limit_points(spark, d):
 
 # ---- F: recommendation -----------------------------------------------------
 
-from ..operators import recommend  # noqa: E402
-
 
 def client_profiles(spark, d, p: DataFrame | None = None):
     """One profile per client: its first account row (the reference's lookup)."""
@@ -259,11 +260,6 @@ def q_match_tiers(spark, d):
 
 # ---- E: features, scoring outputs and metrics ------------------------------
 
-from functools import reduce  # noqa: E402
-
-from ..operators import features, metrics, predictions  # noqa: E402
-from . import evaluation  # noqa: E402
-
 
 def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
@@ -375,8 +371,6 @@ def q_pr_curve(spark, d):
 
 # ---- F6-F9: similarity -----------------------------------------------------
 
-from ..operators import similar  # noqa: E402
-
 
 @query("recommender_scaler")
 def q_recommender_scaler(spark, d):
@@ -415,8 +409,6 @@ def q_recommendation_bundle(spark, d):
 
 # ---- C11: SMOTE --------------------------------------------------------------
 
-from ..operators import smote  # noqa: E402
-
 
 def fraud_training_frame(spark, d):
     """Standardised model features (11 numerics + dummies) with the fraud label."""
@@ -451,8 +443,6 @@ def q_smote_rows(spark, d):
 # Boosted models use 20 rounds in the registered queries (the operators
 # default to the reference's 100 / 200) to keep the driver's run short.
 
-from ..operators import models as mdl  # noqa: E402
-from . import training  # noqa: E402
 
 REGISTERED_ROUNDS = 20
 
