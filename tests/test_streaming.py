@@ -51,3 +51,26 @@ def test_scored_stream_matches_batch_rules(spark):
     assert len(out) == 6 and out[0].Education_Level == "Graduate"
     # income > 50000, balance < 1000, no delinquency, house, no loan, age > 40, satisfaction >= 4
     assert out[0].credit_score == 70 - 0 and out[0].credit_score_band == "Excellent"
+
+
+def test_stream_scores_equal_batch_scores(spark):
+    from cardlens.operators import cleanse, scoring
+    from cardlens.sources import csv as csv_src
+    root = tempfile.mkdtemp(prefix="cardlens-stream-")
+    landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+    _batch(os.path.join(landing, "week1.csv"), 100, 7)
+    _batch(os.path.join(landing, "week2.csv"), 200, 5, week="07-01-2024")
+    cust = spark.createDataFrame(
+        [(k, 30 + k % 30, "M", 0, "Graduate", "Single", "NY", "1", "no", "yes" if k % 2 else "no", "no",
+          "cellular", "Govt", 20000 + 1000 * (k % 50), 1 + k % 5) for k in list(range(100, 107)) + list(range(200, 205))],
+        "Client_Num long, Customer_Age long, Gender string, Dependent_Count long, Education_Level string, "
+        "Marital_Status string, state_cd string, Zipcode string, Car_Owner string, House_Owner string, "
+        "Personal_loan string, contact string, Customer_Job string, Income long, Cust_Satisfaction_Score long")
+    ingest.score_batches(spark, landing, cust, {}, table, ckpt).awaitTermination()
+    streamed = spark.read.parquet(table)
+    batch_cc = cleanse.parse_dates(csv_src.read_cc_csv(spark, landing))
+    batch = scoring.add_scores(cleanse.fill_numeric(scoring.join_profile(batch_cc, cust)))
+    cols = ["Client_Num", "Week_Start_Date", "credit_score", "credit_score_band", "fraud_flag", "Trans_Avg"]
+    assert sorted(streamed.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+    assert streamed.count() == 12
