@@ -249,3 +249,15 @@ def test_shuffle_partition_sizing(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "409600"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_write_table_conforms_and_partitions(spark):
+    d = tempfile.mkdtemp(prefix="cardlens-tbl-")
+    path = os.path.join(d, "cc")
+    df = spark.createDataFrame([(1, "Blue", 2023), (2, "Gold", 2024)], "Client_Num int, Card_Category string, current_year int")
+    tables.write_table(df, path, schema.CC_SCHEMA, partition_by=["current_year"])
+    back = spark.read.parquet(path)
+    assert {"current_year=2023", "current_year=2024"} <= set(os.listdir(path))
+    assert back.schema["Client_Num"].dataType == schema.CC_SCHEMA["Client_Num"].dataType  # int -> bigint
+    assert back.where("current_year = 2024").first().Credit_Limit is None                  # missing -> typed null
+    assert back.where("current_year = 2024").count() == 1                                   # partition pruning path
