@@ -43,7 +43,13 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 21):
+def broadcast_if_small(df: DataFrame, size: int, limit: int = 16 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its known size in bytes is within
+    ``limit``; beyond that Spark joins by shuffle as it sees fit."""
+    return F.broadcast(df) if size <= limit else df
+
+
+def text_blocks(column: pa.Array, limit: int = 1 << 19):
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes.
 
     Yields ``(first_row, bytes, offsets)`` where row ``first_row + i`` is
@@ -93,7 +99,7 @@ class WordHasher:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, 1 << 21)
+            n = max(n, 1 << 19)
             inverse = pow(self.BASE, -1, 1 << 64)
             for name, base in (("powers", self.BASE), ("inverses", inverse)):
                 steps = np.full(n, base, np.uint64)

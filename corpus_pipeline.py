@@ -10,9 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from public_tokenizers import path as tokenizer_path
+
 from cardlens.llm.common import Tables
 from cardlens.llm.exact_dedup import radix_groups
+from cardlens.llm.mixing import mix_sources
 from cardlens.llm.ngram_join import ngram_components
+from cardlens.llm.pieces import encode_decode
+from cardlens.llm.quality import keep_good
+
+MODEL = "piece_bpe_32k.model"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +39,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that the sources have their target weights; one that
+    is drawn in several blocks is there several times."""
+    return mix_sources(docs).select("row.*")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded) of each document."""
+    return encode_decode(docs, tokenizer_path(MODEL))
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
     ("n-gram Jaccard join", near_dedup),
+    ("source mixing", source_mixing),
+    ("SentencePiece encoding", encoding),
 ]
 
 #: SentencePiece encoding has no SQL; tests compare run() with a brute-force version.
