@@ -28,10 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHasher, id_and_text, mix, text_blocks, windows
+from .common import Tables, WordHasher, broadcast_if_small, id_and_text, mix, text_blocks, windows
 from .components import connected_components
 
 SHINGLE = 5
@@ -96,17 +97,19 @@ def measure(batches):
 
 
 def all_shingles(batches):
-    """(doc_id, text) -> (doc_id, s1, n, tokens), every distinct shingle."""
+    """(doc_id, s1, text) -> (doc_id, s1, n, tokens), every distinct shingle of
+    the texts whose set sum is the given s1."""
     hasher = WordHasher(lower=True)
     for batch in batches:
-        for first, data, offsets in text_blocks(batch.column(1)):
+        for first, data, offsets in text_blocks(batch.column(2)):
             found, bounds = shingle_sets(hasher, data, offsets)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(first, len(offsets) - 1),
-                pa.array(_set_sums(found, bounds, 0x5851F42D4C957F2D).view(np.int64)),
-                pa.array(np.diff(bounds), pa.int64()),
+            rows = batch.slice(first, len(offsets) - 1)
+            sums = pa.array(_set_sums(found, bounds, 0x5851F42D4C957F2D).view(np.int64))
+            every = pa.RecordBatch.from_arrays([
+                rows.column(0), sums, pa.array(np.diff(bounds), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.view(np.int64)))],
                 names=["doc_id", "s1", "n", "tokens"])
+            yield every.filter(pc.equal(sums, rows.column(1)))
 
 
 def block_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
@@ -167,10 +170,11 @@ def tile_links(table: pa.Table) -> pa.Table:
 
 
 def _without_lonely(rows: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
-    """Rows with at most ``n - need`` tokens that no other row holds."""
-    held = (rows.select(F.struct(*keys).alias("row"), F.explode(tokens).alias("h"))
-            .groupBy("h").agg(F.count("*").alias("c"), F.min("row").alias("row")))
-    lonely = held.where("c = 1").groupBy("row").agg(F.count("*").alias("alone")).select("row.*", "alone")
+    """Rows with at most ``n - need`` tokens that no other row holds.  The
+    count per token is a plain hash aggregate, summed before the shuffle."""
+    held = rows.select(*keys, F.explode(tokens).alias("h")).groupBy("h").agg(
+        F.count("*").alias("c"), *[F.min(k).alias(k) for k in keys])
+    lonely = held.where("c = 1").groupBy(*keys).agg(F.count("*").alias("alone"))
     return rows.join(lonely, keys, "left").where(f"coalesce(alone, 0) <= n - {NEED}").drop("alone")
 
 
@@ -194,14 +198,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = sets.where("doc_id is not null and n > 0")
     alike = ["n", "s1", "s2"]
 
-    classes = tables.write(_without_lonely(named.select("doc_id", "n", "s1", "s2", "sample"), "sample", ["doc_id", "s1"])
-                           .groupBy(*alike).agg(F.min("doc_id").alias("class_id")), "classes")
+    # an id that several rows share would mix their counts: such rows stay for the exact count below
+    often = tables.write(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "often")
+    once = _without_lonely(named.join(often, "doc_id", "left_anti"), "sample", ["doc_id"])
+    left = once.select("doc_id", *alike).unionByName(named.join(often, "doc_id", "left_semi").select("doc_id", *alike))
+    classes = tables.write(left.groupBy(*alike).agg(F.min("doc_id").alias("class_id")), "classes")
     chosen = classes.select(F.col("class_id").alias("doc_id"), "s1").distinct()
-    wanted = base.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = wanted.mapInArrow(all_shingles, "doc_id long, s1 long, n long, tokens array<long>")
-    rows = tables.write(full.join(chosen, ["doc_id", "s1"], "left_semi"), "rows")
+    wanted = base.join(broadcast_if_small(chosen, classes.count() * 16), "doc_id").select("doc_id", "s1", "text")
+    rows = tables.write(wanted.mapInArrow(all_shingles, "doc_id long, s1 long, n long, tokens array<long>"), "rows")
     rows2 = tables.write(_without_lonely(rows, "tokens", ["doc_id", "s1"]), "rows2")
-    tables.drop("rows")
+    tables.drop("rows", "often")
 
     entries = rows2.select("doc_id", "s1", "n", F.explode("tokens").alias("h"))
     held = tables.write(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "held")
