@@ -1,17 +1,23 @@
-"""Exact top-k neighbours between a probe set and a candidate table.
-
-Plan
-1. The probe side is counted.  Probes are shipped to executors as
-   broadcast numpy blocks of at most ``max_probe_rows`` rows (a checked
-   size: rows x dims x 8 bytes).  More probes than that are split into
-   chunks by key hash and each chunk is one pass over the candidates, so
-   the result stays exact at any probe count.
-2. ``mapInPandas`` over the candidate partitions: every Arrow batch is
-   scored against the probe block in numpy (cosine similarity or squared
-   Euclidean distance) and only each probe's local top-k (ties resolved
-   exactly) is emitted -- k rows per probe per batch, never all pairs.
-3. A per-probe ``row_number() <= k`` merges the partial lists (Spark puts
-   a partial group limit before the shuffle).
+"""Exact top-k neighbours between a probe table and a candidate table.
+
+No probe or candidate passes through the driver, and nothing that grows with
+the data is broadcast.  The plan:
+
+1. *Collapse.*  Equal vectors are one vector.  Of candidates with one vector
+   only the best k + 1 keys can be anyone's neighbours (ties go by key), so the
+   others are dropped by a group limit, partial before the shuffle.  Probes
+   with one vector share one search.
+2. *Blocks.*  Candidates go to the nearest of at most ``MAX_PIVOTS`` pivots (a
+   hash sample; its size is a bound on the driver's part).  Pivots only steer
+   pruning.  A block knows its radius, and is cut into slices of bounded size.
+3. *First pass.*  A probe is scored in its own block, which gives a bound on
+   its k-th score.
+4. *Second pass.*  A probe goes to every other block whose best possible score,
+   from pivot and radius, can reach that bound; all of them if the first
+   pass found fewer than k.
+5. A tile, one slice with one share of the probes, is scored by a grouped
+   pandas function in numpy and emits k rows a probe.  ``row_number() <= k``
+   over the probe merges them, limited before the shuffle.
 
 Scores are rounded to ``round_digits`` before ranking so that ties and
 near-ties rank identically in any engine; remaining ties are broken by the
@@ -20,7 +26,6 @@ candidate key (descending or ascending).
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
@@ -28,34 +33,26 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.tables import materialize
 
 # The scoring functions below run inside Python workers.  Ship them by
 # value so executors need only numpy and pandas, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUT_SCHEMA = T.StructType([
-    T.StructField("probe_key", T.LongType()), T.StructField("cand_key", T.LongType()),
-    T.StructField("score", T.DoubleType()), T.StructField("rank_score", T.DoubleType()),
-])
-CELL_BUDGET = 4_000_000  # probe x candidate cells scored at once per task
+CELL_BUDGET = 1_000_000  # probe x candidate cells scored at once per task
+MAX_PIVOTS = 64
+SLICE_ROWS = 8192  # candidates, and probes, of one tile at most (on average over a hash)
+F32_EPS = float(np.finfo(np.float32).eps)
 
 
-def _matrix(pdf: pd.DataFrame, features: list[str] | str) -> np.ndarray:
-    if isinstance(features, str):
-        vals = pdf[features].values
-        if len(vals) == 0:
-            return np.zeros((0, 0))
-        return np.stack([np.asarray(v, dtype=np.float64) for v in vals])
-    return pdf[features].to_numpy(dtype=np.float64, na_value=0.0)
+def _stack(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt(np.einsum("ij,ij->i", m, m))
-    out = np.zeros_like(m)
-    nz = n > 0
-    out[nz] = m[nz] / n[nz, None]
-    return out
+    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
 
 
 def _exact_sq(pb: np.ndarray, cb: np.ndarray) -> np.ndarray:
@@ -66,141 +63,184 @@ def _exact_sq(pb: np.ndarray, cb: np.ndarray) -> np.ndarray:
     return acc
 
 
-F32_EPS = float(np.finfo(np.float32).eps)
-
-
 def _f32_bound(dims: int) -> float:
     """Bound on |float32 dot - exact dot| per unit of |p||c| (inputs rounded
     to float32, then a d-term sum), with a factor-2 safety margin."""
     return 2.0 * (dims + 2) * F32_EPS
 
 
-def _sq_shortlist(pb32, cb32, pn, cn, kk):
-    """float32 screen for squared distances: |p|^2 + |c|^2 - 2 p.c, then a
-    shortlist holding every candidate that could be within the k best after
-    exact float64 recomputation.  The margin covers 9-digit rounding plus the
-    screen's error, bounded per probe row by gamma * (|p| + max|c|)^2."""
-    approx = pb32 @ cb32.T
-    approx *= np.float32(-2.0)
-    approx += cn.astype(np.float32)[None, :]
-    approx += pn.astype(np.float32)[:, None]
-    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
-    g = _f32_bound(pb32.shape[1])
-    margin = 4e-9 + 2.0 * g * (np.sqrt(pn) + np.sqrt(cn.max())) ** 2 + 1e-30
-    return approx <= (kth + margin).astype(np.float32)[:, None]
-
-
-def _local_top_k(metric, probes, probes32, pkeys, cands, ckeys, k, largest, key_desc, exclude_self, digits,
-                 payload=None):
-    out = []
-    m = len(ckeys)
-    if m == 0:
-        return out
-    cands32 = cands.astype(np.float32)
-    pn_all = np.einsum("ij,ij->i", probes, probes)
-    cn = np.einsum("ij,ij->i", cands, cands)
-    step = max(1, CELL_BUDGET // max(m, 1))
-    for s in range(0, len(pkeys), step):
-        pb, pb32, pk = probes[s:s + step], probes32[s:s + step], pkeys[s:s + step]
-        kk = min(k + (1 if exclude_self else 0), m)
+def _shortlist(metric: str, pb: np.ndarray, cands: np.ndarray, kk: int, digits: int):
+    """(rows, columns) of every pair that may be among the row's kk best after
+    exact recomputation: a float32 screen with a proven margin."""
+    bound = _f32_bound(pb.shape[1])
+    screen = pb.astype(np.float32) @ cands.astype(np.float32).T
+    if metric == "cosine":
+        worst = np.partition(screen, screen.shape[1] - kk, axis=1)[:, screen.shape[1] - kk].astype(np.float64)
+        return np.nonzero(screen >= (worst - 2.0 * bound - 2.0 * 10.0 ** -digits).astype(np.float32)[:, None])
+    pn, cn = np.einsum("ij,ij->i", pb, pb), np.einsum("ij,ij->i", cands, cands)
+    screen *= np.float32(-2.0)
+    screen += cn.astype(np.float32)[None, :]
+    screen += pn.astype(np.float32)[:, None]
+    worst = np.partition(screen, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
+    margin = 4.0 * 10.0 ** -digits + 2.0 * bound * (np.sqrt(pn) + np.sqrt(cn.max())) ** 2 + 1e-30
+    return np.nonzero(screen <= (worst + margin).astype(np.float32)[:, None])
+
+
+def top_k_of_tile(metric: str, k: int, key_desc: bool, digits: int, pids, probes, ckeys, cands) -> pd.DataFrame:
+    """The k best candidates of each probe: (pid, cand_key, score, rank_score);
+    a larger rank_score is better."""
+    out = [pd.DataFrame({"pid": np.zeros(0, np.int64), "cand_key": np.zeros(0, np.int64), "score": np.zeros(0), "rank_score": np.zeros(0)})]
+    step = max(1, CELL_BUDGET // max(1, len(ckeys)))
+    for s in range(0, len(pids) if len(ckeys) else 0, step):
+        pb, pk = probes[s:s + step], pids[s:s + step]
+        rows, cols = _shortlist(metric, pb, cands, min(k, len(ckeys)), digits)
         if metric == "cosine":
-            # float32 screen on unit vectors, exact float64 score on the shortlist
-            sc = pb32 @ cands32.T
-            if exclude_self:
-                sc[pk[:, None] == ckeys[None, :]] = -np.inf
-            kth = np.partition(sc, m - kk, axis=1)[:, m - kk].astype(np.float64)
-            tol = 2.0 * _f32_bound(pb.shape[1]) + 2.0 * 10.0 ** -digits
-            rows, cols = np.nonzero(sc >= (kth - tol).astype(np.float32)[:, None])
             score = np.einsum("ij,ij->i", pb[rows], cands[cols])
-            if exclude_self:
-                score = np.where(pk[rows] == ckeys[cols], -np.inf, score)
-            rank_val = np.round(score, digits)
-            rank_key = -rank_val
+            rank = np.round(score, digits)
         else:
-            rows, cols = np.nonzero(_sq_shortlist(pb32, cands32, pn_all[s:s + step], cn, kk))
             score = _exact_sq(pb[rows], cands[cols])
-            rank_val = np.round(score, digits)
-            if exclude_self:
-                rank_val = np.where(pk[rows] == ckeys[cols], np.inf, rank_val)
-            rank_key = rank_val
-        ck = ckeys[cols]
-        order = np.lexsort((-ck if key_desc else ck, rank_key, rows))
-        rows, cols, score, rank_val, rank_key = rows[order], cols[order], score[order], rank_val[order], rank_key[order]
-        first = np.r_[True, rows[1:] != rows[:-1]]
-        grp_start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-        keep = ((np.arange(len(rows)) - grp_start) < k) & np.isfinite(rank_key)
-        rows, cols = rows[keep], cols[keep]
-        frame = pd.DataFrame({"probe_key": pk[rows].astype(np.int64), "cand_key": ckeys[cols].astype(np.int64),
-                              "score": score[keep].astype(np.float64),
-                              "rank_score": rank_val[keep].astype(np.float64)})
-        if payload is not None:
-            frame["cand_payload"] = payload[cols].astype(np.int64)
-        out.append(frame)
-    return out
+            rank = -np.round(score, digits)
+        keys = ckeys[cols]
+        order = np.lexsort((-keys if key_desc else keys, -rank, rows))
+        rows, keys, score, rank = rows[order], keys[order], score[order], rank[order]
+        first = np.searchsorted(rows, rows)
+        keep = np.arange(len(rows)) - first < k
+        out.append(pd.DataFrame({"pid": pk[rows[keep]], "cand_key": keys[keep], "score": score[keep], "rank_score": rank[keep]}))
+    return pd.concat(out[1:] or out)
+
+
+def _vectors(df: DataFrame, key: str, features: list[str] | str) -> DataFrame:
+    """(key, vec): rows whose vector, or any element of it, is null are left out."""
+    vec = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
+    return (df.select(F.col(key).cast("long").alias("key"), vec.alias("vec"))
+            .where(F.col("key").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())))
 
 
 def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_key: str,
                 features: list[str] | str, k: int, metric: str = "cosine", key_desc: bool = True,
-                exclude_self: bool = False, round_digits: int = 9, max_probe_rows: int = 20000,
-                cand_payload: str | None = None) -> DataFrame:
+                exclude_self: bool = False, round_digits: int = 9, cand_payload: str | None = None,
+                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(probe_key, nn_rank, cand_key, score[, cand_payload]) for the k best
-    candidates per probe.  ``cand_payload`` names an integer candidate column
-    carried into the output (saves a join back to the candidate table).
+    candidates per probe.  ``cand_payload`` names a candidate column carried
+    into the output.
 
     ``metric='cosine'``: largest similarity first; ``'sqeuclidean'``:
     smallest squared distance first.  ``features`` is a list of numeric
-    columns or the name of one array column (same in both inputs).  Probe
-    keys must be unique: probes are chunked by key hash, and the chunk size is
-    what bounds each broadcast.
-    """
+    columns or the name of one array column (same in both inputs).  Rows whose
+    key or vector is null, or holds a null, have no neighbours and are nobody's:
+    impute first (F8) where they should.  A probe key that occurs twice
+    must have one vector.  ``exclude_self`` leaves out the candidate whose key is the
+    probe's.  Candidate keys are unique."""
     if metric not in ("cosine", "sqeuclidean"):
         raise ValueError(metric)
-    largest = metric == "cosine"
-    spark = candidates.sparkSession
-    fcols = [features] if isinstance(features, str) else list(features)
-    pr = probes.select(F.col(probe_key).cast("long").alias("_pk"), *fcols)
-    counts = pr.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_pk").alias("d")).first()
-    n_probes = counts["n"]
-    if counts["d"] != n_probes:
-        raise ValueError(f"probe key {probe_key!r} is not unique ({n_probes} rows, {counts['d']} keys)")
-    n_chunks = max(1, math.ceil(n_probes / max_probe_rows))
-    # Spread the scoring over every core: an explicit partition count is
-    # kept by AQE (a small table would otherwise coalesce into one task).
-    n_tasks = max(spark.sparkContext.defaultParallelism * 2, 1)
-    extra = [F.col(cand_payload).cast("long").alias("_payload")] if cand_payload else []
-    cand = candidates.select(F.col(cand_key).cast("long").alias("_ck"), *extra, *fcols).repartition(n_tasks)
-    schema = (T.StructType(OUT_SCHEMA.fields + [T.StructField("cand_payload", T.LongType())])
-              if cand_payload else OUT_SCHEMA)
-    parts = []
-    for chunk in range(n_chunks):
-        part = pr if n_chunks == 1 else pr.where(F.pmod(F.xxhash64("_pk"), F.lit(n_chunks)) == chunk)
-        ppdf = part.toPandas()  # at most ~max_probe_rows rows: the checked broadcast size
-        pm = _matrix(ppdf, features if isinstance(features, str) else fcols)
-        if metric == "cosine":
-            pm = _unit(pm)
-        bc = spark.sparkContext.broadcast((pm, ppdf["_pk"].to_numpy(dtype=np.int64)))
-        feats = features if isinstance(features, str) else fcols
-
-        def run(batches, bc=bc, feats=feats):
-            pmat, pkeys = bc.value
-            pmat32 = pmat.astype(np.float32)
-            for pdf in batches:
-                cm = _matrix(pdf, feats)
-                if len(cm) == 0 or len(pkeys) == 0:
-                    continue
-                if metric == "cosine":
-                    cm = _unit(cm)
-                pay = pdf["_payload"].to_numpy(dtype=np.int64) if "_payload" in pdf else None
-                for frame in _local_top_k(metric, pmat, pmat32, pkeys, cm, pdf["_ck"].to_numpy(dtype=np.int64), k,
-                                          largest, key_desc, exclude_self, round_digits, pay):
-                    yield frame
-
-        parts.append(cand.mapInPandas(run, schema))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    order = [F.col("rank_score").desc() if largest else F.col("rank_score").asc(),
-             F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
-    w = Window.partitionBy("probe_key").orderBy(*order)
-    return (partial.withColumn("nn_rank", F.row_number().over(w).cast("long"))
-            .where(F.col("nn_rank") <= k).drop("rank_score"))
+    kk = k + 1 if exclude_self else k
+    best = F.col("key").desc() if key_desc else F.col("key").asc()
+    cand = materialize(_vectors(candidates, cand_key, features).withColumn(
+        "_same", F.row_number().over(Window.partitionBy("vec").orderBy(best))).where(F.col("_same") <= kk).drop("_same"))
+    asked = _vectors(probes, probe_key, features).dropDuplicates(["key"])
+    wanted = materialize(asked.groupBy("vec").agg(F.min("key").alias("pid")))
+    found = _search(cand, wanted, kk, metric, key_desc, round_digits, slice_rows)
+    order = [F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
+    out = asked.join(wanted, "vec").select(F.col("key").alias("probe_key"), "pid").join(found, "pid")
+    if exclude_self:
+        out = out.where(F.col("cand_key") != F.col("probe_key"))
+    out = out.withColumn("nn_rank", F.row_number().over(Window.partitionBy("probe_key").orderBy(*order)).cast("long"))
+    out = out.where(F.col("nn_rank") <= k).select("probe_key", "nn_rank", "cand_key", "score")
+    if cand_payload is None:
+        return out
+    named = candidates.select(F.col(cand_key).cast("long").alias("cand_key"), F.col(cand_payload).alias("cand_payload"))
+    return out.join(named, "cand_key").select("probe_key", "nn_rank", "cand_key", "score", "cand_payload")
+
+
+SCORED = "pid long, cand_key long, score double, rank_score double"
+
+
+def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: bool, digits: int, slice_rows: int) -> DataFrame:
+    """(pid, cand_key, score, rank_score): the k best candidates of each probe vector."""
+    spark = cand.sparkSession
+    n, n_probes = cand.count(), wanted.count()
+    if not n or not n_probes:
+        return spark.createDataFrame([], SCORED)
+    cosine = metric == "cosine"
+    rows = max(256, min(slice_rows, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    n_pivots = min(MAX_PIVOTS, max(1, n // 2048))
+    chosen = cand.orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
+    pivots = _stack([r["vec"] for r in chosen])
+    pivots = _unit(pivots) if cosine else pivots
+
+    def place(batches):
+        """(key, vec) -> (key, vec, block, radius) at the nearest pivot."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _stack(pdf["vec"])
+            x = _unit(x) if cosine else x
+            far = np.stack([np.sqrt(_exact_sq(x, np.broadcast_to(c, x.shape))) for c in pivots], 1)
+            near = far.argmin(1)
+            yield pd.DataFrame({"key": pdf["key"], "vec": list(x), "block": near, "radius": far[np.arange(len(x)), near]})
+
+    schema = "key long, vec array<double>, block int, radius double"
+    # an explicit count: a small table would else be one task
+    spread = max(1, min(2 * spark.sparkContext.defaultParallelism, n // 256))
+    placed = materialize((cand.repartition(spread) if spread > cand.rdd.getNumPartitions() else cand).mapInPandas(place, schema))
+    stats = {r["block"]: (r["n"], r["radius"]) for r in placed.groupBy("block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).collect()}  # a row a pivot
+    radius = np.array([stats.get(b, (0, -np.inf))[1] for b in range(n_pivots)])
+    slices = [-(-stats.get(b, (0,))[0] // rows) for b in range(n_pivots)]
+    shares = -(-n_probes // max(rows, 1))
+    n_slices = F.element_at(F.array(*[F.lit(x) for x in slices]), F.col("block") + 1)
+    cells = placed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(7)), n_slices).cast("int")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def tile(batch_probes: DataFrame) -> DataFrame:
+        asked = (batch_probes.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1)))
+                 .withColumn("share", F.pmod(F.xxhash64("pid"), F.lit(shares)).cast("int")))
+        keys = ["block", "slice", "share"]
+
+        def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return top_k_of_tile(metric, k, key_desc, digits, right["pid"].to_numpy(np.int64), _stack(right["vec"]),
+                                 left["key"].to_numpy(np.int64), _stack(left["vec"]))
+
+        return cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(score, SCORED)
+
+    def own(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = _stack(pdf["vec"])
+                x = _unit(x) if cosine else x
+                far = np.stack([_exact_sq(x, np.broadcast_to(c, x.shape)) for c in pivots], 1)
+                far[:, ~np.isfinite(radius)] = np.inf
+                yield pd.DataFrame({"pid": pdf["pid"], "vec": list(x), "block": far.argmin(1)})
+
+    start = materialize(wanted.select("pid", "vec").mapInPandas(own, "pid long, vec array<double>, block int"))
+    ranked = Window.partitionBy("pid").orderBy(F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc())
+
+    def limited(df: DataFrame) -> DataFrame:
+        return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= k).drop("_rank")
+
+    first = materialize(limited(tile(start)))
+    if n_pivots == 1:
+        return first
+
+    def others(batches):
+        """Blocks that can hold a candidate at least as good as the bound."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, worst = _stack(pdf["vec"]), pdf["worst"].to_numpy(np.float64)
+            if cosine:
+                reach = x @ pivots.T + np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * radius[None, :]
+                slack = np.full(len(x), 1e-6)
+            else:
+                far = np.sqrt(np.stack([_exact_sq(x, np.broadcast_to(c, x.shape)) for c in pivots], 1))
+                reach = -np.square(np.maximum(0.0, far - radius[None, :]))
+                slack = 1e-6 * (1.0 + np.abs(np.where(np.isfinite(worst), worst, 0.0)))
+            fit = np.isfinite(radius)[None, :] & ~(reach < (worst - slack)[:, None])
+            fit[np.arange(len(x)), pdf["block"].to_numpy()] = False
+            at, block = np.nonzero(fit)
+            yield pd.DataFrame({"pid": pdf["pid"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "block": block})
+
+    bound = first.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("rank_score").alias("worst")).where(F.col("n") >= k)
+    asked = start.join(bound.select("pid", "worst"), "pid", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+    second = tile(asked.select("pid", "vec", "block", "worst").mapInPandas(others, "pid long, vec array<double>, block int"))
+    return limited(first.unionByName(limited(second)))
