@@ -9,7 +9,7 @@ aggregate and held as literals, like a fitted model.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Categorical columns one-hot encoded, and the numeric
@@ -24,23 +24,18 @@ RECOMMENDER_FEATURES = ["Customer_Age", "Income", "Credit_Limit", "Total_Revolvi
                         "Total_Trans_Ct", "Avg_Utilization_Ratio"]
 
 
-class TooManyLevels(ValueError):
-    pass
-
-
-def category_levels(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column, from one distinct job."""
+def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct non-null values per column, from one distinct job.  They
+    become the names of result columns, so the driver holds them by contract;
+    for columns with very many values use the vector form."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}
     pairs = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in cols])).alias("p"))
         .select("p.col", "p.val").where(F.col("val").isNotNull()).distinct())
-    rows = pairs.limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise TooManyLevels(f"more than {max_levels} category levels; use the vector encoder")
     levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
+    for r in pairs.collect():
         levels[r["col"]].append(r["val"])
     return {c: sorted(v) for c, v in levels.items()}
 
@@ -120,26 +115,35 @@ def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
     return apply_scaler(df, fit_scaler(fit_on if fit_on is not None else df, cols))
 
 
+def binary_counts(df: DataFrame, label: str) -> tuple[int, int]:
+    """Rows with label 0 and with label 1, by one conditional aggregate."""
+    r = df.agg(*[F.count(F.when(F.col(label) == v, 1)).alias(f"n{v}") for v in (0, 1)]).first()
+    return r["n0"], r["n1"]
+
+
 def class_weights(df: DataFrame, label: str = "fraud_flag") -> DataFrame:
     """Balanced weight n / (k * n_c) per class and scale_pos_weight n0 / n1.
     The per-class counts are written once; the totals and the result read them."""
     from ..sources.tables import materialize
     counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows")))
-    rows = counts.collect()  # one row per class
-    total, k = sum(r["n_rows"] for r in rows), len(rows)
-    by = {r[label]: r["n_rows"] for r in rows}
-    spw = (by.get(0, 0) / by[1]) if by.get(1) else None
+    totals = counts.agg(F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("k"),
+                        F.sum(F.when(F.col(label) == 0, F.col("n_rows"))).alias("n0"),
+                        F.sum(F.when(F.col(label) == 1, F.col("n_rows"))).alias("n1")).first()
+    spw = (totals["n0"] or 0) / totals["n1"] if totals["n1"] else None
     return counts.select(
         F.col(label).alias("label"), "n_rows",
-        (F.lit(float(total)) / (F.lit(float(k)) * F.col("n_rows").cast("double"))).alias("class_weight"),
+        (F.lit(float(totals["n"] or 0)) / (F.lit(float(totals["k"])) * F.col("n_rows").cast("double"))).alias("class_weight"),
         F.lit(spw).cast("double").alias("scale_pos_weight"))
 
 
-def with_class_weight(df: DataFrame, label: str = "fraud_flag", out: str = "weight") -> DataFrame:
-    """Attach the balanced class weight to each row (for weightCol)."""
-    w = {r["label"]: r["class_weight"] for r in class_weights(df, label).collect()}
-    expr = None
-    for lab, val in w.items():
-        cond = F.col(label) == F.lit(lab)
-        expr = F.when(cond, F.lit(val)) if expr is None else expr.when(cond, F.lit(val))
-    return df.withColumn(out, expr.otherwise(F.lit(1.0)))
+def balanced_weight(n0: int, n1: int, label: str) -> Column:
+    """E6 as a column for weightCol: n / (k * n_c) of the row's class, k the
+    classes that occur."""
+    k = (n0 > 0) + (n1 > 0)
+    return F.when(F.col(label) == 1, F.lit((n0 + n1) / (k * n1) if n1 else 1.0)).otherwise(
+        F.lit((n0 + n1) / (k * n0) if n0 else 1.0))
+
+
+def positive_weight(n0: int, n1: int, label: str) -> Column:
+    """E6 scale_pos_weight as a column: n0 / n1 for positives, 1 for the rest."""
+    return F.when(F.col(label) == 1, F.lit(n0 / n1 if n1 else 1.0)).otherwise(F.lit(1.0))

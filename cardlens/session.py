@@ -25,7 +25,7 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "cardlens", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
 
@@ -36,7 +36,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("CARDLENS_DRIVER_MEMORY", "16g"))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         b = b.config(k, v)
@@ -62,6 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+    # a local session without the setting, as in tests: one process, so its own disk is shared by all of it
     local_dir = tempfile.mkdtemp(prefix="cardlens-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir()

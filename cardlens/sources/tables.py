@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,16 +57,56 @@ def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     return df
 
 
+_OWNED: list[list[tuple[SparkSession, str]]] = [[]]  # innermost scope last; the first lives as long as the process
+
+
+def own(spark: SparkSession, path: str) -> str:
+    """Give a written folder to the innermost open scope, which deletes it."""
+    _OWNED[-1].append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file system layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _release(owned: list[tuple[SparkSession, str]]) -> None:
+    while owned:
+        spark, path = owned.pop()
+        try:
+            delete(spark, path)
+        except Exception:  # the session is gone and its folder cannot be reached
+            continue
+
+
+@contextmanager
+def table_scope():
+    """Tables materialised inside are deleted when the scope closes; results
+    that read them must be consumed before."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        _release(_OWNED.pop())
+
+
+# tables of no scope go when the process ends
+atexit.register(lambda: _release(_OWNED[0]))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as parquet under the shared checkpoint
-    folder (``spark.checkpoint.dir``; a local folder is made only when the
+    folder (``spark.checkpoint.dir``; a local folder is made only when a local
     session has none, as in tests) and read it back.  Later passes read the
-    written table, and a lost executor does not replay the upstream plan."""
+    written table, and a lost executor does not replay the upstream plan.  The
+    open ``table_scope`` owns the table and deletes it, else the process does."""
     from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, n_buckets: int, path: str | None = None) -> None:
