@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,11 +11,60 @@ from pyspark.sql import types as T
 from .schema import CC_SCHEMA, CUST_SCHEMA, canonical_name, csv_read_schema
 
 
+class BadHeader(ValueError):
+    pass
+
+
+REJECT = "_rejected"
+
+
+def file_schema(spark: SparkSession, path: str, schema: T.StructType) -> tuple[T.StructType, dict[str, str]]:
+    """The read schema in the files' own column order, and for each column of
+    ``schema`` the header under which the files have it.  Header names go
+    through ``canonical_name``; missing and repeated columns are refused, other
+    columns are read as text and left out."""
+    first = spark.read.text(path).first()  # one line: the header of the files' first
+    names = next(csv.reader([first["value"].lstrip("\ufeff")])) if first else []
+    found: dict[str, str] = {}
+    for name in names:
+        if canonical_name(name) in found:
+            raise BadHeader(f"{path}: column {canonical_name(name)} is there twice")
+        found[canonical_name(name)] = name
+    missing = [f.name for f in schema.fields if f.name not in found]
+    if missing:
+        raise BadHeader(f"{path}: missing columns {missing}")
+    kinds = {f.name: f.dataType for f in csv_read_schema(schema).fields}
+    read = T.StructType([T.StructField(n, kinds.get(canonical_name(n), T.StringType())) for n in names])
+    return read.add(REJECT, T.StringType()), {f.name: found[f.name] for f in schema.fields}
+
+
+def shaped(raw: DataFrame, names: dict[str, str], schema: T.StructType, reject: bool = False) -> DataFrame:
+    """The declared columns of a raw scan, whole lines only (or the others)."""
+    columns = [F.col(f"`{names[f.name]}`").alias(f.name) for f in schema.fields]
+    # a line is only checked in the columns that are read, so the filter reads them all (always true)
+    every = F.pmod(F.xxhash64(*columns), F.lit(2)) < 2
+    if reject:
+        return raw.where(F.col(REJECT).isNotNull() & every).select(F.col(REJECT).alias("line"))
+    return raw.where(F.col(REJECT).isNull() & every).select(*columns)
+
+
+def _scan(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, dict[str, str]]:
+    read, names = file_schema(spark, path, schema)
+    # without enforceSchema Spark refuses a file whose header is another one or in another order
+    df = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", REJECT).schema(read).csv(path))
+    return df, names
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # The header row is matched by position against the declared schema;
-    # the reader strips a UTF-8 BOM and accepts CRLF line ends.
-    return (spark.read.option("header", True).option("enforceSchema", True)
-            .option("mode", "PERMISSIVE").schema(csv_read_schema(schema)).csv(path))
+    """Rows of the right shape and types; the others are ``rejects``."""
+    return shaped(*_scan(spark, path, schema), schema)
+
+
+def rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Lines that do not fit the schema (too short, too long, a number that is
+    none), as text: load them after repair instead of scoring nulls."""
+    return shaped(*_scan(spark, path, schema), schema, reject=True)
 
 
 def read_cc_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -9,30 +9,35 @@ every file exactly once.  ``trigger(availableNow=True)`` processes what
 has arrived and stops, which suits a scheduled batch load; a continuous
 deployment drops the trigger.
 
-``score_batches`` continues the chain for new rows: stream-static join to
-the customer dimension (D1), cleansing with statistics fitted on the base
-portfolio (B2-B4 need global modes, which a stream cannot recompute), and
-the score/band/flag columns (C1-C6).
+``score_batches`` continues the chain for new rows: join to the customer
+dimension (D1), cleansing with statistics fitted on the base portfolio (B2-B4
+need global modes, which a stream cannot recompute), and the score/band/flag
+columns (C1-C6).  Accounts whose customer is not known yet wait in a pending
+table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cleanse, scoring
-from ..sources.csv import normalize_values
-from ..sources.schema import CC_SCHEMA, csv_read_schema
+from ..sources.csv import REJECT, file_schema, normalize_values, shaped
+from ..sources.schema import CC_SCHEMA
 from ..sources.tables import conform
 
 
 def read_account_batches(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming scan of CSV batch files with the declared schema."""
-    r = spark.readStream.schema(csv_read_schema(CC_SCHEMA)).option("header", True)
+    """Streaming scan of CSV batch files (A1, A6, B1).  Columns go by the header
+    of the files there at the start; a later file with other columns, or the
+    same in another order, stops the query instead of being read by position.
+    Lines that do not fit the schema are left out (``csv.rejects`` lists them)."""
+    read, names = file_schema(spark, landing_dir, CC_SCHEMA)
+    r = (spark.readStream.schema(read).option("header", True).option("enforceSchema", False)
+         .option("columnNameOfCorruptRecord", REJECT))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.csv(landing_dir)
+    raw = shaped(r.csv(landing_dir), names, CC_SCHEMA)
     return conform(cleanse.parse_dates(normalize_values(raw)), CC_SCHEMA)
 
 
@@ -53,17 +58,69 @@ def fitted_modes(base: DataFrame) -> dict:
 
 def score_stream(accounts: DataFrame, customers: DataFrame, modes: dict) -> DataFrame:
     """D1 (stream-static join) -> B2/B3/B4 with fitted modes -> C1-C6."""
-    j = scoring.join_profile(accounts, customers)
-    j = cleanse.fill_numeric(j)
-    j = j.select(*[F.coalesce(F.col(c), F.lit(modes[c] if modes.get(c) is not None else "Unknown")).alias(c)
-                   if c in modes else F.col(c) for c in j.columns])
-    return scoring.add_scores(cleanse.fill_default(j))
+    j = cleanse.fill_numeric(scoring.join_profile(accounts, customers))
+    return scoring.add_scores(cleanse.fill_default(cleanse.apply_modes(j, {c: m for c, m in modes.items() if c in j.columns})))
 
 
-def score_batches(spark: SparkSession, landing_dir: str, customers: DataFrame, modes: dict, table_path: str,
-                  checkpoint_path: str, available_now: bool = True) -> StreamingQuery:
-    scored = score_stream(read_account_batches(spark, landing_dir), customers, modes)
-    w = (scored.writeStream.format("parquet").option("checkpointLocation", checkpoint_path).outputMode("append"))
+def score_batches(spark: SparkSession, landing_dir: str, customers, modes: dict, table_path: str,
+                  checkpoint_path: str, pending_path: str, available_now: bool = True) -> StreamingQuery:
+    """Score each landed account once its customer is known.
+
+    ``customers`` is the customer table, or a function that reads it anew for each batch.  A
+    micro-batch joins its accounts and those still pending to the customers:
+    matched rows are scored into ``table_path``, the others wait in
+    ``pending_path`` for the next batch.  Both are written under the batch's
+    number and an attempt that is repeated overwrites its own output, so an
+    account is scored exactly once however late its customer comes.  A batch
+    without new files starts no job; ``score_pending`` takes up what waits."""
+    read = customers if callable(customers) else (lambda: customers)
+    w = (read_account_batches(spark, landing_dir).writeStream.option("checkpointLocation", checkpoint_path).outputMode("append")
+         .foreachBatch(lambda df, n: _score_batch(df, f"batch={n:012d}", _pending(df.sparkSession, pending_path, n), read(), modes,
+                                                  table_path, pending_path)))
     if available_now:
         w = w.trigger(availableNow=True)
-    return w.start(table_path)
+    return w.start()
+
+
+def score_pending(spark: SparkSession, customers: DataFrame, modes: dict, table_path: str, pending_path: str) -> None:
+    """Score the pending accounts whose customers have come since.  What still
+    waits replaces the pending table's latest part."""
+    last = _last_part(spark, pending_path)
+    if last is None:
+        return
+    waiting = spark.read.schema(CC_SCHEMA).parquet(f"{pending_path}/{last}")
+    name, _, tries = last.partition("-")
+    _score_batch(None, f"{name}-{int(tries or 0) + 1:04d}", waiting, customers, modes, table_path, pending_path)
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    done = [f.getPath() for f in fs.listStatus(at)]
+    return sorted(p.getName() for p in done if p.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _last_part(spark: SparkSession, path: str, before: str | None = None) -> str | None:
+    """The latest finished part, or the latest of an earlier batch."""
+    parts = [p for p in _parts(spark, path) if before is None or p.partition("-")[0] < before]
+    return parts[-1] if parts else None
+
+
+def _pending(spark: SparkSession, pending_path: str, n: int) -> DataFrame | None:
+    last = _last_part(spark, pending_path, f"batch={n:012d}")
+    return None if last is None else spark.read.schema(CC_SCHEMA).parquet(f"{pending_path}/{last}")
+
+
+def _score_batch(new: DataFrame | None, part: str, waiting: DataFrame | None, customers: DataFrame, modes: dict,
+                 table_path: str, pending_path: str) -> None:
+    accounts = waiting if new is None else new if waiting is None else new.unionByName(waiting)
+    known = customers.select("Client_Num").distinct()
+    score_stream(accounts, customers, modes).write.mode("overwrite").parquet(f"{table_path}/{part}")
+    accounts.join(known, "Client_Num", "left_anti").select(*CC_SCHEMA.names).write.mode("overwrite").parquet(f"{pending_path}/{part}")
+
+
+def scored_accounts(spark: SparkSession, table_path: str) -> DataFrame:
+    """All scored accounts."""
+    return spark.read.option("basePath", table_path).option("recursiveFileLookup", True).parquet(table_path)

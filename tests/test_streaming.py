@@ -45,9 +45,9 @@ def test_scored_stream_matches_batch_rules(spark):
         "Client_Num long, Customer_Age long, Gender string, Dependent_Count long, Education_Level string, "
         "Marital_Status string, state_cd string, Zipcode string, Car_Owner string, House_Owner string, "
         "Personal_loan string, contact string, Customer_Job string, Income long, Cust_Satisfaction_Score long")
-    q = ingest.score_batches(spark, landing, cust, {"Education_Level": "Graduate"}, table, ckpt)
+    q = ingest.score_batches(spark, landing, cust, {"Education_Level": "Graduate"}, table, ckpt, os.path.join(root, "pending"))
     q.awaitTermination()
-    out = spark.read.parquet(table).orderBy("Client_Num").collect()
+    out = ingest.scored_accounts(spark, table).orderBy("Client_Num").collect()
     assert len(out) == 6 and out[0].Education_Level == "Graduate"
     # income > 50000, balance < 1000, no delinquency, house, no loan, age > 40, satisfaction >= 4
     assert out[0].credit_score == 70 - 0 and out[0].credit_score_band == "Excellent"
@@ -67,10 +67,43 @@ def test_stream_scores_equal_batch_scores(spark):
         "Client_Num long, Customer_Age long, Gender string, Dependent_Count long, Education_Level string, "
         "Marital_Status string, state_cd string, Zipcode string, Car_Owner string, House_Owner string, "
         "Personal_loan string, contact string, Customer_Job string, Income long, Cust_Satisfaction_Score long")
-    ingest.score_batches(spark, landing, cust, {}, table, ckpt).awaitTermination()
-    streamed = spark.read.parquet(table)
+    ingest.score_batches(spark, landing, cust, {}, table, ckpt, os.path.join(root, "pending")).awaitTermination()
+    streamed = ingest.scored_accounts(spark, table)
     batch_cc = cleanse.parse_dates(csv_src.read_cc_csv(spark, landing))
     batch = scoring.add_scores(cleanse.fill_numeric(scoring.join_profile(batch_cc, cust)))
     cols = ["Client_Num", "Week_Start_Date", "credit_score", "credit_score_band", "fraud_flag", "Trans_Avg"]
     assert sorted(streamed.select(*cols).collect()) == sorted(batch.select(*cols).collect())
     assert streamed.count() == 12
+
+
+CUST_DDL = ("Client_Num long, Customer_Age long, Gender string, Dependent_Count long, Education_Level string, "
+            "Marital_Status string, state_cd string, Zipcode string, Car_Owner string, House_Owner string, "
+            "Personal_loan string, contact string, Customer_Job string, Income long, Cust_Satisfaction_Score long")
+
+
+def _customers(spark, keys):
+    return spark.createDataFrame([(k, 45, "F", 1, "Graduate", "Married", "NY", "1", "yes", "yes", "no",
+                                   "cellular", "Govt", 60000, 5) for k in keys], CUST_DDL)
+
+
+def test_late_customers_are_scored_once(spark):
+    root = tempfile.mkdtemp(prefix="cardlens-stream-")
+    landing, table, ckpt, pending = (os.path.join(root, x) for x in ("landing", "table", "ckpt", "pending"))
+    os.makedirs(landing)
+    known = {"keys": range(100, 103)}
+
+    def run():
+        ingest.score_batches(spark, landing, lambda: _customers(spark, known["keys"]), {}, table, ckpt, pending).awaitTermination()
+        return sorted(r.Client_Num for r in ingest.scored_accounts(spark, table).collect())
+
+    _batch(os.path.join(landing, "week1.csv"), 100, 6)
+    assert run() == [100, 101, 102]  # 103-105 wait
+    known["keys"] = range(100, 105)
+    _batch(os.path.join(landing, "week2.csv"), 200, 2)
+    assert run() == [100, 101, 102, 103, 104]  # 105, 200, 201 wait
+    ingest.score_pending(spark, _customers(spark, [105, 200]), {}, table, pending)
+    ingest.score_pending(spark, _customers(spark, [105, 200]), {}, table, pending)
+    assert sorted(r.Client_Num for r in ingest.scored_accounts(spark, table).collect()) == [100, 101, 102, 103, 104, 105, 200]
+    known["keys"] = range(100, 300)
+    _batch(os.path.join(landing, "week3.csv"), 300, 1)
+    assert run() == [100, 101, 102, 103, 104, 105, 200, 201]  # 300 waits
