@@ -61,13 +61,26 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict:
     return {c: found.get(c) for c in cols}
 
 
-def fill_mode(df: DataFrame, default: str = "Unknown", skip=("Week_Start_Date",)) -> DataFrame:
-    """Null -> column mode; a column with no values -> 'Unknown'."""
-    cols = mode_columns(df, skip)
-    modes = column_modes(df, cols)
-    fills = {c: (m if m is not None else default) for c, m in modes.items()
-             if isinstance(df.schema[c].dataType, T.StringType)}
-    return df.fillna(fills) if fills else df
+def apply_modes(df: DataFrame, modes: dict, default: str = "Unknown") -> DataFrame:
+    """Null -> the column's mode (``column_modes`` gives it as text), cast to
+    the column's type; a string column without any value -> ``default``, a
+    boolean one stays null."""
+    fills = {}
+    for c, m in modes.items():
+        kind = df.schema[c].dataType
+        if m is None and not isinstance(kind, T.StringType):
+            continue
+        fills[c] = F.coalesce(F.col(c), F.lit(default if m is None else m).cast(kind))
+    return df.withColumns(fills) if fills else df
+
+
+def fill_mode(df: DataFrame, default: str = "Unknown", skip=("Week_Start_Date",),
+              only: list[str] | None = None) -> DataFrame:
+    """Null -> column mode; a column with no values -> 'Unknown'.  ``only``
+    names the columns that later steps read: no other mode is fitted, and
+    without any of them no job runs."""
+    cols = [c for c in mode_columns(df, skip) if only is None or c in only]
+    return apply_modes(df, column_modes(df, cols), default)
 
 
 def fill_default(df: DataFrame, col: str = "Personal_loan", value: str = "no") -> DataFrame:
@@ -75,6 +88,7 @@ def fill_default(df: DataFrame, col: str = "Personal_loan", value: str = "no") -
     return df.fillna({col: value}) if col in df.columns else df
 
 
-def clean(df: DataFrame) -> DataFrame:
-    """B1 -> B2 -> B3 -> B4 in the reference's order."""
-    return fill_default(fill_mode(fill_numeric(parse_dates(df))))
+def clean(df: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """B1 -> B2 -> B3 -> B4 in the reference's order; B3 for the columns in
+    ``only`` if given."""
+    return fill_default(fill_mode(fill_numeric(parse_dates(df)), only=only))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.tables import materialize
+from . import features as feat
 from . import predictions
 
 SEED = 42
@@ -53,10 +56,11 @@ def _assembler(features):
 
 
 class FittedModel:
-    def __init__(self, task, kind, features, labels, stages, scaler=None):
+    def __init__(self, task, kind, features, labels, stages, scaler=None, levels=None):
         self.task, self.kind, self.features, self.labels = task, kind, features, labels
         self.stages = stages          # list of PipelineModel: one, or one per class (boosted multiclass)
-        self.scaler = scaler or {}
+        self.scaler = scaler or {}    # column -> (mean, std) of the fit
+        self.levels = levels or {}    # categorical -> its levels at the fit
 
     # -- scoring -----------------------------------------------------------
     def class_probabilities(self, df: DataFrame) -> DataFrame:
@@ -78,8 +82,26 @@ class FittedModel:
         probs = F.array(*[F.when(tot > 0, c / tot).otherwise(F.lit(1.0 / len(cols))) for c in cols])
         return out.withColumn("probs", probs).drop(*[f"_p{i}" for i in range(len(cols))])
 
+    def raw_columns(self) -> list[str]:
+        """Columns of a raw customer row that the model needs."""
+        dummies = {feat.dummy_name(c, v) for c, vs in self.levels.items() for v in vs}
+        return [f for f in self.features if f not in dummies] + list(self.levels)
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """A raw row as the fit saw it: one-hot with the fitted levels (a value
+        that was not there is all zeros), nulls filled, standardised."""
+        check_features(df, self.raw_columns())
+        encoded, _ = feat.one_hot(df, list(self.levels), levels=self.levels)
+        return feat.apply_scaler(feat.fill_features(encoded, self.features), self.scaler)
+
+    def predict_raw(self, df: DataFrame) -> DataFrame:
+        """E7 / E8 outputs for raw customer rows."""
+        if not self.scaler:
+            raise ValueError("the model was fitted without a scaler; it takes prepared rows only")
+        return self.predict(self.prepare(df))
+
     def predict(self, df: DataFrame) -> DataFrame:
-        """E7 (credit) / E8 (fraud) outputs."""
+        """E7 (credit) / E8 (fraud) outputs for prepared rows."""
         p = self.class_probabilities(df)
         if self.task == "credit":
             return predictions.band_output(p, "probs", self.labels, self.kind)
@@ -103,7 +125,7 @@ class FittedModel:
         for i, m in enumerate(self.stages):
             m.write().overwrite().save(os.path.join(path, f"stage_{i}"))
         meta = {"task": self.task, "kind": self.kind, "features": self.features, "labels": self.labels,
-                "n_stages": len(self.stages), "scaler": self.scaler}
+                "n_stages": len(self.stages), "scaler": self.scaler, "levels": self.levels}
         _write_text(path, "meta.json", json.dumps(meta))
 
     @classmethod
@@ -111,7 +133,7 @@ class FittedModel:
         meta = json.loads(_read_text(path, "meta.json"))
         stages = [PipelineModel.load(os.path.join(path, f"stage_{i}")) for i in range(meta["n_stages"])]
         return cls(meta["task"], meta["kind"], meta["features"], meta["labels"], stages,
-                   {k: tuple(v) for k, v in meta["scaler"].items()})
+                   {k: tuple(v) for k, v in meta["scaler"].items()}, meta.get("levels"))
 
 
 def _write_text(path: str, name: str, text: str) -> None:
@@ -128,46 +150,54 @@ def _read_text(path: str, name: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(os.path.join(path, name)).collect())
 
 
+def _kind(kind: str) -> None:
+    if kind not in ("rf", "gbt"):
+        raise ValueError(f"model kind {kind!r} is neither 'rf' (forest) nor 'gbt' (boosted trees)")
+
+
+def _prepend(assembler: VectorAssembler, model) -> PipelineModel:
+    """A tree model fitted on assembled rows, as a pipeline that assembles first."""
+    return PipelineModel(stages=[assembler, model])
+
+
 def train_credit(train: DataFrame, features: list[str], kind: str = "rf", rounds: int = 100,
-                 label_col: str = "credit_score_band", scaler: dict | None = None) -> FittedModel:
+                 label_col: str = "credit_score_band", scaler: dict | None = None, levels: dict | None = None) -> FittedModel:
+    """E2 / E3.  Boosted bands: the rows are assembled and written once, and the
+    bands are fitted side by side, as one-versus-rest does."""
+    _kind(kind)
     labels = list(rules.BANDS)
-    idx = label_indexer(label_col, labels)
     if kind == "rf":
         clf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED, labelCol="label")
-        model = Pipeline(stages=[idx, _assembler(features), clf]).fit(train)
-        return FittedModel("credit", kind, features, labels, [model], scaler)
-    if kind == "gbt":
-        stages = []
-        for i, _lab in enumerate(labels):
-            binl = F.when(F.col(label_col) == labels[i], 1.0).otherwise(0.0)
-            clf = GBTClassifier(maxIter=rounds, stepSize=0.1, maxDepth=6, subsamplingRate=0.8,
-                                featureSubsetStrategy="0.8", seed=SEED, labelCol="bin_label")
-            m = Pipeline(stages=[_assembler(features), clf]).fit(train.withColumn("bin_label", binl))
-            stages.append(m)
-        return FittedModel("credit", kind, features, labels, stages, scaler)
-    raise ValueError(f"Unknown model type: {kind}. Choose 'rf' or 'gbt'.")
+        model = Pipeline(stages=[label_indexer(label_col, labels), _assembler(features), clf]).fit(train)
+        return FittedModel("credit", kind, features, labels, [model], scaler, levels)
+    assembler = _assembler(features)
+    ready = materialize(assembler.transform(train).select("features", label_col))
+
+    def fit(label: str) -> PipelineModel:
+        clf = GBTClassifier(maxIter=rounds, stepSize=0.1, maxDepth=6, subsamplingRate=0.8,
+                            featureSubsetStrategy="0.8", seed=SEED, labelCol="bin_label")
+        return _prepend(assembler, clf.fit(ready.select("features", F.when(F.col(label_col) == label, 1.0).otherwise(0.0).alias("bin_label"))))
+
+    with ThreadPoolExecutor(len(labels)) as pool:
+        return FittedModel("credit", kind, features, labels, list(pool.map(fit, labels)), scaler, levels)
 
 
 def train_fraud(train: DataFrame, features: list[str], kind: str = "rf", rounds: int = 200,
-                label_col: str = "fraud_flag", scaler: dict | None = None) -> FittedModel:
-    counts = {r[0]: r[1] for r in train.groupBy(label_col).count().collect()}
-    n, k = sum(counts.values()), len(counts)
-    data = train.withColumn("label", F.col(label_col).cast("double"))
+                label_col: str = "fraud_flag", scaler: dict | None = None, levels: dict | None = None) -> FittedModel:
+    """E4 (balanced class weights) / E5 (positives weighted n0 / n1)."""
+    _kind(kind)
+    n0, n1 = feat.binary_counts(train, label_col)
+    label = F.col(label_col).cast("double").alias("label")
     if kind == "rf":
-        w = F.lit(0.0)
-        for lab, c in counts.items():  # balanced: n / (k * n_c)
-            w = F.when(F.col(label_col) == lab, F.lit(n / (k * c))).otherwise(w)
+        weight = feat.balanced_weight(n0, n1, label_col)
         clf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED, weightCol="weight")
-        m = Pipeline(stages=[_assembler(features), clf]).fit(data.withColumn("weight", w))
-        return FittedModel("fraud", kind, features, ["0", "1"], [m], scaler)
-    if kind == "gbt":
-        spw = counts.get(0, 0) / counts[1] if counts.get(1) else 1.0
-        w = F.when(F.col(label_col) == 1, F.lit(spw)).otherwise(F.lit(1.0))
+    else:
+        weight = feat.positive_weight(n0, n1, label_col)
         clf = GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, subsamplingRate=0.8,
                             featureSubsetStrategy="0.8", seed=SEED, weightCol="weight")
-        m = Pipeline(stages=[_assembler(features), clf]).fit(data.withColumn("weight", w))
-        return FittedModel("fraud", kind, features, ["0", "1"], [m], scaler)
-    raise ValueError(f"Unknown model type: {kind}. Choose 'rf' or 'gbt'.")
+    assembler = _assembler(features)
+    ready = materialize(assembler.transform(train).select("features", label, weight.alias("weight")))
+    return FittedModel("fraud", kind, features, ["0", "1"], [_prepend(assembler, clf.fit(ready))], scaler, levels)
 
 
 def top_features(importance: DataFrame, n: int = 10) -> DataFrame:

@@ -33,15 +33,18 @@ def fraud_output(df: DataFrame, p: str = "fraud_probability") -> DataFrame:
                            "risk_level": rules.risk_level(F.col(p))})
 
 
-def score_requests(requests: DataFrame, scored: DataFrame, key: str = "Client_Num",
-                   model_ready: bool = True) -> DataFrame:
-    """Every request gets an answer; unknown customers (or no model)
-    get error text, band 'Unknown', probability 0 and an empty map."""
-    if not model_ready:
-        return requests.select(key, F.lit("Model not ready").alias("error"),
-                               F.lit("Unknown").alias("credit_score_band"),
-                               F.lit(0.0).alias("probability"),
-                               F.create_map().cast("map<string,double>").alias("all_probabilities"))
+def score_requests(requests: DataFrame, scored: DataFrame | None, key: str = "Client_Num",
+                   model_ready: bool = True, model_type: str = "rule", missing: list[str] | None = None) -> DataFrame:
+    """Every request gets an answer; unknown customers (or no model, or
+    customer data that lack features the model needs) get error text, band
+    'Unknown', probability 0 and an empty map.  ``model_type`` is answered in
+    each case."""
+    empty = F.create_map().cast("map<string,double>")
+    if not model_ready or missing:
+        error = "Model not ready" if not model_ready else f"Missing features: {missing}"
+        return requests.select(key, F.lit(error).alias("error"), F.lit("Unknown").alias("credit_score_band"),
+                               F.lit(0.0).alias("probability"), empty.alias("all_probabilities"),
+                               F.lit(model_type).alias("model_type"))
     s = scored.select(key, "credit_score_band_pred", "probability", "all_probabilities")
     j = requests.select(key).join(s, key, "left")
     miss = F.col("credit_score_band_pred").isNull()
@@ -50,8 +53,8 @@ def score_requests(requests: DataFrame, scored: DataFrame, key: str = "Client_Nu
         F.when(miss, F.lit("Customer not found")).alias("error"),
         F.when(miss, F.lit("Unknown")).otherwise(F.col("credit_score_band_pred")).alias("credit_score_band"),
         F.when(miss, F.lit(0.0)).otherwise(F.col("probability")).alias("probability"),
-        F.when(miss, F.create_map().cast("map<string,double>")).otherwise(F.col("all_probabilities"))
-        .alias("all_probabilities"))
+        F.when(miss, empty).otherwise(F.col("all_probabilities")).alias("all_probabilities"),
+        F.lit(model_type).alias("model_type"))
 
 
 def probability_rows(df: DataFrame, key: str, map_col: str = "all_probabilities") -> DataFrame:
@@ -59,13 +62,15 @@ def probability_rows(df: DataFrame, key: str, map_col: str = "all_probabilities"
     return df.select(key, F.explode(F.col(map_col)).alias("class", "probability"))
 
 
-def score_fraud_requests(requests: DataFrame, scored: DataFrame, key: str = "Client_Num",
-                         model_ready: bool = True) -> DataFrame:
-    """E9 for the fraud model: unknown customers (or no model) get error
-    text, flag 0, probability 0 and risk level 'Unknown'."""
-    if not model_ready:
-        return requests.select(key, F.lit("Model not ready").alias("error"), F.lit(0).cast("long").alias("fraud_flag"),
-                               F.lit(0.0).alias("fraud_probability"), F.lit("Unknown").alias("risk_level"))
+def score_fraud_requests(requests: DataFrame, scored: DataFrame | None, key: str = "Client_Num",
+                         model_ready: bool = True, model_type: str = "rule", missing: list[str] | None = None) -> DataFrame:
+    """E9 for the fraud model: unknown customers (or no model, or missing
+    features) get error text, flag 0, probability 0 and risk level 'Unknown'."""
+    if not model_ready or missing:
+        error = "Model not ready" if not model_ready else f"Missing features: {missing}"
+        return requests.select(key, F.lit(error).alias("error"), F.lit(0).cast("long").alias("fraud_flag"),
+                               F.lit(0.0).alias("fraud_probability"), F.lit("Unknown").alias("risk_level"),
+                               F.lit(model_type).alias("model_type"))
     s = scored.select(key, F.col("fraud_prediction").alias("_flag"), F.col("fraud_probability").alias("_p"),
                       F.col("risk_level").alias("_risk"))
     j = requests.select(key).join(s, key, "left")
@@ -75,4 +80,5 @@ def score_fraud_requests(requests: DataFrame, scored: DataFrame, key: str = "Cli
         F.when(miss, F.lit("Customer not found")).alias("error"),
         F.when(miss, F.lit(0)).otherwise(F.col("_flag")).cast("long").alias("fraud_flag"),
         F.when(miss, F.lit(0.0)).otherwise(F.col("_p")).alias("fraud_probability"),
-        F.when(miss, F.lit("Unknown")).otherwise(F.col("_risk")).alias("risk_level"))
+        F.when(miss, F.lit("Unknown")).otherwise(F.col("_risk")).alias("risk_level"),
+        F.lit(model_type).alias("model_type"))

@@ -241,6 +241,14 @@ sql("match_tiers", PROFILE_SCORES + f"""
 SELECT Client_Num, CAST(rec_rank AS BIGINT) AS rec_rank, {TIER} AS match_tier FROM ranked WHERE rec_rank <= 3
 """)
 
+BUREAU = "CAST(300 AS DOUBLE) + CAST(credit_score AS DOUBLE) * CAST(550 AS DOUBLE) / CAST(70 AS DOUBLE)"
+sql("user_segment_bureau", CATALOG + f"""
+, bureau AS (SELECT Client_Num, Income, {BUREAU} AS sc FROM firsts)
+SELECT Client_Num, Income, ROUND(sc, 6) AS credit_score, {SEGMENT.format(inc='Income', sc='sc')} AS segment FROM bureau
+""")
+sql("card_match_scores_bureau", PROFILE_SCORES.replace("CAST(credit_score AS DOUBLE) AS sc", f"{BUREAU} AS sc") +
+    "SELECT Client_Num, catalog_pos, card_name, eligible, ROUND(match_score, 6) AS match_score FROM scores")
+
 APPLICANTS = """
 , app0 AS (
   SELECT Txn_Id AS Profile_Id, CAST(Income AS DOUBLE) AS inc,
@@ -418,7 +426,7 @@ bpred AS (SELECT *, GREATEST(p1, p2, p3, p4) AS probability,
 SELECT c.Client_Num, CASE WHEN b.Client_Num IS NULL THEN 'Customer not found' END AS error,
        COALESCE(b.credit_score_band_pred, 'Unknown') AS credit_score_band,
        ROUND(COALESCE(b.probability, 0), 6) AS probability,
-       CAST(CASE WHEN b.Client_Num IS NULL THEN 0 ELSE 4 END AS BIGINT) AS n_classes
+       'rule' AS model_type, CAST(CASE WHEN b.Client_Num IS NULL THEN 0 ELSE 4 END AS BIGINT) AS n_classes
 FROM cust_detail c LEFT JOIN bpred b ON c.Client_Num = b.Client_Num
 """)
 
@@ -515,6 +523,28 @@ SELECT c.Client_Num, CASE WHEN f.p IS NULL THEN 'Customer not found' END AS erro
        CAST(CASE WHEN f.p IS NULL THEN 0 WHEN f.p > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS fraud_flag,
        ROUND(COALESCE(f.p, 0), 6) AS fraud_probability,
        CASE WHEN f.p IS NULL THEN 'Unknown' WHEN f.p > 0.7 THEN 'High' WHEN f.p > 0.3 THEN 'Medium' ELSE 'Low' END
-         AS risk_level
+         AS risk_level, 'rule' AS model_type
 FROM cust_detail c LEFT JOIN fs f ON c.Client_Num = f.Client_Num
 """)
+
+# ---- E2-E9, E16, E17: what is determined of trained models -------------------
+HELD = f"{mix32('Txn_Id', 2654435761)} >= 3435973837"
+sql("credit_contract", f"""
+SELECT Txn_Id, credit_score_band, TRUE AS in_domain, TRUE AS sums_to_one, TRUE AS is_argmax, 'rf' AS model_type
+FROM portfolio WHERE {HELD}
+""")
+sql("fraud_contract", f"""
+SELECT Txn_Id AS row_key, fraud_flag, TRUE AS in_range, TRUE AS flag_follows, TRUE AS risk_follows, 'rf' AS model_type
+FROM portfolio WHERE {HELD}
+""")
+sql("boosted_contract", f"""
+SELECT task, Txn_Id AS key, TRUE AS lawful FROM portfolio CROSS JOIN (VALUES ('credit'), ('fraud')) t(task) WHERE {HELD}
+""")
+sql("importance_contract", ", features(feature) AS (VALUES " + ", ".join(f"('{c}')" for c in SMF) + """)
+SELECT task, feature, TRUE AS sums_to_one, TRUE AS top_is_largest FROM features CROSS JOIN (VALUES ('credit'), ('fraud')) t(task)
+""")
+sql("request_answers", CATALOG + """
+SELECT c.Client_Num, CASE WHEN f.Client_Num IS NULL THEN 'Customer not found' END AS error, 'rf' AS model_type,
+       f.Client_Num IS NOT NULL AS has_probabilities, f.Client_Num IS NOT NULL AS has_band
+FROM cust_detail c LEFT JOIN firsts f ON c.Client_Num = f.Client_Num
+""")

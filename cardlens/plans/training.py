@@ -1,17 +1,22 @@
 """Training frames and fitted models, in the reference's order:
 features -> one-hot -> standardise (fit on all rows) -> [SMOTE] -> split.
 
-The standardised frame is checkpointed (reliable checkpoint into the
-shared ``spark.checkpoint.dir``) because every fit makes several passes.
+The standardised frame is written once (under the shared
+``spark.checkpoint.dir``) because every fit makes several passes.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import features, models, smote
+from ..operators import features, metrics, models, smote
+from ..functions import rules
+from ..session import ensure_checkpoint_dir
+from ..sources import tables
 from .portfolio import materialized, portfolio_table
 
 
@@ -19,10 +24,12 @@ MODEL_INPUT_COLS = ["Txn_Id", "credit_score_band", "fraud_flag", *features.NUMER
                     *features.CATEGORICALS]
 
 
-def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[DataFrame, list[str], dict]:
-    """``fit_on='all'`` fits the scaler on every row before the split (the
+def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[DataFrame, list[str], dict, dict]:
+    """(rows, features, scaler, category levels).  ``fit_on='all'`` fits the scaler on every row before the split (the
     reference's order); ``'train'`` fits it on the training rows only."""
-    df, _ = features.one_hot(portfolio_table(spark, sf_dir, MODEL_INPUT_COLS))
+    table = portfolio_table(spark, sf_dir, MODEL_INPUT_COLS)
+    levels = features.category_levels(table, features.CATEGORICALS)
+    df, _ = features.one_hot(table, levels=levels)
     cols = features.feature_columns(df)
     df = features.fill_features(df.select("Txn_Id", "credit_score_band", "fraud_flag", *cols), cols,
                                 "credit_score_band", "Fair")
@@ -31,7 +38,7 @@ def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[
     fit_rows = df if fit_on == "all" else df.where(hashing.split_label(F.col("Txn_Id")) == "train")
     stats = features.fit_scaler(fit_rows, cols)
     z = features.apply_scaler(df, stats)
-    return materialized(z), cols, stats
+    return materialized(z), cols, stats, levels
 
 
 def split(df: DataFrame, key_col: str = "row_key") -> tuple[DataFrame, DataFrame]:
@@ -40,37 +47,86 @@ def split(df: DataFrame, key_col: str = "row_key") -> tuple[DataFrame, DataFrame
 
 
 def credit_sets(spark, sf_dir, fit_on: str = "all"):
-    z, cols, stats = model_frame(spark, sf_dir, fit_on)
+    """(train, test, features, scaler, levels)."""
+    z, cols, stats, levels = model_frame(spark, sf_dir, fit_on)
     z = z.withColumn("row_key", F.col("Txn_Id"))
     tr, te = split(z)
-    return tr, te, cols, stats
+    return tr, te, cols, stats, levels
 
 
 def fraud_sets(spark, sf_dir, oversample: str = "all"):
-    """``oversample='all'`` (the reference's order): SMOTE before the split,
-    so synthetic rows also reach the test set; they get the negative keys
-    -(synth_index + 1) for the split hash.  ``'train_only'``: split the real
-    rows first and oversample only the training part."""
-    z, cols, stats = model_frame(spark, sf_dir)
+    """(train, test, features, scaler, levels).  ``oversample='all'`` (the
+    reference's order): SMOTE before the split, so synthetic rows also reach
+    the test set; they get the negative keys -(synth_index + 1) for the split
+    hash.  ``'train_only'``: split the real rows first and oversample only the
+    training part."""
+    z, cols, stats, levels = model_frame(spark, sf_dir)
     base = z.select("Txn_Id", "fraud_flag", *cols)
-    if oversample == "all":
-        res = smote.oversample(base, cols, "fraud_flag", "Txn_Id")
-        res = res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1)))
-        tr, te = split(materialized(res))
-        return tr, te, cols, stats
-    if oversample == "train_only":
-        tr, te = split(base.withColumn("row_key", F.col("Txn_Id")))
-        res = smote.oversample(tr.drop("row_key"), cols, "fraud_flag", "Txn_Id")
-        res = res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1)))
-        return materialized(res), te, cols, stats
-    raise ValueError(oversample)
+    if oversample not in ("all", "train_only"):
+        raise ValueError(oversample)
+    real, te = (base, None) if oversample == "all" else split(base.withColumn("row_key", F.col("Txn_Id")))
+    res = smote.oversample(real.select("Txn_Id", "fraud_flag", *cols), cols, "fraud_flag", "Txn_Id")
+    res = materialized(res.withColumn("row_key", F.coalesce(F.col("Txn_Id"), -(F.col("synth_index") + 1))))
+    tr, te = split(res) if oversample == "all" else (res, te)
+    return tr, te, cols, stats, levels
 
 
 def fit_credit(spark, sf_dir, kind="rf", rounds=100, fit_on="all"):
-    tr, te, cols, stats = credit_sets(spark, sf_dir, fit_on)
-    return models.train_credit(tr, cols, kind, rounds=rounds, scaler=stats), te
+    tr, te, cols, stats, levels = credit_sets(spark, sf_dir, fit_on)
+    return models.train_credit(tr, cols, kind, rounds=rounds, scaler=stats, levels=levels), te
 
 
 def fit_fraud(spark, sf_dir, kind="rf", rounds=200, oversample="all"):
-    tr, te, cols, stats = fraud_sets(spark, sf_dir, oversample)
-    return models.train_fraud(tr, cols, kind, rounds=rounds, scaler=stats), te
+    tr, te, cols, stats, levels = fraud_sets(spark, sf_dir, oversample)
+    return models.train_fraud(tr, cols, kind, rounds=rounds, scaler=stats, levels=levels), te
+
+
+def reloaded(model: models.FittedModel, spark: SparkSession) -> models.FittedModel:
+    """The model, saved under the shared folder and loaded from there."""
+    path = tables.own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}")
+    model.save(path)
+    return models.FittedModel.load(path)
+
+
+def credit_laws(model: models.FittedModel, rows: DataFrame) -> DataFrame:
+    """E7 output of ``rows`` with what must hold of it, as flags."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    spread = F.array_min("probs") >= 0
+    return model.predict(rows).withColumns({
+        "in_domain": F.col("credit_score_band_pred").isin(rules.BANDS) & spread,
+        "sums_to_one": F.abs(total - 1) < 1e-9,
+        "is_argmax": (F.col("probability") == F.array_max("probs"))
+        & (F.element_at("all_probabilities", F.col("credit_score_band_pred")) == F.col("probability"))})
+
+
+def fraud_laws(model: models.FittedModel, rows: DataFrame) -> DataFrame:
+    """E8 output of ``rows`` with what must hold of it, as flags."""
+    p = F.col("fraud_probability")
+    risk = F.when(p > 0.7, "High").when(p > 0.3, "Medium").otherwise("Low")
+    return model.predict(rows).withColumns({
+        "in_range": p.between(0, 1), "flag_follows": F.col("fraud_prediction") == (p > 0.5).cast("long"),
+        "risk_follows": F.col("risk_level") == risk})
+
+
+def importance_laws(model: models.FittedModel, spark: SparkSession, task: str) -> DataFrame:
+    """(task, feature, sums_to_one, top_is_largest) for each feature of a model."""
+    imp = model.feature_importance(spark)
+    total = imp.agg(F.sum("importance").alias("total"))  # one row
+    least = models.top_features(imp, 10).agg(F.min("importance").alias("least"), F.collect_set("feature").alias("top"))  # one row
+    return imp.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(least)).select(
+        F.lit(task).alias("task"), "feature", (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"),
+        F.when(F.array_contains("top", F.col("feature")), F.col("importance") >= F.col("least"))
+        .otherwise(F.col("importance") <= F.col("least")).alias("top_is_largest"))
+
+
+def fraud_metrics(model: models.FittedModel, rows: DataFrame) -> DataFrame:
+    """(metric, value): accuracy, ROC AUC, positive-class precision."""
+    pred = materialized(model.predict(rows).select(
+        F.col("fraud_flag").cast("string").alias("label"), F.col("fraud_prediction").cast("string").alias("prediction"),
+        F.col("fraud_flag").alias("y"), F.col("fraud_probability").alias("score")))
+    acc = metrics.accuracy(pred).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    auc = metrics.roc_auc(pred.select(F.col("y").alias("label"), "score")).select(
+        F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+    prec = metrics.class_precision(metrics.classification_report(pred), "1").select(
+        F.lit("precision_1").alias("metric"), F.col("precision").alias("value"))
+    return acc.unionByName(auc).unionByName(prec)

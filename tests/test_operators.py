@@ -105,7 +105,7 @@ def test_knn_equals_brute_force(spark, metric):
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "k long, a double, b double, c double")
     largest = metric == "cosine"
     got = knn.exact_top_k(df, "k", df, "k", ["a", "b", "c"], 4, metric=metric, key_desc=largest,
-                          exclude_self=not largest, max_probe_rows=90)  # forces 4 probe chunks
+                          exclude_self=not largest, slice_rows=256)
     got = {(r.probe_key, r.nn_rank): r.cand_key for r in got.collect()}
     for i in range(0, 300, 37):
         if largest:

@@ -7,7 +7,7 @@ from cardlens.plans.check import compare, duck
 from conftest import SF0001
 
 SQL = E.oracle_sql()
-NAMES = sorted(SQL)
+NAMES = sorted(k for k in SQL if not k.startswith("op"))  # the training-data operators have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,8 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_a_model():
-    missing = set(E.queries()) - set(SQL)
+    from cardlens.plans.registry import QUERIES
+    missing = set(QUERIES) - set(SQL)
     assert all(("predictions" in m) or m in ("feature_importance", "top_features", "fraud_rf_evaluation") for m in missing), missing
 
 
