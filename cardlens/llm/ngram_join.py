@@ -18,8 +18,8 @@ cut down before it is multiplied, each time by a bound that loses no link:
    blocks of the product: no link crosses them.
 
 A block of at most ``block_tokens`` entries is multiplied in one task, many
-small blocks to a task; a larger one is cut into row ranges and each pair of
-ranges is a task.  Inside a task overlaps are accumulated column by column
+small blocks to a task; a larger one is cut into parts and pairs of parts are
+tasks (``_multiply``).  Inside a task overlaps are accumulated over the columns
 against the rows that are not yet known to be connected, size bounds first,
 and only the links of a spanning forest leave it, never all pairs of a group.
 """
@@ -80,8 +80,8 @@ def _set_sums(found: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
 
 
 def measure(batches):
-    """(doc_id, text) -> (doc_id, n, s1, s2, sample): set size, 128-bit sum of
-    the set, and the shingles in the part of the hash space counted first."""
+    """(doc_id, text, th) -> (doc_id, th, n, s1, s2, sample): set size, 128-bit
+    sum of the set, and the shingles in the part of the hash space counted first."""
     hasher = WordHasher(lower=True)
     for batch in batches:
         for first, data, offsets in text_blocks(batch.column(1)):
@@ -89,11 +89,12 @@ def measure(batches):
             taken = found < np.uint64(SAMPLE)
             cut = np.concatenate(([0], np.cumsum(taken)))[bounds]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(first, len(offsets) - 1), pa.array(np.diff(bounds), pa.int64()),
+                batch.column(0).slice(first, len(offsets) - 1), batch.column(2).slice(first, len(offsets) - 1),
+                pa.array(np.diff(bounds), pa.int64()),
                 pa.array(_set_sums(found, bounds, 0x5851F42D4C957F2D).view(np.int64)),
                 pa.array(_set_sums(found, bounds, 0x14057B7EF767814F).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found[taken].view(np.int64)))],
-                names=["doc_id", "n", "s1", "s2", "sample"])
+                names=["doc_id", "th", "n", "s1", "s2", "sample"])
 
 
 def all_shingles(batches):
@@ -179,12 +180,12 @@ def _without_lonely(rows: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     block_tokens: int = 1_000_000) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id, n_links_held)`` for each row of ``docs``.
+                     block_tokens: int = 500_000) -> DataFrame:
+    """``(doc_id, text_hash, n_shingles, component_id, class_id)`` for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable by links, ``class_id``
-    the smallest doc_id with the same shingle set, ``n_links_held`` the links
-    of the spanning forest at that class.
+    the smallest doc_id with the same shingle set, ``text_hash`` the row's
+    ``xxhash64(text)``, which tells rows that share a doc_id apart.
 
     Nulls and empties: a null text is empty; a text without words has set size
     0 and only itself as component.  A row whose doc_id is null is returned
@@ -194,8 +195,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives no rows."""
     tables = Tables(docs.sparkSession, "ngram")
     base = id_and_text(docs, id_col, text_col)
-    sets = tables.write(base.mapInArrow(measure, "doc_id long, n long, s1 long, s2 long, sample array<long>"), "sets")
-    named = sets.where("doc_id is not null and n > 0")
+    sets = tables.write(base.withColumn("th", F.xxhash64("text")).mapInArrow(
+        measure, "doc_id long, th long, n long, s1 long, s2 long, sample array<long>"), "sets")
+    named = sets.where("doc_id is not null and n > 0").drop("th")
     alike = ["n", "s1", "s2"]
 
     # an id that several rows share would mix their counts: such rows stay for the exact count below
@@ -223,35 +225,60 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     links = tables.write(_multiply(rows2, blocks, tables, block_tokens), "links")
     labels = tables.write(connected_components(links, tables, "labels"), "labels")
-    ends_of = links.select(F.col("a").alias("class_id")).union(links.select(F.col("b").alias("class_id")))
-    degree = ends_of.groupBy("class_id").agg(F.count("*").alias("n_links_held"))
     named_classes = tables.write(
-        classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
-        .select(*alike, "class_id", F.coalesce("label", "class_id").alias("component_id"),
-                F.coalesce("n_links_held", F.lit(0)).cast("long").alias("n_links_held")), "named")
+        classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+        .select(*alike, "class_id", F.coalesce("label", "class_id").alias("component_id")), "named")
     tables.drop("rows2", "blocks", "links", "labels", "classes")
-    return (sets.select("doc_id", *alike).join(named_classes, alike, "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+    return (sets.select("doc_id", "th", *alike).join(named_classes, alike, "left")
+            .select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links_held", F.lit(0))).alias("n_links_held")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
+
+
+def _tile(rows: DataFrame, tile, side) -> DataFrame:
+    return rows.select(tile.alias("tile"), "label", side.cast("long").alias("side"), "doc_id", "tokens")
+
+
+def _linked(tiles: DataFrame) -> DataFrame:
+    return tiles.groupBy("tile").applyInArrow(tile_links, "a long, b long")
 
 
 def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens: int) -> DataFrame:
-    """Links (a, b) of all blocks: tiles of bounded size, dealt by tile."""
+    """Links (a, b) of all blocks: tiles of bounded size, dealt by tile.
+
+    Blocks within ``block_tokens`` share tiles.  A larger one is cut into parts;
+    every part meets part 0 first.  In a group of near copies that puts nearly
+    all rows into one component, and pairs inside it need no product any more:
+    only the rows outside it (and outside part 0) go on to meet every part."""
     placed = rows.join(blocks.withColumnRenamed("node", "doc_id"), "doc_id").select("label", "doc_id", "n", "tokens")
     sizes = tables.write(placed.groupBy("label").agg(F.sum("n").alias("total")), "sizes")
     parts = F.ceil(F.col("total") / block_tokens).cast("long")
-    small = sizes.where(F.col("total") <= block_tokens).agg(F.sum("total")).first()[0] or 0
-    bins = max(1, -(-small * 4 // block_tokens))
+    small, large = sizes.agg(F.sum(F.when(F.col("total") <= block_tokens, F.col("total"))),
+                             F.count(F.when(F.col("total") > block_tokens, 1))).first()
+    bins = max(1, -(-(small or 0) * 4 // block_tokens))
     with_size = placed.join(sizes.withColumn("parts", parts), "label")
-    one = with_size.where("parts = 1").select(
-        F.concat(F.lit("bin "), F.pmod(F.xxhash64("label"), F.lit(bins))).alias("tile"), "label",
-        F.lit(2).alias("side"), "doc_id", "tokens")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    many = (with_size.where("parts > 1").withColumn("part", part)
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            .select(F.concat_ws(" ", F.lit("tile"), "label", F.least("part", "other"), F.greatest("part", "other")).alias("tile"),
-                    "label", F.when(F.col("part") == F.col("other"), 2).otherwise(F.when(F.col("part") < F.col("other"), 0).otherwise(1)).alias("side"),
-                    "doc_id", "tokens"))
-    return one.unionByName(many).groupBy("tile").applyInArrow(tile_links, "a long, b long")
+    links = tables.write(_linked(_tile(with_size.where("parts = 1"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string"), F.lit(2))),
+                         "links-small")
+    if not large:
+        return links
+    cut = tables.write(with_size.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "parts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    name = lambda *c: F.concat_ws(" ", "label", *c)
+    first = _tile(cut.where("part = 0").withColumn("j", each), name("j"), F.when(F.col("j") == 0, 2).otherwise(0)).unionByName(
+        _tile(cut.where("part > 0"), name("part"), F.lit(1)))
+    known = tables.write(_linked(first), "links-first")
+
+    # what each row is connected to so far, and the component with the most rows of its block
+    joined = connected_components(known, tables, "first").withColumnRenamed("label", "root").withColumnRenamed("node", "doc_id")
+    rooted = tables.write(cut.select("label", "doc_id", "part").distinct().join(joined, "doc_id", "left")
+                          .withColumn("root", F.coalesce("root", "doc_id")), "roots")
+    largest = (rooted.groupBy("label", "root").agg(F.count("*").alias("c"))
+               .groupBy("label").agg(F.max_by("root", F.struct("c", "root")).alias("hub")))
+    outside = rooted.where("part > 0").join(largest, "label").where("root <> hub").select("label", "doc_id")
+    left = tables.write(cut.join(outside, ["label", "doc_id"], "left_semi"), "outside")
+    shares = tables.write(left.groupBy("label").agg(F.ceil(F.sum("n") / block_tokens).cast("long").alias("shares")), "shares")
+    asked = left.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("shares"))).withColumn("j", each)
+    met = cut.where("part > 0").join(shares, "label").withColumn(
+        "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    rest = _linked(_tile(asked.where("j > 0"), name("share", "j"), F.lit(0)).unionByName(_tile(met, name("share", "part"), F.lit(1))))
+    return links.unionByName(known).unionByName(rest)

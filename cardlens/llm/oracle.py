@@ -9,4 +9,59 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-SQL = {"op10_exact_dedup": OP10}
+_WORD = r"[^\x20\x09-\x0D]+"
+_CAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPS}', '{_CAPS.lower()}'), '{_WORD}') AS w
+           FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM w, unnest(range(1, greatest(1, len(w) - 4) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS whole FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
+       CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.whole) END AS class_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1) c ON c.doc_id = d.doc_id
+"""
+
+# the rules of quality.RULES as plain conditions, in their order
+OP6 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '{_WORD}')] AS l FROM t),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c
+      FROM w, unnest(range(1, len(w) - 6)) u(i)),
+p AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS covers FROM g WHERE c > 1),
+r AS (SELECT doc_id, sum(covers) AS n FROM p GROUP BY 1),
+f AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             10 * n_symbols > n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)
+             OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_upper > 50 * word_chars AS own_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR own_failed) AS kept
+FROM j
+"""
+
+OP8 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 49], ' ')) < doc_id AS again
+      FROM w, unnest(range(1, len(w) - 48)) u(i)),
+x AS (SELECT w.doc_id, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) u(i)),
+k AS (SELECT x.doc_id, x.i, x.word,
+             coalesce(bool_or(g.again) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+             string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+SQL = {"op1_ngram_jaccard_join": OP1, "op6_quality_rules": OP6, "op8_substring_dedup": OP8, "op10_exact_dedup": OP10}

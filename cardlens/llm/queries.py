@@ -30,7 +30,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir))
+    return ngram_components(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_features(documents(spark, sf_dir))
+    return quality_features(documents(spark, sf_dir)).drop("failed")
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

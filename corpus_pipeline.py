@@ -35,8 +35,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the smallest
     doc_id.  Rows whose doc_id is null are linked with nothing and stay."""
-    gone = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = ngram_components(docs).where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
+    lost = (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash"))
+    return docs.alias("d").join(gone.alias("g"), lost, "left_anti").select(*[f"d.`{c}`" for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
