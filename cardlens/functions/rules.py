@@ -55,27 +55,17 @@ def credit_score() -> Column:
     return F.expr(credit_score_sql())
 
 
-def right_closed_bins(x: Column, edges: list, labels: list[str], default: str | None) -> Column:
-    """pd.cut semantics: (e0,e1] -> labels[0] ...; outside -> default."""
-    expr = None
-    for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
-        cond = (x > lo) & (x <= hi)
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    return expr.otherwise(F.lit(default) if default is not None else F.lit(None).cast("string"))
-
-
 def bins_sql(x: str, edges: list, labels: list[str], default: str | None) -> str:
+    """pd.cut semantics as SQL: (e0,e1] -> labels[0] ...; outside -> default."""
     arms = " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN '{lab}'"
                     for lo, hi, lab in zip(edges[:-1], edges[1:], labels))
     return f"CASE {arms} ELSE " + (f"'{default}'" if default is not None else "CAST(NULL AS STRING)") + " END"
 
 
-def score_band(score: Column | None = None) -> Column:
-    """Right-closed bands; a score in no bin (0) is Fair.  Without an
-    argument the band is computed from the score rules directly."""
-    if score is None:
-        return F.expr(bins_sql("(" + credit_score_sql() + ")", BAND_EDGES, BANDS, BAND_DEFAULT))
-    return right_closed_bins(score, BAND_EDGES, BANDS, BAND_DEFAULT)
+def score_band(score: str | None = None) -> Column:
+    """Right-closed bands of a score column (SQL); a score in no bin (0) is
+    Fair.  Without an argument the score comes from its rules directly."""
+    return F.expr(bins_sql(score or "(" + credit_score_sql() + ")", BAND_EDGES, BANDS, BAND_DEFAULT))
 
 
 FRAUD_RULES = [
@@ -95,9 +85,9 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.when(den == 0, F.lit(1)).otherwise(den).cast("double")
 
 
-def age_group(age: Column) -> Column:
-    """Right-closed age bins, null outside (0,100]."""
-    return right_closed_bins(age, AGE_EDGES, AGE_GROUPS, None)
+def age_group(age: str) -> Column:
+    """Right-closed age bins of an age column (SQL), null outside (0,100]."""
+    return F.expr(bins_sql(age, AGE_EDGES, AGE_GROUPS, None))
 
 
 def fraud_label(flag: Column) -> Column:

@@ -165,7 +165,7 @@ def weekly_trends(df: DataFrame) -> DataFrame:
 
 def with_age_group(df: DataFrame) -> DataFrame:
     """Right-closed age bins."""
-    return df.withColumn("Age_Group", rules.age_group(F.col("Customer_Age")))
+    return df.withColumn("Age_Group", rules.age_group("Customer_Age"))
 
 
 def age_band_counts(df: DataFrame) -> DataFrame:

@@ -540,6 +540,15 @@ FROM portfolio WHERE {HELD}
 sql("boosted_contract", f"""
 SELECT task, Txn_Id AS key, TRUE AS lawful FROM portfolio CROSS JOIN (VALUES ('credit'), ('fraud')) t(task) WHERE {HELD}
 """)
+sql("evaluation_contract", f"""
+, held AS (SELECT * FROM portfolio WHERE {HELD}),
+kinds(kind) AS (VALUES ('rf'), ('gbt')),
+tasks(task) AS (VALUES ('credit'), ('fraud')),
+measures(measure) AS (VALUES ('accuracy'), ('report'), ('confusion'))
+SELECT task, kind, measure, (SELECT COUNT(*) FROM held) AS n, TRUE AS lawful FROM tasks CROSS JOIN kinds CROSS JOIN measures
+UNION ALL SELECT task, kind, 'importance', CAST({len(SMF)} AS BIGINT), TRUE FROM tasks CROSS JOIN kinds
+UNION ALL SELECT 'fraud', kind, m, CAST(1 AS BIGINT), TRUE FROM kinds CROSS JOIN (VALUES ('roc_auc'), ('pr_curve')) t(m)
+""")
 sql("importance_contract", ", features(feature) AS (VALUES " + ", ".join(f"('{c}')" for c in SMF) + """)
 SELECT task, feature, TRUE AS sums_to_one, TRUE AS top_is_largest FROM features CROSS JOIN (VALUES ('credit'), ('fraud')) t(task)
 """)

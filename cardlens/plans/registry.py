@@ -560,6 +560,18 @@ def q_boosted_contract(spark, d):
     return c.unionByName(f)
 
 
+@query("evaluation_contract")
+def q_evaluation_contract(spark, d):
+    """E11-E16 of trained models: credit and fraud, forest and boosted trees,
+    all in full, each evaluated on its held-out rows."""
+    credit, fraud = training.credit_sets(spark, d), training.fraud_sets(spark, d, "train_only")
+    parts = []
+    for kind in KINDS:
+        for fit, (train, held, cols, stats, levels) in ((mdl.train_credit, credit), (mdl.train_fraud, fraud)):
+            parts.append(training.evaluation_laws(fit(train, cols, kind, scaler=stats, levels=levels), spark, held))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("importance_contract")
 def q_importance_contract(spark, d):
     """E16 and E17 of the credit and fraud forests: every feature is there once,

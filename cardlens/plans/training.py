@@ -119,6 +119,41 @@ def importance_laws(model: models.FittedModel, spark: SparkSession, task: str) -
         .otherwise(F.col("importance") <= F.col("least")).alias("top_is_largest"))
 
 
+def evaluation_laws(model: models.FittedModel, spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The evaluate step of a model of either task and kind on its held-out
+    rows, as what is determined of it: (task, kind, measure, n, lawful).
+
+    accuracy (n: rows), report (n: report rows), confusion (n: its total),
+    importance (n: features), and for fraud roc_auc and the end of the
+    precision-recall curve."""
+    label, guess = ("credit_score_band", "credit_score_band_pred") if model.task == "credit" else ("fraud_flag", "fraud_prediction")
+    scored = model.predict(rows)
+    score = F.col("fraud_probability") if model.task == "fraud" else F.lit(0.0)
+    pred = materialized(scored.select(F.col(label).cast("string").alias("label"), F.col(guess).cast("string").alias("prediction"),
+                                      (F.col(label).cast("string") == "1").cast("int").alias("y"), score.alias("score")))
+    unit = lambda c: F.col(c).between(0, 1)
+    report = metrics.classification_report(pred)
+    parts = [
+        pred.agg(F.lit("accuracy").alias("measure"), F.count(F.lit(1)).alias("n")).join(metrics.accuracy(pred)).select(
+            "measure", "n", unit("accuracy").alias("lawful")),
+        report.where(~F.col("class").isin(metrics.MACRO, metrics.WEIGHTED)).agg(
+            F.lit("report").alias("measure"), F.sum("support").alias("n"),
+            F.min(unit("precision") & unit("recall") & unit("f1")).alias("lawful")),
+        metrics.confusion_matrix(pred).agg(F.lit("confusion").alias("measure"), F.sum("n").alias("n"), (F.min("n") >= 0).alias("lawful")),
+        model.feature_importance(spark).agg(F.lit("importance").alias("measure"), F.count(F.lit(1)).alias("n"),
+                                            (F.abs(F.sum("importance") - 1) < 1e-9).alias("lawful"))]
+    if model.task == "fraud":
+        curve = pred.select(F.col("y").alias("label"), "score")
+        parts += [
+            metrics.roc_auc(curve).select(F.lit("roc_auc").alias("measure"), F.lit(1).cast("long").alias("n"), unit("roc_auc").alias("lawful")),
+            metrics.pr_curve(curve).agg(F.lit("pr_curve").alias("measure"), F.count(F.when(F.col("recall") == 0, 1)).cast("long").alias("n"),
+                                        F.min(unit("precision") & unit("recall")).alias("lawful"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.lit(model.task).alias("task"), F.lit(model.kind).alias("kind"), "measure", "n", "lawful")
+
+
 def fraud_metrics(model: models.FittedModel, rows: DataFrame) -> DataFrame:
     """(metric, value): accuracy, ROC AUC, positive-class precision."""
     pred = materialized(model.predict(rows).select(
