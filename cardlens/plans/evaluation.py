@@ -47,12 +47,11 @@ def train_rows(df: DataFrame) -> DataFrame:
     return df.where(hashing.split_label(F.col("Txn_Id")) == "train")
 
 
-def labelled_tasks(df: DataFrame) -> dict[str, DataFrame]:
-    """task -> DataFrame(label, prediction, [score]) over the test rows."""
-    t = test_rows(df)
-    credit = band_predictions(t).select(F.col("credit_score_band").alias("label"),
-                                        F.col("credit_score_band_pred").alias("prediction"))
-    fraud = predictions.fraud_output(fraud_scores(t)).select(
-        F.col("fraud_flag").cast("string").alias("label"),
-        F.col("fraud_prediction").cast("string").alias("prediction"))
-    return {"credit": credit, "fraud": fraud}
+def labelled(df: DataFrame) -> DataFrame:
+    """(task, label, prediction) over the test rows, both tasks in one pass."""
+    scored = predictions.fraud_output(fraud_scores(band_predictions(test_rows(df))))
+    return scored.select(F.inline(F.array(
+        F.struct(F.lit("credit").alias("task"), F.col("credit_score_band").alias("label"),
+                 F.col("credit_score_band_pred").alias("prediction")),
+        F.struct(F.lit("fraud").alias("task"), F.col("fraud_flag").cast("string").alias("label"),
+                 F.col("fraud_prediction").cast("string").alias("prediction")))))

@@ -295,10 +295,11 @@ def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def _per_task(spark, d, fn) -> DataFrame:
-    parts = [fn(t).select(F.lit(name).alias("task"), "*")
-             for name, t in evaluation.labelled_tasks(numbers(spark, d)).items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+TASK = ("task",)
+
+
+def labelled(spark, d) -> DataFrame:
+    return evaluation.labelled(numbers(spark, d))
 
 
 @query("one_hot")
@@ -355,33 +356,33 @@ def q_fraud_requests(spark, d):
 
 @query("accuracy")
 def q_accuracy(spark, d):
-    return _r6(_per_task(spark, d, lambda t: metrics.accuracy(t)), ["accuracy"])
+    return _r6(metrics.accuracy(labelled(spark, d), by=TASK), ["accuracy"])
 
 
 @query("classification_report")
 def q_classification_report(spark, d):
-    return _r6(_per_task(spark, d, metrics.classification_report), ["precision", "recall", "f1"])
+    return _r6(metrics.classification_report(labelled(spark, d), by=TASK), ["precision", "recall", "f1"])
 
 
 @query("confusion_matrix")
 def q_confusion_matrix(spark, d):
-    return _per_task(spark, d, metrics.confusion_matrix)
+    return metrics.confusion_matrix(labelled(spark, d), by=TASK)
 
 
 @query("avg_f1")
 def q_avg_f1(spark, d):
-    return _r6(_per_task(spark, d, lambda t: metrics.avg_f1(metrics.classification_report(t))), ["avg_f1"])
+    return _r6(metrics.avg_f1(metrics.classification_report(labelled(spark, d), by=TASK), TASK), ["avg_f1"])
 
 
 @query("report_long")
 def q_report_long(spark, d):
-    return _r6(_per_task(spark, d, lambda t: metrics.report_long(metrics.classification_report(t))), ["value"])
+    return _r6(metrics.report_long(metrics.classification_report(labelled(spark, d), by=TASK), ("task", "class")), ["value"])
 
 
 @query("fraud_precision")
 def q_fraud_precision(spark, d):
-    t = evaluation.labelled_tasks(numbers(spark, d))["fraud"]
-    return _r6(metrics.class_precision(metrics.classification_report(t), "1"), ["precision"])
+    fraud = labelled(spark, d).where("task = 'fraud'")
+    return _r6(metrics.class_precision(metrics.classification_report(fraud), "1"), ["precision"])
 
 
 def _fraud_scored(spark, d):
