@@ -8,10 +8,12 @@ a group of one row is done, and so is a group whose digit came out short,
 because all its texts have ended: they are equal.  Only rows of groups that are
 neither go to the next round.
 
-Splitting is a grouped count over (group, digit), summed before the shuffle,
-written, and joined back: a group with a third of all rows is one row on one
-side and is split over tasks by the adaptive skew join on the other.  A row's
-group is named by the least row number in it, which the count gives for free.
+Splitting is a grouped count over (group, digit), summed before the shuffle and
+written.  It is joined back by shuffle: a group with a third of all rows is one
+row on one side and is split over tasks by the adaptive skew join on the other.
+What is shuffled is a row's digit and the bytes after it, so a text's bytes move
+once a round and only while its group is undecided.  The first digit alone, which
+decides most rows, is joined by broadcast while its groups' measured size is small.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Tables
+from .common import SPACE, Tables, broadcast_if_small
 
 DIGIT, GROW = 64, 8
 
@@ -29,8 +31,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")
 
 
-def _digit(start: int, length: int) -> Column:
-    return F.substring(normalised(F.col("text")).cast("binary"), start + 1, length)
+def _split(data: Column, length: int) -> tuple[Column, Column]:
+    """The next digit of a binary column, and what is left of it."""
+    return F.substring(data, 1, length), F.substring(data, length + 1, 1 << 30)
 
 
 def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -48,40 +51,39 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("struct<none:long>")
     start = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         row.alias("row"))
-    digit = _digit(0, DIGIT)
+    digit, rest = _split(normalised(F.col("text")).cast("binary"), DIGIT)
     heads = tables.write(start.select(digit.alias("digit")).groupBy("digit").agg(F.count("*").alias("n"))
-                         .where("n > 1"), "heads")
-    done = F.col("n").isNull()
+                         .where("n > 1").select("digit", F.monotonically_increasing_id().alias("gid")), "heads")
+    done = F.col("gid").isNull()
     now = tables.write(
-        start.withColumn("digit", digit).join(heads, "digit", "left")
-        .select("doc_id", F.when(~done, F.col("text")).alias("text"), "row", done.alias("alone"),
+        start.withColumn("digit", digit).join(broadcast_if_small(heads, heads.count() * 2 * DIGIT), "digit", "left")
+        .select("doc_id", F.when(~done, rest).alias("rest"), "row", "gid", done.alias("alone"),
                 F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
         .withColumn("rid", F.monotonically_increasing_id()), "rows")
     tables.drop("heads")
     single = now.where("alone").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                        F.lit(True).alias("kept"), "text_sha256", "row")
-    results, at, name = [single], 0, None
-    live = now.where("not alone").select("doc_id", "text", "row", "text_sha256", "rid", F.lit(0).cast("long").alias("gid"))
-    length = DIGIT
-    while True:
-        name, before = f"round-{len(results)}", name
-        split = live.withColumn("digit", _digit(at, length))
+    results, length = [single], DIGIT * GROW
+    columns = ["doc_id", "rest", "row", "text_sha256", "rid", "gid"]
+    live = now.where("not alone").select(*columns)
+    while not live.isEmpty():
+        name = f"round-{len(results)}"
+        digit, rest = _split(F.col("rest"), length)
+        split = live.withColumns({"digit": digit, "rest": rest})
         groups = tables.write(
             split.groupBy("gid", "digit").agg(
                 F.count("*").alias("group_size"), F.min("rid").alias("next"),
                 F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")), f"{name}-groups")
         ended = (F.col("group_size") == 1) | (F.length("digit") < length)
-        moved = split.join(groups, ["gid", "digit"]).select(
-            "doc_id", F.when(~ended, F.col("text")).alias("text"), "row", "text_sha256", "rid",
+        moved = split.join(groups.hint("merge"), ["gid", "digit"]).select(
+            "doc_id", F.when(~ended, F.col("rest")).alias("rest"), "row", "text_sha256", "rid",
             F.col("next").alias("gid"), ended.alias("ended"), F.col("first.doc_id").alias("keep_id"), "group_size",
             (F.col("first.rid") == F.col("rid")).alias("kept"))
         moved = tables.write(moved, name)
         tables.drop(f"{name}-groups")
         results.append(moved.where("ended").select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "row"))
-        live = moved.where("not ended").select("doc_id", "text", "row", "text_sha256", "rid", "gid")
-        at, length = at + length, length * GROW
-        if live.isEmpty():
-            break
+        live = moved.where("not ended").select(*columns)
+        length *= GROW
     out = results[0]
     for part in results[1:]:
         out = out.unionByName(part)
