@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 from html import unescape
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations, tags.  Attributes are taken in one go, without backtracking; a stray quote is a character.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 #: Element names; fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -28,13 +30,14 @@ CLOSES_P = BLOCK - {"html", "head", "body", "option", "optgroup", "td", "th", "t
 
 def label(name: str, attributes: str) -> str:
     """Tag with its class, id and role, the presentation of an element.  Digits
-    are dropped, so that numbered elements share a presentation."""
+    are dropped, so that numbered elements share a presentation; camelCase is
+    written with hyphens."""
     if not attributes:
         return name
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     parts = [name]
     for key, sign in (("class", "."), ("id", "#"), ("role", "@")):
-        parts += [sign + re.sub(r"[\d/>]+", "", word.lower()) for word in sorted(found.get(key, "").split())]
+        parts += [sign + re.sub(r"[\d/>]+", "", CAMEL.sub("-", word).lower()) for word in sorted(found.get(key, "").split())]
     return "".join(parts)
 
 

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 WINDOW = 8
 
 
@@ -66,13 +68,13 @@ class Rule:
 
 #: The contract's two rules, then the method's own.  Null and empty texts fail ``short``.
 BASE = (Rule("short", "size(w) < 20"),
-        Rule("repeats", f"100 * {N_REPEAT_WORDS} > 30 * size(w)"))
+        Rule("repeats", f"100L * {N_REPEAT_WORDS} > 30L * size(w)"))
 RULES = (
     *BASE,
-    Rule("symbols", f"100 * ({N_SYMBOLS}) > 10 * size(w)"),
-    Rule("lines", let("l", LINES, "size(l) >= 4 and 100 * (size(l) - size(array_distinct(l))) > 40 * size(l)")),
-    Rule("length", let("c", WORD_CHARS, "c < 2 * size(w) or c > 20 * size(w)")),
-    Rule("capitals", f"100 * ({N_UPPER}) > 50 * ({WORD_CHARS})"),
+    Rule("symbols", f"100L * ({N_SYMBOLS}) > 10L * size(w)"),
+    Rule("lines", let("l", LINES, "size(l) >= 4 and 100L * (size(l) - size(array_distinct(l))) > 40L * size(l)")),
+    Rule("length", let("c", WORD_CHARS, "c < 2L * size(w) or c > 20L * size(w)")),
+    Rule("capitals", f"100L * ({N_UPPER}) > 50L * ({WORD_CHARS})"),
 )
 
 
@@ -95,15 +97,16 @@ def order_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     empty sample leaves the given order."""
     sample = (docs.where(F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(64)) == 0)
               .select(F.col(f"`{text_col}`").alias("text")).limit(sample_rows))
-    texts = [r["text"] for r in sample.collect()]
-    if not texts:
+    tables = Tables(docs.sparkSession, "quality")
+    sample = tables.write(sample, "sample")
+    if sample.isEmpty():
         return list(rules)
-    sample = docs.sparkSession.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     score = {}
     for rule in rules:
         rejected = F.count_if(over_words(rule.rejects, "text"))
         began = time.perf_counter()
         score[rule.name] = sample.agg(rejected.alias("n")).first()["n"] / (time.perf_counter() - began)
+    tables.drop("sample")
     return sorted(rules, key=lambda rule: -score[rule.name])
 
 
@@ -114,12 +117,12 @@ def quality_features(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_
     ``kept`` is false if a rule fails.  A null text counts as empty: no words,
     so ``base_failed``.  Null doc_ids and repeated rows are rows of their own;
     extra columns are ignored; an empty table gives no rows."""
-    ordered = [r for r in order_rules(docs, rules, id_col, text_col)]
+    ordered = order_rules(docs, rules, id_col, text_col)
     own = " ".join(f"when {r.rejects} then '{r.name}'" for r in ordered if r not in BASE)
     found = f"""struct(cast(size(w) as long) as n_words, cast({WORD_CHARS} as long) as word_chars,
       cast({N_SYMBOLS} as long) as n_symbols, cast({N_DUP_LINES} as long) as n_dup_lines,
       cast({N_REPEAT_WORDS} as long) as n_repeat_words)"""
-    base = "q.n_words < 20 or 100 * q.n_repeat_words > 30 * q.n_words"
+    base = "q.n_words < 20 or 100L * q.n_repeat_words > 30L * q.n_words"
     body = let("q", found, f"struct(q as q, case when q.n_words < 20 then '{BASE[0].name}' "
                            f"when {base} then '{BASE[1].name}' {own} end as failed, {base} as base_failed)")
     return (docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), over_words(body, text_col).alias("r"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, frugal
 from .html import parse
 
 G = 0.9
@@ -48,6 +48,7 @@ NOISE = ("nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|footer|foot|
          "reply|form|search|toolbar|pagination|pager|widget|masthead|skip|alert|dialog|contentinfo|complementary|copyright")
 NOISE_TAGS = frozenset("nav footer aside form select option button menu dialog search fieldset legend".split())
 WORD = re.compile(rf"(?:^|[.#@_-])(?:{NOISE})(?=$|[.#@_-])")
+HEADER = re.compile(r"(?:^|[.#@_-])header(?=$|[.#@_-])")
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN = re.compile(r"@main(?=$|[.#@])|@article(?=$|[.#@])")
 
@@ -58,7 +59,7 @@ def place(path: str) -> str:
     for mark in path.split("/"):
         tag = re.match(r"[a-z0-9:-]*", mark)[0]
         rest = mark[len(tag):]
-        if tag in NOISE_TAGS or (tag == "header" and where != "main") or (
+        if tag in NOISE_TAGS or (where != "main" and (tag == "header" or HEADER.search(rest))) or (
                 rest and tag not in ("html", "body", "article", "main") and WORD.search(rest)):
             return "noise"
         if tag in MAIN_TAGS or MAIN.search(rest):
@@ -136,7 +137,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
     trees = tables.write(rows.mapInArrow(
-        parsed, "page_id long, url string, host string, "
+        frugal(parsed), "page_id long, url string, host string, "
                 "blocks array<struct<path:string,place:string,h:long,text:string>>, nodes array<struct<path:string,h:long>>"), "pages")
     size = trees.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_needed)
     poor = (style_tree(trees).where(F.col("importance") < least).join(size, "host").groupBy("host")

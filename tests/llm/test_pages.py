@@ -4,7 +4,7 @@ import gzip
 import json
 
 import pytest
-from cardlens.llm.html import parse, plain_text, title
+from cardlens.llm.html import label, parse, plain_text, title
 from cardlens.llm.site_style import extract_main_text, place
 from cardlens.llm.warc import (digest, page_derivatives, parse_records, read_responses, record_id, response_derivatives,
                                serialise)
@@ -67,14 +67,26 @@ def test_parse_closes_open_elements():
     assert [t for _, t in blocks] == list("abcdefgh")
 
 
+def test_broken_attributes_stay_markup():
+    assert [t for _, t in parse("<p title='it's'>a</p><p title=\"x>b</p>")[0]] == ["a", "b"]
+    assert plain_text("<p a=\"1>2\">c" + "<a href=\"" * 3000).startswith("c")
+
+
 def test_place_of_paths():
     assert place("html/body/div.cookie-notice") == "noise"
     assert place("html/body/main/header") == "main"
     assert place("html/body/header") == "noise"
+    assert place("html/body/div.site-header") == "noise"
+    assert place("html/body/article/div.entry-header") == "main"
     assert place("html/body/div.headline") == "other"
     assert place("html/body/article/div.comments/p") == "noise"
 
 
+def test_labels():
+    assert label("div", " CLASS='userComments box12' id=\"x\" data-class='y'") == "div.box.user-comments#x"
+    assert place("body/" + label("div", "class=userComments")) == "noise"
+
+
 def test_title_and_plain_text():
     assert title("<title> A &amp;\n B</title>") == "A & B"
     assert plain_text("<p>a</p><script>x</script><p>b") == "a\nb"
