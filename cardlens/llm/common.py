@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import delete, own
 
 #: ASCII white space, the only separators of words in every contract.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,11 +20,12 @@ class Tables:
     """Intermediate tables of one operator call, written as Parquet under the
     shared ``spark.checkpoint.dir``.  Writing cuts the lineage: a lost executor
     re-reads the table instead of replaying the plan.  Tables that only feed
-    later tables are dropped as soon as those are written."""
+    later tables are dropped as soon as those are written; those that the result
+    reads belong to the open ``sources.tables.table_scope`` or to the process."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}"
+        self.root = own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -31,10 +33,8 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def broadcast_if_small(df: DataFrame, size: int, limit: int = 16 << 20) -> DataF
     return F.broadcast(df) if size <= limit else df
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 19):
+def text_blocks(column: pa.Array, limit: int = 1 << 18):
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes.
 
     Yields ``(first_row, bytes, offsets)`` where row ``first_row + i`` is
@@ -72,6 +72,17 @@ def text_blocks(column: pa.Array, limit: int = 1 << 19):
         first = last
 
 
+def frugal(run):
+    """A batch function that gives Arrow's unused memory back when its task
+    ends: Python workers are kept for later tasks, next to a full heap."""
+
+    def runs(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return runs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's output function over a uint64 array."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -99,7 +110,7 @@ class WordHasher:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, 1 << 19)
+            n = max(n, 1 << 18)
             inverse = pow(self.BASE, -1, 1 << 64)
             for name, base in (("powers", self.BASE), ("inverses", inverse)):
                 steps = np.full(n, base, np.uint64)

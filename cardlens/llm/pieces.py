@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import frugal, id_and_text
 
 MARK = "▁"
 #: Chunks: markers and what follows up to the next; or markers at the end.
@@ -41,7 +41,7 @@ def chunked(model) -> bool:
     return plain and model.normalize(probe) == (" " + probe).replace(" ", MARK) and not model.normalize("")
 
 
-def encoder(path: str, end_id: bool, limit: int = 1 << 19, by_chunk: bool | None = None):
+def encoder(path: str, end_id: bool, limit: int = 1 << 17, by_chunk: bool | None = None):
     """A function text -> list of ids, equal to the library's on the whole text."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -71,7 +71,7 @@ def encoder(path: str, end_id: bool, limit: int = 1 << 19, by_chunk: bool | None
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  end_id: bool = True, limit: int = 1 << 19) -> DataFrame:
+                  end_id: bool = True, limit: int = 1 << 17) -> DataFrame:
     """``(doc_id, ids, decoded)`` for each row: all ids, and their text.
 
     A null or empty text has the end id alone and decodes to the empty text.
@@ -88,11 +88,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     [rows.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                   end_id: bool = True, limit: int = 1 << 19) -> DataFrame:
+                   end_id: bool = True, limit: int = 1 << 17) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: as ``encode_decode``,
     with digests taken in the task so that ids and texts need not leave it."""
 
@@ -114,7 +114,7 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -128,4 +128,4 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     chosen = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return chosen.mapInArrow(run, "doc_id long, decoded string")
+    return chosen.mapInArrow(frugal(run), "doc_id long, decoded string")

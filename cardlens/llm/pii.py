@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import frugal, id_and_text
 
 #: Kinds in the order in which spans with one start are listed; the first four are the contract's.
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn", "account", "address")
@@ -174,4 +174,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     names=["doc_id", *(f"n_{kind}" for kind in KINDS[:4]), "n_more", "base_sha256", "spans"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_more long, base_sha256 string, spans string")
+        frugal(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_more long, base_sha256 string, spans string")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHasher, id_and_text, mix, text_blocks, windows
+from .common import Tables, WordHasher, frugal, id_and_text, mix, text_blocks, windows
 
 WINDOW, M = 50, 16
 #: Longest super-k-mer, in windows; a longer run of one minimiser is cut.
@@ -83,7 +83,8 @@ def pack(batches):
     """(doc_id, th, text, spans) -> (bucket, piece, doc_id, th, start): the
     named super-k-mers as strings of words joined by one space; those of a hot
     minimiser as single windows, bucketed by a hash of the window."""
-    for batch in batches:
+    slices = (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256))
+    for batch in slices:
         rows = []
         for doc_id, th, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
             words = text.encode().split()
@@ -184,16 +185,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = Tables(docs.sparkSession, "repeats")
     base = id_and_text(docs, id_col, text_col)
     named = base.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kmers = tables.write(named.mapInArrow(super_kmers, "doc_id long, th long, mini long, start long, n long"), "kmers")
+    kmers = tables.write(named.mapInArrow(frugal(super_kmers), "doc_id long, th long, mini long, start long, n long"), "kmers")
     shared = tables.write(kmers.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
                           .where("lo < hi").select("mini", (F.col("c") > hot).alias("hot")), "shared")
     spans = kmers.join(shared, "mini").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "mini", "hot")).alias("spans"))
     pieces = tables.write(named.join(spans, ["doc_id", "th"]).select("doc_id", "th", "text", "spans").mapInArrow(
-        pack, "bucket long, piece string, doc_id long, th long, start long"), "pieces")
+        frugal(pack), "bucket long, piece string, doc_id long, th long, start long"), "pieces")
     tables.drop("kmers", "shared")
     distinct = pieces.groupBy("bucket", "piece").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     answers = tables.write(distinct.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
-        count_windows, "bucket long, piece string, firsts array<long>"), "answers")
+        frugal(count_windows), "bucket long, piece string, firsts array<long>"), "answers")
     starts = F.expr("transform(filter(sequence(0, size(firsts) - 1), i -> firsts[i] < doc_id), i -> start + i)")
     covered = (pieces.join(answers, ["bucket", "piece"]).select("doc_id", "th", starts.alias("starts")).where("size(starts) > 0")
                .groupBy("doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts")))
@@ -201,4 +202,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables.drop("pieces", "answers")
     joined = named.join(covered, ["doc_id", "th"], "left").select("doc_id", "text", "starts")
     plain = base.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("starts"))
-    return joined.unionByName(plain).mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.unionByName(plain).mapInArrow(frugal(cut_out), "doc_id long, n_words long, n_removed long, kept string")

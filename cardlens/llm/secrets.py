@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, frugal
 
 #: Kinds in the order in which spans with one start are listed; the first three are the contract's.
 KINDS = ("assign", "access", "hex", "live")
@@ -126,7 +126,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"),
                        F.col(owner_col).cast("string").alias("owner"), F.col(text_col).cast("string").alias("text"))
     scanned = tables.write(rows.mapInArrow(
-        scan, f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, "
+        frugal(scan), f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, "
               f"found array<{CANDIDATE}>").withColumn("rid", F.monotonically_increasing_id()), "scanned")
     found = scanned.where("size(found) > 0").select("rid", "repo", "owner", F.explode("found").alias("c")).select(
         "rid", "repo", "owner", "c.*")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .html import plain_text, title
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -177,7 +178,7 @@ def page_derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                 rows = zip(*(c.to_pylist() for c in batch.slice(k, 64).columns))
                 yield _rows([r for page, source, block in _responses(rows) for r in _derived(page, source, block)])
 
-    return page_responses(pages, id_col, url_col, html_col, date).mapInArrow(run, RECORD)
+    return page_responses(pages, id_col, url_col, html_col, date).mapInArrow(frugal(run), RECORD)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -194,7 +195,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                                  names=["record_id", "warc_type", "target_uri", "warc_date", "headers", "block"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(run), RESPONSE)
 
 
 def response_derivatives(responses: DataFrame) -> DataFrame:
@@ -207,4 +208,4 @@ def response_derivatives(responses: DataFrame) -> DataFrame:
                 rows = zip(*(c.to_pylist() for c in batch.slice(k, 64).columns))
                 yield _rows([r for headers, block in rows for r in _derived(None, dict(headers or ()), block or b"")])
 
-    return responses.select("headers", "block").mapInArrow(run, RECORD)
+    return responses.select("headers", "block").mapInArrow(frugal(run), RECORD)
