@@ -21,7 +21,7 @@ A block of at most ``block_tokens`` entries is multiplied in one task, many
 small blocks to a task; a larger one is cut into parts and pairs of parts are
 tasks (``_multiply``).  Inside a task overlaps are accumulated over the columns
 against the rows that are not yet known to be connected, size bounds first,
-and only the links of a spanning forest leave it, never all pairs of a group.
+and each row of a component leaves it once, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHasher, broadcast_if_small, id_and_text, mix, text_blocks, windows
+from .common import Tables, WordHasher, broadcast_if_small, frugal, id_and_text, mix, text_blocks, windows
 from .components import connected_components
 
 SHINGLE = 5
@@ -114,7 +114,8 @@ def all_shingles(batches):
 
 
 def block_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links among the rows of one block.
+    """Components of the links among the rows of one block, as stars: each row
+    of a component with its smallest id.
 
     A row is taken from the queue and its overlaps with all rows not yet
     reached are accumulated over its columns; rows that reach 80 % join the
@@ -128,6 +129,7 @@ def block_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds:
     links = []
     while len(left):
         queue, left = [int(left[0])], left[1:]
+        members = list(queue)
         while queue and len(left):
             i = queue.pop()
             n = sizes[left]
@@ -147,27 +149,79 @@ def block_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds:
             hit = overlap * 100 >= (n + sizes[i] - overlap) * 80
             if hit.any():
                 queue.extend(int(r) for r in rows[hit])
-                links.extend((int(ids[i]), int(ids[r])) for r in rows[hit])
+                members.extend(int(r) for r in rows[hit])
                 left = np.delete(left, at[hit])
+        if len(members) > 1:
+            center = int(ids[members].min())
+            links.extend((center, int(i)) for i in ids[members] if i != center)
     return links
 
 
-def tile_links(table: pa.Table) -> pa.Table:
-    """One task's tile: rows (tile, label, side, doc_id, tokens) -> links (a, b)."""
+def counted_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """As ``block_links``, and the number of links of each row: every pair of
+    the block that the size bound leaves is multiplied."""
+    sizes = np.diff(bounds)
+    order = np.argsort(sizes, kind="stable")
+    ids, side, n = ids[order], side[order], sizes[order]
+    ends = np.cumsum(n)
+    starts = ends - n
+    picked = np.repeat(bounds[order] - starts, n) + np.arange(ends[-1])
+    _, columns = np.unique(columns[picked], return_inverse=True)
+    mark = np.zeros(int(columns.max()) + 1, np.int32)
+    degree, part = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    last = np.searchsorted(n, n * 100 // 80, "right")  # larger rows can reach 80 % up to here
+    for i in range(len(ids) - 1):
+        if last[i] <= i + 1:
+            continue
+        rows = slice(i + 1, last[i])
+        mark[columns[starts[i]: ends[i]]] = 1
+        overlap = np.add.reduceat(mark[columns[starts[i + 1]: ends[last[i] - 1]]], starts[rows] - starts[i + 1])
+        mark[columns[starts[i]: ends[i]]] = 0
+        hit = overlap * 100 >= (n[rows] + n[i] - overlap) * 80
+        if side[i] < 2:
+            hit &= side[rows] != side[i]
+        at = np.flatnonzero(hit) + i + 1
+        if len(at):
+            degree[i] += len(at)
+            degree[at] += 1
+            joined = np.unique(part[np.append(at, i)])
+            if len(joined) > 1:
+                part[np.isin(part, joined)] = joined[0]
+    links = []
+    for group in np.split(np.argsort(part, kind="stable"), np.flatnonzero(np.diff(np.sort(part))) + 1):
+        center = int(ids[group].min())
+        links.extend((center, int(i)) for i in ids[group] if i != center)
+    back = np.empty(len(order), np.int64)
+    back[order] = degree
+    return links, back
+
+
+def _tile_links(table: pa.Table, count: bool) -> pa.Table:
+    """One task's tile: rows (tile, label, side, doc_id, tokens) -> links (a, b,
+    null) and, if they are counted, (a, null, number of links of a)."""
     tokens = table.column("tokens").combine_chunks()
     bounds = tokens.offsets.to_numpy().astype(np.int64)
     columns = tokens.values.to_numpy()
     labels, ids, sides = (table.column(c).to_numpy() for c in ("label", "doc_id", "side"))
     order = np.argsort(labels, kind="stable")
-    links = []
+    out = []
     for rows in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
         if len(rows) > 1:
             n = bounds[rows + 1] - bounds[rows]
             ends = np.cumsum(n)
             picked = np.repeat(bounds[rows] - (ends - n), n) + np.arange(ends[-1])
-            links += block_links(ids[rows], sides[rows], columns[picked], np.concatenate(([0], ends)))
-    a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-    return pa.table({"a": a, "b": b})
+            block = ids[rows], sides[rows], columns[picked], np.concatenate(([0], ends))
+            links, degree = counted_links(*block) if count else (block_links(*block), [])
+            out += [(a, b, None) for a, b in links] + [(int(i), None, int(d)) for i, d in zip(block[0], degree) if d]
+    return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate("abn")})
+
+
+def tile_links(table: pa.Table) -> pa.Table:
+    return _tile_links(table, False)
+
+
+def tile_links_counted(table: pa.Table) -> pa.Table:
+    return _tile_links(table, True)
 
 
 def _without_lonely(rows: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
@@ -180,12 +234,15 @@ def _without_lonely(rows: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     block_tokens: int = 500_000) -> DataFrame:
+                     block_tokens: int = 500_000, count_links: bool = False) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, component_id, class_id)`` for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable by links, ``class_id``
     the smallest doc_id with the same shingle set, ``text_hash`` the row's
-    ``xxhash64(text)``, which tells rows that share a doc_id apart.
+    ``xxhash64(text)``, which tells rows that share a doc_id apart.  With
+    ``count_links`` a column ``n_links`` follows: the number of other shingle
+    sets that the row's set links with.  Counting takes the product of every
+    pair of a block, so its cost grows with the square of a group of near copies.
 
     Nulls and empties: a null text is empty; a text without words has set size
     0 and only itself as component.  A row whose doc_id is null is returned
@@ -196,7 +253,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tables = Tables(docs.sparkSession, "ngram")
     base = id_and_text(docs, id_col, text_col)
     sets = tables.write(base.withColumn("th", F.xxhash64("text")).mapInArrow(
-        measure, "doc_id long, th long, n long, s1 long, s2 long, sample array<long>"), "sets")
+        frugal(measure), "doc_id long, th long, n long, s1 long, s2 long, sample array<long>"), "sets")
     named = sets.where("doc_id is not null and n > 0").drop("th")
     alike = ["n", "s1", "s2"]
 
@@ -207,7 +264,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = tables.write(left.groupBy(*alike).agg(F.min("doc_id").alias("class_id")), "classes")
     chosen = classes.select(F.col("class_id").alias("doc_id"), "s1").distinct()
     wanted = base.join(broadcast_if_small(chosen, classes.count() * 16), "doc_id").select("doc_id", "s1", "text")
-    rows = tables.write(wanted.mapInArrow(all_shingles, "doc_id long, s1 long, n long, tokens array<long>"), "rows")
+    rows = tables.write(wanted.mapInArrow(frugal(all_shingles), "doc_id long, s1 long, n long, tokens array<long>"), "rows")
     rows2 = tables.write(_without_lonely(rows, "tokens", ["doc_id", "s1"]), "rows2")
     tables.drop("rows", "often")
 
@@ -223,33 +280,36 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = tables.write(connected_components(stars, tables, "blocks"), "blocks")
     tables.drop("held", "prefix", "ends")
 
-    links = tables.write(_multiply(rows2, blocks, tables, block_tokens), "links")
-    labels = tables.write(connected_components(links, tables, "labels"), "labels")
+    links = tables.write(_multiply(rows2, blocks, tables, block_tokens, count_links), "links")
+    labels = tables.write(connected_components(links.where("b is not null").select("a", "b"), tables, "labels"), "labels")
+    degree = links.where("n is not null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links"))
     named_classes = tables.write(
-        classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select(*alike, "class_id", F.coalesce("label", "class_id").alias("component_id")), "named")
+        classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
+        .select(*alike, "class_id", F.coalesce("label", "class_id").alias("component_id"), "n_links"), "named")
     tables.drop("rows2", "blocks", "links", "labels", "classes")
     return (sets.select("doc_id", "th", *alike).join(named_classes, alike, "left")
             .select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+                    *([F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if count_links else [])))
 
 
 def _tile(rows: DataFrame, tile, side) -> DataFrame:
     return rows.select(tile.alias("tile"), "label", side.cast("long").alias("side"), "doc_id", "tokens")
 
 
-def _linked(tiles: DataFrame) -> DataFrame:
-    return tiles.groupBy("tile").applyInArrow(tile_links, "a long, b long")
+def _linked(tiles: DataFrame, count: bool = False) -> DataFrame:
+    return tiles.groupBy("tile").applyInArrow(tile_links_counted if count else tile_links, "a long, b long, n long")
 
 
-def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens: int) -> DataFrame:
-    """Links (a, b) of all blocks: tiles of bounded size, dealt by tile.
+def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens: int, count: bool) -> DataFrame:
+    """Links (a, b, n) of all blocks: tiles of bounded size, dealt by tile.
 
     Blocks within ``block_tokens`` share tiles.  A larger one is cut into parts;
     every part meets part 0 first.  In a group of near copies that puts nearly
     all rows into one component, and pairs inside it need no product any more:
-    only the rows outside it (and outside part 0) go on to meet every part."""
+    only the rows outside it (and outside part 0) go on to meet every part.  If
+    links are counted, every part meets every part."""
     placed = rows.join(blocks.withColumnRenamed("node", "doc_id"), "doc_id").select("label", "doc_id", "n", "tokens")
     sizes = tables.write(placed.groupBy("label").agg(F.sum("n").alias("total")), "sizes")
     parts = F.ceil(F.col("total") / block_tokens).cast("long")
@@ -257,19 +317,23 @@ def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens:
                              F.count(F.when(F.col("total") > block_tokens, 1))).first()
     bins = max(1, -(-(small or 0) * 4 // block_tokens))
     with_size = placed.join(sizes.withColumn("parts", parts), "label")
-    links = tables.write(_linked(_tile(with_size.where("parts = 1"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string"), F.lit(2))),
+    links = tables.write(_linked(_tile(with_size.where("parts = 1"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string"), F.lit(2)), count),
                          "links-small")
     if not large:
         return links
     cut = tables.write(with_size.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "parts")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     name = lambda *c: F.concat_ws(" ", "label", *c)
+    if count:
+        met = cut.withColumn("j", each)
+        side = F.when(F.col("part") == F.col("j"), 2).when(F.col("part") < F.col("j"), 0).otherwise(1)
+        return links.unionByName(_linked(_tile(met, name(F.least("part", "j"), F.greatest("part", "j")), side), count))
     first = _tile(cut.where("part = 0").withColumn("j", each), name("j"), F.when(F.col("j") == 0, 2).otherwise(0)).unionByName(
         _tile(cut.where("part > 0"), name("part"), F.lit(1)))
     known = tables.write(_linked(first), "links-first")
 
     # what each row is connected to so far, and the component with the most rows of its block
-    joined = connected_components(known, tables, "first").withColumnRenamed("label", "root").withColumnRenamed("node", "doc_id")
+    joined = connected_components(known.select("a", "b"), tables, "first").withColumnRenamed("label", "root").withColumnRenamed("node", "doc_id")
     rooted = tables.write(cut.select("label", "doc_id", "part").distinct().join(joined, "doc_id", "left")
                           .withColumn("root", F.coalesce("root", "doc_id")), "roots")
     largest = (rooted.groupBy("label", "root").agg(F.count("*").alias("c"))

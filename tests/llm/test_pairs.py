@@ -1,7 +1,7 @@
 """Exact dedup, n-gram Jaccard join, substring dedup against brute force."""
 
 import pytest
-from brute import components, exact_groups, repeats, sha
+from brute import components, exact_groups, repeats, sha, shingles
 from cardlens.llm.common import Tables
 from cardlens.llm.components import connected_components
 from cardlens.llm.exact_dedup import radix_groups
@@ -41,6 +41,16 @@ def test_components_in_tiles(documents, corpus):
     assert rows(ngram_components(documents, block_tokens=500), "n_shingles", "component_id") == components(corpus)
 
 
+@pytest.mark.parametrize("block_tokens", [500_000, 500])
+def test_counted_links(documents, corpus, block_tokens):
+    sets = {i: frozenset(shingles(t)) for i, t in corpus}
+    kinds = {s for s in sets.values() if s}
+    linked = {s: sum(100 * len(s & u) >= 80 * len(s | u) for u in kinds) - 1 for s in kinds}
+    got = ngram_components(documents, block_tokens=block_tokens, count_links=True)
+    assert rows(got, "n_links") == {i: (linked.get(s, 0),) for i, s in sets.items()}
+    assert rows(got, "n_shingles", "component_id") == components(corpus)
+
+
 def test_components_repeated_rows_and_null_ids(spark):
     text = " ".join(f"a{k}" for k in range(40))
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text), (9, "something else"), (4, None), (None, None)],
