@@ -155,6 +155,32 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
 SCORED = "pid long, cand_key long, score double, rank_score double"
 
 
+def _best(scored: DataFrame, k: int, key_desc: bool) -> DataFrame:
+    """The k best rows of each probe vector."""
+    order = [F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(*order))
+    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
+def _tiles(placed: DataFrame, asked: DataFrame, slices: list[int], shares: int, metric: str, k: int, key_desc: bool,
+           digits: int) -> DataFrame:
+    """Scores of each probe in its block: the block's candidates lie in
+    ``slices[block]`` hash slices, the probes in ``shares`` hash shares, and a
+    tile is one slice with one share."""
+    n_slices = F.element_at(F.array(*[F.lit(x) for x in slices]), F.col("block") + 1)
+    left = placed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(7)), n_slices).cast("int")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    right = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn(
+        "share", F.pmod(F.xxhash64("pid"), F.lit(shares)).cast("int"))
+
+    def score(cands: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        return top_k_of_tile(metric, k, key_desc, digits, probes["pid"].to_numpy(np.int64), _stack(probes["vec"]),
+                             cands["key"].to_numpy(np.int64), _stack(cands["vec"]))
+
+    keys = ["block", "slice", "share"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, SCORED)
+
+
 def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: bool, digits: int, slice_rows: int) -> DataFrame:
     """(pid, cand_key, score, rank_score): the k best candidates of each probe vector."""
     spark = cand.sparkSession
@@ -164,6 +190,18 @@ def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: b
     cosine = metric == "cosine"
     rows = max(256, min(slice_rows, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     n_pivots = min(MAX_PIVOTS, max(1, n // 2048))
+    # an explicit count: a small table would else be one task
+    spread = max(1, min(2 * spark.sparkContext.defaultParallelism, n // 256))
+    if n_pivots == 1:  # too few rows to prune: one block, no passes to fit
+        def whole(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x = _stack(pdf["vec"])
+                    yield pdf.assign(vec=list(_unit(x) if cosine else x), block=0)
+
+        placed = cand.repartition(spread).mapInPandas(whole, "key long, vec array<double>, block int")
+        start = wanted.select("pid", "vec").mapInPandas(whole, "pid long, vec array<double>, block int")
+        return _best(_tiles(placed, start, [-(-n // rows)], -(-n_probes // slice_rows), metric, k, key_desc, digits), k, key_desc)
     chosen = cand.orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
     pivots = _stack([r["vec"] for r in chosen])
     pivots = _unit(pivots) if cosine else pivots
@@ -180,28 +218,12 @@ def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: b
             yield pd.DataFrame({"key": pdf["key"], "vec": list(x), "block": near, "radius": far[np.arange(len(x)), near]})
 
     schema = "key long, vec array<double>, block int, radius double"
-    # an explicit count: a small table would else be one task
-    spread = max(1, min(2 * spark.sparkContext.defaultParallelism, n // 256))
-    placed = materialize((cand.repartition(spread) if spread > cand.rdd.getNumPartitions() else cand).mapInPandas(place, schema))
+    placed = materialize(cand.repartition(spread).mapInPandas(place, schema))
     stats = {r["block"]: (r["n"], r["radius"]) for r in placed.groupBy("block").agg(
         F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).collect()}  # a row a pivot
     radius = np.array([stats.get(b, (0, -np.inf))[1] for b in range(n_pivots)])
     slices = [-(-stats.get(b, (0,))[0] // rows) for b in range(n_pivots)]
-    shares = -(-n_probes // max(rows, 1))
-    n_slices = F.element_at(F.array(*[F.lit(x) for x in slices]), F.col("block") + 1)
-    cells = placed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(7)), n_slices).cast("int")).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-
-    def tile(batch_probes: DataFrame) -> DataFrame:
-        asked = (batch_probes.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1)))
-                 .withColumn("share", F.pmod(F.xxhash64("pid"), F.lit(shares)).cast("int")))
-        keys = ["block", "slice", "share"]
-
-        def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return top_k_of_tile(metric, k, key_desc, digits, right["pid"].to_numpy(np.int64), _stack(right["vec"]),
-                                 left["key"].to_numpy(np.int64), _stack(left["vec"]))
-
-        return cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(score, SCORED)
+    shares = -(-n_probes // slice_rows)
 
     def own(batches):
         for pdf in batches:
@@ -213,14 +235,11 @@ def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: b
                 yield pd.DataFrame({"pid": pdf["pid"], "vec": list(x), "block": far.argmin(1)})
 
     start = materialize(wanted.select("pid", "vec").mapInPandas(own, "pid long, vec array<double>, block int"))
-    ranked = Window.partitionBy("pid").orderBy(F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc())
 
-    def limited(df: DataFrame) -> DataFrame:
-        return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= k).drop("_rank")
+    def tiles(asked: DataFrame) -> DataFrame:
+        return _best(_tiles(placed, asked, slices, shares, metric, k, key_desc, digits), k, key_desc)
 
-    first = materialize(limited(tile(start)))
-    if n_pivots == 1:
-        return first
+    first = materialize(tiles(start))
 
     def others(batches):
         """Blocks that can hold a candidate at least as good as the bound."""
@@ -242,5 +261,5 @@ def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: b
 
     bound = first.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("rank_score").alias("worst")).where(F.col("n") >= k)
     asked = start.join(bound.select("pid", "worst"), "pid", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
-    second = tile(asked.select("pid", "vec", "block", "worst").mapInPandas(others, "pid long, vec array<double>, block int"))
-    return limited(first.unionByName(limited(second)))
+    second = tiles(asked.select("pid", "vec", "block", "worst").mapInPandas(others, "pid long, vec array<double>, block int"))
+    return _best(first.unionByName(second), k, key_desc)
