@@ -27,8 +27,12 @@ class Tables:
         self.spark = spark
         self.root = own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}")
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """The written table.  ``rows``, if known, sizes its files: at most one
+        for every quarter million rows, whatever the shuffle left."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(1 + rows // 250_000)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

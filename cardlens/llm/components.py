@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, tables: Tables, prefix: str) -> DataF
         for star in (_large_star, _small_star):
             step += 1
             low = f"{prefix}-{step}-low"
-            after = tables.write(star(now, tables, low), f"{prefix}-{step}")
+            after = tables.write(star(now, tables, low, seen[0]), f"{prefix}-{step}", seen[0])
             tables.drop(low, at)
             now, at = after, f"{prefix}-{step}"
         if _state(now) == seen:
@@ -46,14 +46,14 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
+def _large_star(edges: DataFrame, tables: Tables, name: str, n: int) -> DataFrame:
     near = _both_ways(edges)
-    low = tables.write(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+    low = tables.write(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name, 2 * n)
     return (near.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a <> b").distinct())
 
 
-def _small_star(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
-    low = tables.write(edges.groupBy("a").agg(F.min("b").alias("m")), name)
+def _small_star(edges: DataFrame, tables: Tables, name: str, n: int) -> DataFrame:
+    low = tables.write(edges.groupBy("a").agg(F.min("b").alias("m")), name, n)
     moved = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()

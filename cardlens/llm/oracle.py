@@ -39,11 +39,11 @@ r AS (SELECT doc_id, sum(covers) AS n FROM p GROUP BY 1),
 f AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, strlen(t) < 2 * length(t) AS short_codes
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
              10 * n_symbols > n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)
-             OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_upper > 50 * word_chars AS own_failed FROM f)
+             OR word_chars < 2 * n_words OR (word_chars > 20 * n_words AND short_codes) OR 100 * n_upper > 50 * word_chars AS own_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT (base_failed OR own_failed) AS kept

@@ -73,7 +73,8 @@ RULES = (
     *BASE,
     Rule("symbols", f"100L * ({N_SYMBOLS}) > 10L * size(w)"),
     Rule("lines", let("l", LINES, "size(l) >= 4 and 100L * (size(l) - size(array_distinct(l))) > 40L * size(l)")),
-    Rule("length", let("c", WORD_CHARS, "c < 2L * size(w) or c > 20L * size(w)")),
+    # scripts without blanks between words have long runs of characters of three bytes
+    Rule("length", let("c", WORD_CHARS, "c < 2L * size(w) or (c > 20L * size(w) and octet_length(t) < 2L * char_length(t))")),
     Rule("capitals", f"100L * ({N_UPPER}) > 50L * ({WORD_CHARS})"),
 )
 

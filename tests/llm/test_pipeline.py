@@ -12,7 +12,7 @@ def kept(text):
     lines = [x for x in (text or "").split("\n") if words(x)]
     upper = sum("A" <= c <= "Z" for c in text or "")
     return not (failed or 10 * symbols > n or (len(lines) >= 4 and 100 * (len(lines) - len(set(lines))) > 40 * len(lines))
-                or chars < 2 * n or chars > 20 * n or 100 * upper > 50 * chars)
+                or chars < 2 * n or (chars > 20 * n and len(text.encode()) < 2 * len(text)) or 100 * upper > 50 * chars)
 
 
 def test_every_rule_is_in_the_brute_force_version():

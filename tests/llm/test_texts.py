@@ -132,17 +132,18 @@ def test_quality_features(documents, corpus):
 
 def test_quality_rules_one_by_one(spark):
     good = " ".join(f"Word{k}" for k in range(50))
+    unspaced = "\n".join("".join(chr(0x4E00 + 97 * k + j) for j in range(60)) for k in range(30))
     line = lambda c: " ".join(f"{c}{k}" for k in range(7))
     bad = {"short": "a few words",
            "repeats": "one two three four five six seven eight nine ten " * 5,
            "symbols": " ".join(f"w{k}###" for k in range(40)),
            "lines": "\n".join([line("l"), line("l"), line("m"), line("m")]),
-           "length": " ".join(chr(97 + k) for k in range(26)),
+           "length": " ".join(chr(97 + k) * 30 for k in range(26)),
            "capitals": " ".join(f"ABC{'DEFGHIJKL'[k % 9]}{'MNOPQRS'[k % 7]}" for k in range(60))}
-    df = spark.createDataFrame([("good", good, "t")] + [(k, t, "t") for k, t in bad.items()], "doc_id string, text string, w string")
+    df = spark.createDataFrame([("good", good, "t"), ("unspaced", unspaced, "t")] + [(k, t, "t") for k, t in bad.items()], "doc_id string, text string, w string")
     failed = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.cascade(quality.RULES).alias("f")).collect()}
-    assert failed == {"good": None, **{k: k for k in bad}}
-    assert [r["doc_id"] for r in quality.keep_good(df).collect()] == ["good"]
+    assert failed == {"good": None, "unspaced": None, **{k: k for k in bad}}
+    assert [r["doc_id"] for r in quality.keep_good(df).collect()] == ["good", "unspaced"]
 
 
 def test_quality_order_never_changes_the_verdict(documents):
