@@ -310,7 +310,7 @@ def q_one_hot(spark, d):
 
 @query("standardize")
 def q_standardize(spark, d):
-    p = numbers(spark, d)
+    p = features.fill_features(numbers(spark, d), features.NUMERIC_FEATURES)
     z = features.standardize(p, features.NUMERIC_FEATURES)
     return _r6(z.select("Txn_Id", *features.NUMERIC_FEATURES), features.NUMERIC_FEATURES)
 

@@ -28,6 +28,7 @@ def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[
     """(rows, features, scaler, category levels).  ``fit_on='all'`` fits the scaler on every row before the split (the
     reference's order); ``'train'`` fits it on the training rows only."""
     table = portfolio_table(spark, sf_dir, MODEL_INPUT_COLS)
+    tables.require_rows(table, "portfolio")
     levels = features.category_levels(table, features.CATEGORICALS)
     df, _ = features.one_hot(table, levels=levels)
     cols = features.feature_columns(df)
