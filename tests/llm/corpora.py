@@ -1,3 +1,5 @@
+"""Fixtures of the training-data tests."""
+
 import random
 
 import pytest

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from cardlens.llm.mixing import fit_exponent, mix_sources
+from corpora import corpus, documents, empty  # noqa: F401  fixtures
 
 
 @pytest.fixture(scope="module")

@@ -7,6 +7,7 @@ from cardlens.llm.components import connected_components
 from cardlens.llm.exact_dedup import radix_groups
 from cardlens.llm.ngram_join import block_links, ngram_components
 from cardlens.llm.repeats import remove_repeats
+from corpora import corpus, documents, empty  # noqa: F401  fixtures
 
 
 def rows(df, *names):

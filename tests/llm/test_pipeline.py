@@ -5,6 +5,7 @@ import pytest
 from brute import components, exact_groups, quality, words
 from cardlens.llm.quality import RULES
 from public_tokenizers import path
+from corpora import corpus, documents  # noqa: F401  fixtures
 
 
 def kept(text):

@@ -12,6 +12,7 @@ from cardlens.llm import pieces, quality
 from cardlens.llm.pii import KINDS, anchors, find_pii, spans
 from cardlens.llm.secrets import find_secrets, ownership
 from public_tokenizers import path
+from corpora import corpus, documents, empty  # noqa: F401  fixtures
 
 MODEL = path("piece_bpe_32k.model")
 
