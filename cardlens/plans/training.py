@@ -147,7 +147,8 @@ def evaluation_laws(model: models.FittedModel, spark: SparkSession, rows: DataFr
         curve = pred.select(F.col("y").alias("label"), "score")
         parts += [
             metrics.roc_auc(curve).select(F.lit("roc_auc").alias("measure"), F.lit(1).cast("long").alias("n"), unit("roc_auc").alias("lawful")),
-            metrics.pr_curve(curve).agg(F.lit("pr_curve").alias("measure"), F.count(F.when(F.col("recall") == 0, 1)).cast("long").alias("n"),
+            metrics.pr_curve(curve).agg(F.lit("pr_curve").alias("measure"), F.count(F.when(
+                (F.col("recall") == 0) & (F.col("precision") == 1) & (F.col("threshold") == 0), 1)).alias("n"),
                                         F.min(unit("precision") & unit("recall")).alias("lawful"))]
     out = parts[0]
     for part in parts[1:]:
