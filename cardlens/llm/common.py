@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -77,12 +78,15 @@ def text_blocks(column: pa.Array, limit: int = 1 << 18):
 
 
 def frugal(run):
-    """A batch function that gives Arrow's unused memory back when its task
-    ends: Python workers are kept for later tasks, next to a full heap."""
+    """A batch function that gives unused memory back to the system when its
+    task ends: Python workers are kept for a while, next to a full heap."""
 
     def runs(batches):
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
 
     return runs
 
