@@ -4,21 +4,27 @@ The DOMs of one host are merged into a style tree: a node is a path of element
 labels (tag, classes, id, role), with the presentations (sequences of children)
 and the contents (text blocks) that the host's pages show there.
 
+* Pages whose text blocks outside labelled noise are the same are one page to
+  all statistics, whatever number of copies the host has.
 * Content importance of a node: the entropy of its texts over the host's pages,
-  relative to the most it could be.  A menu says the same on each page (0), an
-  article never does (1).
+  relative to that of ``pages`` different texts (of all, if there are fewer), so
+  that it does not fall with the host's size.  A menu says the same on each page
+  (0), an article never does (1).
 * Presentation importance: the same entropy over its children sequences.
 * Composite importance of a branch: ``(1 - g**l)`` of its presentation
   importance and ``g**l`` of the block-weighted content importance below it,
   ``l`` being the number of presentations (``g`` = 0.9).
 * A text that recurs on more than ``recur`` of a host's pages is a notice, not
-  content, whatever its node.
+  content, whatever its node.  Inside an article or main element it must recur
+  on more than ``recur`` of the host's articles, which are told apart by their
+  longest text: what near copies of one article share is no notice.
 * Labels carry knowledge that statistics over few pages lack: a node that is
   named as a menu, footer, advert, form or comment list has importance 0, and
   pages with an article or main element have their content there.
 
-Branches below ``least`` are removed from each page of the host.  A host with
-under ``pages`` pages has no statistics and is judged by labels alone.
+Branches below ``least`` that ``pages`` pages have are removed from each page of
+the host, except inside an article or main element.  A host with under ``pages``
+pages has no statistics and is judged by labels alone.
 
 Pages are parsed once, to a written table with a row a page.  Statistics are
 grouped sums over (host, path, text), then (host, path), summed before the
@@ -30,6 +36,8 @@ join splits the host's pages.
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import re
 from urllib.parse import urlsplit
 
@@ -37,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, frugal
+from .common import Tables, broadcast_if_small, frugal
 from .html import parse
 
 G = 0.9
@@ -78,10 +86,25 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _longest(blocks: list[dict]) -> int | None:
+    """Hash of the longest text of a page's article, by which it is known."""
+    return max(((len(b["text"]), b["h"]) for b in blocks if b["place"] == "main"), default=(0, None))[1]
+
+
+def _marks(blocks: list[dict], nodes: list[dict]) -> dict:
+    """What tells a page from others: ``same`` for copies, ``full`` for copies
+    that are equal in noise and elements too, ``uid`` for each row (the table is
+    written, so it stays)."""
+    said = "\n".join(f"{b['path']} {b['h']}" for b in blocks if b["place"] != "noise")
+    full = "\n".join(f"{b['path']} {b['h']}" for b in (*blocks, *nodes))
+    return {"same": _key(said), "full": _key(full), "uid": int.from_bytes(os.urandom(8), "big", signed=True), "long": _longest(blocks)}
+
+
 def parsed(batches):
-    """(page_id, url, html) -> (page_id, url, host, blocks, nodes)."""
+    """(page_id, url, html) -> (page_id, url, host, blocks, nodes, marks)."""
     block = pa.list_(pa.struct([("path", pa.string()), ("place", pa.string()), ("h", pa.int64()), ("text", pa.string())]))
     node = pa.list_(pa.struct([("path", pa.string()), ("h", pa.int64())]))
+    mark = pa.struct([(name, pa.int64()) for name in ("same", "full", "uid", "long")])
     places: dict[str, str] = {}
     for batch in batches:
         for k in range(0, batch.num_rows, 128):
@@ -98,31 +121,65 @@ def parsed(batches):
                 blocks.append([{"path": p, "place": places[p], "h": _key(t), "text": t} for p, t in found])
                 nodes.append([{"path": p, "h": _key(c)} for p, c in containers])
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(hosts, pa.string()), pa.array(blocks, block), pa.array(nodes, node)],
-                names=["page_id", "url", "host", "blocks", "nodes"])
+                [rows.column(0), rows.column(1), pa.array(hosts, pa.string()), pa.array(blocks, block), pa.array(nodes, node),
+                 pa.array(map(_marks, blocks, nodes), mark)],
+                names=["page_id", "url", "host", "blocks", "nodes", "marks"])
 
 
-def _entropies(rows: DataFrame) -> DataFrame:
+def _entropies(rows: DataFrame, enough: int) -> DataFrame:
     """(host, path, h) -> (host, path, n, kinds, importance): entropy of h at
-    each node over its most, 1 where only one was seen."""
+    each node over that of ``enough`` kinds, or of n if there are fewer, and 1
+    at most; 1 where only one was seen."""
     each = rows.groupBy("host", "path", "h").agg(F.count("*").alias("c"))
     node = each.groupBy("host", "path").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"),
                                             F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc"))
-    return node.select("host", "path", "n", "kinds", F.when(F.col("n") <= 1, 1.0).otherwise(
-        (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).alias("importance"))
+    return node.select("host", "path", "n", "kinds", F.when(F.col("n") <= 1, 1.0).otherwise(F.least(
+        F.lit(1.0), (F.log("n") - F.col("clogc") / F.col("n")) / F.least(F.log("n"), F.lit(math.log(max(enough, 2)))))).alias("importance"))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance): composite importance of each branch."""
-    content = _entropies(pages.select("host", F.explode("blocks").alias("b")).select("host", "b.path", "b.h"))
-    shown = _entropies(pages.select("host", F.explode("nodes").alias("b")).select("host", "b.path", "b.h"))
+def style_tree(pages: DataFrame, enough: int = 8) -> DataFrame:
+    """(host, path, importance, pages): composite importance of each branch,
+    and the number of pages that have it."""
+    content = _entropies(pages.select("host", F.explode("blocks").alias("b")).select("host", "b.path", "b.h"), enough)
+    shown = _entropies(pages.select("host", F.explode("nodes").alias("b")).select("host", "b.path", "b.h"), enough)
+    paths = F.array_distinct(F.concat(*(F.transform(c, lambda b: b["path"]) for c in ("blocks", "nodes"))))
+    support = pages.select("host", F.explode(paths).alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages"))
     up = F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     below = (content.select("host", F.explode(up).alias("path"), "n", "importance").groupBy("host", "path")
              .agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content")))
     mixed = below.join(shown.select("host", "path", "kinds", F.col("importance").alias("shape")), ["host", "path"], "left")
     share = F.pow(F.lit(G), F.coalesce("kinds", F.lit(0)))
-    return mixed.select("host", "path", F.when(F.col("shape").isNull(), F.col("content")).otherwise(
-        (1 - share) * F.greatest("shape", "content") + share * F.col("content")).alias("importance"))
+    return mixed.join(support, ["host", "path"]).select("host", "path", F.when(F.col("shape").isNull(), F.col("content")).otherwise(
+        (1 - share) * F.greatest("shape", "content") + share * F.col("content")).alias("importance"), "pages")
+
+
+def distinct_pages(trees: DataFrame, tables: Tables) -> DataFrame:
+    """(host, marks, blocks, nodes), without texts: one page of those of a host
+    that are copies of each other."""
+    keys = trees.select("host", "marks.same", "marks.full", "marks.uid")
+    first = (keys.groupBy("host", "same").agg(F.min(F.struct("full", "uid"))["uid"].alias("first"), F.count("*").alias("copies"))
+             .where("copies > 1").drop("copies"))
+    again = tables.write(keys.join(first, ["host", "same"]).where("uid <> first").select("uid"), "again")
+    light = trees.select("host", "marks", "blocks.path", "blocks.h", "blocks.place", "nodes")
+    return (light.join(broadcast_if_small(again, again.count() * 8), F.expr("marks.uid = uid"), "left_anti")
+            .select("host", "marks", F.arrays_zip("path", "h", "place").alias("blocks"), "nodes"))
+
+
+def recurring(pages: DataFrame, size: DataFrame, recur: float, needed: int, tables: Tables) -> DataFrame:
+    """(host, b): the notices (path, h) of each host, of its distinct pages."""
+    said = (pages.select("host", "marks.long", F.explode(F.array_distinct("blocks")).alias("e")).where("e.place <> 'noise'")
+            .select("host", "long", F.col("e.place").eqNullSafe("main").alias("main"), F.struct("e.path", "e.h").alias("b")))
+    # an article is known by its longest text; pages with the same one count once, so that this text itself is no notice
+    articles = (pages.where("marks.long is not null").groupBy("host", "marks.long").agg(F.count("*").alias("c"))
+                .groupBy("host").agg(F.count("*").alias("articles")).where(F.col("articles") >= needed))
+    among = F.when(F.col("main"), F.col("articles")).otherwise(F.col("pages"))
+    often = tables.write(said.groupBy("host", "b", "main").agg(F.count("*").alias("c")).join(size, "host").join(articles, "host", "left")
+                         .where(F.col("c") > recur * among).select("host", "b", "main", "articles"), "often")
+    asked = often.where("main")
+    inside = (said.where("main").drop("main").join(broadcast_if_small(asked, asked.count() * 256), ["host", "b"])
+              .groupBy("host", "b", "long", "articles").agg(F.count("*").alias("c"))
+              .groupBy("host", "b", "articles").agg(F.count("*").alias("c")).where(F.col("c") > recur * F.col("articles")))
+    return often.where("not main").select("host", "b").unionByName(inside.select("host", "b"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -138,19 +195,20 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                         F.col(html_col).cast("string").alias("html"))
     trees = tables.write(rows.mapInArrow(
         frugal(parsed), "page_id long, url string, host string, "
-                "blocks array<struct<path:string,place:string,h:long,text:string>>, nodes array<struct<path:string,h:long>>"), "pages")
-    size = trees.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_needed)
-    poor = (style_tree(trees).where(F.col("importance") < least).join(size, "host").groupBy("host")
+                "blocks array<struct<path:string,place:string,h:long,text:string>>, nodes array<struct<path:string,h:long>>, "
+                "marks struct<same:long,full:long,uid:long,long:long>"), "pages")
+    once = distinct_pages(trees, tables)
+    size = once.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_needed)
+    poor = (style_tree(once, pages_needed).where((F.col("importance") < least) & (F.col("pages") >= pages_needed)).groupBy("host")
             .agg(F.collect_list("path").alias("poor")))
-    said = trees.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["h"].alias("h"))))).alias("b"))
-    notices = (said.groupBy("host", "b").agg(F.count("*").alias("c")).join(size, "host")
-               .where(F.col("c") > recur * F.col("pages")).groupBy("host").agg(F.collect_list("b").alias("notices")))
+    notices = recurring(once, size, recur, pages_needed, tables).groupBy("host").agg(F.collect_list("b").alias("notices"))
     removed = tables.write(poor.join(notices, "host", "full").select("host", "poor", "notices"), "removed")
+    tables.drop("again", "often")
     kept = F.expr("""filter(blocks, b -> b.place <> 'noise'
-      and not exists(coalesce(poor, array()), p -> b.path = p or startswith(b.path, p || '/'))
+      and (b.place = 'main' or not exists(coalesce(poor, array()), p -> b.path = p or startswith(b.path, p || '/')))
       and not array_contains(coalesce(notices, array()), struct(b.path as path, b.h as h)))""")
     main = F.expr("exists(blocks, b -> b.place = 'main')")
     chosen = F.when(main, F.filter("kept", lambda b: b["place"] == "main")).otherwise(F.col("kept"))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-    return (trees.drop("nodes").join(removed, "host", "left").withColumn("kept", kept)
+    return (trees.drop("nodes", "marks").join(removed, "host", "left").withColumn("kept", kept)
             .select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long")))

@@ -48,6 +48,32 @@ def test_notice_inside_the_article_recurs_and_goes(spark):
     assert got == {k: (expected(k), len(expected(k))) for k in range(12)}
 
 
+def host_texts(spark, html):
+    df = spark.createDataFrame([(k, "http://one.example/", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    return {k: t for k, (t, _) in texts(extract_main_text(df)).items()}
+
+
+@pytest.mark.parametrize("main", [True, False])
+def test_copies_of_an_article_do_not_remove_it(spark, main):
+    """11 of 20 pages carry one article, inside an article element also as near copies."""
+    open_, close = ("<article>", "</article>") if main else ("<div class='x'>", "</div>")
+    same = "<p>The one long text of the article that is carried again.</p><p>Its end.</p>"
+    html = [f"<body>{open_}{same}{f'<p>Seen {k} times</p>' if main else ''}{close}" if k < 11 else
+            f"<body>{open_}<p>Another long text with the number {k} in its middle.</p><p>End {k * k}.</p>{close}" for k in range(20)]
+    got = host_texts(spark, html)
+    assert all(got[k].startswith("The one long text of the article that is carried again.\nIts end.") for k in range(11))
+    assert all(got[k] == f"Another long text with the number {k} in its middle.\nEnd {k * k}." for k in range(11, 20))
+
+
+def test_nodes_of_few_pages_and_few_values_stay(spark):
+    """A layout of two pages with one text, and a cell with four values, on hosts of any size."""
+    for size in (12, 600):
+        html = [f"<body><div class='x'><p>Text number {k}.</p></div><table class='facts'><tr><td>value {'abcd'[k % 4]}</table>"
+                + ("<div class='own'><ul><li>Once more</li><li>Once more</li></ul></div>" if k == 3 else "") for k in range(size)]
+        assert host_texts(spark, html) == {
+            k: f"Text number {k}.\nvalue {'abcd'[k % 4]}" + ("\nOnce more\nOnce more" if k == 3 else "") for k in range(size)}
+
+
 def test_few_pages_are_judged_by_labels_alone(spark):
     df = spark.createDataFrame([(1, "http://a.example", "<p>same</p>"), (2, "http://a.example", "<p>same</p>")], "page_id long, url string, html string")
     assert texts(extract_main_text(df)) == {1: ("same", 4), 2: ("same", 4)}
