@@ -17,7 +17,11 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 #: Element names; fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+#: Where an svg without its end tag ends: at one of these, as in HTML.
+BREAKS = (r"b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|"
+          r"span|strong|strike|sub|sup|table|tt|u|ul|var|article|section|main|aside|nav|header|footer")
+BREAK = re.compile(rf"<(?:(?:{BREAKS})(?=[\s/>])|/(?:{BREAKS}|html)\s*>)", re.I)
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
                   "search section select summary table tbody td tfoot th thead tr ul".split())
@@ -41,6 +45,29 @@ def label(name: str, attributes: str) -> str:
     return "".join(parts)
 
 
+def _raw_end(html: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def _svg_ends(html: str, at: int) -> dict[int, int]:
+    """{end of an svg's tag: end of its end tag} from ``at`` on, in one pass; an
+    svg that has no end tag is not in it."""
+    ends, opened = {}, []
+    while m := TOKEN.search(html, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        void = m[2] is not None and m[3].endswith("/")
+        if name == "svg" and m[1]:
+            if opened:
+                ends[opened.pop()] = at
+        elif name == "svg" and not void:
+            opened.append(at)
+        elif name in RAW and not m[1] and not (void and opened):
+            at = _raw_end(html, name, at)
+    return ends
+
+
 def parse(html: str):
     """``(blocks, containers)``: text blocks ``(path, text)`` in page order, and
     for each element with element children ``(path, their labels)``.  A path is
@@ -67,7 +94,7 @@ def parse(html: str):
             if children:
                 containers.append((path, " ".join(children)))
 
-    at, n = 0, len(html)
+    at, n, svgs = 0, len(html), None
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
@@ -117,9 +144,15 @@ def parse(html: str):
             if name in ("br", "hr"):
                 text.append(" ")
             continue
+        if name == "svg":
+            if not m[3].endswith("/"):
+                svgs = _svg_ends(html, m.start()) if svgs is None else svgs
+                # without an end tag it ends before the first tag that cannot be in it
+                found = None if at in svgs else BREAK.search(html, at)
+                at = svgs.get(at, found.start() if found else n)
+            continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            at = _raw_end(html, name, at)
             continue
         if m[3].endswith("/") and name not in BLOCK:
             continue

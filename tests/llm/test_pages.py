@@ -93,6 +93,14 @@ def test_parse_closes_open_elements():
     assert [t for _, t in blocks] == list("abcdefgh")
 
 
+def test_svg_hides_itself_alone_and_math_is_text():
+    assert plain_text("<p>a<svg class='i'/>b<p>c<svg><use/></svg>d") == "ab\ncd"
+    assert plain_text("<p>a<svg><g><svg x='1'><text>no</text></svg><text>no</text></g></svg>b<svg/>c") == "abc"
+    assert plain_text("<div><p>a<svg><path d='M0'><p>b<svg><g></g></div><p>c") == "a\nb\nc"
+    assert plain_text("<p>E <math/>is <math><mi>m</mi><mo>+</mo><mspace/><mn>1</mn></math> here") == "E is m+1 here"
+    assert plain_text("<p>a" + "<svg><g>" * 3000 + "<p>b").endswith("b")
+
+
 def test_broken_attributes_stay_markup():
     assert [t for _, t in parse("<p title='it's'>a</p><p title=\"x>b</p>")[0]] == ["a", "b"]
     assert plain_text("<p a=\"1>2\">c" + "<a href=\"" * 3000).startswith("c")
