@@ -5,11 +5,12 @@ Two documents link when the entry of ``A A^T`` (their overlap) reaches 80 % of
 their union.  Only a small part of the product can reach that, so the matrix is
 cut down before it is multiplied, each time by a bound that loses no link:
 
-1. *Columns held by one document* add to no product.  A document with more
-   than ``n - ceil(0.8 n)`` such shingles has no partner.  A fixed 5/16 of the
-   hash space is counted first, over all documents; that alone removes most.
-2. *Equal rows* are one class (128-bit sum over the set); its smallest doc_id
-   stands for it.
+1. *Equal rows* are one class (128-bit sum over the set), whatever their ids
+   are and however often one occurs.  The class, not an id, is the row from here
+   on; the text of its smallest doc_id gives its columns.
+2. *Columns held by one class* add to no product.  A class with more than
+   ``n - ceil(0.8 n)`` such shingles has no partner.  A fixed 5/16 of the hash
+   space is counted first, over all documents; that alone removes most.
 3. The remaining classes are counted over all their columns, and bound 1 is
    applied again.
 4. *Prefix bound*: with columns ordered by (documents that hold it, hash), two
@@ -98,19 +99,19 @@ def measure(batches):
 
 
 def all_shingles(batches):
-    """(doc_id, s1, text) -> (doc_id, s1, n, tokens), every distinct shingle of
-    the texts whose set sum is the given s1."""
+    """(s1, text) -> (node, n, tokens), every distinct shingle of the texts
+    whose set sum is the given s1, which is the node."""
     hasher = WordHasher(lower=True)
     for batch in batches:
-        for first, data, offsets in text_blocks(batch.column(2)):
+        for first, data, offsets in text_blocks(batch.column(1)):
             found, bounds = shingle_sets(hasher, data, offsets)
             rows = batch.slice(first, len(offsets) - 1)
             sums = pa.array(_set_sums(found, bounds, 0x5851F42D4C957F2D).view(np.int64))
             every = pa.RecordBatch.from_arrays([
-                rows.column(0), sums, pa.array(np.diff(bounds), pa.int64()),
+                sums, pa.array(np.diff(bounds), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.view(np.int64)))],
-                names=["doc_id", "s1", "n", "tokens"])
-            yield every.filter(pc.equal(sums, rows.column(1)))
+                names=["node", "n", "tokens"])
+            yield every.filter(pc.equal(sums, rows.column(0)))
 
 
 def block_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
@@ -197,12 +198,12 @@ def counted_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds
 
 
 def _tile_links(table: pa.Table, count: bool) -> pa.Table:
-    """One task's tile: rows (tile, label, side, doc_id, tokens) -> links (a, b,
+    """One task's tile: rows (tile, label, side, node, tokens) -> links (a, b,
     null) and, if they are counted, (a, null, number of links of a)."""
     tokens = table.column("tokens").combine_chunks()
     bounds = tokens.offsets.to_numpy().astype(np.int64)
     columns = tokens.values.to_numpy()
-    labels, ids, sides = (table.column(c).to_numpy() for c in ("label", "doc_id", "side"))
+    labels, ids, sides = (table.column(c).to_numpy() for c in ("label", "node", "side"))
     order = np.argsort(labels, kind="stable")
     out = []
     for rows in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
@@ -224,13 +225,26 @@ def tile_links_counted(table: pa.Table) -> pa.Table:
     return _tile_links(table, True)
 
 
-def _without_lonely(rows: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
-    """Rows with at most ``n - need`` tokens that no other row holds.  The
-    count per token is a plain hash aggregate, summed before the shuffle."""
-    held = rows.select(*keys, F.explode(tokens).alias("h")).groupBy("h").agg(
-        F.count("*").alias("c"), *[F.min(k).alias(k) for k in keys])
-    lonely = held.where("c = 1").groupBy(*keys).agg(F.count("*").alias("alone"))
-    return rows.join(lonely, keys, "left").where(f"coalesce(alone, 0) <= n - {NEED}").drop("alone")
+def _lonely(rows: DataFrame, tokens: str) -> DataFrame:
+    """(node, alone): how many tokens of a node no other node holds.  The
+    holders of a token are a plain hash aggregate, summed before the shuffle;
+    rows that repeat a node are no further holders."""
+    held = rows.select("node", F.explode(tokens).alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return held.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def _without_lonely(rows: DataFrame, lonely: DataFrame) -> DataFrame:
+    """Rows with at most ``n - need`` tokens that no other node holds."""
+    return rows.join(lonely, "node", "left").where(f"coalesce(alone, 0) <= n - {NEED}").drop("alone")
+
+
+def _once(rows: DataFrame, tables: Tables) -> DataFrame:
+    """``rows`` with one row a node: a doc_id that occurs several times with the
+    text of its class has given several."""
+    again = tables.write(rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), "again")
+    if again.isEmpty():
+        return rows
+    return rows.join(again, "node", "left_anti").unionByName(rows.join(again, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -257,36 +271,38 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = sets.where("doc_id is not null and n > 0").drop("th")
     alike = ["n", "s1", "s2"]
 
-    # an id that several rows share would mix their counts: such rows stay for the exact count below
-    often = tables.write(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "often")
-    once = _without_lonely(named.join(often, "doc_id", "left_anti"), "sample", ["doc_id"])
-    left = once.select("doc_id", *alike).unionByName(named.join(often, "doc_id", "left_semi").select("doc_id", *alike))
-    classes = tables.write(left.groupBy(*alike).agg(F.min("doc_id").alias("class_id")), "classes")
-    chosen = classes.select(F.col("class_id").alias("doc_id"), "s1").distinct()
-    wanted = base.join(broadcast_if_small(chosen, classes.count() * 16), "doc_id").select("doc_id", "s1", "text")
-    rows = tables.write(wanted.mapInArrow(frugal(all_shingles), "doc_id long, s1 long, n long, tokens array<long>"), "rows")
-    rows2 = tables.write(_without_lonely(rows, "tokens", ["doc_id", "s1"]), "rows2")
-    tables.drop("rows", "often")
-
-    entries = rows2.select("doc_id", "s1", "n", F.explode("tokens").alias("h"))
+    node = F.col("s1").alias("node")
+    every = tables.write(named.groupBy(*alike).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held")), "every")
+    near = _without_lonely(every.select("*", node), _lonely(named.select(node, "sample"), "sample")).select(*alike, F.lit(True).alias("near"))
+    # a class of one row without partner is its own component, which needs no table
+    classes = tables.write(every.join(near, alike, "left").where("near or held > 1").drop("held"), "classes")
+    chosen = classes.where("near").select(F.col("class_id").alias("doc_id"), "s1")
+    wanted = base.join(broadcast_if_small(chosen, chosen.count() * 16), "doc_id").select("s1", "text")
+    rows = _once(tables.write(wanted.mapInArrow(frugal(all_shingles), "node long, n long, tokens array<long>"), "rows"), tables)
+    rows2 = tables.write(_without_lonely(rows, _lonely(rows, "tokens")), "rows2")
+    tables.drop("rows", "again", "every")
+
+    entries = rows2.select("node", "n", F.explode("tokens").alias("h"))
     held = tables.write(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "held")
-    shared = (entries.join(held, "h").groupBy("doc_id", "s1", "n")
+    shared = (entries.join(held, "h").groupBy("node", "n")
               .agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("cols")))
     first = F.expr(f"slice(cols, 1, greatest(cast(size(cols) + 1 - ({NEED}) as int), 0))")
-    prefix = tables.write(shared.select("doc_id", F.explode(F.transform(first, lambda x: x["h"])).alias("h")), "prefix")
-    ends = tables.write(prefix.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    prefix = tables.write(shared.select("node", F.explode(F.transform(first, lambda x: x["h"])).alias("h")), "prefix")
+    ends = tables.write(prefix.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
                         .where("lo < hi").select("h", "lo"), "ends")
-    stars = prefix.join(ends, "h").where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
+    stars = prefix.join(ends, "h").where("node > lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
     blocks = tables.write(connected_components(stars, tables, "blocks"), "blocks")
     tables.drop("held", "prefix", "ends")
 
     links = tables.write(_multiply(rows2, blocks, tables, block_tokens, count_links), "links")
     labels = tables.write(connected_components(links.where("b is not null").select("a", "b"), tables, "labels"), "labels")
-    degree = links.where("n is not null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links"))
+    degree = links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    placed = tables.write(classes.select(*alike, "class_id", node).join(labels, "node", "left").join(degree, "node", "left"), "placed")
+    smallest = placed.where("label is not null").groupBy("label").agg(F.min("class_id").alias("component_id"))
     named_classes = tables.write(
-        classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
-        .select(*alike, "class_id", F.coalesce("label", "class_id").alias("component_id"), "n_links"), "named")
-    tables.drop("rows2", "blocks", "links", "labels", "classes")
+        placed.join(smallest, "label", "left")
+        .select(*alike, "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_links"), "named")
+    tables.drop("rows2", "blocks", "links", "labels", "classes", "placed")
     return (sets.select("doc_id", "th", *alike).join(named_classes, alike, "left")
             .select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
@@ -295,7 +311,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _tile(rows: DataFrame, tile, side) -> DataFrame:
-    return rows.select(tile.alias("tile"), "label", side.cast("long").alias("side"), "doc_id", "tokens")
+    return rows.select(tile.alias("tile"), "label", side.cast("long").alias("side"), "node", "tokens")
 
 
 def _linked(tiles: DataFrame, count: bool = False) -> DataFrame:
@@ -310,7 +326,7 @@ def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens:
     all rows into one component, and pairs inside it need no product any more:
     only the rows outside it (and outside part 0) go on to meet every part.  If
     links are counted, every part meets every part."""
-    placed = rows.join(blocks.withColumnRenamed("node", "doc_id"), "doc_id").select("label", "doc_id", "n", "tokens")
+    placed = rows.join(blocks, "node").select("label", "node", "n", "tokens")
     sizes = tables.write(placed.groupBy("label").agg(F.sum("n").alias("total")), "sizes")
     parts = F.ceil(F.col("total") / block_tokens).cast("long")
     small, large = sizes.agg(F.sum(F.when(F.col("total") <= block_tokens, F.col("total"))),
@@ -321,7 +337,7 @@ def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens:
                          "links-small")
     if not large:
         return links
-    cut = tables.write(with_size.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "parts")
+    cut = tables.write(with_size.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "parts")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     name = lambda *c: F.concat_ws(" ", "label", *c)
     if count:
@@ -333,15 +349,15 @@ def _multiply(rows: DataFrame, blocks: DataFrame, tables: Tables, block_tokens:
     known = tables.write(_linked(first), "links-first")
 
     # what each row is connected to so far, and the component with the most rows of its block
-    joined = connected_components(known.select("a", "b"), tables, "first").withColumnRenamed("label", "root").withColumnRenamed("node", "doc_id")
-    rooted = tables.write(cut.select("label", "doc_id", "part").distinct().join(joined, "doc_id", "left")
-                          .withColumn("root", F.coalesce("root", "doc_id")), "roots")
+    joined = connected_components(known.select("a", "b"), tables, "first").withColumnRenamed("label", "root")
+    rooted = tables.write(cut.select("label", "node", "part").distinct().join(joined, "node", "left")
+                          .withColumn("root", F.coalesce("root", "node")), "roots")
     largest = (rooted.groupBy("label", "root").agg(F.count("*").alias("c"))
                .groupBy("label").agg(F.max_by("root", F.struct("c", "root")).alias("hub")))
-    outside = rooted.where("part > 0").join(largest, "label").where("root <> hub").select("label", "doc_id")
-    left = tables.write(cut.join(outside, ["label", "doc_id"], "left_semi"), "outside")
+    outside = rooted.where("part > 0").join(largest, "label").where("root <> hub").select("label", "node")
+    left = tables.write(cut.join(outside, ["label", "node"], "left_semi"), "outside")
     shares = tables.write(left.groupBy("label").agg(F.ceil(F.sum("n") / block_tokens).cast("long").alias("shares")), "shares")
-    asked = left.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("shares"))).withColumn("j", each)
+    asked = left.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("node", F.lit(3)), F.col("shares"))).withColumn("j", each)
     met = cut.where("part > 0").join(shares, "label").withColumn(
         "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     rest = _linked(_tile(asked.where("j > 0"), name("share", "j"), F.lit(0)).unionByName(_tile(met, name("share", "part"), F.lit(1))))

@@ -60,6 +60,21 @@ def test_components_repeated_rows_and_null_ids(spark):
     assert got == sorted([(5, 36, 5), (5, 36, 5), (None, 36, None), (9, 36, 5), (9, 1, 9), (4, 0, 4), (None, 0, None)], key=str)
 
 
+def test_components_of_ids_that_occur_twice(spark):
+    """Rows that repeat an id hold their shingles too, and an id's texts are linked apart."""
+    def words(c, change=()):
+        return " ".join(f"x{k}" if k in change else f"{c}{k}" for k in range(60))
+
+    a, near_a, b, near_b, c, near_c = words("a"), words("a", {59}), words("b"), words("b", {0}), words("c"), words("c", {59})
+    df = spark.createDataFrame([(2, a), (5, a), (5, a), (3, near_b), (7, b), (7, "other text"),  # a copy and a near copy of them
+                                (20, c), (20, c), (30, near_c), (9, near_a), (9, near_b + " y"), (9, "other text")], "doc_id long, text string")
+    got = ngram_components(df, count_links=True)
+    assert sorted((r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"], r["n_links"]) for r in got.collect()) == sorted([
+        (2, 56, 2, 2, 1), (5, 56, 2, 2, 1), (5, 56, 2, 2, 1), (9, 56, 9, 2, 1),
+        (3, 56, 3, 3, 2), (7, 56, 7, 3, 2), (9, 57, 9, 3, 2),
+        (7, 1, 7, 7, 0), (9, 1, 7, 7, 0), (20, 56, 20, 20, 1), (20, 56, 20, 20, 1), (30, 56, 30, 20, 1)])
+
+
 def test_block_links_span_all_links():
     import numpy as np
     rng = np.random.default_rng(1)
