@@ -72,18 +72,80 @@ def parse_records(data: bytes):
         at = end + 4 + size
 
 
-def inflate(data: bytes) -> bytes:
-    """All gzip members of a .warc.gz, or the bytes themselves."""
+def inflate(data: bytes, step: int = 1 << 16) -> bytes:
+    """All gzip members of a .warc.gz, or the bytes themselves.  A member that
+    breaks off is given as far as it goes.  Members are fed in steps, so that
+    the rest of the file is not copied for each of them."""
     if data[:2] != b"\x1f\x8b":
         return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+    parts, at, view = [], 0, memoryview(data)
+    while data[at: at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
-        data = member.unused_data
+        while at < len(data) and not member.eof:
+            fed = view[at: at + step]
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)
+        parts.append(member.flush())
     return b"".join(parts)
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without its chunked transfer coding; one that has none (archives
+    keep the header of bodies they have decoded) as it is, one that breaks off
+    as far as it goes."""
+    parts, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;.*)?", body[at:end] if 0 <= end < at + 4096 else b"")
+        if not size:
+            return b"".join(parts) + body[at:]
+        if not int(size[1], 16):
+            break
+        at, size = end + 2, int(size[1], 16)
+        parts.append(body[at: at + size])
+        at += size
+        if body[at: at + 2] not in (b"\r\n", b"\r", b""):
+            return b"".join(parts) + body[at:]
+        at += 2
+    return b"".join(parts)
+
+
+def decoded(body: bytes, coding: str) -> bytes:
+    """A body without one content coding, as far as it goes; one that is not so
+    coded (or by an unknown coding) as it is."""
+    coding = coding.removeprefix("x-")
+    if coding == "gzip":
+        try:
+            return inflate(body)
+        except zlib.error:
+            return body
+    if coding == "deflate":
+        for bits in (15, -15):  # with the zlib header, and as some servers send it
+            try:
+                whole = zlib.decompressobj(bits)
+                return whole.decompress(body) + whole.flush()
+            except zlib.error:
+                pass
+    if coding in ("br", "zstd"):
+        try:
+            return pa.CompressedInputStream(pa.BufferReader(body), {"br": "brotli"}.get(coding, coding)).read()
+        except (OSError, ValueError, pa.ArrowException):
+            pass
+    return body
+
+
+def entity(pairs: list[tuple[str, str]], payload: bytes) -> tuple[bytes, bytes]:
+    """The body without transfer coding, and without content codings too."""
+    codings = {name: [x.strip().lower() for k, v in pairs if k.lower() == name for x in v.split(",")]
+               for name in ("transfer-encoding", "content-encoding")}
+    for coding in reversed(codings["transfer-encoding"]):
+        payload = unchunked(payload) if coding == "chunked" else decoded(payload, coding)
+    plain = payload
+    for coding in reversed(codings["content-encoding"]):
+        plain = decoded(plain, coding)
+    return payload, plain
+
+
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of an HTTP response block; a block
     without a header end is all payload."""
@@ -98,12 +160,13 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def derive(source: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The metadata and the conversion record of a response."""
     status, pairs, payload = http_parts(block)
+    payload, plain = entity(pairs, payload)
     kind = next((v for k, v in pairs if k.lower() == "content-type"), "")
     charset = CHARSET.search(kind)
     try:
-        html = payload.decode(charset[1] if charset else "utf-8", "replace")
+        html = plain.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        html = payload.decode("utf-8", "replace")
+        html = plain.decode("utf-8", "replace")
     of, uri, date = (source.get(k) for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     of = of or record_id(f"{uri} {date} {digest(block)}")
     ids = {t: record_id(f"{of} {t}") for t in ("metadata", "conversion")}

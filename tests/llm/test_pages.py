@@ -2,11 +2,12 @@
 
 import gzip
 import json
+import zlib
 
 import pytest
 from cardlens.llm.html import label, parse, plain_text, title
 from cardlens.llm.site_style import extract_main_text, place
-from cardlens.llm.warc import (digest, page_derivatives, parse_records, read_responses, record_id, response_derivatives,
+from cardlens.llm.warc import (derive, digest, inflate, page_derivatives, parse_records, read_responses, record_id, response_derivatives,
                                serialise)
 
 HEAD = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body>"
@@ -164,6 +165,27 @@ def test_warc_files_round_trip(spark, tmp_path):
             assert next(parse_records(bytes(r["record"])))[1].decode() == "café"
 
 
+@pytest.mark.parametrize("coding", ["gzip", "deflate", "br", "zstd", "identity"])
+@pytest.mark.parametrize("chunked", [True, False])
+def test_codings_of_a_response_are_undone(coding, chunked):
+    import pyarrow as pa
+    html = "<title>T</title><p>Hello</p><a href='/y'>l</a>".encode()
+    body = {"gzip": gzip.compress, "deflate": zlib.compress, "identity": bytes}.get(
+        coding, lambda x: pa.compress(x, {"br": "brotli"}.get(coding, coding), asbytes=True))(html)
+    head = f"HTTP/1.1 200 OK\r\nContent-Encoding: {coding}\r\n" + "Transfer-Encoding: chunked\r\n" * chunked + "\r\n"
+    sent = b"".join(b"%x\r\n%s\r\n" % (len(body[k:k + 9]), body[k:k + 9]) for k in range(0, len(body), 9)) + b"0\r\n\r\n" if chunked else body
+    for payload in (sent, html):  # archives also keep the headers of bodies that they have decoded
+        (_, envelope), (_, text) = derive({"WARC-Target-URI": "http://a.example/"}, head.encode() + payload)
+        found = json.loads(envelope)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
+        assert text == b"Hello\nl" and found == {"Head": {"Title": "T"}, "Links": [{"path": "A@/href", "url": "http://a.example/y"}]}
+
+
+def test_many_gzip_members_are_inflated_once():
+    member = gzip.compress(b"abc\n")
+    assert inflate(member * 100_000, 50) == b"abc\n" * 100_000
+    assert inflate(member + gzip.compress(bytes(range(256)) * 999)[:-9])[:5] == b"abc\n\0"
+
+
 @pytest.mark.parametrize("operator", [extract_main_text, page_derivatives])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
