@@ -80,12 +80,17 @@ def _email(text, at, low):
     return (start, m.end(), True) if m else None
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")  # Python reads no number of over 4,300 digits
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def _ip(text, at, low):
     start = at
     while start > low and text[start - 1] in "0123456789":
         start -= 1
     m = IP.match(text, start)
-    return (start, m.end(), all(int(p) <= 255 for p in m[0].split("."))) if m else None
+    return (start, m.end(), all(map(_octet, m[0].split(".")))) if m else None
 
 
 def _card(text, at, low):

@@ -165,3 +165,9 @@ def test_empty_table(empty, operator):
 
 def test_words_are_ascii_space_separated():
     assert words("a\x1cb c d") == ["a\x1cb c", "d"]
+
+
+def test_very_long_digit_runs_are_no_error():
+    from cardlens.llm.pii import anchors, joined, spans
+    text = "9" * 5000 + ".1.2.3 and " + "0" * 5000 + "7.1.2.3 and 1.2.3.256"
+    assert joined(s for s in spans(text, anchors()) if s[2] == "ip") == f"ip:5011:{5011 + 5007}"
