@@ -64,4 +64,76 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
-SQL = {"op1_ngram_jaccard_join": OP1, "op6_quality_rules": OP6, "op8_substring_dedup": OP8, "op10_exact_dedup": OP10}
+# crc32 of a text's UTF-8 bytes (code points below 0x800), by the usual table made from its polynomial
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    codes = (f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] "
+             "ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END))")
+    return (f"xor(list_reduce(list_prepend(4294967295, {codes}), "
+            "lambda c, b: xor(c >> 8, crc.tab[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+OP11 = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, lang, text, CASE WHEN doc_id IS NULL THEN false ELSE {_crc32("doc_id::VARCHAR")} % 3 = 1 END AS held_out FROM documents, crc),
+w AS (SELECT doc_id, lang, held_out, ' ' || w || ' ' AS w, count(*) AS n
+      FROM (SELECT doc_id, lang, held_out, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS w FROM d) GROUP BY ALL),
+g AS (SELECT doc_id, lang, held_out, w[i:i + k - 1] AS g, sum(n) AS n
+      FROM w, (VALUES (1), (2), (3)) s(k), unnest(range(1, length(w) - k + 2)) u(i) WHERE k > 1 OR (i > 1 AND i < length(w)) GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r
+      FROM g WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, g QUALIFY r < 400),
+q AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM g QUALIFY r < 400),
+f AS (SELECT doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 400 ELSE abs(p.r - q.r) END) AS far, count(*) AS grams
+      FROM q CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = q.g GROUP BY ALL),
+b AS (SELECT doc_id, lang, 1.0::DOUBLE - far::DOUBLE / (400 * grams)::DOUBLE AS score FROM f
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT d.doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN b ON b.doc_id = d.doc_id
+"""
+
+
+def _op12(rounds: int = 5) -> str:
+    far = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT k.vec_id, arg_min(c.c, d * 100 + c.c) AS c, min(d) AS d FROM "
+                     f"(SELECT k.vec_id, c.c, {far} AS d FROM kept k CROSS JOIN c{r} c) x JOIN kept k USING (vec_id) JOIN c{r} c USING (c) GROUP BY 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT a.c, i, sum(k.v[i])::BIGINT AS s, count(*) AS n "
+                         f"FROM a{r} a JOIN kept k USING (vec_id), range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v)::BIGINT[] AS v FROM c{r} c LEFT JOIN m{r} m USING (c))")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 40),
+{", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+OP12 = _op12()
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_CAPS}', '{_CAPS.lower()}') AS w FROM documents),
+r AS (SELECT doc_id, w, count(*) AS n FROM o WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM r, crc),
+k AS (SELECT CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM h),
+v AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM k WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+i AS MATERIALIZED (SELECT DISTINCT w, w[1:i - 1] || w[i + 1:] AS gap, w[1:i - 1] || '*' || w[i + 1:] AS hole FROM v, unnest(range(1, length(w) + 1)) u(i)),
+x AS (SELECT a.w AS a, b.w AS b FROM i a JOIN i b ON a.hole = b.hole AND a.w <> b.w
+      UNION SELECT i.w, v.w FROM i JOIN v ON i.gap = v.w UNION SELECT v.w, i.w FROM i JOIN v ON i.gap = v.w),
+y AS (SELECT a AS w, b, v.n AS m, count(*) OVER (PARTITION BY a) AS n_near FROM x JOIN v ON v.w = b
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+f AS MATERIALIZED (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN b END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n
+      FROM v LEFT JOIN y ON y.w = v.w),
+t(w, spot, form) AS (SELECT w, w, form FROM f UNION ALL SELECT t.w, f.w, f.form FROM t JOIN f ON f.w = t.form)
+SELECT f.w AS word, f.n, f.form, f.form_n, f.n_near, t.spot AS root FROM f JOIN t ON t.w = f.w AND t.form IS NULL
+"""
+
+SQL = {"op1_ngram_jaccard_join": OP1, "op6_quality_rules": OP6, "op8_substring_dedup": OP8, "op10_exact_dedup": OP10,
+       "op11_language_id": OP11, "op12_centroid_clustering": OP12, "op13_spelling_variants": OP13}

@@ -1,13 +1,13 @@
-"""Registered queries of the ten operators.  Each reads its whole table."""
+"""Registered queries of the thirteen operators.  Each reads its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from public_tokenizers import path as tokenizer_path
-
 from .exact_dedup import radix_groups
+from .langid import predict_held_out
+from .lookup_clusters import centroid_clusters
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .pieces import encode_digests
@@ -16,6 +16,7 @@ from .quality import quality_features
 from .repeats import remove_repeats
 from .secrets import find_secrets
 from .site_style import extract_main_text
+from .spelling import spelling_groups
 from .warc import page_derivatives
 
 MODEL = "piece_bpe_32k.model"
@@ -42,6 +43,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path as tokenizer_path  # the vocabulary files: only this query needs them
     return encode_digests(documents(spark, sf_dir), tokenizer_path(MODEL))
 
 
@@ -70,6 +72,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(documents(spark, sf_dir)).drop("row")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_held_out(documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_source_mixing, op3_secret_scan, op4_sentencepiece, op5_pii, op6_quality_rules,
-    op7_warc_derivatives, op8_substring_dedup, op9_html_extraction, op10_exact_dedup)}
+    op7_warc_derivatives, op8_substring_dedup, op9_html_extraction, op10_exact_dedup,
+    op11_language_id, op12_centroid_clustering, op13_spelling_variants)}
