@@ -3,7 +3,8 @@
 * credit band, random forest (E2): 100 trees, depth 10, seed 42;
 * credit band, boosted trees (E3): MLlib boosting is binary, so one
   GBTClassifier per band (eta 0.1, depth 6, subsample 0.8, feature subset
-  0.8), probabilities normalised across bands;
+  0.8), probabilities normalised across bands; boosting.py fits all bands
+  jointly on softmax gradients;
 * fraud, random forest with balanced class weights (E4);
 * fraud, boosted trees with positives weighted n0/n1 (E5): 200 rounds,
   eta 0.05, depth 5, subsample 0.8, feature subset 0.8.
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..sources.tables import materialize
+from ..sources.tables import materialize, own
 from . import features as feat
 from . import predictions
 
@@ -120,23 +123,57 @@ class FittedModel:
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(
             F.col("importance").desc(), F.col("feature"))
 
+    def tree_rows(self, spark) -> DataFrame:
+        """The fitted trees as rows (tree, node, feature, split, gain); feature
+        is null at a leaf.  They are read from the saved form of the model."""
+        from ..session import ensure_checkpoint_dir
+        names = F.array(*[F.lit(c) for c in self.features])
+        at = F.col("nodeData.split.featureIndex")
+        root = own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/trees/{uuid.uuid4().hex}")
+        parts = []
+        for i, m in enumerate(self.stages):
+            m.stages[-1].write().save(f"{root}/{i}")
+            parts.append(spark.read.parquet(f"{root}/{i}/data").select(
+                F.format_string(f"{i}-%d", "treeID").alias("tree"), F.col("nodeData.id").alias("node"),
+                F.when(at >= 0, F.get(names, at)).alias("feature"),
+                F.when(at >= 0, F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0))).alias("split"), F.col("nodeData.gain").alias("gain")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def split_importance(self, spark) -> DataFrame:
+        """E16 by splits: (feature, importance), how often the trees split on
+        each feature; 0 for one that is never used."""
+        counts = self.tree_rows(spark).where("feature IS NOT NULL").groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+        return self._over_features(spark, counts, "n", "importance")
+
+    def _over_features(self, spark, found: DataFrame, col: str, out: str, share: bool = False) -> DataFrame:
+        """Every feature once with its value in ``found``, largest first."""
+        every = spark.createDataFrame([(c,) for c in self.features], "feature string")
+        rows = every.join(found, "feature", "left").select("feature", F.coalesce(col, F.lit(0)).alias(out))
+        if share:
+            total = rows.agg(F.sum(out)).first()[0] or 1.0
+            rows = rows.withColumn(out, F.col(out) / F.lit(total))
+        return rows.orderBy(F.col(out).desc(), F.col("feature"))
+
     # -- persistence (A7) ----------------------------------------------------
     def save(self, path: str) -> None:
         for i, m in enumerate(self.stages):
             m.write().overwrite().save(os.path.join(path, f"stage_{i}"))
         meta = {"task": self.task, "kind": self.kind, "features": self.features, "labels": self.labels,
                 "n_stages": len(self.stages), "scaler": self.scaler, "levels": self.levels}
-        _write_text(path, "meta.json", json.dumps(meta))
+        write_text(path, "meta.json", json.dumps(meta))
 
     @classmethod
     def load(cls, path: str) -> "FittedModel":
         meta = json.loads(_read_text(path, "meta.json"))
+        if meta["kind"] == "softmax":
+            from .boosting import SoftmaxModel
+            return SoftmaxModel.restore(path, meta)
         stages = [PipelineModel.load(os.path.join(path, f"stage_{i}")) for i in range(meta["n_stages"])]
         return cls(meta["task"], meta["kind"], meta["features"], meta["labels"], stages,
                    {k: tuple(v) for k, v in meta["scaler"].items()}, meta.get("levels"))
 
 
-def _write_text(path: str, name: str, text: str) -> None:
+def write_text(path: str, name: str, text: str) -> None:
     """Sidecar through Spark's filesystem layer so shared storage works too."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()

@@ -533,6 +533,11 @@ sql("credit_contract", f"""
 SELECT Txn_Id, credit_score_band, TRUE AS in_domain, TRUE AS sums_to_one, TRUE AS is_argmax, 'rf' AS model_type
 FROM portfolio WHERE {HELD}
 """)
+sql("softmax_contract", f"""
+SELECT Txn_Id, credit_score_band, TRUE AS in_domain, TRUE AS sums_to_one, TRUE AS is_argmax, 'softmax' AS model_type,
+       TRUE AS loss_falls, TRUE AS learned
+FROM portfolio WHERE {HELD}
+""")
 sql("fraud_contract", f"""
 SELECT Txn_Id AS row_key, fraud_flag, TRUE AS in_range, TRUE AS flag_follows, TRUE AS risk_follows, 'rf' AS model_type
 FROM portfolio WHERE {HELD}

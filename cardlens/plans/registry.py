@@ -513,6 +513,35 @@ def q_fraud_gbt_predictions(spark, d):
     return _fraud_preds(spark, d, "gbt")
 
 
+@query("credit_softmax_predictions")
+def q_credit_softmax_predictions(spark, d):
+    """E3 jointly: one model of all bands on softmax gradients."""
+    m, te, _ = training.stored_credit(spark, d, "softmax")
+    return _r6(m.predict(te).select("Txn_Id", "credit_score_band", "credit_score_band_pred", "probability", "model_type"), ["probability"])
+
+
+@query("softmax_contract")
+def q_softmax_contract(spark, d):
+    """E3 jointly: the laws of the output, and two that a bad model breaks: the
+    training loss falls each round, and the accuracy on held-out rows is at least
+    half way from the most frequent band's share to 1."""
+    m, te, _ = training.stored_credit(spark, d, "softmax")
+    accuracy, majority = training.beats_majority(m, te)
+    falls = len(m.losses) == 100 and all(a > b for a, b in zip(m.losses, m.losses[1:]))
+    return training.credit_laws(m, te).select(
+        "Txn_Id", "credit_score_band", "in_domain", "sums_to_one", "is_argmax", "model_type",
+        F.lit(falls).alias("loss_falls"), F.lit(accuracy >= (1 + majority) / 2).alias("learned"))
+
+
+@query("split_importance")
+def q_split_importance(spark, d):
+    """E16 by splits: how often the trees of each task's boosted model split on
+    each feature."""
+    parts = [m.split_importance(spark).select(F.lit(m.task).alias("task"), F.lit(m.kind).alias("kind"), "feature", "importance")
+             for m in (training.stored_credit(spark, d, "softmax")[0], training.stored_fraud(spark, d, "gbt")[0])]
+    return parts[0].unionByName(parts[1])
+
+
 @query("feature_importance")
 def q_feature_importance(spark, d):
     m, _ = training.fit_credit(spark, d, "rf")
@@ -584,9 +613,11 @@ def q_importance_contract(spark, d):
 
 @query("request_answers")
 def q_request_answers(spark, d):
-    """E7-E9 through a trained, saved and reloaded credit model on raw customer
+    """E7-E9 through the stored credit model (trained if there is none) on raw customer
     rows: every customer gets an answer, those without an account an error."""
-    m = training.reloaded(training.fit_credit(spark, d, "rf")[0], spark)
+    training.stored_credit(spark, d, "rf")
+    m, _, trained = training.stored_credit(spark, d, "rf")
+    assert not trained, "the model that was published is not found"
     raw = explore.first_rows(portfolio(spark, d, training.MODEL_INPUT_COLS + ["Client_Num"]))
     out = predictions.score_requests(customers(spark, d), m.predict_raw(raw), model_type=m.kind)
     return out.select("Client_Num", "error", "model_type", (F.size("all_probabilities") > 0).alias("has_probabilities"),

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import features, metrics, models, smote
+from ..operators import boosting, features, metrics, models, smote
+from ..operators.model_store import ModelStore
 from ..functions import rules
 from ..session import ensure_checkpoint_dir
 from ..sources import tables
@@ -82,6 +83,54 @@ def fit_fraud(spark, sf_dir, kind="rf", rounds=200, oversample="all"):
     return models.train_fraud(tr, cols, kind, rounds=rounds, scaler=stats, levels=levels), te
 
 
+def session_store(spark: SparkSession) -> ModelStore:
+    """The store of this session, under the shared folder; the process deletes
+    it at its end.  A lasting store is a ``ModelStore`` at a path of one's own."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-store"
+    if path not in _STORES:
+        _STORES.add(path)
+        tables.own_always(spark, path)
+    return ModelStore(spark, path)
+
+
+_STORES: set[str] = set()
+
+
+def stored_credit(spark, sf_dir, kind: str = "rf", rounds: int = 100, fit_on: str = "all", store: ModelStore | None = None):
+    """(model, test rows, whether it was trained): the stored credit model of
+    these rows and features, or a new one.  ``kind='softmax'``: all bands jointly."""
+    store = store or session_store(spark)
+    tr, te, cols, stats, levels = credit_sets(spark, sf_dir, fit_on)
+    version = store.version("credit", kind, tr, ["Txn_Id", "credit_score_band", *cols], rounds=rounds, scaler=stats, levels=levels)
+
+    def train():
+        if kind == "softmax":
+            return boosting.train_softmax(tr, cols, boosting.Plan(rounds=rounds), scaler=stats, levels=levels)
+        return models.train_credit(tr, cols, kind, rounds=rounds, scaler=stats, levels=levels)
+
+    model, trained = store.load_or_train(version, train)
+    return model, te, trained
+
+
+def stored_fraud(spark, sf_dir, kind: str = "rf", rounds: int = 200, oversample: str = "all", store: ModelStore | None = None):
+    """(model, test rows, whether it was trained) for the fraud task."""
+    store = store or session_store(spark)
+    tr, te, cols, stats, levels = fraud_sets(spark, sf_dir, oversample)
+    version = store.version("fraud", kind, tr, ["row_key", "fraud_flag", *cols], rounds=rounds, scaler=stats, levels=levels)
+    model, trained = store.load_or_train(version, lambda: models.train_fraud(tr, cols, kind, rounds=rounds, scaler=stats, levels=levels))
+    return model, te, trained
+
+
+def beats_majority(model: models.FittedModel, rows: DataFrame) -> tuple[float, float]:
+    """(accuracy, share of the most frequent class) on ``rows``: what a model must beat."""
+    label, guess = ("credit_score_band", "credit_score_band_pred") if model.task == "credit" else ("fraud_flag", "fraud_prediction")
+    pairs = model.predict(rows).groupBy(F.col(label).alias("y"), F.col(guess).alias("p")).count().collect()  # classes squared
+    n, by = sum(r["count"] for r in pairs), {}
+    for r in pairs:
+        by[r["y"]] = by.get(r["y"], 0) + r["count"]
+    return (sum(r["count"] for r in pairs if r["y"] == r["p"]) / n, max(by.values()) / n) if n else (0.0, 0.0)
+
+
 def reloaded(model: models.FittedModel, spark: SparkSession) -> models.FittedModel:
     """The model, saved under the shared folder and loaded from there."""
     path = tables.own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}")

@@ -66,6 +66,12 @@ def own(spark: SparkSession, path: str) -> str:
     return path
 
 
+def own_always(spark: SparkSession, path: str) -> str:
+    """Give a written folder to the process, whatever scopes are open."""
+    _OWNED[0].append((spark, path))
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Spark's file system layer."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
