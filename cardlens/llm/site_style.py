@@ -20,7 +20,9 @@ and the contents (text blocks) that the host's pages show there.
   longest text: what near copies of one article share is no notice.
 * Labels carry knowledge that statistics over few pages lack: a node that is
   named as a menu, footer, advert, form or comment list has importance 0, and
-  pages with an article or main element have their content there.
+  pages with an article or main element have their content there.  Inside those
+  a class, id or role must name nothing but that: ``share-price`` is content.
+* A path has 64 labels at most; what lies deeper counts to its ancestor there.
 
 Branches below ``least`` that ``pages`` pages have are removed from each page of
 the host, except inside an article or main element.  A host with under ``pages``
@@ -39,6 +41,7 @@ import hashlib
 import math
 import os
 import re
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -46,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, broadcast_if_small, frugal
-from .html import parse
+from .html import Page
 
 G = 0.9
 #: Words of labels that name what is not main text; fixed values.
@@ -61,17 +64,44 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN = re.compile(r"@main(?=$|[.#@])|@article(?=$|[.#@])")
 
 
+#: Words that only say what kind of a box a label names; fixed values.
+BOX = frozenset("area articles bar block box button buttons container content entry group inner items icons item link links list main media more "
+                "module outer page panel post posts reader region row section site story text thread top user users wrap wrapper".split())
+NAMES = frozenset(NOISE.split("|"))
+SIGN = re.compile(r"[.#@]([^.#@]*)")
+HYPHEN = re.compile(r"[_-]+")
+
+
+def _named(rest: str) -> bool:
+    """Whether a whole class, id or role names noise: a word for it, and else
+    words for boxes alone.  ``related-posts`` does, ``related-work`` does not."""
+    for name in SIGN.findall(rest):
+        words = [w for w in HYPHEN.split(name) if w]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in BOX for w in words):
+            return True
+    return False
+
+
+@lru_cache(10_000)
+def step(where: str, tag: str, mark: str) -> str:
+    """Place of an element from its parent's: ``noise``, ``main`` or ``other``.
+    Outside the article a label with a noise word in it is noise; inside it must
+    name nothing else, since articles have sections of all names."""
+    if where == "noise":
+        return where
+    rest = mark[len(tag):]
+    if tag in NOISE_TAGS or (where != "main" and (tag == "header" or HEADER.search(rest))):
+        return "noise"
+    if rest and tag not in ("html", "body", "article", "main") and (_named(rest) if where == "main" else WORD.search(rest)):
+        return "noise"
+    return "main" if tag in MAIN_TAGS or MAIN.search(rest) else where
+
+
 def place(path: str) -> str:
-    """``noise``, ``main`` or ``other``, from the labels along a path."""
+    """Place of the labels along a path."""
     where = "other"
     for mark in path.split("/"):
-        tag = re.match(r"[a-z0-9:-]*", mark)[0]
-        rest = mark[len(tag):]
-        if tag in NOISE_TAGS or (where != "main" and (tag == "header" or HEADER.search(rest))) or (
-                rest and tag not in ("html", "body", "article", "main") and WORD.search(rest)):
-            return "noise"
-        if tag in MAIN_TAGS or MAIN.search(rest):
-            where = "main"
+        where = step(where, re.match(r"[a-z0-9:-]*", mark)[0], mark)
     return where
 
 
@@ -105,21 +135,15 @@ def parsed(batches):
     block = pa.list_(pa.struct([("path", pa.string()), ("place", pa.string()), ("h", pa.int64()), ("text", pa.string())]))
     node = pa.list_(pa.struct([("path", pa.string()), ("h", pa.int64())]))
     mark = pa.struct([(name, pa.int64()) for name in ("same", "full", "uid", "long")])
-    places: dict[str, str] = {}
     for batch in batches:
         for k in range(0, batch.num_rows, 128):
             rows = batch.slice(k, 128)
             hosts, blocks, nodes = [], [], []
             for url, html in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
-                found, containers = parse(html or "")
-                if len(places) > 100_000:
-                    places.clear()
-                for path, _ in found:
-                    if path not in places:
-                        places[path] = place(path)
+                page = Page(html or "", step)
                 hosts.append(host_of(url))
-                blocks.append([{"path": p, "place": places[p], "h": _key(t), "text": t} for p, t in found])
-                nodes.append([{"path": p, "h": _key(c)} for p, c in containers])
+                blocks.append([{"path": p, "place": w, "h": _key(t), "text": t} for p, w, t in page.blocks])
+                nodes.append([{"path": p, "h": _key(c)} for p, c in page.containers])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(hosts, pa.string()), pa.array(blocks, block), pa.array(nodes, node),
                  pa.array(map(_marks, blocks, nodes), mark)],

@@ -13,24 +13,28 @@ Records are independent: one pass over the rows, no shuffle.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import re
 import uuid
 import zlib
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frugal
-from .html import plain_text, title
+from .html import Page
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 VERSION = "WARC/1.1"
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+MEMBER = b"\x1f\x8b\x08"  # how a gzip member starts
+#: Codecs of Python that are no charsets of pages.
+NO_CHARSETS = frozenset("idna punycode undefined unicode_escape raw_unicode_escape".split())
+#: A rooted link whose segments need no resolving.
+ROOTED = re.compile(r"(?:/[^/?#;\\\x00-\x20.][^/?#;\\\x00-\x20]*)+")
+BASE32 = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 RECORD = ("page_id long, record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, "
           "warc_date string, source_payload_digest string, block_digest string, content_length long, record binary")
@@ -38,7 +42,9 @@ RESPONSE = "record_id string, warc_type string, target_uri string, warc_date str
 
 
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32: ten bits are two characters."""
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([BASE32[n >> s & 1023] for s in range(150, -1, -10)])
 
 
 def record_id(of: str) -> str:
@@ -48,10 +54,21 @@ def record_id(of: str) -> str:
 def serialise(headers: dict[str, str], block: bytes) -> bytes:
     """A record's bytes.  Line ends inside a value would end the header and are
     written as blanks."""
-    lines = [VERSION] + [f"{k}: {re.sub(chr(13) + '|' + chr(10), ' ', v)}" for k, v in headers.items() if v is not None]
+    lines = [VERSION]
+    for k, v in headers.items():
+        if v is not None:
+            lines.append(f"{k}: " + v.replace("\r", " ").replace("\n", " "))
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def field(headers: dict[str, str], name: str) -> str | None:
+    """A header's value; names have no case."""
+    if name in headers:
+        return headers[name]
+    name = name.lower()
+    return next((v for k, v in headers.items() if k.lower() == name), None)
+
+
 def parse_records(data: bytes):
     """(headers, block) of each record of an uncompressed WARC; a record whose
     length passes the end of the data is given as far as it goes."""
@@ -66,26 +83,32 @@ def parse_records(data: bytes):
             name, colon, value = line.partition(":")
             if colon:
                 headers[name.strip()] = value.strip()
-        size = headers.get("Content-Length", "0")
-        size = int(size) if size.isdigit() else 0
+        size = field(headers, "Content-Length") or ""
+        size = int(size) if size.isascii() and size.isdigit() and len(size) < 19 else 0
         yield headers, data[end + 4: end + 4 + size]
         at = end + 4 + size
 
 
 def inflate(data: bytes, step: int = 1 << 16) -> bytes:
     """All gzip members of a .warc.gz, or the bytes themselves.  A member that
-    breaks off is given as far as it goes.  Members are fed in steps, so that
-    the rest of the file is not copied for each of them."""
-    if data[:2] != b"\x1f\x8b":
+    breaks off or is damaged is given as far as it goes, and what follows is read
+    from the next member's first bytes.  Members are fed in steps, so that the
+    rest of the file is not copied for each of them."""
+    if data[:2] != MEMBER[:2]:
         return data
     parts, at, view = [], 0, memoryview(data)
-    while data[at: at + 2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        while at < len(data) and not member.eof:
-            fed = view[at: at + step]
-            parts.append(member.decompress(fed))
-            at += len(fed) - len(member.unused_data)
-        parts.append(member.flush())
+    while data[at: at + 2] == MEMBER[:2]:
+        member, start = zlib.decompressobj(31), at
+        try:
+            while at < len(data) and not member.eof:
+                fed = view[at: at + step]
+                parts.append(member.decompress(fed))
+                at += len(fed) - len(member.unused_data)
+            parts.append(member.flush())
+        except zlib.error:
+            at = data.find(MEMBER, max(at, start + 1))
+            if at < 0:
+                break
     return b"".join(parts)
 
 
@@ -115,10 +138,7 @@ def decoded(body: bytes, coding: str) -> bytes:
     coded (or by an unknown coding) as it is."""
     coding = coding.removeprefix("x-")
     if coding == "gzip":
-        try:
-            return inflate(body)
-        except zlib.error:
-            return body
+        return inflate(body)
     if coding == "deflate":
         for bits in (15, -15):  # with the zlib header, and as some servers send it
             try:
@@ -157,36 +177,54 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], pairs, payload
 
 
-def derive(source: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The metadata and the conversion record of a response."""
-    status, pairs, payload = http_parts(block)
-    payload, plain = entity(pairs, payload)
+def resolve(base: str | None, links: list[str]) -> list[str]:
+    """Absolute forms of a page's links; one that cannot be resolved as it is."""
+    try:
+        root = urlsplit(base or "")
+        root = f"{root.scheme}://{root.netloc}" if root.scheme in ("http", "https") and root.netloc else None
+    except ValueError:
+        root = None
+    out = []
+    for link in links:
+        if root and ROOTED.fullmatch(link):
+            out.append(root + link)
+            continue
+        try:
+            out.append(urljoin(base or "", link))
+        except ValueError:
+            out.append(link)
+    return out
+
+
+def derive(source: dict[str, str], block: bytes, digests: tuple[str, str] | None = None) -> list[tuple[dict[str, str], bytes]]:
+    """The metadata and the conversion record of a response.  ``digests`` are
+    those of the block and of its payload, where they are known."""
+    status, pairs, sent = http_parts(block)
+    payload, plain = entity(pairs, sent)
+    own = digests[0] if digests else digest(block)
+    entity_digest = digests[1] if digests and payload is sent else digest(payload)
     kind = next((v for k, v in pairs if k.lower() == "content-type"), "")
     charset = CHARSET.search(kind)
+    charset = charset[1] if charset and charset[1].lower().replace("-", "_") not in NO_CHARSETS else "utf-8"
     try:
-        html = plain.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
+        html = plain.decode(charset, "replace")
+    except (LookupError, ValueError):  # no such charset, or a codec that is none of texts
         html = plain.decode("utf-8", "replace")
-    of, uri, date = (source.get(k) for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
-    of = of or record_id(f"{uri} {date} {digest(block)}")
+    of, uri, date = (field(source, k) for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
+    of = of or record_id(f"{uri} {date} {own}")
     ids = {t: record_id(f"{of} {t}") for t in ("metadata", "conversion")}
-    links = []
-    for m in LINK.finditer(html):
-        href = m[1] or m[2] or m[3] or ""
-        try:
-            links.append({"path": "A@/href", "url": urljoin(uri or "", href)})
-        except ValueError:
-            links.append({"path": "A@/href", "url": href})
+    page = Page(html)
+    links = [{"path": "A@/href", "url": url} for url in resolve(uri, page.links)]
     envelope = {"Envelope": {
         "WARC-Header-Metadata": source, "Payload-Metadata": {
             "Actual-Content-Type": kind, "HTTP-Response-Metadata": {
                 "Response-Message": {"Status-Line": status}, "Headers": [list(p) for p in pairs],
-                "HTML-Metadata": {"Head": {"Title": title(html)}, "Links": links},
-                "Entity-Length": len(payload), "Entity-Digest": digest(payload)}},
-        "Block-Digest": digest(block)}}
+                "HTML-Metadata": {"Head": {"Title": page.title}, "Links": links},
+                "Entity-Length": len(payload), "Entity-Digest": entity_digest}},
+        "Block-Digest": own}}
     made = []
-    for t, body, media in (("metadata", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode(), "application/json"),
-                           ("conversion", plain_text(html).encode("utf-8", "replace"), "text/plain")):
+    for t, body, media in (("metadata", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "application/json"),
+                           ("conversion", "\n".join(t for _, _, t in page.blocks).encode("utf-8", "replace"), "text/plain")):
         made.append(({"WARC-Type": t, "WARC-Record-ID": ids[t], "WARC-Target-URI": uri, "WARC-Date": date, "WARC-Refers-To": of,
                       "WARC-Concurrent-To": ids["conversion"] if t == "metadata" else None,
                       "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date,
@@ -220,10 +258,10 @@ def _rows(made) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _derived(page, source, block):
-    for headers, body in derive({k: v for k, v in source.items() if v is not None}, block):
+def _derived(page, source, block, digests=None):
+    for headers, body in derive({k: v for k, v in source.items() if v is not None}, block, digests):
         yield (page, headers["WARC-Record-ID"], headers["WARC-Type"], headers["WARC-Refers-To"], headers["WARC-Concurrent-To"],
-               headers["WARC-Target-URI"], headers["WARC-Date"], source.get("WARC-Payload-Digest"), headers["WARC-Block-Digest"],
+               headers["WARC-Target-URI"], headers["WARC-Date"], field(source, "WARC-Payload-Digest"), headers["WARC-Block-Digest"],
                len(body), serialise(headers, body))
 
 
@@ -239,20 +277,23 @@ def page_derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 rows = zip(*(c.to_pylist() for c in batch.slice(k, 64).columns))
-                yield _rows([r for page, source, block in _responses(rows) for r in _derived(page, source, block)])
+                yield _rows([r for page, source, block in _responses(rows)
+                             for r in _derived(page, source, block, (source["WARC-Block-Digest"], source["WARC-Payload-Digest"]))])
 
     return page_responses(pages, id_col, url_col, html_col, date).mapInArrow(frugal(run), RECORD)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response records of .warc and .warc.gz files under ``path``; a file is
-    read by one task.  Records of other types are left out."""
+    read by one task.  Records of other types are left out; a missing header is
+    null, a record that breaks off is given as far as it goes, an empty file has
+    no records, and a file that is there twice is read twice."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                found = [(h.get("WARC-Record-ID"), h.get("WARC-Type"), h.get("WARC-Target-URI"), h.get("WARC-Date"), list(h.items()), b)
-                         for h, b in parse_records(inflate(data)) if h.get("WARC-Type") == "response"]
+                found = [(*(field(h, f"WARC-{x}") for x in ("Record-ID", "Type", "Target-URI", "Date")), list(h.items()), b)
+                         for h, b in parse_records(inflate(data or b"")) if field(h, "WARC-Type") == "response"]
                 types = (*[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.binary())
                 columns = zip(*found) if found else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],

@@ -1,14 +1,21 @@
 """HTML extraction and WARC derivatives."""
 
+import base64
 import gzip
+import hashlib
 import json
+import random
+import time
 import zlib
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
-from cardlens.llm.html import label, parse, plain_text, title
-from cardlens.llm.site_style import extract_main_text, place
-from cardlens.llm.warc import (derive, digest, inflate, page_derivatives, parse_records, read_responses, record_id, response_derivatives,
-                               serialise)
+from cardlens.llm import html as html_module
+from cardlens.llm.html import Page, label, parse, plain_text, title
+from cardlens.llm.site_style import extract_main_text, place, step
+from cardlens.llm.warc import (derive, digest, inflate, page_derivatives, parse_records, read_responses, record_id, resolve,
+                               response_derivatives, serialise)
 
 HEAD = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body>"
 
@@ -107,6 +114,131 @@ def test_broken_attributes_stay_markup():
     assert plain_text("<p a=\"1>2\">c" + "<a href=\"" * 3000).startswith("c")
 
 
+@pytest.mark.parametrize("mark", ["section.share-price", "section.related-work", "p.search-engine", "div.form-factor", "div.reply-to-critics",
+                                  "figure.side-by-side"])
+def test_article_text_is_not_cut_by_a_word_of_a_class(spark, mark):
+    assert place(f"html/body/article/{mark}") == "main"
+    tag, _, name = mark.partition(".")
+    html = f"<body><nav>Menu</nav><article><p>Before.</p><{tag} class='{name}'>Inside.</{tag}><div class='related-posts'>More</div></article>"
+    df = spark.createDataFrame([(1, "http://a.example/", html)], "page_id long, url string, html string")
+    assert texts(extract_main_text(df)) == {1: ("Before.\nInside.", 15)}
+
+
+def test_whole_names_are_noise_in_an_article():
+    for mark in ("div.comments", "div.related-posts", "section.user-comments", "div.share-buttons", "div.ad", "div#comment-list", "div.x.cookie-notice"):
+        assert place(f"html/body/article/{mark}/p") == "noise", mark
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<a \" > \"" * 100_000, "<script></script " * 60_000, "<div>x" * 15_000, "<x><table>" + "<div>" * 15_000
+                                  + "</x>" * 80_000, "<i>" * 15_000 + "<div></div>" * 40_000, "<title " * 100_000, "<a b='\" " * 90_000,
+                                  "<p><svg" * 90_000, "<![" * 200_000, "&" * 500_000])
+def test_hostile_pages_take_linear_time(html):
+    start = time.perf_counter()
+    page = Page(html, step)
+    assert time.perf_counter() - start < 5 and sum(len(b[0]) for b in page.blocks) < 1 << 24
+
+
+def test_deep_page_through_the_operator(spark):
+    html = "<div>x" * 15_000
+    df = spark.createDataFrame([(1, "http://a.example/", html)], "page_id long, url string, html string")
+    assert texts(extract_main_text(df)) == {1: ("\n".join("x" * 15_000), 29_999)}
+
+
+class Reader(HTMLParser):
+    """The standard library's tokenizer: links, title and text of well-formed pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links, self.title, self.lines, self.skip, self.head = [], "", [[]], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        self.head += tag == "title"
+        if tag == "a":
+            self.links += [v for k, v in attrs if k == "href"][:1]
+        if tag in html_module.BLOCK:
+            self.lines.append([])
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style")
+        self.head -= tag == "title"
+        if tag in html_module.BLOCK:
+            self.lines.append([])
+
+    def handle_data(self, data):
+        if self.head:
+            self.title += data
+        elif not self.skip:
+            self.lines[-1].append(data)
+
+
+def well_formed(rng):
+    """A page of nested elements with attributes, references and comments."""
+    def inner(depth):
+        made = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.randrange(6 if depth else 3)
+            if kind == 0:
+                made.append(rng.choice(["text ", "a &amp; b", "&eacute;t&#233;", "1 &lt; 2", "\n x\t"]))
+            elif kind == 1:
+                made.append(f"<a class=k href={rng.choice(['/y?a=1&amp;b=2', chr(34) + '/p &gt; q' + chr(34), chr(39) + 'x.html' + chr(39)])}>l</a>")
+            elif kind == 2:
+                made.append(rng.choice(["<!-- <a href='/no'>c</a> -->", "<script>var s = \"<a href='/no'>\";</script>", "<style>p{}</style>"]))
+            else:
+                tag = rng.choice(["div", "section", "ul", "b", "span", "blockquote"])
+                made.append(f"<{tag} id='i{rng.randrange(9)}' title=\"a > b\">{inner(depth - 1)}</{tag}>")
+        return "".join(made)
+    return f"<html><head><title>T &amp; {rng.randrange(99)}</title></head><body>{inner(4)}</body></html>"
+
+
+def test_pages_equal_the_standard_tokenizer(spark):
+    """Text, title and links of op7 against a plain reader, as records of the query."""
+    rng = random.Random(5)
+    rows = [(k, f"http://h.example/d/{k}", well_formed(rng)) for k in range(300)]
+    got = page_derivatives(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    blocks = {(r["page_id"], r["warc_type"]): next(parse_records(bytes(r["record"])))[1] for r in got}
+    for k, url, html in rows:
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        lines = [" ".join("".join(line).split()) for line in reader.lines]
+        assert blocks[k, "conversion"].decode() == "\n".join(x for x in lines if x)
+        envelope = json.loads(blocks[k, "metadata"])["Envelope"]
+        found = envelope["Payload-Metadata"]["HTTP-Response-Metadata"]
+        assert found["HTML-Metadata"] == {"Head": {"Title": reader.title}, "Links": [{"path": "A@/href", "url": urljoin(url, x)} for x in reader.links]}
+        assert found["Entity-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+
+
+def test_links_resolve_as_the_library_does():
+    links = ["/a", "/a/b", "/a.b", "/.a", "/a/../b", "/a//b", "/é", "/a?b", "/a#c", "//x", "/", "/a/", "http://z/", "/a:b", "/%20", "/a b", "", "b"]
+    for base in ("http://h.example/x/y?z", "https://H.x:80", "ftp://h/", "http://h;p/q", "//h/x"):
+        assert resolve(base, links) == [urljoin(base, x) for x in links]
+    assert resolve("http://[", ["/a"]) == ["/a"]
+
+
+@pytest.mark.parametrize("charset", ["undefined", "idna", "nonsense", "punycode", "utf-8"])
+def test_any_charset_is_read(charset):
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n".encode()
+    (_, envelope), (_, text) = derive({"warc-target-uri": "http://a.example/"}, head + b"<p>caf\xc3\xa9 " + b"x" * 70 + b"</p>")
+    assert json.loads(envelope) and text.endswith(b"x" * 70)
+
+
+def test_damaged_files_and_headers_of_any_case(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\n<p>a</p>"
+    record = (b"WARC/1.1\r\nwarc-type: response\r\nwarc-record-id: <urn:uuid:9>\r\nwarc-target-uri: http://a.example/\r\n"
+              b"content-length: %d\r\n\r\n" % len(block)) + block + b"\r\n\r\n"
+    broken = gzip.compress(record)
+    broken = broken[:20] + b"\xff" * 20 + broken[40:]
+    (tmp_path / "a.warc.gz").write_bytes(broken + gzip.compress(record) + broken[:25])
+    (tmp_path / "b.warc").write_bytes(record.replace(b"content-length: %d" % len(block), "Content-Length: ²".encode()))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = read_responses(spark, str(tmp_path)).collect()
+    assert sorted((r["record_id"], bytes(r["block"])) for r in got) == [("<urn:uuid:9>", b""), ("<urn:uuid:9>", block)]
+    assert {r["target_uri"] for r in got} == {"http://a.example/"}
+    texts_ = [r for r in response_derivatives(read_responses(spark, str(tmp_path))).collect() if r["warc_type"] == "conversion"]
+    assert len(texts_) == 2 and {r["refers_to"] for r in texts_} == {"<urn:uuid:9>"}
+
+
 def test_place_of_paths():
     assert place("html/body/div.cookie-notice") == "noise"
     assert place("html/body/main/header") == "main"
