@@ -7,17 +7,21 @@ the data is broadcast.  The plan:
    only the best k + 1 keys can be anyone's neighbours (ties go by key), so the
    others are dropped by a group limit, partial before the shuffle.  Probes
    with one vector share one search.
-2. *Blocks.*  Candidates go to the nearest of at most ``MAX_PIVOTS`` pivots (a
-   hash sample; its size is a bound on the driver's part).  Pivots only steer
-   pruning.  A block knows its radius, and is cut into slices of bounded size.
-3. *First pass.*  A probe is scored in its own block, which gives a bound on
+2. *Leaves.*  Candidates go to the nearest pivot (a hash sample of the vectors,
+   one for ``LEAF_ROWS`` rows and ``MAX_LEAVES`` at most: the driver's part).
+   Pivots only steer pruning.  They form a tree of two levels, and a leaf and a top
+   pivot know how far their rows reach.  Placed rows and pivots are written: a ``SearchIndex``.
+3. *First pass.*  A probe is scored in its own leaf, which gives a bound on
    its k-th score.
-4. *Second pass.*  A probe goes to every other block whose best possible score,
-   from pivot and radius, can reach that bound; all of them if the first
-   pass found fewer than k.
-5. A tile, one slice with one share of the probes, is scored by a grouped
-   pandas function in numpy and emits k rows a probe.  ``row_number() <= k``
-   over the probe merges them, limited before the shuffle.
+4. *Second pass.*  By the triangle inequality a probe skips the top pivots, then
+   the leaves, that cannot reach that bound; it goes to the others, all of
+   them if the first pass found fewer than k, and only what reaches the bound
+   is scored exactly.
+5. A tile, one slice of a leaf with one share of the probes that ask it, is scored
+   by a grouped Arrow function in numpy and emits k rows a probe at most.
+   ``row_number() <= k`` over the probe merges them, limited before the shuffle.
+
+A candidate table that fits in one tile is scored whole, without written tables.
 
 Scores are rounded to ``round_digits`` before ranking so that ties and
 near-ties rank identically in any engine; remaining ties are broken by the
@@ -26,23 +30,29 @@ candidate key (descending or ascending).
 
 from __future__ import annotations
 
+import json
 import sys
+import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import materialize, own
 
 # The scoring functions below run inside Python workers.  Ship them by
-# value so executors need only numpy and pandas, not this package.
+# value so executors need only numpy and pyarrow, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_BUDGET = 1_000_000  # probe x candidate cells scored at once per task
-MAX_PIVOTS = 64
+MAX_LEAVES = 16_384
+LEAF_ROWS = 512
+FEW = 4096  # candidates that are one tile
 SLICE_ROWS = 8192  # candidates, and probes, of one tile at most (on average over a hash)
+SCORED_ARROW = pa.schema([("pid", pa.int64()), ("cand_key", pa.int64()), ("score", pa.float64()), ("rank_score", pa.float64())])
 F32_EPS = float(np.finfo(np.float32).eps)
 
 
@@ -50,6 +60,21 @@ def _stack(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
 
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow column of lists without nulls, of one length."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_lists(c) if c.ndim == 2 else pa.array(c) for c in columns.values()], names=list(columns))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt(np.einsum("ij,ij->i", m, m))
     return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
@@ -69,31 +94,36 @@ def _f32_bound(dims: int) -> float:
     return 2.0 * (dims + 2) * F32_EPS
 
 
-def _shortlist(metric: str, pb: np.ndarray, cands: np.ndarray, kk: int, digits: int):
+def _shortlist(metric: str, pb: np.ndarray, cands: np.ndarray, kk: int, digits: int, worst: np.ndarray):
     """(rows, columns) of every pair that may be among the row's kk best after
-    exact recomputation: a float32 screen with a proven margin."""
+    exact recomputation and no worse than ``worst``: a float32 screen with a
+    proven margin."""
     bound = _f32_bound(pb.shape[1])
     screen = pb.astype(np.float32) @ cands.astype(np.float32).T
     if metric == "cosine":
-        worst = np.partition(screen, screen.shape[1] - kk, axis=1)[:, screen.shape[1] - kk].astype(np.float64)
-        return np.nonzero(screen >= (worst - 2.0 * bound - 2.0 * 10.0 ** -digits).astype(np.float32)[:, None])
-    pn, cn = np.einsum("ij,ij->i", pb, pb), np.einsum("ij,ij->i", cands, cands)
-    screen *= np.float32(-2.0)
-    screen += cn.astype(np.float32)[None, :]
-    screen += pn.astype(np.float32)[:, None]
-    worst = np.partition(screen, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
-    margin = 4.0 * 10.0 ** -digits + 2.0 * bound * (np.sqrt(pn) + np.sqrt(cn.max())) ** 2 + 1e-30
-    return np.nonzero(screen <= (worst + margin).astype(np.float32)[:, None])
-
-
-def top_k_of_tile(metric: str, k: int, key_desc: bool, digits: int, pids, probes, ckeys, cands) -> pd.DataFrame:
-    """The k best candidates of each probe: (pid, cand_key, score, rank_score);
-    a larger rank_score is better."""
-    out = [pd.DataFrame({"pid": np.zeros(0, np.int64), "cand_key": np.zeros(0, np.int64), "score": np.zeros(0), "rank_score": np.zeros(0)})]
+        margin = 2.0 * bound + 2.0 * 10.0 ** -digits
+    else:
+        pn, cn = np.einsum("ij,ij->i", pb, pb), np.einsum("ij,ij->i", cands, cands)
+        screen *= np.float32(2.0)  # minus the squared distance, so that larger is better here too
+        screen -= cn.astype(np.float32)[None, :]
+        screen -= pn.astype(np.float32)[:, None]
+        margin = 4.0 * 10.0 ** -digits + 2.0 * bound * (np.sqrt(pn) + np.sqrt(cn.max())) ** 2 + 1e-30
+    least = worst.copy()
+    open_ = np.flatnonzero(~np.isfinite(worst))
+    if len(open_):
+        at = screen.shape[1] - kk
+        least[open_] = np.partition(screen[open_], at, axis=1)[:, at]
+    return np.nonzero(screen >= (least - margin).astype(np.float32)[:, None])
+
+
+def top_k_of_tile(metric: str, k: int, key_desc: bool, digits: int, pids, probes, worst, ckeys, cands) -> pa.Table:
+    """The k best candidates of each probe that are not worse than its bound
+    ``worst``: (pid, cand_key, score, rank_score); a larger rank_score is better."""
+    out = [SCORED_ARROW.empty_table()]
     step = max(1, CELL_BUDGET // max(1, len(ckeys)))
     for s in range(0, len(pids) if len(ckeys) else 0, step):
         pb, pk = probes[s:s + step], pids[s:s + step]
-        rows, cols = _shortlist(metric, pb, cands, min(k, len(ckeys)), digits)
+        rows, cols = _shortlist(metric, pb, cands, min(k, len(ckeys)), digits, worst[s:s + step])
         if metric == "cosine":
             score = np.einsum("ij,ij->i", pb[rows], cands[cols])
             rank = np.round(score, digits)
@@ -105,8 +135,8 @@ def top_k_of_tile(metric: str, k: int, key_desc: bool, digits: int, pids, probes
         rows, keys, score, rank = rows[order], keys[order], score[order], rank[order]
         first = np.searchsorted(rows, rows)
         keep = np.arange(len(rows)) - first < k
-        out.append(pd.DataFrame({"pid": pk[rows[keep]], "cand_key": keys[keep], "score": score[keep], "rank_score": rank[keep]}))
-    return pd.concat(out[1:] or out)
+        out.append(pa.Table.from_arrays([pa.array(c) for c in (pk[rows[keep]], keys[keep], score[keep], rank[keep])], schema=SCORED_ARROW))
+    return pa.concat_tables(out)
 
 
 def _vectors(df: DataFrame, key: str, features: list[str] | str) -> DataFrame:
@@ -116,6 +146,242 @@ def _vectors(df: DataFrame, key: str, features: list[str] | str) -> DataFrame:
             .where(F.col("key").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())))
 
 
+SCORED = "pid long, cand_key long, score double, rank_score double"
+PLACED = "key long, vec array<double>, leaf int, near double, top int, far double"
+ASKED = "pid long, vec array<double>, leaf int, worst double"
+
+
+def _best(scored: DataFrame, k: int, key_desc: bool) -> DataFrame:
+    """The k best rows of each probe vector."""
+    order = [F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(*order))
+    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
+class PivotTree:
+    """Two levels of pivots: each leaf's pivot belongs to its nearest top pivot.
+    ``near`` and ``far`` are the greatest distances of a leaf's rows to its own
+    pivot and to its top pivot.  Cosine works on unit vectors, where a similarity
+    is a distance; the zero vector has leaf ``len(leaves)``, similarity 0 with all."""
+
+    def __init__(self, pivots: np.ndarray, cosine: bool):
+        self.cosine = cosine
+        self.leaves = _unit(pivots) if cosine else pivots
+        self.tops = self.leaves[: int(np.ceil(np.sqrt(len(pivots))))]
+        self.owner = self.distances(self.leaves, self.tops)[0].argmin(1)
+        self.members = [np.flatnonzero(self.owner == t) for t in range(len(self.tops))]
+        self.near = np.full(len(pivots) + 1, -np.inf)
+        self.far = np.full(len(self.tops), -np.inf)
+        self.rows = np.zeros(len(pivots) + 1, np.int64)
+
+    @staticmethod
+    def distances(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances by one matrix product, and a bound of their error from below."""
+        xn, yn = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        size = xn[:, None] + yn[None, :]
+        sq = size - 2.0 * (x @ y.T)
+        least = np.sqrt(np.maximum(0.0, sq - 1e-13 * (x.shape[1] + 4) * size))
+        return np.sqrt(np.maximum(0.0, sq)), least
+
+    def place(self, x: np.ndarray):
+        """(leaf, distance to its pivot, top, distance to that) of each vector, at the nearest pivot."""
+        leaf, step = np.zeros(len(x), np.int64), max(1, 8 * CELL_BUDGET // len(self.leaves))
+        for k in range(0, len(x), step):
+            leaf[k: k + step] = self.distances(x[k: k + step], self.leaves)[0].argmin(1)
+        near = np.sqrt(np.einsum("ij,ij->i", x - self.leaves[leaf], x - self.leaves[leaf]))
+        top = self.owner[leaf]
+        far = np.sqrt(np.einsum("ij,ij->i", x - self.tops[top], x - self.tops[top]))
+        if self.cosine:
+            leaf[~x.any(1)] = len(self.leaves)
+        return leaf, near, top, far
+
+    def _score(self, far: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        """Best possible score at a least distance ``far``."""
+        if not self.cosine:
+            return -np.square(np.maximum(0.0, far))
+        return np.where(zero[:, None], 0.0, 1.0 - np.square(np.maximum(0.0, far)) / 2.0)
+
+    def reach(self, x: np.ndarray, worst: np.ndarray, own: np.ndarray):
+        """(probe, leaf) pairs, without the probe's own leaf, whose leaf can hold
+        a candidate at least as good as ``worst``: top pivots first, then the
+        leaves of those that remain."""
+        zero = ~x.any(1)
+        least = worst - 1e-6 * (1.0 + np.abs(np.where(np.isfinite(worst), worst, 0.0)))
+        top = self._score(self.distances(x, self.tops)[1] - self.far[None, :] * (1 + 1e-9) - 1e-9, zero) >= least[:, None]
+        for t, leaves in enumerate(self.members):
+            leaves = leaves[self.rows[leaves] > 0]
+            at = np.flatnonzero(top[:, t])
+            if not len(at) or not len(leaves):
+                continue
+            best = self._score(self.distances(x[at], self.leaves[leaves])[1] - self.near[leaves][None, :] * (1 + 1e-9) - 1e-9, zero[at])
+            row, leaf = np.nonzero((best >= least[at][:, None]) & (leaves[None, :] != own[at][:, None]))
+            yield at[row], leaves[leaf]
+        last = len(self.leaves)
+        if self.rows[last]:
+            at = np.flatnonzero((least <= 0.0) & (own != last))
+            yield at, np.full(len(at), last)
+
+
+class SearchIndex:
+    """An exact search index over candidate vectors, written once under ``path``:
+    the placed rows, the pivots with what their leaves hold, and what was asked
+    for.  ``load`` reads it back; a search of a loaded index fits nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, facts: dict, tree: PivotTree):
+        self.spark, self.path, self.facts, self.tree = spark, path, facts, tree
+        self.placed = spark.read.schema(PLACED).parquet(f"{path}/placed").select("key", "vec", "leaf")
+        self.pairs = 0  # probes times candidates that the last search scored
+
+    @classmethod
+    def build(cls, candidates: DataFrame, cand_key: str, features: list[str] | str, k: int, metric: str = "cosine", key_desc: bool = True,
+              path: str | None = None, leaf_rows: int = LEAF_ROWS) -> "SearchIndex":
+        """Index for up to ``k`` neighbours of any probe."""
+        if metric not in ("cosine", "sqeuclidean"):
+            raise ValueError(metric)
+        spark, cosine = candidates.sparkSession, metric == "cosine"
+        path = path or own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/search/{uuid.uuid4().hex}")
+        best = F.col("key").desc() if key_desc else F.col("key").asc()
+        vectors = _vectors(candidates, cand_key, features)
+        n = vectors.count()
+        # the pivots; equal vectors are one pivot
+        chosen = vectors.orderBy(F.xxhash64("key"), "key").limit(min(MAX_LEAVES, max(1, n // leaf_rows))).collect()
+        tree = PivotTree(np.unique(_stack([r["vec"] for r in chosen]), axis=0) if n else np.zeros((1, 1)), cosine)
+
+        def place(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(1))
+                    x = _unit(x) if cosine else x
+                    leaf, near, top, far = tree.place(x)
+                    yield _batch(key=batch.column(0).to_numpy(), vec=x, leaf=leaf.astype(np.int32), near=near, top=top.astype(np.int32), far=far)
+
+        cand = vectors.withColumn("_same", F.row_number().over(Window.partitionBy("vec").orderBy(best))).where(F.col("_same") <= k).drop("_same")
+        cand.mapInArrow(place, PLACED).write.mode("overwrite").parquet(f"{path}/placed")
+        placed = spark.read.schema(PLACED).parquet(f"{path}/placed")
+        held = placed.groupBy("leaf", "top").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("near"), F.max("far").alias("far")).collect()
+        for r in held:  # a row a leaf
+            tree.rows[r["leaf"]] += r["n"]
+            tree.near[r["leaf"]] = max(tree.near[r["leaf"]], r["near"])
+            if r["leaf"] < len(tree.leaves):
+                tree.far[r["top"]] = max(tree.far[r["top"]], r["far"])
+        facts = {"metric": metric, "key_desc": key_desc, "k": k, "n": n}
+        rows = [(i, p.tolist(), float(tree.near[i]), int(tree.rows[i])) for i, p in enumerate([*tree.leaves, np.zeros(0)])]
+        spark.createDataFrame(rows, "leaf int, pivot array<double>, near double, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/leaves")
+        spark.createDataFrame([(json.dumps({**facts, "far": tree.far.tolist()}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+        return cls(spark, path, facts, tree)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SearchIndex":
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        rows = sorted(spark.read.parquet(f"{path}/leaves").collect(), key=lambda r: r["leaf"])  # the pivots
+        tree = PivotTree(_stack([r["pivot"] for r in rows[:-1]]), facts["metric"] == "cosine")
+        tree.near, tree.rows = np.array([r["near"] for r in rows]), np.array([r["n"] for r in rows])
+        tree.far = np.array(facts.pop("far"))
+        return cls(spark, path, facts, tree)
+
+    def _tiles(self, asked: DataFrame, k: int, digits: int, slice_rows: int) -> DataFrame:
+        """Scores of the written ``asked`` (pid, vec, leaf, worst): a tile is one
+        slice of a leaf with one share of the probes that ask it.  Leaves that
+        nobody asks are not read."""
+        metric, key_desc, rows = self.facts["metric"], self.facts["key_desc"], self.tree.rows
+        counts = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}  # a row a leaf
+        self.pairs += sum(int(rows[leaf]) * n for leaf, n in counts.items())
+        # so many rows to a slice that all cores have tiles
+        size = max(256, min(slice_rows, sum(int(rows[leaf]) for leaf in counts) // (2 * self.spark.sparkContext.defaultParallelism) + 1))
+        deal = self.spark.createDataFrame([(leaf, int(-(-rows[leaf] // size)), -(-n // slice_rows)) for leaf, n in counts.items()],
+                                          "leaf int, slices int, shares int")
+        deal = F.broadcast(deal)  # a row of three integers a leaf: MAX_LEAVES at most
+        left = self.placed.join(deal, "leaf").select("key", "vec", "leaf", F.pmod(F.xxhash64("key", F.lit(7)), "slices").cast("int").alias("slice"),
+                                                     F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        right = asked.join(deal, "leaf").select("pid", "vec", "leaf", "worst", F.pmod(F.xxhash64("pid"), "shares").cast("int").alias("share"),
+                                                F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+        def score(cands: pa.Table, probes: pa.Table) -> pa.Table:
+            if not cands.num_rows or not probes.num_rows:
+                return SCORED_ARROW.empty_table()
+            return top_k_of_tile(metric, k, key_desc, digits, probes["pid"].to_numpy(), _matrix(probes["vec"]), probes["worst"].to_numpy(),
+                                 cands["key"].to_numpy(), _matrix(cands["vec"]))
+
+        keys = ["leaf", "slice", "share"]
+        return _best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCORED), k, key_desc)
+
+    def _scored(self, wanted: DataFrame, k: int, digits: int, slice_rows: int) -> DataFrame:
+        """(pid, cand_key, score, rank_score): the k best candidates of each probe vector (pid, vec)."""
+        tree, cosine = self.tree, self.facts["metric"] == "cosine"
+        self.pairs = 0
+        if not self.facts["n"]:
+            return self.spark.createDataFrame([], SCORED)
+
+        def own_leaf(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(1))
+                    x = _unit(x) if cosine else x
+                    leaf = tree.place(x)[0]
+                    if not tree.rows[leaf].all():  # an empty leaf, or no zero vector: any leaf with rows
+                        leaf = np.where(tree.rows[leaf] > 0, leaf, int(tree.rows.argmax()))
+                    yield _batch(pid=batch.column(0).to_numpy(), vec=x, leaf=leaf.astype(np.int32), worst=np.full(len(x), -np.inf))
+
+        start = materialize(wanted.select("pid", "vec").mapInArrow(own_leaf, ASKED))
+        first = self._tiles(start, k, digits, slice_rows)
+        if (tree.rows > 0).sum() == 1:
+            return first
+        first = materialize(first)
+
+        def others(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    pid, x, own_, worst = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                    for row, leaf in tree.reach(x, worst, own_):
+                        yield _batch(pid=pid[row], vec=x[row], leaf=leaf.astype(np.int32), worst=worst[row])
+
+        bound = first.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("rank_score").alias("least")).where(F.col("n") >= k)
+        asked = start.drop("worst").join(bound.select("pid", "least"), "pid", "left").select(
+            "pid", "vec", "leaf", F.coalesce("least", F.lit(float("-inf"))).alias("worst"))
+        second = self._tiles(materialize(asked.mapInArrow(others, ASKED)), k, digits, slice_rows)
+        return _best(first.unionByName(second), k, self.facts["key_desc"])
+
+    def search(self, probes: DataFrame, probe_key: str, features: list[str] | str, k: int, exclude_self: bool = False,
+               round_digits: int = 9, slice_rows: int = SLICE_ROWS) -> DataFrame:
+        """(probe_key, nn_rank, cand_key, score) for the k best candidates of each probe."""
+        kk = k + 1 if exclude_self else k
+        if kk > self.facts["k"]:
+            raise ValueError(f"the index was built for {self.facts['k']} neighbours, {kk} are asked for")
+        asked = _vectors(probes, probe_key, features).dropDuplicates(["key"])
+        wanted = materialize(asked.groupBy("vec").agg(F.min("key").alias("pid")))
+        found = self._scored(wanted, kk, round_digits, slice_rows)
+        return _ranked(asked.join(wanted, "vec").select(F.col("key").alias("probe_key"), "pid").join(found, "pid"), k, exclude_self, self.facts["key_desc"])
+
+
+def _ranked(found: DataFrame, k: int, exclude_self: bool, key_desc: bool) -> DataFrame:
+    order = [F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
+    if exclude_self:
+        found = found.where(F.col("cand_key") != F.col("probe_key"))
+    out = found.withColumn("nn_rank", F.row_number().over(Window.partitionBy("probe_key").orderBy(*order)).cast("long"))
+    return out.where(F.col("nn_rank") <= k).select("probe_key", "nn_rank", "cand_key", "score")
+
+
+def _few(candidates: DataFrame, n_probes: int, cand_key: str, probes: DataFrame, probe_key: str, features: list[str] | str, k: int, metric: str,
+         key_desc: bool, exclude_self: bool, digits: int, slice_rows: int) -> DataFrame:
+    """Search of a candidate table that is one tile's: every share of the probes meets all of it, nothing is written."""
+    spark, kk = candidates.sparkSession, k + exclude_self
+    shares = max(spark.sparkContext.defaultParallelism, -(-n_probes // slice_rows))
+    left = _vectors(candidates, cand_key, features).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    right = _vectors(probes, probe_key, features).dropDuplicates(["key"]).withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int"))
+
+    def score(cands: pa.Table, asked: pa.Table) -> pa.Table:
+        if not cands.num_rows or not asked.num_rows:
+            return SCORED_ARROW.empty_table()
+        own_, theirs = _matrix(cands["vec"]), _matrix(asked["vec"])
+        if metric == "cosine":
+            own_, theirs = _unit(own_), _unit(theirs)
+        return top_k_of_tile(metric, kk, key_desc, digits, asked["key"].to_numpy(), theirs, np.full(len(theirs), -np.inf),
+                             cands["key"].to_numpy(), own_)
+
+    found = left.groupBy("share").cogroup(right.groupBy("share")).applyInArrow(score, SCORED)
+    return _ranked(found.withColumnRenamed("pid", "probe_key"), k, exclude_self, key_desc)
+
+
 def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_key: str,
                 features: list[str] | str, k: int, metric: str = "cosine", key_desc: bool = True,
                 exclude_self: bool = False, round_digits: int = 9, cand_payload: str | None = None,
@@ -133,133 +399,12 @@ def exact_top_k(candidates: DataFrame, cand_key: str, probes: DataFrame, probe_k
     probe's.  Candidate keys are unique."""
     if metric not in ("cosine", "sqeuclidean"):
         raise ValueError(metric)
-    kk = k + 1 if exclude_self else k
-    best = F.col("key").desc() if key_desc else F.col("key").asc()
-    cand = materialize(_vectors(candidates, cand_key, features).withColumn(
-        "_same", F.row_number().over(Window.partitionBy("vec").orderBy(best))).where(F.col("_same") <= kk).drop("_same"))
-    asked = _vectors(probes, probe_key, features).dropDuplicates(["key"])
-    wanted = materialize(asked.groupBy("vec").agg(F.min("key").alias("pid")))
-    found = _search(cand, wanted, kk, metric, key_desc, round_digits, slice_rows)
-    order = [F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
-    out = asked.join(wanted, "vec").select(F.col("key").alias("probe_key"), "pid").join(found, "pid")
-    if exclude_self:
-        out = out.where(F.col("cand_key") != F.col("probe_key"))
-    out = out.withColumn("nn_rank", F.row_number().over(Window.partitionBy("probe_key").orderBy(*order)).cast("long"))
-    out = out.where(F.col("nn_rank") <= k).select("probe_key", "nn_rank", "cand_key", "score")
+    if candidates.count() <= min(FEW, slice_rows):
+        out = _few(candidates, probes.count(), cand_key, probes, probe_key, features, k, metric, key_desc, exclude_self, round_digits, slice_rows)
+    else:
+        index = SearchIndex.build(candidates, cand_key, features, k + exclude_self, metric, key_desc)
+        out = index.search(probes, probe_key, features, k, exclude_self, round_digits, slice_rows)
     if cand_payload is None:
         return out
     named = candidates.select(F.col(cand_key).cast("long").alias("cand_key"), F.col(cand_payload).alias("cand_payload"))
     return out.join(named, "cand_key").select("probe_key", "nn_rank", "cand_key", "score", "cand_payload")
-
-
-SCORED = "pid long, cand_key long, score double, rank_score double"
-
-
-def _best(scored: DataFrame, k: int, key_desc: bool) -> DataFrame:
-    """The k best rows of each probe vector."""
-    order = [F.col("rank_score").desc(), F.col("cand_key").desc() if key_desc else F.col("cand_key").asc()]
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(*order))
-    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
-
-
-def _tiles(placed: DataFrame, asked: DataFrame, slices: list[int], shares: int, metric: str, k: int, key_desc: bool,
-           digits: int) -> DataFrame:
-    """Scores of each probe in its block: the block's candidates lie in
-    ``slices[block]`` hash slices, the probes in ``shares`` hash shares, and a
-    tile is one slice with one share."""
-    n_slices = F.element_at(F.array(*[F.lit(x) for x in slices]), F.col("block") + 1)
-    left = placed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(7)), n_slices).cast("int")).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    right = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn(
-        "share", F.pmod(F.xxhash64("pid"), F.lit(shares)).cast("int"))
-
-    def score(cands: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        return top_k_of_tile(metric, k, key_desc, digits, probes["pid"].to_numpy(np.int64), _stack(probes["vec"]),
-                             cands["key"].to_numpy(np.int64), _stack(cands["vec"]))
-
-    keys = ["block", "slice", "share"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, SCORED)
-
-
-def _search(cand: DataFrame, wanted: DataFrame, k: int, metric: str, key_desc: bool, digits: int, slice_rows: int) -> DataFrame:
-    """(pid, cand_key, score, rank_score): the k best candidates of each probe vector."""
-    spark = cand.sparkSession
-    n, n_probes = cand.count(), wanted.count()
-    if not n or not n_probes:
-        return spark.createDataFrame([], SCORED)
-    cosine = metric == "cosine"
-    rows = max(256, min(slice_rows, -(-n // (2 * spark.sparkContext.defaultParallelism))))
-    n_pivots = min(MAX_PIVOTS, max(1, n // 2048))
-    # an explicit count: a small table would else be one task
-    spread = max(1, min(2 * spark.sparkContext.defaultParallelism, n // 256))
-    if n_pivots == 1:  # too few rows to prune: one block, no passes to fit
-        def whole(batches):
-            for pdf in batches:
-                if len(pdf):
-                    x = _stack(pdf["vec"])
-                    yield pdf.assign(vec=list(_unit(x) if cosine else x), block=0)
-
-        placed = cand.repartition(spread).mapInPandas(whole, "key long, vec array<double>, block int")
-        start = wanted.select("pid", "vec").mapInPandas(whole, "pid long, vec array<double>, block int")
-        return _best(_tiles(placed, start, [-(-n // rows)], -(-n_probes // slice_rows), metric, k, key_desc, digits), k, key_desc)
-    chosen = cand.orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
-    pivots = _stack([r["vec"] for r in chosen])
-    pivots = _unit(pivots) if cosine else pivots
-
-    def place(batches):
-        """(key, vec) -> (key, vec, block, radius) at the nearest pivot."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _stack(pdf["vec"])
-            x = _unit(x) if cosine else x
-            far = np.stack([np.sqrt(_exact_sq(x, np.broadcast_to(c, x.shape))) for c in pivots], 1)
-            near = far.argmin(1)
-            yield pd.DataFrame({"key": pdf["key"], "vec": list(x), "block": near, "radius": far[np.arange(len(x)), near]})
-
-    schema = "key long, vec array<double>, block int, radius double"
-    placed = materialize(cand.repartition(spread).mapInPandas(place, schema))
-    stats = {r["block"]: (r["n"], r["radius"]) for r in placed.groupBy("block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).collect()}  # a row a pivot
-    radius = np.array([stats.get(b, (0, -np.inf))[1] for b in range(n_pivots)])
-    slices = [-(-stats.get(b, (0,))[0] // rows) for b in range(n_pivots)]
-    shares = -(-n_probes // slice_rows)
-
-    def own(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = _stack(pdf["vec"])
-                x = _unit(x) if cosine else x
-                far = np.stack([_exact_sq(x, np.broadcast_to(c, x.shape)) for c in pivots], 1)
-                far[:, ~np.isfinite(radius)] = np.inf
-                yield pd.DataFrame({"pid": pdf["pid"], "vec": list(x), "block": far.argmin(1)})
-
-    start = materialize(wanted.select("pid", "vec").mapInPandas(own, "pid long, vec array<double>, block int"))
-
-    def tiles(asked: DataFrame) -> DataFrame:
-        return _best(_tiles(placed, asked, slices, shares, metric, k, key_desc, digits), k, key_desc)
-
-    first = materialize(tiles(start))
-
-    def others(batches):
-        """Blocks that can hold a candidate at least as good as the bound."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, worst = _stack(pdf["vec"]), pdf["worst"].to_numpy(np.float64)
-            if cosine:
-                reach = x @ pivots.T + np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * radius[None, :]
-                slack = np.full(len(x), 1e-6)
-            else:
-                far = np.sqrt(np.stack([_exact_sq(x, np.broadcast_to(c, x.shape)) for c in pivots], 1))
-                reach = -np.square(np.maximum(0.0, far - radius[None, :]))
-                slack = 1e-6 * (1.0 + np.abs(np.where(np.isfinite(worst), worst, 0.0)))
-            fit = np.isfinite(radius)[None, :] & ~(reach < (worst - slack)[:, None])
-            fit[np.arange(len(x)), pdf["block"].to_numpy()] = False
-            at, block = np.nonzero(fit)
-            yield pd.DataFrame({"pid": pdf["pid"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "block": block})
-
-    bound = first.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("rank_score").alias("worst")).where(F.col("n") >= k)
-    asked = start.join(bound.select("pid", "worst"), "pid", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
-    second = tiles(asked.select("pid", "vec", "block", "worst").mapInPandas(others, "pid long, vec array<double>, block int"))
-    return _best(first.unionByName(second), k, key_desc)

@@ -459,6 +459,7 @@ sql("similar_customers", SIMILAR + """
 SELECT probe AS Client_Num, CAST(sim_rank AS BIGINT) AS sim_rank, neighbor_txn, neighbor_client,
        ROUND(sim, 6) AS similarity FROM simrk WHERE sim_rank <= 5
 """)
+SQL["recommender_requests"] = SQL["similar_customers"]
 SQL["similar_vectors"] = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 en AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS nrm FROM e),

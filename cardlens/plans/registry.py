@@ -432,6 +432,15 @@ def q_similar_vectors(spark, d):
     return _r6(similar.similar_vectors(adapter.table(spark, d, "embeddings"), top_n=5), ["similarity"])
 
 
+@query("recommender_requests")
+def q_recommender_requests(spark, d):
+    """Every client's similar customers from a recommender that was
+    saved and loaded again; the request fits nothing."""
+    p = portfolio_table(spark, d, SIMILARITY_COLS)
+    saved = similar.Recommender.fit(p)
+    return _r6(similar.Recommender.load(spark, saved.path).similar(client_profiles(spark, d, p), 5), ["similarity"])
+
+
 @query("recommendation_bundle")
 def q_recommendation_bundle(spark, d):
     p = portfolio_table(spark, d, SIMILARITY_COLS)
