@@ -139,12 +139,9 @@ def centroid_clusters(vectors: DataFrame, id_col: str = "vec_id", col: str = "em
                                                   pa.array(far[np.arange(len(near)), near].astype(np.int64))], names=["vec_id", "cluster", "distance"])
 
     assigned = tables.write(points.mapInArrow(frugal(run), ASSIGNED), "assigned")
-    digests = vectors.sparkSession.createDataFrame(
-        [(i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)],
-        "cluster int, centroid_sha256 string")
-    by_cluster = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d"))
-    every = by_cluster.agg(F.sum("d").cast("long").alias("inertia"))  # one row
-    facts = by_cluster.join(digests, "cluster").crossJoin(F.broadcast(every)).select(
-        "cluster", F.col("d").cast("long").alias("cluster_inertia"), "inertia", "centroid_sha256")
+    sums = {r[0]: int(r[1]) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)"))).collect()}  # a row a cluster
+    facts = vectors.sparkSession.createDataFrame(
+        [(i, d, sum(sums.values()), hashlib.sha256(",".join(map(str, centroids[i].tolist())).encode()).hexdigest()) for i, d in sums.items()],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return assigned.join(broadcast_if_small(facts, 128 * len(centroids)), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
