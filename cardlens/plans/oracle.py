@@ -459,6 +459,8 @@ sql("similar_customers", SIMILAR + """
 SELECT probe AS Client_Num, CAST(sim_rank AS BIGINT) AS sim_rank, neighbor_txn, neighbor_client,
        ROUND(sim, 6) AS similarity FROM simrk WHERE sim_rank <= 5
 """)
+SQL["appended_overview"], SQL["appended_weekly_trends"] = SQL["overview_metrics"], SQL["weekly_trends"]
+SQL["clustered_search_filtered"] = SQL["customer_search_filtered"]
 SQL["recommender_requests"] = SQL["similar_customers"]
 SQL["similar_vectors"] = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

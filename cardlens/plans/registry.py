@@ -6,6 +6,7 @@ tables; parameters are the reference's defaults unless stated.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import cleanse, explore, features, metrics, predictions, recommend, similar, smote
 from ..operators import models as mdl
-from ..sources import adapter, csv, tables
+from ..session import ensure_checkpoint_dir
+from ..sources import adapter, csv, layout, tables
+from ..streaming import aggregates
+from ..streaming.aggregates import AggregateState
 from .portfolio import customers, joined, materialized, portfolio, portfolio_table
 from . import evaluation, training
 
@@ -181,11 +185,46 @@ def q_customer_search_filtered(spark, d):
                                      gender="F", band="Good")
 
 
+@query("clustered_search_filtered")
+def q_clustered_search_filtered(spark, d):
+    """D10 and D12 over the portfolio laid out for the search: only files whose
+    boxes meet the filters are read."""
+    cols = ["Txn_Id", *layout.SEARCH, "Credit_Limit", "Total_Revolving_Bal", "fraud_flag", "Cust_Satisfaction_Score"]
+    path = tables.own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/layout/{uuid.uuid4().hex}")
+    layout.write_clustered(portfolio_table(spark, d, cols), path)
+    wanted = {"age": (25, 50), "income": (30000, 120000), "gender": "F", "band": "Good"}
+    found = layout.clustered_search(spark, path, **wanted)
+    return explore.search_aggregates(found, **wanted)
+
+
 @query("weekly_trends")
 def q_weekly_trends(spark, d):
     return explore.weekly_trends(numbers(spark, d))
 
 
+def appended_state(spark, d) -> AggregateState:
+    """The dashboard's state after the base batch (weeks before 1999), the
+    additional one, and a replay of the latter (A5)."""
+    p = portfolio_table(spark, d, aggregates.READS)
+    state = AggregateState(spark, tables.own(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/state/{uuid.uuid4().hex}"))
+    late = F.coalesce(F.year("Week_Start_Date") >= 1999, F.lit(False))
+    for number, rows in ((0, p.where(~late)), (1, p.where(late)), (1, p.where(late))):
+        state.update(rows, number)
+    return state
+
+
+@query("appended_overview")
+def q_appended_overview(spark, d):
+    """A5 with D8: the overview from the state that appends keep up."""
+    return appended_state(spark, d).overview_metrics()
+
+
+@query("appended_weekly_trends")
+def q_appended_weekly_trends(spark, d):
+    """A5 with D13: weekly trends from the state that appends keep up."""
+    return appended_state(spark, d).weekly_trends()
+
+
 @query("age_groups")
 def q_age_groups(spark, d):
     return explore.with_age_group(numbers(spark, d)).select("Txn_Id", "Customer_Age", "Age_Group")
