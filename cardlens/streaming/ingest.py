@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import cleanse, scoring
 from ..sources.csv import REJECT, file_schema, normalize_values, shaped
 from ..sources.schema import CC_SCHEMA
-from ..sources.tables import conform
+from ..sources.tables import conform, delete
 
 
 def read_account_batches(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -70,13 +70,22 @@ def score_batches(spark: SparkSession, landing_dir: str, customers, modes: dict,
     micro-batch joins its accounts and those still pending to the customers:
     matched rows are scored into ``table_path``, the others wait in
     ``pending_path`` for the next batch.  Both are written under the batch's
-    number and an attempt that is repeated overwrites its own output, so an
-    account is scored exactly once however late its customer comes.  A batch
-    without new files starts no job; ``score_pending`` takes up what waits."""
+    number, and an attempt that is repeated overwrites its own output and drops
+    what ``score_pending`` made of it since, so an account is scored exactly once
+    however late its customer comes.  A batch without new files starts no job;
+    ``score_pending`` takes up what waits."""
     read = customers if callable(customers) else (lambda: customers)
+
+    def take(df: DataFrame, n: int) -> None:
+        part = f"batch={n:012d}"
+        for path in (table_path, pending_path):  # scored rows first: what is lost in between is still pending
+            for later in _parts(spark, path, finished=False):
+                if later.startswith(f"{part}-"):
+                    delete(spark, f"{path}/{later}")
+        _score_batch(df, part, _pending(spark, pending_path, n), read(), modes, table_path, pending_path)
+
     w = (read_account_batches(spark, landing_dir).writeStream.option("checkpointLocation", checkpoint_path).outputMode("append")
-         .foreachBatch(lambda df, n: _score_batch(df, f"batch={n:012d}", _pending(df.sparkSession, pending_path, n), read(), modes,
-                                                  table_path, pending_path)))
+         .foreachBatch(take))
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
@@ -93,13 +102,14 @@ def score_pending(spark: SparkSession, customers: DataFrame, modes: dict, table_
     _score_batch(None, f"{name}-{int(tries or 0) + 1:04d}", waiting, customers, modes, table_path, pending_path)
 
 
-def _parts(spark: SparkSession, path: str) -> list[str]:
+def _parts(spark: SparkSession, path: str, finished: bool = True) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return []
     done = [f.getPath() for f in fs.listStatus(at)]
-    return sorted(p.getName() for p in done if p.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted(p.getName() for p in done if p.getName().startswith("batch=")
+                  and (not finished or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))))
 
 
 def _last_part(spark: SparkSession, path: str, before: str | None = None) -> str | None:

@@ -18,7 +18,7 @@ def con():
 def test_every_query_has_an_oracle_or_is_a_model():
     from cardlens.plans.registry import QUERIES
     missing = set(QUERIES) - set(SQL)
-    assert all(("predictions" in m) or m in ("feature_importance", "top_features", "fraud_rf_evaluation") for m in missing), missing
+    assert all(("predictions" in m) or m in ("feature_importance", "split_importance", "top_features", "fraud_rf_evaluation") for m in missing), missing
 
 
 def test_entry_runs(spark):

@@ -107,3 +107,26 @@ def test_late_customers_are_scored_once(spark):
     known["keys"] = range(100, 300)
     _batch(os.path.join(landing, "week3.csv"), 300, 1)
     assert run() == [100, 101, 102, 103, 104, 105, 200, 201]  # 300 waits
+
+
+def test_replayed_batch_drops_what_pending_scored_since(spark):
+    """The batch wrote its output but was not committed; its pending accounts were scored in between."""
+    root = tempfile.mkdtemp(prefix="cardlens-stream-")
+    landing, table, ckpt, pending = (os.path.join(root, x) for x in ("landing", "table", "ckpt", "pending"))
+    os.makedirs(landing)
+    known = {"keys": range(100, 102)}
+
+    def run():
+        ingest.score_batches(spark, landing, lambda: _customers(spark, known["keys"]), {}, table, ckpt, pending).awaitTermination()
+        return sorted(r.Client_Num for r in ingest.scored_accounts(spark, table).collect())
+
+    _batch(os.path.join(landing, "week1.csv"), 100, 5)
+    assert run() == [100, 101]
+    known["keys"] = range(100, 104)
+    ingest.score_pending(spark, _customers(spark, known["keys"]), {}, table, pending)
+    assert sorted(r.Client_Num for r in ingest.scored_accounts(spark, table).collect()) == [100, 101, 102, 103]
+    for name in ("0", ".0.crc"):
+        os.remove(os.path.join(ckpt, "commits", name))
+    assert run() == [100, 101, 102, 103]  # each once
+    ingest.score_pending(spark, _customers(spark, range(100, 105)), {}, table, pending)
+    assert sorted(r.Client_Num for r in ingest.scored_accounts(spark, table).collect()) == [100, 101, 102, 103, 104]
