@@ -5,9 +5,10 @@ access keys, long hex strings, and bare tokens that mix letters of both cases
 and digits.  A candidate's value travels as a 128-bit hash, never in the clear.
 Hashes are counted over the whole corpus by distinct repositories and owners:
 
-* ``copied``: at least ``copied_owners`` owners hold it, such as the example
-  key of a manual;
-* ``live``: one owner alone holds it and it looks random;
+* ``copied``: at least ``copied_owners`` owners or ``copied_repos`` repositories
+  hold it, such as the example key of a manual, or of one owner's templates;
+* ``live``: one owner alone holds it, in fewer repositories than that, and it
+  looks random;
 * anything between is neither.
 
 Every base span is kept whatever its verdict.  Bare tokens become spans (kind
@@ -24,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,9 +71,16 @@ def bare_tokens(text: str, base: list) -> list[tuple[int, int, str, str]]:
     """Random-looking tokens of mixed letters and digits outside the base spans."""
     if max(map(len, text.split()), default=0) < 20:
         return []
+    starts = [s for s, *_ in base]  # sorted
+    reach = list(accumulate((e for _, e, *_ in base), max))  # greatest end so far
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
     return [(m.start(), m.end(), "live", m[0]) for m in TOKEN.finditer(text)
             if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and looks_random(m[0], 3.5, 20)
-            and not any(s < m.end() and m.start() < e for s, e, *_ in base)]
+            and free(m.start(), m.end())]
 
 
 def _hashes(value: str) -> tuple[int, int]:
@@ -113,13 +123,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
-                 owner_col: str = "source", copied_owners: int = 3) -> DataFrame:
+                 owner_col: str = "source", copied_owners: int = 3, copied_repos: int = 10) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live)`` for each row.
 
     ``spans`` lists all spans as kind:start:end by start, then kind;
-    ``n_copied`` counts base spans whose value ``copied_owners`` owners or more
-    hold, ``n_live`` the random-looking spans of one owner alone, listed in
-    ``live``.  A null or empty text has none.  Rows with null or repeated
+    ``n_copied`` counts base spans whose value ``copied_owners`` owners or
+    ``copied_repos`` repositories or more hold, ``n_live`` the random-looking
+    spans of one owner alone in fewer repositories, listed in ``live``.  A null or empty text has none.  Rows with null or repeated
     doc_ids are rows of their own; a null owner counts as one owner.  Extra
     columns are ignored; an empty table gives no rows."""
     tables = Tables(docs.sparkSession, "secrets")
@@ -132,14 +142,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "rid", "repo", "owner", "c.*")
     known = tables.write(ownership(found), "known")
     place = F.concat_ws(":", "kind", "start", "end")
-    live = (F.col("owners") == 1) & F.col("random")
+    copied = (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos)
+    live = (F.col("owners") == 1) & ~copied & F.col("random")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     listed = lambda which: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
         which, F.struct("start", order, place.alias("place"))))), lambda x: x["place"]), ",")
     judged = (found.join(known, ["h1", "h2"]).groupBy("rid").agg(
         listed((F.col("kind") != "live") | live).alias("spans"), listed(live).alias("live"),
         F.count_if(live).alias("n_live"),
-        F.count_if((F.col("kind") != "live") & (F.col("owners") >= copied_owners)).alias("n_copied")))
+        F.count_if((F.col("kind") != "live") & copied).alias("n_copied")))
     return scanned.drop("found").join(judged, "rid", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),

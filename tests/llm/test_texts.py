@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from brute import pii as brute_pii
@@ -10,7 +11,7 @@ from brute import secrets as brute_secrets
 from brute import sha, words
 from cardlens.llm import pieces, quality
 from cardlens.llm.pii import KINDS, anchors, find_pii, spans
-from cardlens.llm.secrets import find_secrets, ownership
+from cardlens.llm.secrets import bare_tokens, base_matches, find_secrets, ownership
 from public_tokenizers import path
 from corpora import corpus, documents, empty  # noqa: F401  fixtures
 
@@ -114,6 +115,32 @@ def test_ownership_separates_examples_from_live(spark):
     assert got[12]["spans"] == "live:5:27" and got[12]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_one_owner_of_many_repositories_has_no_live_secret(spark):
+    key, own = "wJ4rXUt7nFEMIqK7MDkNG2bPxRfiCYz", "qH8vLc2TzRw5YbN1sKd9GfPxMj3Au7E"
+    rows = [(i, f"token = {key}", "src0") for i in range(10)] + [(20 + i, f"token = {own}", "src0") for i in range(9)]
+    rows += [(40, None, "src0"), (None, f"token = {own}", None), (20, f"token = {own}", "src0")]  # a null text, a null id, a repeated row
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == len(rows) and all(by[i]["n_copied"] == 1 and by[i]["n_live"] == 0 for i in range(10))
+    assert all(by[20 + i]["n_copied"] == 1 for i in range(9))  # nine repositories and one of another owner
+    assert by[40]["spans"] == "" and by[40]["n_assign"] == 0
+    few = find_secrets(spark.createDataFrame(rows[10:19], "doc_id long, text string, source string")).collect()
+    assert all(r["n_live"] == 1 and r["n_copied"] == 0 for r in few)
+
+
+def test_bare_tokens_lie_outside_base_spans():
+    rng = random.Random(9)
+    token = "aB3dE5gH7jK9mN1pQ3sT5v"
+    for _ in range(300):
+        text = " ".join(rng.choice([token, f"secret={token}", "deadbeef" * 4, f"token: {token}Zz", "word", f"({token})"]) for _ in range(9))
+        base = base_matches(text)
+        want = [m for m in bare_tokens(text, []) if not any(s < m[1] and m[0] < e for s, e, *_ in base)]
+        assert bare_tokens(text, base) == want
+    many = " ".join(f"secret={token} {token[::-1]}" for _ in range(20_000))
+    start = time.perf_counter()
+    assert len(bare_tokens(many, base_matches(many))) == 20_000 and time.perf_counter() - start < 10
+
+
 def test_ownership_counts(spark):
     df = spark.createDataFrame([(1, 1, "a", "r1"), (1, 1, "a", "r1"), (1, 1, "a", "r2"), (1, 1, None, None), (2, 2, "b", "r9")],
                                "h1 long, h2 long, owner string, repo string")
