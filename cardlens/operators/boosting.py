@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import delete, own
-from . import features as feat
 from .models import SEED, FittedModel, check_features, write_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
