@@ -101,11 +101,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of many texts at once.
 
-    A word's hash is a polynomial over its bytes (each byte mapped to a random
-    64-bit value), taken from running sums, so no word is cut out as a Python
+    A word's hash is the sum, modulo 2**64, of a pseudo-random value for each
+    (byte, place in the word), mixed with its length.  Unlike a polynomial
+    modulo a power of two it has no family of long words that share a hash.
+    Sums come from one running total, so no word is cut out as a Python
     object.  ``lower`` maps A-Z to a-z first."""
 
-    BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+    STEP = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, lower: bool = False):
         values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -114,16 +116,6 @@ class WordHasher:
         self.values = values
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 18)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("powers", self.BASE), ("inverses", inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """``(hashes, bounds, starts, ends)``: text i has the words
@@ -138,10 +130,12 @@ class WordHasher:
             after[-1], after[:-1] = True, ~word[1:]
         starts = np.flatnonzero(word & (before | edge[:-1]))
         ends = np.flatnonzero(word & (after | edge[1:])) + 1
-        self._grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        sizes = ends - starts
+        last = np.cumsum(sizes)
+        place = np.arange(last[-1] if len(last) else 0) - np.repeat(last - sizes, sizes)
+        sums = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(mix(self.values[data[word]] + place.astype(np.uint64) * self.STEP), out=sums[1:])
+        hashes = mix(sums[last] - sums[last - sizes] + sizes.astype(np.uint64))
         return hashes, np.searchsorted(starts, offsets), starts, ends
 
 

@@ -20,9 +20,15 @@ cut down before it is multiplied, each time by a bound that loses no link:
 
 A block of at most ``block_tokens`` entries is multiplied in one task, many
 small blocks to a task; a larger one is cut into parts and pairs of parts are
-tasks (``_multiply``).  Inside a task overlaps are accumulated over the columns
-against the rows that are not yet known to be connected, size bounds first,
-and each row of a component leaves it once, never all pairs of a group.
+tasks (``_multiply``).  Inside a task the product is sparse: a row's overlaps are
+accumulated over the postings of its columns, against the rows that are not yet
+known to be connected, or against all rows if links are counted; pairs that
+their sizes alone rule out go first.  Each row of a
+component leaves the task once, with its number of links, never as pairs.
+
+Words and shingles are compared by 64-bit hashes.  A false link needs two
+different shingles of one hash in the very pair whose overlap they carry over
+the bound; over all pairs of two texts of n shingles that is under n**2 / 2**64.
 """
 
 from __future__ import annotations
@@ -114,87 +120,104 @@ def all_shingles(batches):
             yield every.filter(pc.equal(sums, rows.column(0)))
 
 
+class Postings:
+    """The entries of some rows of one block by column: the transposed matrix.
+
+    ``overlaps(i)`` is row i of the product, accumulated over the postings of
+    its columns only, so entries in columns that no other row holds cost nothing."""
+
+    def __init__(self, columns: np.ndarray, bounds: np.ndarray, rows: np.ndarray):
+        self.columns, self.bounds = columns, bounds
+        sizes = bounds[rows + 1] - bounds[rows]
+        ends = np.cumsum(sizes)
+        held = columns[_ranges(bounds[rows], sizes, ends)]
+        order = np.argsort(held, kind="stable")
+        self.rows = np.repeat(rows, sizes)[order]
+        width = int(columns.max()) + 1 if len(columns) else 0
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(held, minlength=width))))
+
+    def overlaps(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that share a column with row i, and how many each."""
+        mine = self.columns[self.bounds[i]: self.bounds[i + 1]]
+        sizes = self.starts[mine + 1] - self.starts[mine]
+        ends = np.cumsum(sizes)
+        counts = np.bincount(self.rows[_ranges(self.starts[mine], sizes, ends)])
+        rows = np.flatnonzero(counts)
+        return rows, counts[rows]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places ``starts[k] ... starts[k] + sizes[k] - 1`` of each k in turn."""
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _linked_rows(postings: Postings, sizes: np.ndarray, side: np.ndarray, i: int) -> np.ndarray:
+    """Rows, i itself left out, whose overlap with row i reaches 80 % of the union."""
+    rows, overlap = postings.overlaps(i)
+    n = sizes[rows]
+    fit = (n * 100 >= sizes[i] * 80) & (sizes[i] * 100 >= n * 80) & (rows != i)
+    if side[i] < 2:
+        fit &= side[rows] != side[i]
+    rows, overlap, n = rows[fit], overlap[fit], n[fit]
+    return rows[overlap * 100 >= (n + sizes[i] - overlap) * 80]
+
+
+def _stars(part: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Each row of a part with the smallest id of the part."""
+    order = np.argsort(part, kind="stable")
+    links = []
+    for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(group) > 1:
+            center = int(ids[group].min())
+            links.extend((center, int(i)) for i in ids[group] if i != center)
+    return links
+
+
 def block_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
     """Components of the links among the rows of one block, as stars: each row
     of a component with its smallest id.
 
-    A row is taken from the queue and its overlaps with all rows not yet
-    reached are accumulated over its columns; rows that reach 80 % join the
-    queue.  A pair of reached rows is never multiplied, as it could only
-    connect what is connected.  ``side`` 0 and 1 are the two row ranges of an
-    off-diagonal tile, whose own pairs other tiles hold; 2 meets every row."""
+    A row is taken from the queue and its overlaps are accumulated over its
+    columns; rows that reach 80 % join the queue.  The postings are made anew
+    whenever half of their rows have been reached: a pair of reached rows could
+    only connect what is connected.  ``side`` 0 and 1 are the two row ranges of
+    an off-diagonal tile, whose own pairs other tiles hold; 2 meets every row."""
     sizes = np.diff(bounds)
     _, columns = np.unique(columns, return_inverse=True)
-    mark = np.zeros(int(columns.max()) + 1 if len(columns) else 1, np.int32)
-    left = np.argsort(sizes, kind="stable")
-    links = []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        members = list(queue)
-        while queue and len(left):
-            i = queue.pop()
-            n = sizes[left]
-            fit = (n * 100 >= sizes[i] * 80) & (sizes[i] * 100 >= n * 80)
-            if side[i] < 2:
-                fit &= side[left] != side[i]
-            at = np.flatnonzero(fit)
-            if not len(at):
-                continue
-            rows = left[at]
-            n = sizes[rows]
-            mark[columns[bounds[i]: bounds[i + 1]]] = 1
-            ends = np.cumsum(n)
-            picked = np.repeat(bounds[rows] - (ends - n), n) + np.arange(ends[-1])
-            overlap = np.add.reduceat(mark[columns[picked]], ends - n)
-            mark[columns[bounds[i]: bounds[i + 1]]] = 0
-            hit = overlap * 100 >= (n + sizes[i] - overlap) * 80
-            if hit.any():
-                queue.extend(int(r) for r in rows[hit])
-                members.extend(int(r) for r in rows[hit])
-                left = np.delete(left, at[hit])
-        if len(members) > 1:
-            center = int(ids[members].min())
-            links.extend((center, int(i)) for i in ids[members] if i != center)
-    return links
+    left = np.ones(len(ids), bool)
+    part = np.arange(len(ids))
+    postings, live, posted = Postings(columns, bounds, np.arange(len(ids))), len(ids), len(ids)
+    for first in range(len(ids)):
+        queue = [first] if left[first] else []
+        live -= len(queue)
+        left[first] = False
+        while queue and live:
+            rows = _linked_rows(postings, sizes, side, queue.pop())
+            rows = rows[left[rows]]
+            left[rows] = False
+            part[rows] = first
+            queue.extend(rows.tolist())
+            live -= len(rows)
+            if 2 * live < posted:
+                postings, posted = Postings(columns, bounds, np.flatnonzero(left)), live
+    return _stars(part, ids)
 
 
 def counted_links(ids: np.ndarray, side: np.ndarray, columns: np.ndarray, bounds: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """As ``block_links``, and the number of links of each row: every pair of
-    the block that the size bound leaves is multiplied."""
+    """As ``block_links``, and the number of links of each row: the whole rows
+    of the product are accumulated."""
     sizes = np.diff(bounds)
-    order = np.argsort(sizes, kind="stable")
-    ids, side, n = ids[order], side[order], sizes[order]
-    ends = np.cumsum(n)
-    starts = ends - n
-    picked = np.repeat(bounds[order] - starts, n) + np.arange(ends[-1])
-    _, columns = np.unique(columns[picked], return_inverse=True)
-    mark = np.zeros(int(columns.max()) + 1, np.int32)
+    _, columns = np.unique(columns, return_inverse=True)
+    postings = Postings(columns, bounds, np.arange(len(ids)))
     degree, part = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    last = np.searchsorted(n, n * 100 // 80, "right")  # larger rows can reach 80 % up to here
-    for i in range(len(ids) - 1):
-        if last[i] <= i + 1:
-            continue
-        rows = slice(i + 1, last[i])
-        mark[columns[starts[i]: ends[i]]] = 1
-        overlap = np.add.reduceat(mark[columns[starts[i + 1]: ends[last[i] - 1]]], starts[rows] - starts[i + 1])
-        mark[columns[starts[i]: ends[i]]] = 0
-        hit = overlap * 100 >= (n[rows] + n[i] - overlap) * 80
-        if side[i] < 2:
-            hit &= side[rows] != side[i]
-        at = np.flatnonzero(hit) + i + 1
-        if len(at):
-            degree[i] += len(at)
-            degree[at] += 1
-            joined = np.unique(part[np.append(at, i)])
+    for i in range(len(ids)):
+        rows = _linked_rows(postings, sizes, side, i)
+        degree[i] = len(rows)
+        if len(rows):
+            joined = np.unique(part[np.append(rows, i)])
             if len(joined) > 1:
                 part[np.isin(part, joined)] = joined[0]
-    links = []
-    for group in np.split(np.argsort(part, kind="stable"), np.flatnonzero(np.diff(np.sort(part))) + 1):
-        center = int(ids[group].min())
-        links.extend((center, int(i)) for i in ids[group] if i != center)
-    back = np.empty(len(order), np.int64)
-    back[order] = degree
-    return links, back
+    return _stars(part, ids), degree
 
 
 def _tile_links(table: pa.Table, count: bool) -> pa.Table:
@@ -210,8 +233,7 @@ def _tile_links(table: pa.Table, count: bool) -> pa.Table:
         if len(rows) > 1:
             n = bounds[rows + 1] - bounds[rows]
             ends = np.cumsum(n)
-            picked = np.repeat(bounds[rows] - (ends - n), n) + np.arange(ends[-1])
-            block = ids[rows], sides[rows], columns[picked], np.concatenate(([0], ends))
+            block = ids[rows], sides[rows], columns[_ranges(bounds[rows], n, ends)], np.concatenate(([0], ends))
             links, degree = counted_links(*block) if count else (block_links(*block), [])
             out += [(a, b, None) for a, b in links] + [(int(i), None, int(d)) for i, d in zip(block[0], degree) if d]
     return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate("abn")})

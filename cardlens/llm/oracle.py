@@ -21,10 +21,13 @@ n AS (SELECT doc_id, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS whole F
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+k AS (SELECT e.a AS doc_id, count(DISTINCT y.whole) AS n_links FROM e JOIN n x ON x.doc_id = e.a JOIN n y ON y.doc_id = e.b
+      WHERE x.whole <> y.whole GROUP BY 1),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
-       CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.whole) END AS class_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+       CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.whole) END AS class_id,
+       coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1) c ON c.doc_id = d.doc_id
 """
 

@@ -31,7 +31,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir)).drop("text_hash")
+    return ngram_components(documents(spark, sf_dir), count_links=True).drop("text_hash")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from brute import components, exact_groups, repeats, sha, shingles
 from cardlens.llm.common import Tables
 from cardlens.llm.components import connected_components
 from cardlens.llm.exact_dedup import radix_groups
-from cardlens.llm.ngram_join import block_links, ngram_components
+from cardlens.llm.ngram_join import block_links, counted_links, ngram_components
 from cardlens.llm.repeats import remove_repeats
 from corpora import corpus, documents, empty  # noqa: F401  fixtures
 
@@ -75,6 +75,28 @@ def test_components_of_ids_that_occur_twice(spark):
         (7, 1, 7, 7, 0), (9, 1, 7, 7, 0), (20, 56, 20, 20, 1), (20, 56, 20, 20, 1), (30, 56, 30, 20, 1)])
 
 
+def test_long_words_of_one_pattern_differ(spark):
+    """A word and its complement along the parity of bits share every polynomial hash modulo 2**64."""
+    plain = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = plain.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([f"w{k}" for k in range(4)] + [word, "w5", "w6"]) for word in (plain, other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(ngram_components(df), "n_shingles", "component_id", "class_id") == {0: (3, 0, 0), 1: (3, 1, 1)}
+
+
+def test_word_hashes_are_those_of_the_words():
+    import numpy as np
+    import pyarrow as pa
+    from cardlens.llm.common import WordHasher, text_blocks
+    texts = ["ab ba", "", "  ba\tAB ab", "b", "é ab", " ", "x" * 5000 + " b"]
+    (_, data, offsets), = text_blocks(pa.array(texts))
+    for lower in (False, True):
+        found, bounds, _, _ = WordHasher(lower)(data, offsets)
+        assert np.diff(bounds).tolist() == [len(t.split()) for t in texts]
+        words = [w.lower() if lower else w for t in texts for w in t.split()]
+        assert len(set(zip(words, found.tolist()))) == len(set(words)) == len(set(found.tolist()))
+
+
 def test_block_links_span_all_links():
     import numpy as np
     rng = np.random.default_rng(1)
@@ -96,6 +118,10 @@ def test_block_links_span_all_links():
             if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
                 assert root(a) == root(b)
     assert len(links) < 80
+    stars, degree = counted_links(np.arange(80), np.full(80, 2), np.concatenate(sets), bounds)
+    assert sorted(stars) == sorted(links)
+    near = [[100 * (n := len(np.intersect1d(s, t))) >= 80 * (len(s) + len(t) - n) for t in sets] for s in sets]
+    assert degree.tolist() == [sum(r) - 1 for r in near]
 
 
 @pytest.mark.parametrize("hot", [8192, 2])
