@@ -13,8 +13,8 @@ neighbours: the comparison is on the words themselves.
 * Equal packed strings are summed to one row, with their smallest doc_id,
   before the bucket; the answer is joined back to the documents.  A passage
   that a third of all documents hold is one row in its bucket.
-* A minimiser with more than ``hot`` super-k-mers (a passage in many different
-  surroundings) is unpacked: each of its windows is sent as a string of its
+* A minimiser with more than ``hot`` windows in its distinct super-k-mers (a
+  passage in many different surroundings) is unpacked: each of its windows is sent as a string of its
   own to the bucket of that window's hash, so no bucket grows with the passage.
 * Buckets are read as a sorted stream; a task holds one bucket at a time.
 """
@@ -39,11 +39,12 @@ PACK = 4096  # rows of a batch that a task emits
 
 
 def _runs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, minimiser, first window, windows) of each super-k-mer."""
+    """(owner, minimiser, first window, windows, mark) of each super-k-mer; the
+    mark is a sum over its words, so equal super-k-mers have one mark."""
     n = len(words) - WINDOW + 1
     counts = np.diff(bounds)
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     owner = np.repeat(np.arange(len(counts)), counts)
     low = windows(words, M, 1)
     span, have = WINDOW - M + 1, 1
@@ -54,7 +55,7 @@ def _runs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = owner[:n] == owner[WINDOW - 1:]
     at = np.flatnonzero(inside)
     if not len(at):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     value, who = low[at], owner[at]
     new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
@@ -63,20 +64,24 @@ def _runs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     parts = -(-sizes // LONGEST)
     heads = np.repeat(heads, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     sizes = np.minimum(np.diff(np.append(heads, len(at))), LONGEST)
-    return who[heads], value[heads], at[heads] - bounds[who[heads]], sizes
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words), out=sums[1:])
+    marks = sums[at[heads] + sizes + WINDOW - 1] - sums[at[heads]]
+    return who[heads], value[heads], at[heads] - bounds[who[heads]], sizes, marks
 
 
 def super_kmers(batches):
-    """(doc_id, th, text) -> (doc_id, th, mini, start, n): super-k-mers by place."""
+    """(doc_id, th, text) -> (doc_id, th, mini, start, n, mark): super-k-mers by place."""
     hasher = WordHasher()
     for batch in batches:
         ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         for first, data, offsets in text_blocks(batch.column(2)):
             words, bounds, _, _ = hasher(data, offsets)
-            owner, value, start, n = _runs(words, bounds)
+            owner, value, start, n, mark = _runs(words, bounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[first + owner], pa.int64()), pa.array(marks[first + owner], pa.int64()), pa.array(value.view(np.int64)),
-                 pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "th", "mini", "start", "n"])
+                 pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(mark.view(np.int64))],
+                names=["doc_id", "th", "mini", "start", "n", "mark"])
 
 
 def pack(batches):
@@ -185,13 +190,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = Tables(docs.sparkSession, "repeats")
     base = id_and_text(docs, id_col, text_col)
     named = base.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kmers = tables.write(named.mapInArrow(frugal(super_kmers), "doc_id long, th long, mini long, start long, n long"), "kmers")
-    shared = tables.write(kmers.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
-                          .where("lo < hi").select("mini", (F.col("c") > hot).alias("hot")), "shared")
+    kmers = tables.write(named.mapInArrow(frugal(super_kmers), "doc_id long, th long, mini long, start long, n long, mark long"), "kmers")
+    held = tables.write(kmers.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("c"))
+                        .where("lo < hi").select("mini", "c"), "held")
+    # copies of one super-k-mer are one row of its bucket: those with many windows are counted again by mark
+    crowded = (kmers.join(held.where(F.col("c") > hot), "mini").groupBy("mini", "mark").agg(F.max("n").alias("n"))
+               .groupBy("mini").agg(F.sum("n").alias("c")).where(F.col("c") > hot).select("mini", F.lit(True).alias("hot")))
+    shared = tables.write(held.join(crowded, "mini", "left").select("mini", F.coalesce("hot", F.lit(False)).alias("hot")), "shared")
     spans = kmers.join(shared, "mini").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "mini", "hot")).alias("spans"))
     pieces = tables.write(named.join(spans, ["doc_id", "th"]).select("doc_id", "th", "text", "spans").mapInArrow(
         frugal(pack), "bucket long, piece string, doc_id long, th long, start long"), "pieces")
-    tables.drop("kmers", "shared")
+    tables.drop("kmers", "held", "shared")
     distinct = pieces.groupBy("bucket", "piece").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     answers = tables.write(distinct.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
         frugal(count_windows), "bucket long, piece string, firsts array<long>"), "answers")
