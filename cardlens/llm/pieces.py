@@ -1,128 +1,222 @@
-"""SentencePiece encoding and decoding over distinct chunks (operator 4).
+"""SentencePiece encoding and decoding by a table of distinct chunks (operator 4).
 
 A chunk is a run of white-space markers and the characters up to the next
 marker.  If no piece of the model has a marker after another character, no
 piece can cross from one chunk into the next, so a text's ids are those of its
-chunks in order.  Each distinct chunk is segmented once, by the library, and
-its ids are joined back by position.  Words repeat so much that nearly all
-chunks of a text come from the table.
-
-The table belongs to the task: it lives from batch to batch and starts anew
-after ``limit`` chunks, which bounds its memory and changes no result.  A
-corpus-wide table would cost a shuffle of every position of every text, to save
-the few segmentations that tasks have in common.  A model with pieces that
-cross chunks, or whose normaliser is not the identity, is given whole texts.
+chunks in order.  Each distinct chunk of the corpus is segmented once, by the
+library, and its ids are joined back by position:
+
+1. Texts are cut into chunks.  About ``block_chars`` characters of texts form a
+   block: its distinct chunks, and for each position of each text the place of
+   its chunk among them.  Blocks are a written table.
+2. The distinct chunks of all blocks are segmented and decoded: the chunk table.
+3. The chunks of each block are joined with the chunk table, a row for each
+   distinct chunk of a block, and a block's ids are gathered by position.
+
+What moves is a row for each distinct chunk of a block, not for each position;
+a frequent chunk has one row a block, and the adaptive skew join splits those.
+A task holds one block at a time.  A longer text is a block of its own, whole.
+A model with pieces that cross chunks, or whose normaliser is not the identity,
+is given whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, id_and_text
+from .common import Tables, frugal, id_and_text
 
 MARK = "▁"
 #: Chunks: markers and what follows up to the next; or markers at the end.
 CHUNK = re.compile(" +[^ ]*")
 
 
+def load(path: str):
+    import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def chunked(model) -> bool:
     """Whether texts of this model may be encoded chunk by chunk."""
     crossing = re.compile(f"[^{MARK}]{MARK}")
     plain = all(model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or not crossing.search(model.id_to_piece(i))
                 for i in range(model.get_piece_size()))
     # the normaliser adds one marker in front and maps blanks to markers, and nothing else
-    probe = "a  Åﬁ①　b\téé "
+    probe = "a  Åﬁ①　b\téé "
     return plain and model.normalize(probe) == (" " + probe).replace(" ", MARK) and not model.normalize("")
 
 
-def encoder(path: str, end_id: bool, limit: int = 1 << 19, by_chunk: bool | None = None):
-    """A function text -> list of ids, equal to the library's on the whole text."""
-    import sentencepiece
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    tail = [model.eos_id()] if end_id else []
-    if not (chunked(model) if by_chunk is None else by_chunk):
-        return model, lambda text: model.encode(text) + tail
-    table: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        if not text:
-            return list(tail)
-        chunks = CHUNK.findall(" " + text.replace(MARK, " "))
-        fresh = list({c for c in chunks if c not in table})
-        if fresh:
-            if len(table) + len(fresh) > limit:
-                table.clear()
-                fresh = list(set(chunks))
-            # the library puts one marker in front of what it is given
-            table.update(zip(fresh, model.encode([c[1:] for c in fresh], num_threads=1)))
-            for c in fresh:
-                if c == " ":  # given nothing it returns nothing, not a marker
-                    table[c] = [model.piece_to_id(MARK)]
-        ids = list(chain.from_iterable(map(table.__getitem__, chunks)))
-        return ids + tail
-
-    return model, encode
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text, markers as blanks; joined they are the text behind one blank."""
+    return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  end_id: bool = True, limit: int = 1 << 19) -> DataFrame:
-    """``(doc_id, ids, decoded)`` for each row: all ids, and their text.
+def segment(model, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
+    """Ids of each chunk, and the text that they decode to inside a longer one."""
+    # the library puts one marker in front of what it is given; given nothing it returns nothing, not a marker
+    ids = [x or [model.piece_to_id(MARK)] for x in model.encode([c[1:] for c in chunks], num_threads=1)]
+    return ids, [" " + text for text in model.decode(ids)]  # and takes the first marker off what it decodes
 
-    A null or empty text has the end id alone and decodes to the empty text.
-    Null doc_ids, repeated rows and extra columns are no special case; an empty
-    table gives no rows.  ``model_path`` must be readable on the executors."""
+
+def blocks_of(block_chars: int):
+    """(doc_id, text) -> (block, doc_ids, counts, chunks, places): whole texts of
+    about ``block_chars`` characters; text i has ``counts[i]`` chunks, in order
+    those at its places in ``chunks``."""
 
     def run(batches):
-        model, encode = encoder(model_path, end_id, limit)
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids, counts, places, size, index = [], [], [], 0, {}
+
+        def block():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+                 pa.array([list(index)], pa.list_(pa.string())),
+                 pa.ListArray.from_arrays(pa.array([0, sum(counts)], pa.int32()), pa.array(np.concatenate(places)))],
+                names=["block", "doc_ids", "counts", "chunks", "places"])
+
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
-                ids = [encode(text or "") for text in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.string())],
-                    names=["doc_id", "ids", "decoded"])
+                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                    found = chunks_of(text or "")
+                    for c in found:
+                        if c not in index:
+                            index[c] = len(index)
+                    ids.append(doc_id)
+                    counts.append(len(found))
+                    places.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
+                    size += len(text or "")
+                    if size >= block_chars or len(ids) >= 1 << 16:
+                        yield block()
+                        made += 1
+                        ids, counts, places, size, index = [], [], [], 0, {}
+        if ids:
+            yield block()
+
+    return run
+
+
+def segmenter(path: str):
+    """(chunk) -> (chunk, ids, decoded)."""
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, ids array<int>, decoded string")
+    def run(batches):
+        model = load(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                chunks = batch.column(0).slice(k, 4096)
+                ids, decoded = segment(model, chunks.to_pylist())
+                yield pa.RecordBatch.from_arrays([chunks, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                                                 names=["chunk", "ids", "decoded"])
 
+    return run
 
-def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                   end_id: bool = True, limit: int = 1 << 19) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: as ``encode_decode``,
-    with digests taken in the task so that ids and texts need not leave it."""
+
+def gatherer(results, tail: list[int]):
+    """A block and its rows of the chunk table -> ``results`` of each text."""
+
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        ids = rows.column("ids").to_pylist()
+        decoded = rows.column("decoded").to_pylist()
+        places = block.column("places").combine_chunks().values.to_numpy()
+        ends = np.cumsum(block.column("counts")[0].as_py())
+        texts = (places[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends))
+        return results(block.column("doc_ids")[0].values, ids, decoded, texts, tail)
+
+    return run
+
+
+def whole_texts(doc_ids: pa.Array, ids: list, decoded: list, texts, tail: list[int]) -> pa.Table:
+    """Ids and decoded text of each text, from those of its chunks."""
+    found, plain = [], []
+    for places in texts:
+        found.append([i for place in places for i in ids[place]] + tail)
+        plain.append("".join([decoded[place] for place in places])[1:])
+    return pa.table({"doc_id": doc_ids, "ids": pa.array(found, pa.list_(pa.int32())), "decoded": pa.array(plain, pa.string())})
+
+
+def digests(doc_ids: pa.Array, ids: list, decoded: list, texts, tail: list[int]) -> pa.Table:
+    """Number of ids and digests of each text; ids are written out once a chunk."""
+    sizes, written = [len(x) for x in ids], [" ".join(map(str, x)) for x in ids]
+    end = [" ".join(map(str, tail))] if tail else []
+    counts, ids_sha, texts_sha = [], [], []
+    for places in texts:
+        counts.append(sum([sizes[place] for place in places]) + len(tail))
+        ids_sha.append(_sha(" ".join([written[place] for place in places] + end)))
+        texts_sha.append(_sha("".join([decoded[place] for place in places])[1:]))
+    return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(counts, pa.int64()),
+                     "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(texts_sha, pa.string())})
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, end_id: bool, block_chars: int,
+             by_chunk: bool | None, results, schema: str) -> DataFrame:
+    model = load(model_path)
+    tail = [model.eos_id()] if end_id else []
+    base = id_and_text(docs, id_col, text_col)
+    if not (chunked(model) if by_chunk is None else by_chunk):
+        return base.mapInArrow(frugal(_by_text(model_path, results, tail)), schema)
+    tables = Tables(docs.sparkSession, "pieces")
+    blocks = tables.write(base.mapInArrow(frugal(blocks_of(block_chars)),
+                                          "block long, doc_ids array<long>, counts array<long>, chunks array<string>, places array<int>"), "blocks")
+    chunks = blocks.select(F.explode("chunks").alias("chunk")).distinct()
+    table = tables.write(chunks.mapInArrow(frugal(segmenter(model_path)), "chunk string, ids array<int>, decoded string"), "chunks")
+    placed = blocks.select(F.col("block").alias("at"), F.posexplode("chunks").alias("place", "chunk")).join(table, "chunk").drop("chunk")
+    return (blocks.select("block", "doc_ids", "counts", "places").groupBy("block")
+            .cogroup(placed.groupBy("at")).applyInArrow(gatherer(results, tail), schema))
+
+
+def _by_text(path: str, results, tail: list[int]):
+    """The results of whole texts: each is its own, only chunk."""
 
     def run(batches):
-        model, encode = encoder(model_path, end_id, limit)
-        digits = [str(i) for i in range(model.get_piece_size())]
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        model = load(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
-                counts, ids_sha, texts_sha = [], [], []
-                for text in rows.column(1).to_pylist():
-                    ids = encode(text or "")
-                    counts.append(len(ids))
-                    ids_sha.append(sha(" ".join([digits[i] for i in ids])))
-                    texts_sha.append(sha(model.decode(ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(texts_sha)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = [model.encode(text or "") for text in rows.column(1).to_pylist()]
+                decoded = [" " + model.decode(x) for x in ids]
+                yield from results(rows.column(0), ids, decoded, ([i] for i in range(len(ids))), tail).to_batches()
+
+    return run
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
-        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+                  end_id: bool = True, block_chars: int = 1 << 22, by_chunk: bool | None = None) -> DataFrame:
+    """``(doc_id, ids, decoded)`` for each row: all ids, and their text.
+
+    A null or empty text has the end id alone and decodes to the empty text.
+    Null doc_ids, repeated rows and extra columns are no special case; an empty
+    table gives no rows.  ``model_path`` must be readable on the executors.
+    ``block_chars`` only steers how chunks travel, not the result; ``by_chunk``
+    overrides what the model's pieces say."""
+    return _encoded(docs, model_path, id_col, text_col, end_id, block_chars, by_chunk, whole_texts,
+                    "doc_id long, ids array<int>, decoded string")
+
+
+def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+                   end_id: bool = True, block_chars: int = 1 << 22, by_chunk: bool | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: as ``encode_decode``,
+    with digests taken in the task so that ids and texts need not leave it."""
+    return _encoded(docs, model_path, id_col, text_col, end_id, block_chars, by_chunk, digests,
+                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(doc_id, decoded)`` of rows with an array of ids; null ids: empty text."""
 
     def run(batches):
-        import sentencepiece
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        model = load(model_path)
         for batch in batches:
             texts = [model.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
