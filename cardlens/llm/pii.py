@@ -34,7 +34,8 @@ LOGIN = re.compile(r"://[^\s/@:?#\"'<>]+:[^\s/@?#\"'<>]+@[A-Za-z0-9.-]+(:[0-9]+)
 IBAN = re.compile(r"\s{0,2}(?:[Nn]o\.?|[Nn]umber)?\s?[:#=]?\s{0,2}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 SSN = re.compile(r"\s{0,2}(?:[Nn]o\.?|[Nn]umber)?\s?[:#=]?\s{0,2}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"\s{0,2}(?:[Nn]o\.?|[Nn]r\.?|[Nn]umber)?\s?[:#=]\s{0,2}([0-9]{6,17})(?![0-9A-Za-z])")
-ADDRESS = re.compile(r"[0-9]{1,5}[A-Za-z]?\x20(?:[A-Z][A-Za-z'.-]*\x20){1,4}\Z")
+NAME = re.compile(r"[A-Z][A-Za-z'.-]*")
+HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?\Z")
 #: Cue words by parser; fixed values.
 CUES = {"iban": ("IBAN", "iban", "Iban"), "ssn": ("SSN", "ssn", "Social Security", "social security"),
         "account": ("account", "Account", "ACCOUNT", "acct", "Acct", "Konto", "konto", "compte", "cuenta"),
@@ -120,10 +121,18 @@ def _after(pattern, valid=None):
 
 
 def _address(text, at, low, length):
-    near = text[max(low, at - 60): at]
-    m = ADDRESS.search(near)
-    whole = not text[at + length: at + length + 1].isalnum()
-    return (at - len(near) + m.start(), at + length, True) if m and whole else None
+    """A house number and one to four names before the cue, read back blank by blank."""
+    if text[at - 1: at] != " " or text[at + length: at + length + 1].isalnum():
+        return None
+    end, names = at - 1, 0
+    while end > low and names <= 4:
+        start = max(low, text.rfind(" ", low, end) + 1)
+        if NAME.fullmatch(text, start, end):
+            end, names = start - 1, names + 1
+            continue
+        m = HOUSE.search(text[start: end]) if names else None
+        return (start + m.start(), at + length, True) if m else None
+    return None
 
 
 PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "login": _login}

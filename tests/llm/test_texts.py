@@ -75,6 +75,17 @@ def test_encode_decode(documents, corpus, library):
 
 # --- PII ---------------------------------------------------------------------
 
+def test_addresses_of_any_length():
+    found = lambda text: [text[a:b] for a, b, kind in spans(text, anchors()) if kind == "address"]
+    long_name = "Llanfair" + "pwllgwyn" * 20
+    assert found(f"at 12b {long_name} Street.") == [f"12b {long_name} Street"]
+    assert found("12 Saint Mary's Upper-Hill N. Road, 7 Oak Lane") == ["12 Saint Mary's Upper-Hill N. Road", "7 Oak Lane"]
+    assert found("12 A B C D E Road") == [] and found("12 Road") == [] and found("12 oak Road") == [] and found("Oak Road") == []
+    assert found("x\n1234567 Oak Road") == ["34567 Oak Road"] and found("12 Oak Roads") == [] and found("12  Oak Road") == []
+    began = time.perf_counter()
+    assert found("A " * 200_000 + "Road " * 50_000) == [] and time.perf_counter() - began < 5
+
+
 def test_pii_spans_equal_patterns():
     automaton = anchors()
     alphabet = [*"0123456789", "1.2", ".", "@", "a", "b.c", "+", "+1", " ", "-", "(", ")", ".5", "255", "256", "4111 1111 1111 1111",
