@@ -45,24 +45,24 @@ def test_chunks_equal_whole_texts(library):
 def test_whole_text_path_of_other_models(spark, library):
     df = spark.createDataFrame([(1, "a  b"), (2, None), (3, "  c ")], "doc_id long, text string")
     for end_id in (False, True):
-        got = pieces.encode_decode(df, MODEL, end_id=end_id, by_chunk=False).collect()
+        got = pieces.encode_decode(df, MODEL, end_id=end_id, scope="text").collect()
         want = {i: library.encode(t, add_eos=end_id) for i, t in ((1, "a  b"), (2, ""), (3, "  c "))}
         assert {r["doc_id"]: r["ids"] for r in got} == want
         assert {r["doc_id"]: r["decoded"] for r in got} == {i: library.decode(x) for i, x in want.items()}
 
 
-@pytest.mark.parametrize("block_chars", [1, 30, 1 << 22])
-def test_encoding_of_repeated_rows_null_ids_and_long_words(spark, library, block_chars):
+@pytest.mark.parametrize("scope, block_chars", [("block", 1), ("block", 30), ("block", 1 << 22), ("corpus", 1), ("corpus", 30)])
+def test_encoding_of_repeated_rows_null_ids_and_long_words(spark, library, scope, block_chars):
     texts = [(1, "one two"), (1, "one two"), (None, "one two"), (None, None), (None, ""), (2, "x" * 50_000 + " one"), (3, " "), (3, None)]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumnRenamed("text", "ids").selectExpr("*", "1 as places")
-    got = pieces.encode_decode(df, MODEL, text_col="ids", block_chars=block_chars).collect()
+    got = pieces.encode_decode(df, MODEL, text_col="ids", block_chars=block_chars, scope=scope).collect()
     want = [(i, library.encode(t or "", add_eos=True), library.decode(library.encode(t or ""))) for i, t in texts]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 def test_encode_decode(documents, corpus, library):
     got = {r["doc_id"]: r for r in pieces.encode_decode(documents, MODEL).collect()}
-    digests = {r["doc_id"]: r for r in pieces.encode_digests(documents, MODEL, block_chars=1000).collect()}
+    digests = {r["doc_id"]: r for r in pieces.encode_digests(documents, MODEL, block_chars=1000, scope="corpus").collect()}
     for i, text in corpus:
         ids = library.encode(text or "", add_eos=True)
         assert got[i]["ids"] == ids and got[i]["decoded"] == library.decode(ids)
