@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade (operator 6), DataFrame functions only.
 
 A rule is a SQL condition over a text ``t`` and its words ``w``.  On a bounded
-hash sample each rule is timed (its cost per row) and its rejections counted
-(its selectivity); rules are then tried in the order of rejections per second.
+random sample the tasks read the clock before and after each rule of each row
+(its cost) and count its rejections (its selectivity); rules are then tried in
+the order of rejections per second of cost.
 The cascade is one CASE whose branches Spark evaluates in turn: a row leaves at
 its first failing rule and later rules are never computed for it.  The order
 changes what is computed, never the verdict, which is that of all rules.
@@ -16,7 +17,6 @@ a value that is used twice, or inside a lambda, is computed once.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 WINDOW = 8
+#: SQL: the clock of the executor in nanoseconds, read for each row.
+CLOCK = "reflect('java.lang.System', 'nanoTime')"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -90,24 +92,33 @@ def cascade(rules, text_col: str = "text") -> Column:
     return over_words(f"case {branches} end", text_col)
 
 
-def order_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
-                sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejections per second on a sample of at most ``sample_rows``
-    rows (a documented bound: only the order depends on it).  The sample takes
-    every row whose hash falls in a 64th of the space, up to the bound.  An
-    empty sample leaves the given order."""
-    sample = (docs.where(F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(64)) == 0)
-              .select(F.col(f"`{text_col}`").alias("text")).limit(sample_rows))
+def rule_costs(sample: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
+    """One row: for rule k the nanoseconds ``cost_k`` spent on it over all rows
+    of ``sample`` and the rows ``n_k`` that it rejects.
+
+    The clock is read inside the row, between the rules, so neither the start of
+    a job nor the scan nor the splitting into words counts to a rule."""
+    timed = ", ".join(f"{r.rejects} as r{k}, {CLOCK} as t{k + 1}" for k, r in enumerate(rules))
+    rows = sample.select(over_words(f"struct({CLOCK} as t0, {timed})", text_col).alias("x"))
+    return rows.agg(*(c for k in range(len(rules)) for c in (
+        F.sum(F.col(f"x.t{k + 1}").cast("long") - F.col(f"x.t{k}").cast("long")).alias(f"cost_{k}"),
+        F.count_if(F.col(f"x.r{k}")).alias(f"n_{k}"))))
+
+
+def order_rules(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = 2000) -> list[Rule]:
+    """Rules by rejections per second on a random sample of ``sample_rows`` rows
+    on average (a documented bound: only the order depends on it).  Each task
+    writes what it draws; no task receives the sample.  It is run twice, and the
+    first run only warms up the executors.  An empty sample leaves the given order."""
+    rows = docs.count()
     tables = Tables(docs.sparkSession, "quality")
-    sample = tables.write(sample, "sample")
-    if sample.isEmpty():
-        return list(rules)
-    score = {}
-    for rule in rules:
-        rejected = F.count_if(over_words(rule.rejects, "text"))
-        began = time.perf_counter()
-        score[rule.name] = sample.agg(rejected.alias("n")).first()["n"] / (time.perf_counter() - began)
+    sample = tables.write(docs.select(F.col(f"`{text_col}`").alias("text")).sample(min(1.0, sample_rows / max(rows, 1)), seed=1), "sample")
+    for _ in range(2):
+        found = rule_costs(sample, rules).first()
     tables.drop("sample")
+    if found["cost_0"] is None:
+        return list(rules)
+    score = {rule.name: found[f"n_{k}"] / max(found[f"cost_{k}"], 1) for k, rule in enumerate(rules)}
     return sorted(rules, key=lambda rule: -score[rule.name])
 
 
@@ -118,7 +129,7 @@ def quality_features(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_
     ``kept`` is false if a rule fails.  A null text counts as empty: no words,
     so ``base_failed``.  Null doc_ids and repeated rows are rows of their own;
     extra columns are ignored; an empty table gives no rows."""
-    ordered = order_rules(docs, rules, id_col, text_col)
+    ordered = order_rules(docs, rules, text_col)
     own = " ".join(f"when {r.rejects} then '{r.name}'" for r in ordered if r not in BASE)
     found = f"""struct(cast(size(w) as long) as n_words, cast({WORD_CHARS} as long) as word_chars,
       cast({N_SYMBOLS} as long) as n_symbols, cast({N_DUP_LINES} as long) as n_dup_lines,
@@ -132,4 +143,4 @@ def quality_features(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_
 
 def keep_good(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, that no rule rejects."""
-    return docs.where(cascade(order_rules(docs, rules, id_col, text_col), text_col).isNull())
+    return docs.where(cascade(order_rules(docs, rules, text_col), text_col).isNull())

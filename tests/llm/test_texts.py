@@ -205,6 +205,18 @@ def test_quality_order_never_changes_the_verdict(documents):
     assert verdict(quality.RULES) == verdict(quality.RULES[::-1]) == verdict(quality.order_rules(documents))
 
 
+def test_rules_are_timed_inside_the_row(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(i, words if i % 4 else "short") for i in range(200)], "doc_id long, text string")
+    cheap, dear = quality.Rule("cheap", "size(w) < 20"), quality.Rule("dear", f"{quality.N_REPEAT_WORDS} >= 0 and size(w) < 20")
+    found = quality.rule_costs(df, (dear, cheap)).first()
+    assert (found["n_0"], found["n_1"]) == (50, 50)  # the same rejections ...
+    assert found["cost_0"] > 10 * found["cost_1"] > 0  # ... at a cost that no start of a job levels out
+    assert [r.name for r in quality.order_rules(df, (dear, cheap))] == ["cheap", "dear"]
+    plan = quality.rule_costs(df, (dear, cheap))._jdf.queryExecution().toString()
+    assert "Limit" not in plan and "Python" not in plan
+
+
 def test_quality_runs_no_python(documents):
     plan = quality.quality_features(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
