@@ -158,6 +158,34 @@ def _best(scored: DataFrame, k: int, key_desc: bool) -> DataFrame:
     return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def tile_scores(placed: DataFrame, rows, asked: DataFrame, k: int, metric: str, key_desc: bool, digits: int,
+                slice_rows: int) -> tuple[DataFrame, int]:
+    """Scores of the written ``asked`` (pid, vec, leaf, worst) against ``placed``
+    (key, vec, leaf), ``rows[leaf]`` of them a leaf, and how many pairs that are: a
+    tile is one slice of a leaf with one share of the probes that ask it, and
+    gives its k best rows a probe.  Leaves that nobody asks are not read."""
+    spark = asked.sparkSession
+    counts = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}  # a row a leaf
+    # so many rows to a slice that all cores have tiles
+    size = max(256, min(slice_rows, sum(int(rows[leaf]) for leaf in counts) // (2 * spark.sparkContext.defaultParallelism) + 1))
+    deal = spark.createDataFrame([(leaf, int(-(-rows[leaf] // size)), -(-n // slice_rows)) for leaf, n in counts.items()],
+                                 "leaf int, slices int, shares int")
+    deal = F.broadcast(deal)  # a row of three integers a leaf, whose number is bounded
+    left = placed.join(deal, "leaf").select("key", "vec", "leaf", F.pmod(F.xxhash64("key", F.lit(7)), "slices").cast("int").alias("slice"),
+                                            F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    right = asked.join(deal, "leaf").select("pid", "vec", "leaf", "worst", F.pmod(F.xxhash64("pid"), "shares").cast("int").alias("share"),
+                                            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+    def score(cands: pa.Table, probes: pa.Table) -> pa.Table:
+        if not cands.num_rows or not probes.num_rows:
+            return SCORED_ARROW.empty_table()
+        return top_k_of_tile(metric, k, key_desc, digits, probes["pid"].to_numpy(), _matrix(probes["vec"]), probes["worst"].to_numpy(),
+                             cands["key"].to_numpy(), _matrix(cands["vec"]))
+
+    keys = ["leaf", "slice", "share"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCORED), sum(int(rows[leaf]) * n for leaf, n in counts.items())
+
+
 class PivotTree:
     """Two levels of pivots: each leaf's pivot belongs to its nearest top pivot.
     ``near`` and ``far`` are the greatest distances of a leaf's rows to its own
@@ -280,30 +308,9 @@ class SearchIndex:
         return cls(spark, path, facts, tree)
 
     def _tiles(self, asked: DataFrame, k: int, digits: int, slice_rows: int) -> DataFrame:
-        """Scores of the written ``asked`` (pid, vec, leaf, worst): a tile is one
-        slice of a leaf with one share of the probes that ask it.  Leaves that
-        nobody asks are not read."""
-        metric, key_desc, rows = self.facts["metric"], self.facts["key_desc"], self.tree.rows
-        counts = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}  # a row a leaf
-        self.pairs += sum(int(rows[leaf]) * n for leaf, n in counts.items())
-        # so many rows to a slice that all cores have tiles
-        size = max(256, min(slice_rows, sum(int(rows[leaf]) for leaf in counts) // (2 * self.spark.sparkContext.defaultParallelism) + 1))
-        deal = self.spark.createDataFrame([(leaf, int(-(-rows[leaf] // size)), -(-n // slice_rows)) for leaf, n in counts.items()],
-                                          "leaf int, slices int, shares int")
-        deal = F.broadcast(deal)  # a row of three integers a leaf: MAX_LEAVES at most
-        left = self.placed.join(deal, "leaf").select("key", "vec", "leaf", F.pmod(F.xxhash64("key", F.lit(7)), "slices").cast("int").alias("slice"),
-                                                     F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-        right = asked.join(deal, "leaf").select("pid", "vec", "leaf", "worst", F.pmod(F.xxhash64("pid"), "shares").cast("int").alias("share"),
-                                                F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-
-        def score(cands: pa.Table, probes: pa.Table) -> pa.Table:
-            if not cands.num_rows or not probes.num_rows:
-                return SCORED_ARROW.empty_table()
-            return top_k_of_tile(metric, k, key_desc, digits, probes["pid"].to_numpy(), _matrix(probes["vec"]), probes["worst"].to_numpy(),
-                                 cands["key"].to_numpy(), _matrix(cands["vec"]))
-
-        keys = ["leaf", "slice", "share"]
-        return _best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCORED), k, key_desc)
+        scored, pairs = tile_scores(self.placed, self.tree.rows, asked, k, self.facts["metric"], self.facts["key_desc"], digits, slice_rows)
+        self.pairs += pairs
+        return _best(scored, k, self.facts["key_desc"])
 
     def _scored(self, wanted: DataFrame, k: int, digits: int, slice_rows: int) -> DataFrame:
         """(pid, cand_key, score, rank_score): the k best candidates of each probe vector (pid, vec)."""

@@ -471,6 +471,20 @@ def q_similar_vectors(spark, d):
     return _r6(similar.similar_vectors(adapter.table(spark, d, "embeddings"), top_n=5), ["similarity"])
 
 
+@query("approximate_search")
+def q_approximate_search(spark, d):
+    """F7 by hash tables against the exact search, for all customers and all
+    vectors: at least 90 % of the neighbours are found, and every score is exact."""
+    p = portfolio_table(spark, d, SIMILARITY_COLS)
+    profiles, v = client_profiles(spark, d, p), adapter.table(spark, d, "embeddings")
+    customers = similar.search_agreement(similar.similar_customers(p, profiles, 5), similar.approximate_customers(p, profiles, 5),
+                                         "Client_Num", "neighbor_txn")
+    vectors = similar.search_agreement(similar.similar_vectors(v), similar.approximate_vectors(v), "vec_id", "neighbor_id")
+    law = ["n_probes", (F.col("recall") >= 0.9).alias("recall_ok"), (F.col("wrong") == 0).alias("scores_ok")]
+    return customers.select(F.lit("customers").alias("searched"), *law).unionByName(
+        vectors.select(F.lit("vectors").alias("searched"), *law))
+
+
 @query("recommender_requests")
 def q_recommender_requests(spark, d):
     """Every client's similar customers from a recommender that was
