@@ -283,21 +283,32 @@ def page_derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     return page_responses(pages, id_col, url_col, html_col, date).mapInArrow(frugal(run), RECORD)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
+def read_responses(spark: SparkSession, path: str, batch_bytes: int = 16 << 20) -> DataFrame:
     """Response records of .warc and .warc.gz files under ``path``; a file is
-    read by one task.  Records of other types are left out; a missing header is
+    read and inflated by one task, which passes on batches of about
+    ``batch_bytes`` of blocks, whatever the file holds.  Records of other types are left out; a missing header is
     null, a record that breaks off is given as far as it goes, an empty file has
     no records, and a file that is there twice is read twice."""
 
+    types = (*[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.binary())
+    names = [part.split()[0] for part in RESPONSE.split(", ")]
+
+    def batched(found: list) -> pa.RecordBatch:
+        columns = zip(*found) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                found = [(*(field(h, f"WARC-{x}") for x in ("Record-ID", "Type", "Target-URI", "Date")), list(h.items()), b)
-                         for h, b in parse_records(inflate(data or b"")) if field(h, "WARC-Type") == "response"]
-                types = (*[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.binary())
-                columns = zip(*found) if found else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                                 names=["record_id", "warc_type", "target_uri", "warc_date", "headers", "block"])
+            for cell in batch.column(0):
+                found, held = [], 0
+                for h, block in parse_records(inflate(cell.as_py() or b"")):
+                    if field(h, "WARC-Type") == "response":
+                        found.append((*(field(h, f"WARC-{x}") for x in ("Record-ID", "Type", "Target-URI", "Date")), list(h.items()), block))
+                        held += len(block)
+                    if held >= batch_bytes:
+                        yield batched(found)
+                        found, held = [], 0
+                yield batched(found)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(run), RESPONSE)
 

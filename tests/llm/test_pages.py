@@ -312,6 +312,15 @@ def test_codings_of_a_response_are_undone(coding, chunked):
         assert text == b"Hello\nl" and found == {"Head": {"Title": "T"}, "Links": [{"path": "A@/href", "url": "http://a.example/y"}]}
 
 
+def test_batches_of_responses_are_bounded_and_whole(spark, tmp_path):
+    made = [(f"<urn:{i}>", bytes([65 + i % 26]) * (i * 37 % 5000)) for i in range(300)]
+    record = lambda i, b, kind: serialise({"WARC-Type": kind, "WARC-Record-ID": i, "Content-Length": str(len(b))}, b)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i, b, "response") + record(i + "q", b, "request")) for i, b in made))
+    (tmp_path / "none.warc").write_bytes(b"")
+    got = read_responses(spark, str(tmp_path), batch_bytes=10_000).collect()
+    assert [(r["record_id"], bytes(r["block"])) for r in got] == made
+
+
 def test_many_gzip_members_are_inflated_once():
     member = gzip.compress(b"abc\n")
     assert inflate(member * 100_000, 50) == b"abc\n" * 100_000
