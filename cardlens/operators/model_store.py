@@ -1,7 +1,7 @@
 """Load-or-train store of fitted models.
 
 A version is the digest of what decides a fit: task, kind, parameters, features,
-scaler, category levels, and a fingerprint of the training rows.  The fingerprint
+category levels, and a fingerprint of the rows.  The fingerprint
 is one aggregate over all rows and the columns of the fit (count, sum and
 exclusive or of row hashes), so it does not depend on the order of the rows and
 changes with any value.  A model is saved beside the versions and published by one

@@ -25,9 +25,8 @@ MODEL_INPUT_COLS = ["Txn_Id", "credit_score_band", "fraud_flag", *features.NUMER
                     *features.CATEGORICALS]
 
 
-def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[DataFrame, list[str], dict, dict]:
-    """(rows, features, scaler, category levels).  ``fit_on='all'`` fits the scaler on every row before the split (the
-    reference's order); ``'train'`` fits it on the training rows only."""
+def filled_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict]:
+    """(rows, features, category levels) before standardisation, from the written portfolio."""
     table = portfolio_table(spark, sf_dir, MODEL_INPUT_COLS)
     tables.require_rows(table, "portfolio")
     levels = features.category_levels(table, features.CATEGORICALS)
@@ -35,6 +34,13 @@ def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> tuple[
     cols = features.feature_columns(df)
     df = features.fill_features(df.select("Txn_Id", "credit_score_band", "fraud_flag", *cols), cols,
                                 "credit_score_band", "Fair")
+    return df, cols, levels
+
+
+def model_frame(spark: SparkSession, sf_dir: str, fit_on: str = "all", filled=None) -> tuple[DataFrame, list[str], dict, dict]:
+    """(rows, features, scaler, category levels).  ``fit_on='all'`` fits the scaler on every row before the split (the
+    reference's order); ``'train'`` fits it on the training rows only.  ``filled`` is a ``filled_frame`` of these tables."""
+    df, cols, levels = filled or filled_frame(spark, sf_dir)
     if fit_on not in ("all", "train"):
         raise ValueError(fit_on)
     fit_rows = df if fit_on == "all" else df.where(hashing.split_label(F.col("Txn_Id")) == "train")
@@ -48,21 +54,21 @@ def split(df: DataFrame, key_col: str = "row_key") -> tuple[DataFrame, DataFrame
     return df.where(lab == "train"), df.where(lab == "test")
 
 
-def credit_sets(spark, sf_dir, fit_on: str = "all"):
+def credit_sets(spark, sf_dir, fit_on: str = "all", filled=None):
     """(train, test, features, scaler, levels)."""
-    z, cols, stats, levels = model_frame(spark, sf_dir, fit_on)
+    z, cols, stats, levels = model_frame(spark, sf_dir, fit_on, filled)
     z = z.withColumn("row_key", F.col("Txn_Id"))
     tr, te = split(z)
     return tr, te, cols, stats, levels
 
 
-def fraud_sets(spark, sf_dir, oversample: str = "all"):
+def fraud_sets(spark, sf_dir, oversample: str = "all", filled=None):
     """(train, test, features, scaler, levels).  ``oversample='all'`` (the
     reference's order): SMOTE before the split, so synthetic rows also reach
     the test set; they get the negative keys -(synth_index + 1) for the split
     hash.  ``'train_only'``: split the real rows first and oversample only the
     training part."""
-    z, cols, stats, levels = model_frame(spark, sf_dir)
+    z, cols, stats, levels = model_frame(spark, sf_dir, filled=filled)
     base = z.select("Txn_Id", "fraud_flag", *cols)
     if oversample not in ("all", "train_only"):
         raise ValueError(oversample)
@@ -98,10 +104,13 @@ _STORES: set[str] = set()
 
 def stored_credit(spark, sf_dir, kind: str = "rf", rounds: int = 100, fit_on: str = "all", store: ModelStore | None = None):
     """(model, test rows, whether it was trained): the stored credit model of
-    these rows and features, or a new one.  ``kind='softmax'``: all bands jointly."""
+    these rows and features, or a new one.  ``kind='softmax'``: all bands jointly.
+    The version is of the rows before standardisation, which with ``fit_on`` decide the
+    scaler: its own sums depend in their last bits on the order in which tasks end."""
     store = store or session_store(spark)
-    tr, te, cols, stats, levels = credit_sets(spark, sf_dir, fit_on)
-    version = store.version("credit", kind, tr, ["Txn_Id", "credit_score_band", *cols], rounds=rounds, scaler=stats, levels=levels)
+    filled = rows, cols, levels = filled_frame(spark, sf_dir)
+    version = store.version("credit", kind, rows, ["Txn_Id", "credit_score_band", *cols], rounds=rounds, fit_on=fit_on, levels=levels)
+    tr, te, cols, stats, levels = credit_sets(spark, sf_dir, fit_on, filled)
 
     def train():
         if kind == "softmax":
@@ -113,10 +122,11 @@ def stored_credit(spark, sf_dir, kind: str = "rf", rounds: int = 100, fit_on: st
 
 
 def stored_fraud(spark, sf_dir, kind: str = "rf", rounds: int = 200, oversample: str = "all", store: ModelStore | None = None):
-    """(model, test rows, whether it was trained) for the fraud task."""
+    """(model, test rows, whether it was trained) for the fraud task; versions as ``stored_credit``."""
     store = store or session_store(spark)
-    tr, te, cols, stats, levels = fraud_sets(spark, sf_dir, oversample)
-    version = store.version("fraud", kind, tr, ["row_key", "fraud_flag", *cols], rounds=rounds, scaler=stats, levels=levels)
+    filled = rows, cols, levels = filled_frame(spark, sf_dir)
+    version = store.version("fraud", kind, rows, ["Txn_Id", "fraud_flag", *cols], rounds=rounds, oversample=oversample, levels=levels)
+    tr, te, cols, stats, levels = fraud_sets(spark, sf_dir, oversample, filled)
     model, trained = store.load_or_train(version, lambda: models.train_fraud(tr, cols, kind, rounds=rounds, scaler=stats, levels=levels))
     return model, te, trained
 
