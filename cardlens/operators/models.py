@@ -36,6 +36,7 @@ from . import features as feat
 from . import predictions
 
 SEED = 42
+TASK_ROWS = 200_000  # training rows of one task, about
 
 
 class MissingFeatures(ValueError):
@@ -197,6 +198,13 @@ def _prepend(assembler: VectorAssembler, model) -> PipelineModel:
     return PipelineModel(stages=[assembler, model])
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Training rows in parts of about ``TASK_ROWS`` at most.  MLlib keeps a part, with
+    each row's draws for all trees, as one block that one task reads at each level."""
+    parts = -(-rows.count() // TASK_ROWS)
+    return rows if parts <= rows.rdd.getNumPartitions() else rows.repartition(parts)
+
+
 def train_credit(train: DataFrame, features: list[str], kind: str = "rf", rounds: int = 100,
                  label_col: str = "credit_score_band", scaler: dict | None = None, levels: dict | None = None) -> FittedModel:
     """E2 / E3.  Boosted bands: the rows are assembled and written once, and the
@@ -205,10 +213,10 @@ def train_credit(train: DataFrame, features: list[str], kind: str = "rf", rounds
     labels = list(rules.BANDS)
     if kind == "rf":
         clf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED, labelCol="label")
-        model = Pipeline(stages=[label_indexer(label_col, labels), _assembler(features), clf]).fit(train)
+        model = Pipeline(stages=[label_indexer(label_col, labels), _assembler(features), clf]).fit(_spread(train.select(label_col, *features)))
         return FittedModel("credit", kind, features, labels, [model], scaler, levels)
     assembler = _assembler(features)
-    ready = materialize(assembler.transform(train).select("features", label_col))
+    ready = _spread(materialize(assembler.transform(train).select("features", label_col)))
 
     def fit(label: str) -> PipelineModel:
         clf = GBTClassifier(maxIter=rounds, stepSize=0.1, maxDepth=6, subsamplingRate=0.8,
@@ -234,7 +242,7 @@ def train_fraud(train: DataFrame, features: list[str], kind: str = "rf", rounds:
                             featureSubsetStrategy="0.8", seed=SEED, weightCol="weight")
     assembler = _assembler(features)
     ready = materialize(assembler.transform(train).select("features", label, weight.alias("weight")))
-    return FittedModel("fraud", kind, features, ["0", "1"], [_prepend(assembler, clf.fit(ready))], scaler, levels)
+    return FittedModel("fraud", kind, features, ["0", "1"], [_prepend(assembler, clf.fit(_spread(ready)))], scaler, levels)
 
 
 def top_features(importance: DataFrame, n: int = 10) -> DataFrame:
