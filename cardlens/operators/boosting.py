@@ -76,11 +76,16 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node of each row after ``levels`` steps; rows stay in a leaf."""
+        # a leaf is its own child, and no bin is greater than 255
+        inner = self.feature >= 0
+        column = np.where(inner, self.feature, 0).astype(np.int64)
+        limit = np.where(inner, self.bin, 255).astype(np.uint8)
+        every = np.arange(len(inner))
+        kid = np.where(inner, 2 * every + 1, every)
         at = np.zeros(len(bins), np.int64)
-        every = np.arange(len(bins))
+        flat, start = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
         for _ in range(levels):
-            f = self.feature[at]
-            at = np.where(f >= 0, 2 * at + 1 + (bins[every, f] > self.bin[at]), at)
+            at = kid.take(at) + (flat.take(start + column.take(at)) > limit.take(at))
         return at
 
 
