@@ -16,7 +16,7 @@ all trees of a round is one job:
 
 A node that no split improves is a leaf with the Newton step ``-G / (H + l2)``.
 Each tree draws its columns, each round its rows, by hash of the row key.  Margins
-are written every ``KEEP`` rounds, so that passes apply few trees.
+are written every ``KEEP`` rounds, sooner where rows are many, so that passes apply few trees.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ from .models import SEED, FittedModel, check_features, write_text
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNIT = 1 << 20  # gradients are counted in 1 / UNIT
-KEEP = 8  # rounds between written margins
+KEEP = 8  # rounds between written margins, at most
+KEEP_ROWS = 2_000_000  # rows times such rounds, about
 BINS = 64
 TASK_ROWS = 20_000  # of one task, at least
 GROUP_BYTES = 64 << 20  # histograms that one task adds up at once
@@ -154,6 +155,7 @@ class Fit:
                                                  names=["key", "y", "bins", "margin"])
 
         self.n = train.count()
+        self.keep = max(1, min(KEEP, KEEP_ROWS // max(1, self.n)))
         # few rows in few tasks, many in as many as the scan had or the cores can take
         tasks = min(1 + self.n // TASK_ROWS, max(4 * spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions()))
         self._write(rows.mapInArrow(encode, "key long, y int, bins binary, margin binary").repartition(tasks, "key"))
@@ -254,7 +256,8 @@ class Fit:
 
         names = [part.split()[0] for part in SPLIT.split(", ")]
         schema = pa.schema([(n, pa.float64() if n == "gain" else pa.int32() if n in ("tree", "node", "feature", "bin") else pa.int64()) for n in names])
-        parts = self.rows.mapInArrow(add_up, "slot int, tree int, node int, block int, sums binary")
+        parts = self.rows.mapInArrow(add_up, "slot int, tree int, node int, block int, sums binary").repartition(
+            min(slots, self.rows.sparkSession.sparkContext.defaultParallelism), "slot")  # no more parts than there are groups
         return parts.groupBy("slot").applyInArrow(best, SPLIT).collect()  # a row a node and block
 
     def round(self) -> None:
@@ -282,7 +285,7 @@ class Fit:
             if not any((t.feature[first: 2 * first + 1] >= 0).any() for t in growing):
                 break
         self.trees.append(growing)
-        if len(self.trees) - self.since == KEEP and len(self.trees) < plan.rounds:
+        if len(self.trees) - self.since >= self.keep and len(self.trees) < plan.rounds:
             margins, classes, width = self._margins(), self.classes, len(self.widths)
 
             def update(batches):

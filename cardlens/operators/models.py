@@ -1,4 +1,4 @@
-"""Credit and fraud classifiers on Spark MLlib.
+"""Credit and fraud classifiers as Spark MLlib models, grown by trees.py.
 
 * credit band, random forest (E2): 100 trees, depth 10, seed 42;
 * credit band, boosted trees (E3): MLlib boosting is binary, so one
