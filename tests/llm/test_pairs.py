@@ -130,6 +130,29 @@ def test_repeats(documents, corpus, hot):
     assert got == repeats(corpus)
 
 
+def test_windows_of_a_crowded_minimiser_travel_together(spark, monkeypatch):
+    import random
+    from cardlens.llm.common import Tables
+    rng, made, write = random.Random(3), {}, Tables.write
+
+    def counted(self, df, name, *more):
+        out = write(self, df, name, *more)
+        made[name] = out.count()
+        return out
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+    passage = prose(300)
+    corpus = [(i, f"{prose(60)} {passage} {prose(60)}") for i in range(30)]
+    corpus += [(40 + i, f"{prose(60)} " + "x y " * (100 + i) + prose(60)) for i in range(20)]  # two windows, again and again
+    monkeypatch.setattr(Tables, "write", counted)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {i: (n, gone, sha(kept)) for i, (n, gone, kept) in rows(remove_repeats(df, hot=64), "n_words", "n_removed", "kept").items()}
+    assert got == repeats(corpus)
+    assert made["pieces"] < 30 * 251 / 3  # not a row for each window of the passage or of the repeated words
+
+
 def test_repeats_repeated_rows_and_null_ids(spark):
     text = " ".join(f"a{k}" for k in range(60))
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text + " end"), (4, None)], "doc_id long, text string")
