@@ -241,7 +241,7 @@ class Page:
                     at = svgs.get(at, cut.start() if cut else n)
             elif name in RAW:
                 begin, (end, at) = at, _raw_end(html, name, at)
-                if name == "title" and not titled and at < n:
+                if name == "title" and not titled and end < at:  # it has an end tag
                     self.title, titled = " ".join(unescape(html[begin:end]).split()), True
             else:
                 if name == "a" and (href := HREF.search(attributes)):
