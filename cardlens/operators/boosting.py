@@ -1,11 +1,10 @@
 """Joint multiclass gradient boosting with softmax gradients.
 
 One tree a class and round, all classes on the same probabilities.  Features become
-bins between quantiles once, and rounds.py runs the rounds on binned rows that its tasks
-keep.  Gradients and Hessians are whole numbers of ``1 / UNIT``, so that sums by (tree,
+bins between quantiles once, and rounds.py runs the rounds on binned rows that are
+kept.  Gradients and Hessians are whole numbers of ``1 / UNIT``, so that sums by (tree,
 node, feature, bin) do not depend on their order and a task that is run again after a
-lost executor changes nothing.  The driver receives the trees.  No row and no histogram
-reaches it.
+lost executor changes nothing.  No row reaches the driver.
 
 A node that no split improves is a leaf with the Newton step ``-G / (H + l2)``.
 Each tree draws its columns, each round its rows, by hash of the row key.

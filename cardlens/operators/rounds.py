@@ -1,4 +1,4 @@
-"""Rounds of boosting by tasks that keep their rows.
+"""Rounds of boosting on rows that are kept.
 
 A level of a round needs the sums over all rows.  Rows are packed once: columns of few
 bins share a byte and are added up together (``Packing``).  A level is:

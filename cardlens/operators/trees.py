@@ -2,11 +2,11 @@
 
 MLlib sends a histogram of every node from every partition as a Java object, and each
 boosted tree of each band takes its own jobs.  Here features become bins between
-quantiles once (``BINS``, MLlib's default), the binned rows are written, and a level of
-all trees of a forest, or of all bands' trees of a round, is one job:
+quantiles once (``BINS``, MLlib's default) and the binned rows are written.  Boosted
+trees of all bands grow together by rounds.py.  A level of all trees of a forest is one job:
 
 1. a task finds the nodes of its rows and adds up whole numbers by (tree, node,
-   feature, bin): draws of each class for a forest, rows and residuals for boosting;
+   feature, bin): draws of each class;
 2. one shuffle brings the tasks' sums of a block of nodes together, where the best
    splits are found;
 3. the driver receives one row a node.  No row and no histogram reaches it.
